@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import partitions, read
+from corpusmill.llm.common import partitions, read, small_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 SEGMENT = 64
@@ -128,6 +128,7 @@ OUTPUT_ARROW = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("fo
 
 def format_conversations(conversations: DataFrame, template: Template = chatml, role: str = "assistant") -> DataFrame:
     """One row for each segment of each conversation, in order within its partition: see OUTPUT."""
+    small_batches(conversations.sparkSession)
     n = partitions(conversations.sparkSession)
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = turns.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")

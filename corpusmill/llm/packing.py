@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Staged, read, text_batches
+from corpusmill.llm.common import Staged, read, small_batches, text_batches, tokenizer
 from corpusmill.llm.token_counts import CACHE, PLAIN
 
-CAPACITY, END_ID, BIN_PIECES, BATCH_BYTES = 4096, 2, 40_000, 2 << 20
+CAPACITY, END_ID, BIN_PIECES, BATCH_BYTES = 4096, 2, 40_000, 1 << 20
 
 
 class WordIds:
@@ -32,9 +32,8 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer(path)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         #: Composed and case-stable text only: no combining marks, no capitals with odd lower forms.
         self.odd = regex.compile(PLAIN.replace("[^\\x00-\\u036f", "[^\\x00-\\u012f\\u0132-\\u02ff")).search
@@ -83,6 +82,7 @@ class WordIds:
 
 def cut_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full windows and the rest of each document."""
+    small_batches(documents.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusmill.llm.common import read, text_batches
+from corpusmill.llm.common import read, small_batches, text_batches
 
 FIT_ROWS, FIT_CHARS = 6_000, 8_000
 DIM, WINDOW, NONZERO, WORD_LEAST, WORDS, SHAPES = 48, 2, 6, 4, 20_000, 500
-HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.01, 1e-4
-CACHE, BATCH_BYTES = 300_000, 2 << 20
+HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.01, 1e-3
+CACHE, BATCH_BYTES = 150_000, 1 << 20
 _RUNS = ((re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[a-zß-öø-ÿ]+"), "a"), (re.compile("[0-9]+"), "0"))
 
 
@@ -195,6 +195,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """documents with `score`, in place of a column of this name."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kept = documents.drop("score")
     names = kept.columns

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corpusmill.llm.common import read, text_batches
+from corpusmill.llm.common import latin, read, small_batches, text_batches, tokenizer
 
 FREQUENT, SAMPLE_DOCUMENTS, SAMPLE_CHARS = 60_000, 1_500, 20_000
-CACHE, BATCH_BYTES = 400_000, 4 << 20
+CACHE, BATCH_BYTES = 200_000, 1 << 20
 #: Characters of the Basic Latin to Greek and Cyrillic blocks, general punctuation and common CJK.
 PLAIN = "[^\\x00-\\u036f\\u0391-\\u03a1\\u03a3-\\u0481\\u048a-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u20ac\\u3001-\\u3003\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5]"
 
@@ -35,13 +35,13 @@ class Counts:
     def __init__(self, path: str, frequent: dict[str, int]) -> None:
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer(path)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.odd = regex.compile(PLAIN).search
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.frequent, self.cache = frequent, {}
+        self.frequent: dict[str, int] = frequent
+        self.cache: dict[str, int] = {}
 
     def encode(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,7 +60,7 @@ class Counts:
         out, odd, work = [0] * len(texts), [], []
         missing: dict[str, None] = {}
         for i, text in enumerate(texts):
-            if self.odd(text):
+            if not latin(text) and self.odd(text):
                 odd.append(i)
                 continue
             n, pieces = self.parts(text)
@@ -94,6 +94,7 @@ def frequent_lengths(documents: DataFrame, path: str, limit: int = FREQUENT, sam
 
 def count_tokens(documents: DataFrame, path: str, frequent: dict[str, int] | None = None) -> DataFrame:
     """documents with n_bytes and n_tokens, in place of columns of these names."""
+    small_batches(documents.sparkSession)
     table = documents.sparkSession.sparkContext.broadcast(frequent_lengths(documents, path) if frequent is None else frequent)
     kept = documents.drop("n_bytes", "n_tokens")
     names = kept.columns
