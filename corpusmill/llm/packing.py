@@ -13,18 +13,35 @@ alone); null ids are kept. Repeated rows are packed each. An empty table gives n
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Staged, read, small_batches, text_batches, tokenizer
-from corpusmill.llm.token_counts import CACHE, PLAIN
+from corpusmill.llm.common import Staged, latin, read, small_batches, text_batches, tokenizer
+from corpusmill.llm.token_counts import PLAIN
 
-CAPACITY, END_ID, BIN_PIECES, BATCH_BYTES = 4096, 2, 40_000, 1 << 20
+CAPACITY, END_ID, BIN_PIECES, BATCH_BYTES, CACHE = 4096, 2, 40_000, 1 << 20, 500_000
+#: The letters and the numbers below U+0100 that lower-cased text can hold.
+LETTERS, NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+
+
+class Places(dict):
+    """pre-token -> row of the id table; a new one gets the next row and waits to be encoded."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.waiting: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        self.waiting.append(word)
+        return row
 
 
 class WordIds:
@@ -34,59 +51,87 @@ class WordIds:
         import regex
 
         self.tokenizer = tokenizer(path)
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.split_any = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        #: The same for characters below U+0100, whose letters and numbers are these.
+        self.split_latin = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+").findall
         #: Composed and case-stable text only: no combining marks, no capitals with odd lower forms.
         self.odd = regex.compile(PLAIN.replace("[^\\x00-\\u036f", "[^\\x00-\\u012f\\u0132-\\u02ff")).search
+        self.control = re.compile("[\x1c-\x1f\x85]").search
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.place) + len(words) > CACHE:
-            self.clear()
-        for word, code in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids, k = code.ids, len(self.place)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while k + 2 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.starts[k + 1] = self.used
-            self.place[word] = k
+        self.place = Places()
+        self.flat, self.starts, self.rows, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.rows + len(sizes) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[self.rows + 1 : self.rows + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.rows += len(sizes)
+
+    def learn(self) -> None:
+        """Encode the waiting pre-tokens, many to a call: a token that ends a word parts them again."""
+        words, self.place.waiting = self.place.waiting, []
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids])
+            if len(cuts) == len(part) and len(ids) and cuts[-1] == len(ids) - 1:
+                self.add(ids, np.diff(cuts, prepend=-1))
+            else:
+                each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                self.add(np.array([x for ids in each for x in ids], np.uint32), np.array([len(ids) for ids in each], np.int64))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.place) > CACHE:
+            self.clear()
         out: list[np.ndarray | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        cut: list[int] = []
+        found: list[np.ndarray] = []
+        row = self.place.__getitem__
         for i, text in enumerate(texts):
-            if self.odd(text) or any(s in text for s in self.special):
+            plain = latin(text)
+            if not plain and self.odd(text) or self.control(text) or any(s in text for s in self.special):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
-                cut.append((i, self.split(text.lower())))
-        new = dict.fromkeys(w for _, words in cut for w in words if w not in self.place)
-        if len(self.place) + len(new) > CACHE:
-            new = dict.fromkeys(w for _, words in cut for w in words)
-            self.clear()
-        self.learn(list(new))
-        for i, words in cut:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-            total = int(size.sum())
-            index = np.arange(total) + np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(words) else first, size)
-            out[i] = self.flat[index]
+                words = (self.split_latin if plain else self.split_any)(text.lower())
+                cut.append(i)
+                found.append(np.fromiter(map(row, words), np.int64, len(words)))
+        self.learn()
+        if not cut:
+            return out
+        at = np.concatenate(found)
+        size = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.arange(total) + np.repeat(self.starts[at] - (ends - size), size)]
+        last = np.concatenate([[0], ends])[np.cumsum([len(f) for f in found])]
+        for i, own in zip(cut, np.split(ids, last[:-1]), strict=True):
+            out[i] = own
         return out
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each worker, kept between tasks."""
+    return WordIds(path)
+
+
 def cut_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full windows and the rest of each document."""
     small_batches(documents.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(path)
+        coder = word_ids(path)
         for batch in text_batches(batches, BATCH_BYTES):
             rows = []
             texts = [t or "" for t in batch.column("text").to_pylist()]

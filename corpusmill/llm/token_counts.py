@@ -84,7 +84,7 @@ class Counts:
 
 def frequent_lengths(documents: DataFrame, path: str, limit: int = FREQUENT, sample: int = SAMPLE_DOCUMENTS) -> dict[str, int]:
     """Lengths of the most frequent pre-tokens of a bounded sample: at most `limit`."""
-    rows = documents.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("h")).filter("text is not null").orderBy("h").limit(sample).toLocalIterator()
+    rows = documents.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).filter("text is not null").limit(sample).collect()
     counter, seen = Counts(path, {}), Counter()
     for row in rows:
         seen.update(counter.split(row.text))
