@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import chat_format, embedding_dedup, packing, quality, secrets, token_counts
+from corpusmill.llm import chat_format, decontamination, embedding_dedup, packing, quality, secrets, token_counts
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -11,5 +11,6 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_packing": packing.op9_packing,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
-SQL = {"op2_chat_format": chat_format.OP2_SQL}
+SQL = {"op2_chat_format": chat_format.OP2_SQL, "op10_decontamination": decontamination.OP10_SQL}
