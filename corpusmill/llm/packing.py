@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import Staged, latin, read, small_batches, text_batches, tokenizer
 from corpusmill.llm.token_counts import PLAIN
 
-CAPACITY, END_ID, BIN_PIECES, BATCH_BYTES, CACHE = 4096, 2, 40_000, 1 << 20, 500_000
+CAPACITY, END_ID, BIN_PIECES, BATCH_BYTES, CACHE = 4096, 2, 40_000, 1 << 20, 900_000
 #: The letters and the numbers below U+0100 that lower-cased text can hold.
 LETTERS, NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 
