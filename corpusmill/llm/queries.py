@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import chat_format, decontamination, embedding_dedup, minhash_dedup, packing, quality, secrets, token_counts
+from corpusmill.llm import chat_format, decontamination, embedding_dedup, minhash_dedup, packing, quality, secrets, substring_dedup, token_counts
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_quality": quality.op4_quality,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_packing": packing.op9_packing,
