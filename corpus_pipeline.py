@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import packing, quality, secrets
+from corpusmill.llm import decontamination, minhash_dedup, packing, quality, secrets
 from corpusmill.llm.common import read, stage
 
 #: SQL can't express the classifier or the tokenizer; tests/llm holds the stages against brute force.
@@ -23,6 +23,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model).filter("score >= 0.5").select(*docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that of the least id."""
+    kept = minhash_dedup.near_duplicates(docs).filter("kept or doc_id is null").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def cut_test_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    scanned = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"), keep_text=True)
+    return scanned.filter(F.size("spans") == 0).select(*docs.columns)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays."""
     found, _ = secrets.scan(docs)
@@ -39,6 +51,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", keep_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", cut_test_passages),
     ("secrets", redact_secrets),
     ("packing", pack),
 ]
