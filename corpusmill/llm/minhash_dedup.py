@@ -5,11 +5,13 @@ same samples, folded into a parity bitmap (odd sketch), let a pair's similarity
 two bitmaps. A pair that shares a band and whose sketches and sizes allow the threshold is confirmed on
 the full sets.
 
-Equal sets are one node, so copies are never paired. In a bucket each member is first paired with the
-bucket's least node only, which grows with the members, not their square. Once the links found so make
-components, a bucket that lies within one component is done. In the others, members of different
-components are compared by their sketches, block by block, and only pairs that pass are emitted and
-confirmed. So no link between components is left out that shares a band and passes the sketch; at the
+Equal sets are one node, so copies are never paired. In a bucket each member is first paired with one
+leader only, the node that meets most others over all its buckets (of near copies, their original),
+which grows with the members, not their square. Once the links found so make components, a bucket that
+lies within one component is done. In the others, members of different components are compared block by
+block, and only pairs that may link are emitted and confirmed. For these a second parity bitmap, of the
+whole set, is used: its XOR has at most as many bits as the sets have different elements, so it never
+refuses a link. So no link between components is left out that shares a band and passes the sketch; at the
 threshold of 0.8 a pair shares none of the 32 bands with probability 5e-8, and the sketch bound is six
 standard deviations away.
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import WordHashes, components, mix, read, small_batches, stage, text_batches, text_bytes
 
-BANDS, ROWS, SKETCH_BITS, BLOCK, BATCH_BYTES = 32, 4, 1024, 1024, 1 << 20
+BANDS, ROWS, SKETCH_BITS, PARITY_BITS, BLOCK, BATCH_BYTES = 32, 4, 1024, 2048, 1024, 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS, SHIFTS = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
@@ -73,6 +75,14 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(counts & 1, axis=1, bitorder="little").view(np.uint64)
 
 
+def set_parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps of whole sets, as 64-bit words."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bit = (np.concatenate(sets) % np.uint64(PARITY_BITS)).astype(np.int64)
+    counts = np.bincount(row * PARITY_BITS + bit, minlength=len(sets) * PARITY_BITS).reshape(len(sets), PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+
+
 def most_differing(percent: int) -> int:
     """The bits in which sketches of sets of this similarity differ, with six deviations to spare."""
     n, miss = BANDS * ROWS, 1 - percent / 100
@@ -81,11 +91,11 @@ def most_differing(percent: int) -> int:
     return int(mean + 6 * (2 * differing) / SKETCH_BITS**0.5) + 1
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
 
 def signed(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, sketch); the last three are null for an empty set."""
+    """(doc_id, n_shingles, set_key, bands, sketch, parity); all but the first two are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -97,14 +107,16 @@ def signed(documents: DataFrame, size: int) -> DataFrame:
             keys: list = [None] * len(sets)
             bands: list = [None] * len(sets)
             sketch: list = [None] * len(sets)
+            parity: list = [None] * len(sets)
             if full:
                 samples = signatures([sets[k] for k in full])
-                for k, b, s in zip(full, band_keys(samples).view(np.int64), odd_sketches(samples).view(np.int64), strict=True):
-                    keys[k], bands[k], sketch[k] = xxhash.xxh3_128_digest(sets[k].tobytes()), b, s
-            columns = [batch.column("doc_id"), [len(s) for s in sets], keys, bands, sketch]
+                for k, *own in zip(full, band_keys(samples).view(np.int64), odd_sketches(samples).view(np.int64), set_parities([sets[k] for k in full]).view(np.int64), strict=True):
+                    keys[k] = xxhash.xxh3_128_digest(sets[k].tobytes())
+                    bands[k], sketch[k], parity[k] = own
+            columns = [batch.column("doc_id"), [len(s) for s in sets], keys, bands, sketch, parity]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, SIGNED.types, strict=True)], schema=SIGNED)
 
-    return documents.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+    return documents.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def full_sets(documents: DataFrame, size: int) -> DataFrame:
@@ -135,24 +147,25 @@ def confirmed(pairs: DataFrame, documents: DataFrame, percent: int, size: int) -
 
 
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share a bucket and whose sketches and sizes allow a link."""
-    most = most_differing(percent)
+    """(a, b) of different components that share a bucket and whose sizes and set parities allow a link."""
     sized = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     posted = members.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    cells = posted.withColumn("cell", F.explode(other)).select("key", "node", "component", "n_shingles", "sketch", "block", "cell.i", "cell.j")
+    cells = posted.withColumn("cell", F.explode(other)).select("key", "node", "component", "n_shingles", "parity", "block", "cell.i", "cell.j")
 
     def run(table: pa.Table) -> pa.Table:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         block, node, comp, n = (table[c].to_numpy() for c in ("block", "node", "component", "n_shingles"))
-        sketch = np.array(table["sketch"].to_pylist(), np.int64).view(np.uint64)
+        parity = table["parity"].combine_chunks().flatten().to_numpy().reshape(len(node), -1).view(np.uint64)
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out: list[np.ndarray] = []
         for r in a.tolist():
             fine = b[(comp[b] != comp[r]) & (100 * np.minimum(n[b], n[r]) >= percent * np.maximum(n[b], n[r]))]
             if i == j:
                 fine = fine[node[fine] > node[r]]
-            fine = fine[np.bitwise_count(sketch[fine] ^ sketch[r]).sum(1, dtype=np.int64) <= most] if len(fine) else fine
+            if len(fine):
+                differing = np.bitwise_count(parity[fine] ^ parity[r]).sum(1, dtype=np.int64)
+                fine = fine[differing * (100 + percent) <= (n[fine] + n[r]) * (100 - percent)]
             if len(fine):
                 out.append(np.stack([np.minimum(node[fine], node[r]), np.maximum(node[fine], node[r])]))
         found = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
@@ -168,15 +181,18 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5) -> D
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = stage(signed(documents, size), "signatures")
     classes = sig.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    nodes = sig.join(classes, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"]).select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch")
+    nodes = sig.join(classes, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"]).select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch", "parity")
     nodes = stage(nodes, "nodes")
     posts = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = posts.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("key", "leader")
+    buckets = posts.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", "n")
     shared = stage(posts.join(buckets, "key"), "buckets")  # only posts in buckets of two nodes or more
+    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    leaders = shared.join(degree, "node").groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node"))["node"].alias("leader"))
+    shared = shared.select("key", "node")
 
     facts = nodes.select("node", "n_shingles", "sketch")
     side = lambda name, n, s: facts.select(F.col("node").alias(name), F.col("n_shingles").alias(n), F.col("sketch").alias(s))
-    star = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    star = shared.join(leaders, "key").filter("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     star = star.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a").filter(may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b")
     star = stage(star, "star-pairs")
     links = stage(confirmed(star, documents, percent, size), "links")
@@ -184,7 +200,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5) -> D
 
     members = shared.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_buckets = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    members = members.join(open_buckets, "key").join(facts, "node")
+    members = members.join(open_buckets, "key").join(nodes.select("node", "n_shingles", "parity"), "node")
     crossed = stage(cross_pairs(members, percent).join(star, ["a", "b"], "left_anti"), "cross-pairs")
     if crossed.isEmpty():
         final = first
