@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import chat_format, decontamination, embedding_dedup, minhash_dedup, packing, quality, secrets, substring_dedup, token_counts
+from corpusmill.llm import chat_format, decontamination, embedding_dedup, katz, minhash_dedup, packing, quality, secrets, substring_dedup, token_counts
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_lm_score": katz.op8_lm_score,
     "op9_packing": packing.op9_packing,
     "op10_decontamination": decontamination.op10_decontamination,
 }
