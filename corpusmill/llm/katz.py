@@ -12,7 +12,7 @@ of bounded size, are made by adding them up and answered in place. Answers go ba
 every token is scored. Contexts with more than 1/`HOT` of all tokens are spread over buckets by the
 whole bigram; their sums, at most `HOT` rows, are shared.
 
-Words and bigrams are named by 64-bit hashes. Nulls: a null text is empty (one end token); a document
+Words are named by 64-bit hashes, within a context by the first 48 bits. Nulls: a null text is empty (one end token); a document
 with a null id is learned from. Repeated rows count and are scored each. An empty table gives no rows.
 With no training tokens every token has probability 1.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import Staged, WordHashes, mix, read, small_batches, text_batches, text_bytes
 from corpusmill.llm.quality import held_out
 
-CHUNK_WORDS, BUCKET_KEYS, HOT, TOP, BATCH_BYTES = 2_000_000, 800_000, 2000, 5, 2 << 20
+CHUNK_WORDS, BUCKET_KEYS, HOT, TOP, BATCH_BYTES = 1_600_000, 800_000, 2000, 5, 2 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 START, END = np.uint64(0x5EED0000_00000001), np.uint64(0x5EED0000_00000002)
 
@@ -41,6 +41,19 @@ def squeeze(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()) if len(x) else b""
 
 
+def squeeze_floats(x: np.ndarray) -> bytes:
+    """Compressed whole values: many are equal."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(x.tobytes()) if len(x) else b""
+
+
+def expand_floats(b: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.float64) if b else np.zeros(0)
+
+
 def expand(b: bytes, kind: type) -> np.ndarray:
     import zstandard
 
@@ -64,7 +77,7 @@ def chunked(documents: DataFrame, held: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        hashes, base, made = WordHashes(), TaskContext.get().partitionId() << 24, 0
+        hashes, base, made = WordHashes(200_000), TaskContext.get().partitionId() << 24, 0
         ids: list = []
         trained: list[bool] = []
         rows: list[np.ndarray] = []
@@ -224,11 +237,13 @@ class Bigrams:
         before[1:] = self.tokens[:-1]
         before[self.starts] = n  # the start
         trained = np.repeat(np.array(row["trained"]), lengths)
-        pair, self.place, = np.unique(before * n + self.tokens, return_inverse=True)
-        self.own = np.bincount(self.place[trained], minlength=len(pair))
-        self.context, self.word = pair // n, pair % n
+        pair, self.place = np.unique(before * n + self.tokens, return_inverse=True)
+        self.place = self.place.astype(np.int32)
+        self.own = np.bincount(self.place[trained], minlength=len(pair)).astype(np.int32)
+        self.context, self.word = (pair // n).astype(np.int32), (pair % n).astype(np.int32)
+        del before, trained, pair
         names = np.append(self.vocab, START)
-        self.context_name, self.word_name = names[self.context], self.vocab[self.word]
+        self.context_name, self.word_name = names[self.context], self.vocab[self.word] >> np.uint64(16)
         is_hot = np.isin(names, np.array(sorted(hot), np.int64).view(np.uint64))[self.context]
         self.bucket = bucket_of(np.where(is_hot, self.context_name * np.uint64(0x9E3779B97F4A7C15) + self.word_name, self.context_name), buckets)
 
@@ -290,7 +305,7 @@ def pair_answers(requests: DataFrame, words: Words, hot: set[int]) -> DataFrame:
         bucket, rows, p, c = table["bucket"][0].as_py(), [], 0, 0
         for chunk, mine, size in zip(table["chunk"].to_pylist(), contexts, sizes, strict=True):
             pairs, k = int(size.sum()), at[c : c + len(mine)]
-            rows.append((bucket, chunk, squeeze(count[place[p : p + pairs]].astype(np.int64)), squeeze(few[k].reshape(-1).astype(np.int64)), squeeze(covered[k]), None, None, None, None))
+            rows.append((bucket, chunk, squeeze(count[place[p : p + pairs]].astype(np.int64)), squeeze(few[k].reshape(-1).astype(np.int64)), squeeze_floats(covered[k]), None, None, None, None))
             p, c = p + pairs, c + len(mine)
         common = np.flatnonzero(np.isin(names, np.array(sorted(hot), np.int64).view(np.uint64)))
         rows.append((bucket, None, None, None, None, count_of_counts(count), few[common].tolist(), covered[common].tolist(), names[common].view(np.int64).tolist()))
@@ -339,7 +354,7 @@ def score_documents(documents: DataFrame, held: Column) -> DataFrame:
                 count[at] = expand(answer["counts"], np.int64)
                 first = np.flatnonzero(np.concatenate([[True], b.context[at][1:] != b.context[at][:-1]]))
                 few[b.context[at[first]]] = expand(answer["few"], np.int64).reshape(-1, TOP)
-                covered[b.context[at[first]]] = expand(answer["covered"], np.float64)
+                covered[b.context[at[first]]] = expand_floats(answer["covered"])
             names = np.append(b.vocab, START).view(np.int64)
             for k in np.flatnonzero(np.isin(names, np.array(sorted(hot_sums), np.int64))).tolist():
                 few[k], covered[k] = hot_sums[int(names[k])]
