@@ -146,9 +146,3 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shared: int = SH
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
-
-OP1_LINKS_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x <> 0)) > 0)
-SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
-"""
