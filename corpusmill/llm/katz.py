@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Staged, WordHashes, mix, read, small_batches, text_batches, text_bytes
+from corpusmill.llm.common import Staged, WordHashes, mix, read, release, small_batches, text_batches, text_bytes
 from corpusmill.llm.quality import held_out
 
 CHUNK_WORDS, BUCKET_KEYS, HOT, TOP, BATCH_BYTES = 1_600_000, 800_000, 2000, 5, 2 << 20
@@ -333,6 +333,7 @@ def score_documents(documents: DataFrame, held: Column) -> DataFrame:
     words = Words(n_r, total)
     totals = answers.filter("chunk is not null").select("chunk", "bucket", "totals")
     found = Staged(pair_answers(pair_requests(chunks, totals, hot, word_buckets, pair_buckets), words, hot), "pair-answers").read()
+    release(spark)
     per_bucket = found.filter("chunk is null")
     sums = dict(tuple(r) for r in per_bucket.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect())
     d = discounts([int(sums.get(r, 0)) for r in range(TOP + 2)])
