@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -49,12 +48,6 @@ class Staged:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not when the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).read()
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Staged, WordHashes, mix, read, release, small_batches, text_batches, text_bytes
+from corpusmill.llm.common import Staged, WordHashes, mix, read, small_batches, text_batches, text_bytes
 from corpusmill.llm.quality import held_out
 
 CHUNK_WORDS, BUCKET_KEYS, HOT, TOP, BATCH_BYTES = 1_600_000, 800_000, 2000, 5, 2 << 20
@@ -276,6 +276,7 @@ def pair_requests(chunks: DataFrame, answers: DataFrame, hot: set[int], word_buc
                 out.append((bucket, row["chunk"], squeeze(deltas(b.context_name[at[first]])), squeeze(sizes.astype(np.int32)), squeeze(deltas(b.word_name[at])), squeeze(b.totals[b.word[at]]), squeeze(b.own[at].astype(np.int32))))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PAIRS_ARROW.types, strict=True)], schema=PAIRS_ARROW) if out else PAIRS_ARROW.empty_table()
 
+    chunks = chunks.select("chunk", "trained", "lengths", "tokens", "vocab")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, PAIRS)
 
 
@@ -321,6 +322,8 @@ def score_documents(documents: DataFrame, held: Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learned from documents not `held`."""
     spark = documents.sparkSession
     small_batches(spark, 128)
+    # each step ends in a written table: its shuffle files are of no use afterwards
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     chunks = Staged(chunked(documents, held), "chunks").read()
     facts = chunks.agg(F.sum("n_vocab"), F.sum("n_train"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.aggregate("trained", F.lit(0), lambda a, x: a + x.cast("int")))).first()
     n_vocab, total, n_tokens, trained_docs = (int(x or 0) for x in facts)
@@ -333,7 +336,6 @@ def score_documents(documents: DataFrame, held: Column) -> DataFrame:
     words = Words(n_r, total)
     totals = answers.filter("chunk is not null").select("chunk", "bucket", "totals")
     found = Staged(pair_answers(pair_requests(chunks, totals, hot, word_buckets, pair_buckets), words, hot), "pair-answers").read()
-    release(spark)
     per_bucket = found.filter("chunk is null")
     sums = dict(tuple(r) for r in per_bucket.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect())
     d = discounts([int(sums.get(r, 0)) for r in range(TOP + 2)])
@@ -373,6 +375,7 @@ def score_documents(documents: DataFrame, held: Column) -> DataFrame:
         return pa.concat_tables([pa.Table.from_arrays([pa.array(v, t) for v, t in zip(o, SCORED.types, strict=True)], schema=SCORED) for o in out])
 
     both = totals.select("chunk", "bucket", "totals", *[F.lit(None).cast("binary").alias(x) for x in ("counts", "few", "covered")]).union(found.filter("chunk is not null").select("chunk", "bucket", F.lit(None).cast("binary").alias("totals"), "counts", "few", "covered"))
+    chunks = chunks.select("chunk", "doc_ids", "trained", "lengths", "tokens", "vocab")
     return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
