@@ -12,7 +12,9 @@ of bounded size, are made by adding them up and answered in place. Answers go ba
 every token is scored. Contexts with more than 1/`HOT` of all tokens are spread over buckets by the
 whole bigram; their sums, at most `HOT` rows, are shared.
 
-Words are named by 64-bit hashes, within a context by the first 48 bits. Nulls: a null text is empty (one end token); a document
+Words are told apart by 64-bit hashes. The buckets of words name them by their places in order of
+frequency, so that a request for bigrams is mostly small numbers: it lists its words once, with their
+totals, and each bigram points into that list. Nulls: a null text is empty (one end token); a document
 with a null id is learned from. Repeated rows count and are scored each. An empty table gives no rows.
 With no training tokens every token has probability 1.
 """
@@ -31,7 +33,7 @@ from corpusmill.llm.quality import held_out
 
 CHUNK_WORDS, BUCKET_KEYS, HOT, TOP, BATCH_BYTES = 1_600_000, 800_000, 2000, 5, 2 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-START, END = np.uint64(0x5EED0000_00000001), np.uint64(0x5EED0000_00000002)
+START, END = 1 << 62, np.uint64(0x5EED0000_00000002)  # a name, a hash
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -65,7 +67,7 @@ def expand(b: bytes, kind: type) -> np.ndarray:
 
 
 def deltas(x: np.ndarray) -> np.ndarray:
-    return np.diff(x, prepend=np.uint64(0))
+    return np.diff(x.astype(np.uint64, copy=False), prepend=np.uint64(0))
 
 
 CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("trained", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("tokens", pa.binary()), ("vocab", pa.binary()), ("counts", pa.binary()), ("n_vocab", pa.int64()), ("n_train", pa.int64())])
@@ -129,11 +131,22 @@ def by_bucket(which: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.nd
         yield int(which[part[0]]), part
 
 
+def step(df: DataFrame, name: str) -> DataFrame:
+    """A written table; the shuffle files behind it go with the query that writes it."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return Staged(df, name).read()
+    finally:
+        conf.set(key, before)
+
+
 # --- words ---------------------------------------------------------------------------------------
 
 ASKED = "bucket long, chunk long, words binary, counts binary"
-ANSWER = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("totals", pa.binary()), ("stats", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64()))])
-ANSWERED = "bucket long, chunk long, totals binary, stats array<long>, hot array<long>"
+ANSWER = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("ranks", pa.binary()), ("totals", pa.binary()), ("stats", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64()))])
+ANSWERED = "bucket long, chunk long, ranks binary, totals binary, stats array<long>, hot array<long>"
 
 
 def word_requests(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -151,8 +164,11 @@ def count_of_counts(totals: np.ndarray) -> list[int]:
     return np.bincount(totals[(totals > 0) & (totals <= TOP + 1)], minlength=TOP + 2).tolist()
 
 
-def word_answers(requests: DataFrame, hot_least: int) -> DataFrame:
-    """For each chunk its words' totals; for each bucket (chunk null) count-of-counts, distinct words, and hot words."""
+def word_answers(requests: DataFrame, buckets: int, hot_least: int) -> DataFrame:
+    """For each chunk its words' ranks in the bucket and totals; for each bucket (chunk null) count-of-counts, distinct words, and hot words.
+
+    ranks: in the words' order; totals: ascending, so from the last rank to the first.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(expand(b, np.uint64), dtype=np.uint64) for b in table["words"].to_pylist()]
@@ -162,9 +178,11 @@ def word_answers(requests: DataFrame, hot_least: int) -> DataFrame:
         np.add.at(totals, place, np.concatenate(own))
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         bucket = table["bucket"][0].as_py()
-        hot = values[totals > hot_least].view(np.int64).tolist()
-        rows = [(bucket, c, squeeze(t), None, None) for c, t in zip(table["chunk"].to_pylist(), np.split(totals[place], cuts), strict=True)]
-        rows.append((bucket, None, None, [*count_of_counts(totals), int((totals > 0).sum())], hot))
+        rank = np.empty(len(values), np.int64)
+        rank[np.argsort(-totals, kind="stable")] = np.arange(len(values))
+        hot = (rank[totals > hot_least] * buckets + bucket).tolist()
+        rows = [(bucket, c, squeeze(rank[at]), squeeze(deltas(np.sort(totals[at]))), None, None) for c, at in zip(table["chunk"].to_pylist(), np.split(place, cuts), strict=True)]
+        rows.append((bucket, None, None, None, [*count_of_counts(totals), int((totals > 0).sum())], hot))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ANSWER.types, strict=True)], schema=ANSWER)
 
     return requests.groupBy("bucket").applyInArrow(run, ANSWERED)
@@ -227,12 +245,12 @@ def context_weights(c: np.ndarray, few: np.ndarray, covered: np.ndarray, d: np.n
 class Bigrams:
     """The distinct bigrams of a chunk, in the order in which both sides list them: by bucket, context, word."""
 
-    def __init__(self, row: dict, totals: np.ndarray, hot: set[int], buckets: int) -> None:
-        self.vocab, self.tokens = expand(row["vocab"], np.uint64), expand(row["tokens"], np.uint32).astype(np.int64)
-        self.totals = totals
+    def __init__(self, row: dict, names: np.ndarray, totals: np.ndarray, hot: set[int], buckets: int) -> None:
+        self.tokens = expand(row["tokens"], np.uint32).astype(np.int64)
+        self.names, self.totals = np.append(names, START), totals
         lengths = np.array(row["lengths"], np.int64)
         self.starts = np.cumsum(lengths) - lengths
-        n = len(self.vocab)
+        n = len(names)
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.starts] = n  # the start
@@ -242,38 +260,49 @@ class Bigrams:
         self.own = np.bincount(self.place[trained], minlength=len(pair)).astype(np.int32)
         self.context, self.word = (pair // n).astype(np.int32), (pair % n).astype(np.int32)
         del before, trained, pair
-        names = np.append(self.vocab, START)
-        self.context_name, self.word_name = names[self.context], self.vocab[self.word] >> np.uint64(16)
-        is_hot = np.isin(names, np.array(sorted(hot), np.int64).view(np.uint64))[self.context]
-        self.bucket = bucket_of(np.where(is_hot, self.context_name * np.uint64(0x9E3779B97F4A7C15) + self.word_name, self.context_name), buckets)
+        self.context_name, self.word_name = self.names[self.context], self.names[self.word]
+        is_hot = np.isin(self.names, np.array(sorted(hot), np.int64))[self.context]
+        self.bucket = bucket_of(np.where(is_hot, mix(self.context_name) + self.word_name.view(np.uint64), self.context_name.view(np.uint64)), buckets)
 
     def parts(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(bucket, places of its bigrams by context and word); unknown words and contexts are not asked for."""
+        """(bucket, places of its bigrams by context and word)."""
         yield from by_bucket(self.bucket, np.lexsort((self.word_name, self.context_name)))
 
 
-PAIRS = "bucket long, chunk long, contexts binary, sizes binary, words binary, totals binary, counts binary"
-PAIRS_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((n, pa.binary()) for n in ("contexts", "sizes", "words", "totals", "counts"))])
+PAIRS = "bucket long, chunk long, contexts binary, sizes binary, words binary, totals binary, pointers binary, counts binary"
+PAIRS_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((n, pa.binary()) for n in ("contexts", "sizes", "words", "totals", "pointers", "counts"))])
 
 
-def totals_of(row: dict, answers: list[dict], buckets: int) -> np.ndarray:
+def named(row: dict, answers: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names and totals of a chunk's words."""
     vocab = expand(row["vocab"], np.uint64)
-    out = np.zeros(len(vocab), np.int64)
-    got = {a["bucket"]: a["totals"] for a in answers}
+    names, totals = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
+    got = {a["bucket"]: a for a in answers}
     for b, at in by_bucket(bucket_of(vocab, buckets), np.argsort(vocab)):
-        out[at] = expand(got[b], np.int64)
-    return out
+        rank = expand(got[b]["ranks"], np.int64)
+        names[at] = rank * buckets + b
+        totals[at[np.argsort(-rank)]] = np.cumsum(expand(got[b]["totals"], np.uint64), dtype=np.uint64).astype(np.int64)
+    return names, totals
+
+
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
 
 def pair_requests(chunks: DataFrame, answers: DataFrame, hot: set[int], word_buckets: int, buckets: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            b = Bigrams(row, totals_of(row, right.to_pylist(), word_buckets), hot, buckets)
+            b = Bigrams(row, *named(row, right.to_pylist(), word_buckets), hot, buckets)
             for bucket, at in b.parts():
-                first = np.flatnonzero(np.concatenate([[True], b.context[at][1:] != b.context[at][:-1]]))
+                first = firsts(b.context[at])
                 sizes = np.diff(np.append(first, len(at)))
-                out.append((bucket, row["chunk"], squeeze(deltas(b.context_name[at[first]])), squeeze(sizes.astype(np.int32)), squeeze(deltas(b.word_name[at])), squeeze(b.totals[b.word[at]]), squeeze(b.own[at].astype(np.int32))))
+                words, one, pointers = np.unique(b.word_name[at], return_index=True, return_inverse=True)
+                steps = np.diff(pointers, prepend=0)  # ascending within a context
+                steps[first] = pointers[first]
+                parts = deltas(b.context_name[at[first]]), sizes.astype(np.int32), deltas(words), b.totals[b.word[at[one]]], steps.astype(np.uint32), b.own[at]
+                out.append((bucket, row["chunk"], *map(squeeze, parts)))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PAIRS_ARROW.types, strict=True)], schema=PAIRS_ARROW) if out else PAIRS_ARROW.empty_table()
 
     chunks = chunks.select("chunk", "trained", "lengths", "tokens", "vocab")
@@ -288,27 +317,35 @@ def pair_answers(requests: DataFrame, words: Words, hot: set[int]) -> DataFrame:
     """For each chunk its bigrams' totals and its contexts' sums; for each bucket (chunk null) count-of-counts and hot contexts' sums."""
 
     def run(table: pa.Table) -> pa.Table:
-        contexts = [np.cumsum(expand(b, np.uint64), dtype=np.uint64) for b in table["contexts"].to_pylist()]
+        names_of = lambda column: [np.cumsum(expand(b, np.uint64), dtype=np.uint64) for b in table[column].to_pylist()]
+        contexts, listed = names_of("contexts"), names_of("words")
         sizes = [expand(b, np.int32) for b in table["sizes"].to_pylist()]
-        word = np.concatenate([np.cumsum(expand(b, np.uint64), dtype=np.uint64) for b in table["words"].to_pylist()])
-        total = np.concatenate([expand(b, np.int64) for b in table["totals"].to_pylist()])
         own = np.concatenate([expand(b, np.int32) for b in table["counts"].to_pylist()])
         names, at = np.unique(np.concatenate(contexts), return_inverse=True)
-        of = np.repeat(at, np.concatenate(sizes))
-        key, first, place = np.unique(mix(word) + mix(names[of] ^ np.uint64(0xA5A5)) * np.uint64(3), return_index=True, return_inverse=True)
+        known, place = np.unique(np.concatenate(listed), return_inverse=True)
+        total = np.empty(len(known), np.int64)
+        total[place] = np.concatenate([expand(b, np.int64) for b in table["totals"].to_pylist()])
+        key, c, w = [], 0, 0
+        for steps, mine, size, own_words in zip(table["pointers"].to_pylist(), contexts, sizes, listed, strict=True):
+            steps = expand(steps, np.uint32).astype(np.int64)
+            run_on, first = np.cumsum(steps), np.cumsum(size, dtype=np.int64) - size
+            pointers = run_on - np.repeat(run_on[first] - steps[first], size)
+            key.append(np.repeat(at[c : c + len(mine)], size) * len(known) + place[w : w + len(own_words)][pointers])
+            c, w = c + len(mine), w + len(own_words)
+        key, place = np.unique(np.concatenate(key), return_inverse=True)
         count = np.bincount(place, weights=own, minlength=len(key)).astype(np.int64)
         seen = count > 0
-        owner = of[first]
+        owner, word = np.divmod(key, len(known))
         few = np.zeros((len(names), TOP), np.int64)
         some = seen & (count <= TOP)
         np.add.at(few, (owner[some], count[some] - 1), 1)
-        covered = np.bincount(owner[seen], weights=words.probability(total[first][seen]), minlength=len(names))
+        covered = np.bincount(owner[seen], weights=words.probability(total[word[seen]]), minlength=len(names))
         bucket, rows, p, c = table["bucket"][0].as_py(), [], 0, 0
         for chunk, mine, size in zip(table["chunk"].to_pylist(), contexts, sizes, strict=True):
             pairs, k = int(size.sum()), at[c : c + len(mine)]
             rows.append((bucket, chunk, squeeze(count[place[p : p + pairs]].astype(np.int64)), squeeze(few[k].reshape(-1).astype(np.int64)), squeeze_floats(covered[k]), None, None, None, None))
             p, c = p + pairs, c + len(mine)
-        common = np.flatnonzero(np.isin(names, np.array(sorted(hot), np.int64).view(np.uint64)))
+        common = np.flatnonzero(np.isin(names, np.array(sorted(hot), np.uint64)))
         rows.append((bucket, None, None, None, None, count_of_counts(count), few[common].tolist(), covered[common].tolist(), names[common].view(np.int64).tolist()))
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), FOUND_ARROW.types, strict=True)], schema=FOUND_ARROW)
 
@@ -322,20 +359,18 @@ def score_documents(documents: DataFrame, held: Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learned from documents not `held`."""
     spark = documents.sparkSession
     small_batches(spark, 128)
-    # each step ends in a written table: its shuffle files are of no use afterwards
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    chunks = Staged(chunked(documents, held), "chunks").read()
+    chunks = step(chunked(documents, held), "chunks")
     facts = chunks.agg(F.sum("n_vocab"), F.sum("n_train"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.aggregate("trained", F.lit(0), lambda a, x: a + x.cast("int")))).first()
     n_vocab, total, n_tokens, trained_docs = (int(x or 0) for x in facts)
     word_buckets, pair_buckets = buckets_for(n_vocab), buckets_for(n_tokens * 2 // 3)
-    answers = Staged(word_answers(word_requests(chunks, word_buckets), max(1, total // HOT)), "word-answers").read()
+    answers = step(word_answers(word_requests(chunks, word_buckets), word_buckets, max(1, total // HOT)), "word-answers")
     sums = answers.filter("chunk is null").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect()
     stats = dict((r[0], r[1]) for r in sums)
     n_r, distinct = [int(stats.get(r, 0)) for r in range(TOP + 2)], int(stats.get(TOP + 2, 0))
-    hot = {r[0] for r in answers.filter("chunk is null").select(F.explode("hot")).collect()} | {int(np.array([START]).view(np.int64)[0])}
+    hot = {r[0] for r in answers.filter("chunk is null").select(F.explode("hot")).collect()} | {START}
     words = Words(n_r, total)
-    totals = answers.filter("chunk is not null").select("chunk", "bucket", "totals")
-    found = Staged(pair_answers(pair_requests(chunks, totals, hot, word_buckets, pair_buckets), words, hot), "pair-answers").read()
+    totals = answers.filter("chunk is not null").select("chunk", "bucket", "ranks", "totals")
+    found = step(pair_answers(pair_requests(chunks, totals, hot, word_buckets, pair_buckets), words, hot), "pair-answers")
     per_bucket = found.filter("chunk is null")
     sums = dict(tuple(r) for r in per_bucket.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect())
     d = discounts([int(sums.get(r, 0)) for r in range(TOP + 2)])
@@ -347,20 +382,19 @@ def score_documents(documents: DataFrame, held: Column) -> DataFrame:
         out = []
         right_rows = right.to_pylist()
         for row in left.to_pylist():
-            b = Bigrams(row, totals_of(row, [r for r in right_rows if r["totals"] is not None], word_buckets), hot, pair_buckets)
+            b = Bigrams(row, *named(row, [r for r in right_rows if r["totals"] is not None], word_buckets), hot, pair_buckets)
             got = {r["bucket"]: r for r in right_rows if r["totals"] is None}
-            n = len(b.vocab)
+            n = len(b.totals)
             count = np.zeros(len(b.context), np.int64)
             few, covered = np.zeros((n + 1, TOP), np.int64), np.zeros(n + 1)
             for bucket, at in b.parts():
                 answer = got[bucket]
                 count[at] = expand(answer["counts"], np.int64)
-                first = np.flatnonzero(np.concatenate([[True], b.context[at][1:] != b.context[at][:-1]]))
+                first = firsts(b.context[at])
                 few[b.context[at[first]]] = expand(answer["few"], np.int64).reshape(-1, TOP)
                 covered[b.context[at[first]]] = expand_floats(answer["covered"])
-            names = np.append(b.vocab, START).view(np.int64)
-            for k in np.flatnonzero(np.isin(names, np.array(sorted(hot_sums), np.int64))).tolist():
-                few[k], covered[k] = hot_sums[int(names[k])]
+            for k in np.flatnonzero(np.isin(b.names, np.array(sorted(hot_sums), np.int64))).tolist():
+                few[k], covered[k] = hot_sums[int(b.names[k])]
             c = np.append(b.totals, trained_docs)
             scale, weight = context_weights(c, few, covered, d)
             seen = d[np.minimum(count, TOP) * (count <= TOP)] * count * scale[b.context] / np.maximum(c[b.context], 1)
@@ -374,7 +408,7 @@ def score_documents(documents: DataFrame, held: Column) -> DataFrame:
             return SCORED.empty_table()
         return pa.concat_tables([pa.Table.from_arrays([pa.array(v, t) for v, t in zip(o, SCORED.types, strict=True)], schema=SCORED) for o in out])
 
-    both = totals.select("chunk", "bucket", "totals", *[F.lit(None).cast("binary").alias(x) for x in ("counts", "few", "covered")]).union(found.filter("chunk is not null").select("chunk", "bucket", F.lit(None).cast("binary").alias("totals"), "counts", "few", "covered"))
+    both = totals.select("chunk", "bucket", "ranks", "totals", *[F.lit(None).cast("binary").alias(x) for x in ("counts", "few", "covered")]).union(found.filter("chunk is not null").select("chunk", "bucket", *[F.lit(None).cast("binary").alias(x) for x in ("ranks", "totals")], "counts", "few", "covered"))
     chunks = chunks.select("chunk", "doc_ids", "trained", "lengths", "tokens", "vocab")
     return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
