@@ -17,10 +17,20 @@ from corpusmill.llm.common import read, stage
 ORACLE_SQL = None
 
 
+def narrow(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, other_): the other columns in a struct, so that none clashes with an operator's own."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("other_"))
+
+
+def widen(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` again."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col("other_")[c].alias(c) for c in docs.columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality.learned(spark, sf_dir)
-    return quality.score(docs, model).filter("score >= 0.5").select(*docs.columns)
+    return widen(quality.score(narrow(docs), model).filter("score >= 0.5"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +41,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_test_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    scanned = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"), keep_text=True)
-    return scanned.filter(F.size("spans") == 0).select(*docs.columns)
+    scanned = decontamination.contamination(narrow(docs), read(spark, sf_dir, "benchmark"), keep_text=True)
+    return widen(scanned.filter(F.size("spans") == 0), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays."""
-    found, _ = secrets.scan(docs)
+    found, _ = secrets.scan(narrow(docs))
     out = found.withColumn("text", secrets.redact(F.col("text"), F.col("found")))
-    return out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    length = F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("other_")["n_chars"])
+    return widen(out.withColumn("other_", F.col("other_").withField("n_chars", length)), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusmill.llm.common import read, small_batches, text_batches, text_bytes
 from corpusmill.llm.fm_index import FMIndex, joined
@@ -149,8 +150,8 @@ def scan_block(documents: DataFrame, items: list[tuple[int, bytes]], window: int
         if held:
             yield flush()
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields if f.name in names)
-    return documents.mapInArrow(run, f"{kinds}, n_words long, spans array<struct<start:long,end:long>>, items array<long>")
+    added = StructType.fromDDL("n_words long, spans array<struct<start:long,end:long>>, items array<long>")
+    return documents.mapInArrow(run, StructType([*(documents.schema[n] for n in names), *added.fields]))
 
 
 def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = False) -> DataFrame:
