@@ -204,7 +204,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bin_pieces: int = BIN_PIEC
     bins = max(1, -(-pieces.filter(F.col("length") < capacity).count() // bin_pieces))
     full = pieces.filter(F.col("length") == capacity)
     full = full.select("*", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.filter(F.col("length") < capacity).withColumn("bin", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(bins)))
+    rest = pieces.filter(F.col("length") < capacity).withColumn("bin", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start", F.monotonically_increasing_id()), F.lit(bins)))  # its place in the written table parts repeated rows
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("ids_crc32", "ascending"), ("start", "ascending")])
