@@ -135,9 +135,11 @@ def windows_of(hot: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for passage, line, least in zip(*(batch.column(c).to_pylist() for c in ("passage", "words", "least")), strict=True):
                 own = line.split(b" ")
-                cut = [b" ".join(own[k : k + window]) for k in range(len(own) - window + 1)]
-                names = [xxhash.xxh3_128_digest(b"window " + w) for w in cut]
-                yield pa.RecordBatch.from_arrays([pa.array([passage] * len(cut), pa.binary()), pa.array(range(len(cut)), pa.int64()), pa.array(names, pa.binary()), pa.array(cut, pa.binary()), pa.array([least] * len(cut), pa.int64())], names=["passage", "at", "name", "words", "least"])
+                for first in range(0, len(own) - window + 1, 2000):
+                    at = range(first, min(first + 2000, len(own) - window + 1))
+                    cut = [b" ".join(own[k : k + window]) for k in at]
+                    names = [xxhash.xxh3_128_digest(b"window " + w) for w in cut]
+                    yield pa.RecordBatch.from_arrays([pa.array([passage] * len(cut), pa.binary()), pa.array(at, pa.int64()), pa.array(names, pa.binary()), pa.array(cut, pa.binary()), pa.array([least] * len(cut), pa.int64())], names=["passage", "at", "name", "words", "least"])
 
     return hot.select("passage", "words", "least").mapInArrow(run, "passage binary, at long, name binary, words binary, least long")
 
