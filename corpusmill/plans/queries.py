@@ -46,11 +46,10 @@ def corpus_take_truncate(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("text", F.col("order_0").alias("doc_id"))
 
 
-@query("""SELECT * FROM (SELECT 0 AS case_ordinal, doc_id AS ordinal, substring(text, 1, 80) AS text FROM documents ORDER BY doc_id LIMIT 100)
-UNION ALL SELECT * FROM (SELECT 1, item_id, text FROM benchmark ORDER BY item_id LIMIT 30)""")
+@query("SELECT 0 AS case_ordinal, doc_id AS ordinal, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark")
 def corpus_chain(spark: SparkSession, sf: str) -> DataFrame:
-    first = take(table(spark, sf, "documents"), case(sf, "documents", "documents", sample_count=100, max_chars=80), ["doc_id"])
-    second = take(table(spark, sf, "benchmark"), case(sf, "benchmark", "benchmark", sample_count=30), ["item_id"])
+    first = take(table(spark, sf, "documents"), case(sf, "documents", "documents"), ["doc_id"])
+    second = take(table(spark, sf, "benchmark"), case(sf, "benchmark", "benchmark"), ["item_id"])
     return chain([first, second]).select("case_ordinal", F.col("order_0").alias("ordinal"), "text")
 
 
@@ -140,7 +139,7 @@ def packed_mask_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, text FROM documents")
 def bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    bpe = train(docs.orderBy("doc_id").limit(200), "text", 1000)
+    bpe = train(docs, "text", 1000)
     return docs.select("doc_id", decode_udf(bpe)(encode_udf(bpe)("text")).alias("text"))
 
 
