@@ -1,10 +1,12 @@
 """Embedding near-dedup through a pivot-permutation index.
 
-Reference points (pivots) are drawn from a bounded sample. Each vector is described by its `PREFIX`
-nearest pivots in order, and posted to the inverted list of each of them. Two vectors are candidates if
-their prefixes share at least `SHARED` pivots; a pair is taken in the list of its least shared pivot
-only, and verified by its cosine in double precision. Every vector is indexed; the pivots' number grows
-with the square root of the table, between fixed bounds, so their broadcast is bounded.
+Reference points (pivots) are drawn from a bounded sample, no two of them with a cosine of `SPREAD` or
+more, so that a group of near vectors gets one or a few pivots however many rows it has, and all of its
+members post to these. Each vector is described by its `PREFIX` nearest pivots in order, and posted to
+the inverted list of each of them. Two vectors are candidates if their prefixes share at least `SHARED`
+pivots; a pair is taken in the list of its least shared pivot only, and verified by its cosine in double
+precision. Every vector is indexed; the pivots' number grows at most with the square root of the table,
+between fixed bounds, so their broadcast is bounded.
 
 Vectors that are equal component by component are one class with a count, so copies are never paired.
 Long lists are cut into blocks of `BLOCK` vectors and compared block by block; a comparison emits one
@@ -22,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import components, read, stage
 
-COSINE, PREFIX, SHARED, BLOCK = 0.9, 10, 2, 1024
+COSINE, PREFIX, SHARED, SPREAD, BLOCK = 0.9, 10, 1, 0.7, 1024
 PIVOTS_LEAST, PIVOTS_MOST, PIVOT_SAMPLE = 64, 2048, 8192
 
 
@@ -43,11 +46,17 @@ def keyed(vectors: DataFrame) -> DataFrame:
 
 
 def choose_pivots(classes: DataFrame, n: int) -> np.ndarray:
-    """Pivots by the least hash of the vector: a bounded sample, the same at every run."""
+    """Pivots from a bounded sample, by the least hash of the vector: the same at every run. One that is near an earlier one is passed over."""
     count = int(min(PIVOTS_MOST, max(PIVOTS_LEAST, 2 * n**0.5)))
-    rows = classes.orderBy("key").limit(min(PIVOT_SAMPLE, count)).select("vector").collect()
+    rows = classes.orderBy("key").limit(PIVOT_SAMPLE).select("vector").collect()
     p = np.array([r.vector for r in rows], np.float64)
-    return p / np.linalg.norm(p, axis=1, keepdims=True)
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    taken = [0]
+    near = p @ p[0]
+    while len(taken) < count and (near < SPREAD).any():
+        taken.append(int(np.argmax(near < SPREAD)))
+        near = np.maximum(near, p @ p[taken[-1]])
+    return p[taken]
 
 
 def prefixes(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -66,18 +75,24 @@ def prefixes(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[
 def compare(left: pa.Table, right: pa.Table | None, pivot: int, cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For two blocks of one list (right None: within one): ids, linked weight, and the least id each is joined to."""
     both = [left] if right is None else [left, right]
-    ids, weight, unit, near = (np.concatenate([np.array(t[c].to_pylist()) for t in both]) for c in ("vec_id", "copies", "unit", "near"))
+    ids, weight = (np.concatenate([t[c].to_numpy() for t in both]) for c in ("vec_id", "copies"))
+    unit, near = (np.concatenate([pc.list_flatten(t[c]).to_numpy().reshape(t.num_rows, -1) for t in both]) for c in ("unit", "near"))
     k = left.num_rows
+    a, b = slice(0, k), slice(0, k) if right is None else slice(k, None)
+    link = unit[a] @ unit[b].T >= cosine
+    if right is None:
+        np.fill_diagonal(link, False)
+    total = np.zeros(len(ids), np.int64)
+    if not link.any():
+        return ids, total, ids
     values, codes = np.unique(near, return_inverse=True)
     member = np.zeros((len(ids), len(values)), np.float32)
     np.put_along_axis(member, codes.reshape(near.shape), 1, 1)
     lower = member[:, values < pivot]
-    a, b = slice(0, k), slice(0, k) if right is None else slice(k, None)
-    cos = unit[a] @ unit[b].T
-    link = (cos >= cosine) & (member[a] @ member[b].T >= shared) & (lower[a] @ lower[b].T == 0)
-    total = np.zeros(len(ids), np.int64)
+    link &= lower[a] @ lower[b].T == 0
+    if shared > 1:
+        link &= member[a] @ member[b].T >= shared
     if right is None:
-        np.fill_diagonal(link, False)
         total = link @ weight
     else:
         total[a], total[b] = link @ weight[b], link.T @ weight[a]

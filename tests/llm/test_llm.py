@@ -59,6 +59,17 @@ def test_embedding_dedup_odd_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_dedup_in_a_large_group_of_noisy_copies(spark):
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    group = unit(0.95**0.5 * unit(r.normal(size=(1, 64))) + 0.05**0.5 * unit(r.normal(size=(1500, 64))))
+    x = np.concatenate([group, unit(r.normal(size=(3000, 64)))])
+    rows = [(k, v) for k, v in enumerate(x.tolist())]
+    got = {v.vec_id: (v.n_links, v.component_id) for v in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    links = (x @ x.T >= 0.9).sum(1) - 1
+    assert links[:1500].min() > 1000 and got == {k: (n, 0 if n and k < 1500 else k) for k, n in enumerate(links.tolist())}
+
+
 def test_chat_round_trip_and_rewriting(spark):
     texts = ["<|im_end|>", "a\\<|b", None, "\\n\n", "<|im_start|>user\nx<", "\\"]
     rows = [(1, k, "assistant" if k % 2 else "us\ner", t) for k, t in enumerate(texts)] + [(2, k, "assistant", f"t{k}") for k in range(150)] + [(None, 0, None, "x")]
