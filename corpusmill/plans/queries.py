@@ -150,6 +150,12 @@ def pretoken_words(spark: SparkSession, sf: str) -> DataFrame:
     return pretoken_counts(plain, "text").filter(F.col("pretoken").rlike("^ ?[a-zA-Z]+$")).select(F.col("pretoken").alias("word"), "n")
 
 
+@query()
+def pretoken_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """All pre-tokens of all documents; pretoken_words is the part of it that SQL can express."""
+    return pretoken_counts(table(spark, sf, "documents"), "text").select("pretoken", "n")
+
+
 # --- chat ------------------------------------------------------------------------------------------
 
 

@@ -132,3 +132,17 @@ def test_cache_is_exact_and_guarded(spark, tmp_path):
         read_cache(spark, path, 3, 4, {"corpus_signature": "y"})
     case = CorpusCase("n", "g", "l", "p", "c", "s", "text")
     assert len(case.signature()) == 16 and case.signature() == hashlib.blake2b(b'{"config_name": "c", "dataset_path": "p", "genre": "g", "language": "l", "name": "n", "split": "s", "text_column": "text"}', digest_size=8).hexdigest()
+
+
+def test_pretoken_totals_count_every_document(spark, tmp_path):
+    import regex
+
+    from corpusmill.functions.bpe import PRETOKEN
+    from corpusmill.plans.queries import QUERIES
+
+    texts = ["It's 42 o'clock, isn't it?  \n\n\tYes — 3.5%", "El niño comió 12 piñas", "Straße über-groß", "déjà vu\u00a0!", "漢字 123abc ٣٤ 😀😀", "   ", "plain words only", "plain words only", "", None]
+    rows = [(k, t, ["en", "es", "de", None][k % 4]) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.pretoken, r.n) for r in QUERIES["pretoken_totals"](spark, str(tmp_path)).collect()]
+    split = regex.compile(PRETOKEN.removeprefix("(?U)")).findall
+    assert sorted(got) == sorted(Counter(w for t in texts for w in split(t or "")).items())
