@@ -6,9 +6,10 @@ of its words and, separately, of its words' shapes (runs of capitals, small lett
 sign), so that unseen words count too. A two-layer numpy network scores the pooled vectors; one
 temperature, fitted on a part kept from training, calibrates its probabilities.
 
-The model is fitted on the driver on a bounded sample: at most `FIT_ROWS` labelled rows, those with the
-least hash of the id; of each at most `FIT_CHARS` characters. Scoring reads whole texts. Labels, lang,
-source and ids are never inputs of a score.
+Word counts and neighbour sums are aggregations over the whole texts of all documents. The network is
+fitted on the driver on a bounded sample: at most `FIT_ROWS` labelled rows, those with the least hash of
+the id, whose whole texts are pooled in executors, so that only vectors of fixed length are collected.
+Scoring reads whole texts. Labels, lang, source and ids are never inputs of a score.
 
 Nulls: a null text is empty and scored as such (its pooled vectors are zero); rows with a null label or
 id are not learned from; a null id is kept and scored. Of repeated labels of one id each counts. Without
@@ -29,12 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusmill.llm.common import read, small_batches, text_batches
+from corpusmill.llm.common import read, small_batches, stage, text_batches
 
-FIT_ROWS, FIT_CHARS = 6_000, 8_000
+FIT_ROWS = 6_000
 DIM, WINDOW, NONZERO, WORD_LEAST, WORDS, SHAPES = 48, 2, 6, 4, 20_000, 500
 HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.01, 1e-3
 CACHE, BATCH_BYTES = 150_000, 1 << 20
+HELD, CHUNK = 200_000, 256
 _RUNS = ((re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[a-zß-öø-ÿ]+"), "a"), (re.compile("[0-9]+"), "0"))
 
 
@@ -95,19 +97,31 @@ class Vectors:
         return out
 
 
-def random_indexing(texts: list[str]) -> Vectors:
-    split = [t.split() for t in texts]
-    counts = Counter(w for words in split for w in words)
-    words = [w for w, n in counts.most_common(WORDS) if n >= WORD_LEAST]
-    shape_counts: Counter = Counter()
-    for w, n in counts.items():
-        shape_counts[shape(w)] += n
-    shapes = [s for s, _ in shape_counts.most_common(SHAPES)]
-    out = Vectors({w: k + 1 for k, w in enumerate(words)}, {s: k + 1 for k, s in enumerate(shapes)}, np.zeros((len(words) + 1, DIM), np.float32), np.zeros((len(shapes) + 1, DIM), np.float32))
-    index = np.concatenate([np.zeros((1, DIM), np.float32), index_vectors(["s" + s for s in shapes])])
-    word_index = np.concatenate([np.zeros((1, DIM), np.float32), index_vectors(["w" + w for w in words])])
-    for part in split:
-        codes = out.codes(part)
+def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, unit, n): partial counts of words ("w") and shapes ("s"); at most about HELD words are held."""
+    counts: Counter = Counter()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        shapes: Counter = Counter()
+        for w, n in counts.items():
+            shapes[shape(w)] += n
+        for kind, found in (("w", counts), ("s", shapes)):
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["kind", "unit", "n"])
+        counts.clear()
+
+    for batch in text_batches(batches, BATCH_BYTES):
+        for text in batch.column("text").to_pylist():
+            counts.update((text or "").split())
+        if len(counts) > HELD:
+            yield from flush()
+    yield from flush()
+
+
+def neighbour_sums(texts: list[str], vectors: Vectors, index: np.ndarray, word_index: np.ndarray, out: np.ndarray) -> None:
+    """Add the index vectors around each word of `texts` to its row of `out`: known words first, then the shapes of the others."""
+    n_words = len(vectors.word_table)
+    for text in texts:
+        codes = vectors.codes(text.split())
         if not len(codes):
             continue
         own_word, own_shape = codes >> 12, codes & 4095
@@ -117,8 +131,50 @@ def random_indexing(texts: list[str]) -> Vectors:
             if d < len(each):
                 around[d:] += each[:-d]
                 around[:-d] += each[d:]
-        np.add.at(out.word_table, own_word, around)
-        np.add.at(out.shape_table, own_shape, around + index[own_shape])
+        rows = np.where(own_word > 0, own_word, n_words + own_shape)
+        order = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        out[rows[order[first]]] += np.add.reduceat(around[order], first, axis=0)
+
+
+def random_indexing(documents: DataFrame) -> Vectors:
+    """Word and shape vectors learned from all texts. Sums are whole numbers, so their order does not matter."""
+    spark = documents.sparkSession
+    texts = documents.select("text")
+    counts = stage(texts.mapInArrow(count_units, "kind string, unit string, n long").groupBy("kind", "unit").agg(F.sum("n").alias("n")), "unit-counts")
+    most = lambda kind, least, limit: counts.filter((F.col("kind") == kind) & (F.col("n") >= least)).orderBy(F.desc("n"), "unit").limit(limit).collect()
+    words = [r.unit for r in most("w", WORD_LEAST, WORDS)]
+    occurrences = {r.unit: r.n for r in most("s", 1, SHAPES)}
+    shapes = list(occurrences)
+    out = Vectors({w: k + 1 for k, w in enumerate(words)}, {s: k + 1 for k, s in enumerate(shapes)}, np.zeros((len(words) + 1, DIM), np.float32), np.zeros((len(shapes) + 1, DIM), np.float32))
+    index = np.concatenate([np.zeros((1, DIM), np.float32), index_vectors(["s" + s for s in shapes])])
+    word_index = np.concatenate([np.zeros((1, DIM), np.float32), index_vectors(["w" + w for w in words])])
+    n_words, height = len(words) + 1, len(words) + len(shapes) + 2
+    shared = spark.sparkContext.broadcast((out, index, word_index))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((height, DIM))
+        vectors, *tables = shared.value
+        for batch in text_batches(batches, BATCH_BYTES):
+            neighbour_sums([t or "" for t in batch.column("text").to_pylist()], vectors, *tables, sums)
+        for k in range(0, height, CHUNK):
+            part = sums[k : k + CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["at", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer()) for x in table["sums"])
+        return pa.table({"at": table["at"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    sums = np.zeros((height, DIM))
+    for r in texts.mapInArrow(run, "at int, sums binary").groupBy("at").applyInArrow(add, "at int, sums binary").collect():  # at most height / CHUNK rows
+        part = np.frombuffer(r.sums).reshape(-1, DIM)
+        sums[r.at : r.at + len(part)] = part
+    shape_sums = sums[n_words:]
+    if words:
+        np.add.at(shape_sums, [out.shapes.get(shape(w), 0) for w in words], sums[1:n_words])
+    shape_sums += index * np.array([0, *occurrences.values()])[:, None]
+    out.word_table, out.shape_table = sums[:n_words].astype(np.float32), shape_sums.astype(np.float32)
     for table in (out.word_table, out.shape_table):
         table[0] = 0
         table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
@@ -179,16 +235,26 @@ class Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """documents (doc_id, text); labels (doc_id, quality). At most `rows` rows reach the driver."""
+    """documents (doc_id, text); labels (doc_id, quality). At most `rows` labels and twice as many pooled vectors reach the driver."""
+    small_batches(documents.sparkSession)
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.substring(F.coalesce("text", F.lit("")), 1, FIT_CHARS).alias("text"), "quality")
-    got = sample.orderBy(F.xxhash64("text"), "text", "quality").limit(2 * rows).collect()
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "quality")
+    seen = {r.quality: r["count"] for r in sample.groupBy("quality").count().collect()}
+    if len(seen) < 2:
+        return Model((seen.get(1, 0) + 1) / (sum(seen.values()) + 2))
+    vectors = random_indexing(documents)
+    shared = documents.sparkSession.sparkContext.broadcast(vectors)
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, BATCH_BYTES):
+            pooled = shared.value.pool(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("name"), batch.column("quality"), pa.array(list(pooled), pa.list_(pa.float64()))], names=["at", "name", "quality", "pooled"])
+
+    named = sample.select("text", F.xxhash64("text").alias("at"), F.sha2(F.col("text").cast("binary"), 256).alias("name"), "quality")
+    got = named.mapInArrow(pool, "at long, name string, quality int, pooled array<double>").orderBy("at", "name", "quality").limit(2 * rows).collect()
     y = np.array([r.quality for r in got], float)
-    if len(set(y.tolist())) < 2:
-        return Model((y.sum() + 1) / (len(y) + 2))
-    vectors = random_indexing([r.text for r in got])
-    network = train(np.concatenate([vectors.pool([r.text for r in got[k : k + 500]]) for k in range(0, len(got), 500)]), y)
+    network = train(np.array([r.pooled for r in got]), y)
     vectors.cache = {}
     return Model(float(y.mean()), vectors, network)
 

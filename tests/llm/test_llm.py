@@ -113,6 +113,35 @@ def test_quality_learns_and_defaults(spark, docs, none):
     assert {r.score for r in quality.score(docs, empty).collect()} == {0.5} and quality.score(none, empty).count() == 0
 
 
+def test_quality_learns_from_what_lies_deep_in_a_text(spark):
+    start = prose(2500)
+    assert len(start) > 8000
+    rows = [(k, f"{start} {prose(1500)}" if k % 3 else start + " " + " ".join(w.upper() + "!!" for w in prose(1500).split())) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = df.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    out = quality.score(df, quality.fit(df, labels.filter("doc_id < 60"))).filter("doc_id >= 60").collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 3 > 0) for r in out)
+
+
+def test_quality_word_vectors_are_neighbour_sums_of_the_whole_corpus(spark):
+    texts = ["aa Bb aa cc! aa Bb", "cc! aa Bb", None, "Bb aa cc! aa 12", "Bb cc! cc! x"]
+    got = quality.random_indexing(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    split = [(t or "").split() for t in texts]
+    counts = Counter(w for s in split for w in s)
+    known = sorted((w for w in counts if counts[w] >= quality.WORD_LEAST), key=lambda w: (-counts[w], w))
+    assert list(got.words) == known
+    vector = lambda w: quality.index_vectors(["s" + quality.shape(w)])[0] + (quality.index_vectors(["w" + w])[0] if w in known else 0)
+    words, shapes = {w: 0 for w in counts}, {quality.shape(w): 0 for w in counts}
+    for s in split:
+        for i, w in enumerate(s):
+            near = sum((vector(s[j]) for j in range(max(0, i - 2), min(len(s), i + 3)) if j != i), np.zeros(quality.DIM))
+            words[w] = words[w] + near
+            shapes[quality.shape(w)] = shapes[quality.shape(w)] + near + quality.index_vectors(["s" + quality.shape(w)])[0]
+    for want, names, table in ((words, got.words, got.word_table), (shapes, got.shapes, got.shape_table)):
+        for name, k in names.items():
+            np.testing.assert_allclose(table[k], want[name] / np.linalg.norm(want[name]), atol=1e-6)
+
+
 @pytest.mark.parametrize("hot", [1, 256])
 def test_substring_dedup_against_brute_force(spark, none, hot):
     window = 12
