@@ -5,9 +5,11 @@ conversation are rendered and consecutive outputs compared: what a longer prefix
 its last turn. A template whose longer output does not begin with the shorter one rewrites history;
 such conversations are reported, not masked.
 
-Long conversations are rendered in segments of `SEGMENT` turns, so that the work stays linear: at each
-segment boundary the template is probed for being concatenative there; a template that is not is
-rendered from the first turn on.
+Long conversations are output in segments of `SEGMENT` turns. A template whose attribute `concatenative`
+is true, as the default one's, renders each turn by itself, so its segments are rendered apart and the work
+stays linear. No probe can prove this of a black box: any other template renders every prefix of the whole
+conversation, which is held in memory, quadratic in its turns. One that rewrites history is then reported
+in one row with its whole rendering.
 
 Nulls: a null role or text is empty; a null conv_id is a conversation of its own. Turns are taken by
 (turn, role, text), nulls first, so that repeated turn numbers have a fixed order. Repeated rows are
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +49,9 @@ def chatml(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n{escape(text)}{END}\n" for role, text in turns)
 
 
+chatml.concatenative = True
+
+
 def turn_spans(turns: list[Turn], template: Template, before: list[Turn]) -> tuple[list[str], bool]:
     """The text each turn adds after `before`, and whether the template rewrote history."""
     shown = template(before) if before else ""
@@ -78,28 +84,30 @@ OUTPUT = "conv_id long, segment long, formatted string, turn_ends array<long>, l
 
 def render(groups: Iterator[tuple[int | None, Iterator[Turn]]], template: Template, role: str) -> Iterator[dict]:
     """Rows of OUTPUT. Offsets are code points within the segment's string."""
+    apart = getattr(template, "concatenative", False)
     for conv, turns in groups:
-        history: list[Turn] = []  # rendered before a segment; empty while the template is concatenative
-        segment, concatenative, last = 0, True, []
-        while part := [t for _, t in zip(range(SEGMENT), turns, strict=False)]:
-            if segment and concatenative:
-                edge = last[-1:] + part[:1]
-                concatenative = template(edge) == template(edge[:1]) + template(edge[1:])
-            if not concatenative and segment and not history:
-                raise ValueError("a template that is not concatenative meets a conversation of more than one segment; raise SEGMENT")
-            added, rewritten = turn_spans(part, template, history)
-            ends, loss, at = [], [], 0
+        segment = 0
+        while part := list(islice(turns, SEGMENT) if apart else turns):
+            added, rewritten = turn_spans(part, template, [])
+            bounds: list[tuple[int, int] | None] = []
             for k, ((who, _), shown) in enumerate(zip(part, added, strict=False)):
-                if who == role:
-                    bounds = content_bounds(template, history + part[:k], who, shown)
-                    if bounds is None:
-                        rewritten = True
-                        break
-                    loss.append({"start": at + bounds[0], "end": at + len(shown) - bounds[1]})
-                at += len(shown)
-                ends.append(at)
-            yield {"conv_id": conv, "segment": segment, "formatted": template(part) if rewritten else "".join(added), "turn_ends": [] if rewritten else ends, "loss": [] if rewritten else loss, "rewritten": rewritten}
-            segment, last = segment + 1, part
+                bounds.append(content_bounds(template, part[:k], who, shown) if who == role else None)
+                if who == role and bounds[-1] is None:
+                    rewritten = True
+                    break
+            if rewritten:
+                yield {"conv_id": conv, "segment": segment, "formatted": template(part), "turn_ends": [], "loss": [], "rewritten": True}
+                segment += 1
+                continue
+            for first in range(0, len(part), SEGMENT):
+                ends, loss, at = [], [], 0
+                for shown, bound in zip(added[first : first + SEGMENT], bounds[first : first + SEGMENT], strict=True):
+                    if bound is not None:
+                        loss.append({"start": at + bound[0], "end": at + len(shown) - bound[1]})
+                    at += len(shown)
+                    ends.append(at)
+                yield {"conv_id": conv, "segment": segment, "formatted": "".join(added[first : first + SEGMENT]), "turn_ends": ends, "loss": loss, "rewritten": False}
+                segment += 1
 
 
 def by_conversation(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int | None, Iterator[tuple]]]:

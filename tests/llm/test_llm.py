@@ -85,6 +85,18 @@ def test_chat_round_trip_and_rewriting(spark):
     assert list(chat_format.render(iter([(1, iter([("user", "a"), ("assistant", "b")]))]), forgets, "assistant"))[0]["rewritten"]
 
 
+def test_chat_templates_that_are_not_concatenative():
+    turns = [("assistant" if k % 2 else "user", f"t{k}") for k in range(150)]
+    show = lambda turns: "".join(f"[{who}]{t}\n" for who, t in turns)
+    header = lambda turns: "<bos>" + show(turns)
+    rows = list(chat_format.render(iter([(1, iter(turns))]), header, "assistant"))
+    assert [len(r["turn_ends"]) for r in rows] == [64, 64, 22] and [r["segment"] for r in rows] == [0, 1, 2]
+    assert "".join(r["formatted"] for r in rows) == header(turns) and not any(r["rewritten"] for r in rows)
+    assert [r["formatted"][x["start"] : x["end"]] for r in rows for x in r["loss"]] == [t for who, t in turns if who == "assistant"]
+    last = lambda turns: show(turns[-100:])
+    assert [(r["segment"], r["formatted"], r["rewritten"]) for r in chat_format.render(iter([(1, iter(turns))]), last, "assistant")] == [(0, last(turns), True)]
+
+
 def test_secrets_spans_ledger_and_redaction(spark, docs, none):
     texts = ["token=token=abcdefgh12 secret: token: abcdefghijk", "é😀 AKIA" + "A" * 12 + " " + "0" * 40 + "g" + "a" * 31, "PassWord = 'x' api_key:'abcdefgh'", None]
     df = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
