@@ -36,11 +36,13 @@ class Rule:
 
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: From the header through the END line, unless another header comes first; else through the base64 run after the header.
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?>[\s\S]*?(?=-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----))-----END [A-Z ]*PRIVATE KEY-----|\s*+[A-Za-z0-9+/=\r\n]{16,}+)?"
 RULES = (
     Rule("assign", 1, 0, ASSIGN, 2, 8),
     Rule("access", 1, 1, r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", 1, 2, r"[0-9a-f]{32,}", 0, 32),  # a greedy run of 32 or more is a maximal run
-    Rule("pem", 1, 3, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("pem", 3, 3, PEM, 0, 1),
 )
 FINDING = "struct<start:int,place:int,kind:string,end:int>"
 

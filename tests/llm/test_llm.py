@@ -115,6 +115,14 @@ def test_secrets_spans_ledger_and_redaction(spark, docs, none):
     assert secrets.scan(none)[0].count() == 0 and secrets.scan(docs)[0].count() == len(ROWS)
 
 
+def test_secrets_redact_the_whole_private_key(spark):
+    head, tail, body = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\n".join(["MIIEpAIBAAKCAQEA+/" * 3] * 3000) + "=="
+    texts = [f"a {head}\nProc-Type: 4,ENCRYPTED\n\n{body}\n{tail} b", f"a {head}\n{body}", f"a {head} is a header", f"{head}\n{body}\n{head}\n{body}\n{tail} c"]
+    out, _ = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = [r.t for r in out.select(secrets.redact(F.col("text"), F.col("found")).alias("t"), "doc_id").orderBy("doc_id").collect()]
+    assert got == ["a [SECRET] b", "a [SECRET]", "a [SECRET] is a header", "[SECRET][SECRET] c"]
+
+
 def test_quality_learns_and_defaults(spark, docs, none):
     rows = [(k, prose(40) if k % 3 else " ".join(w.upper() + "!!" for w in prose(40).split())) for k in range(240)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
