@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: At most so many keys can hold more rows than `hot_limit` allows.
+HOT_KEYS = 10_000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -52,10 +56,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).read()
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches sent to Python workers: a row may hold a very long text."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def look_up(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """Left join of a table of about `rows` rows with one that has one row a key and, as `n_`, how many rows of `left` hold it.
+
+    Keys of more than `hot_limit(rows)` rows are answered by a broadcast of at most `HOT_KEYS` rows and null
+    keys not at all, so no task gets all rows of one key. `n_` is not in the result.
+    """
+    limit = hot_limit(rows)
+    wanted = [*left.columns, *(c for c in right.columns if c not in (key, "n_"))]
+    hot = right.filter(F.col("n_") > limit).drop("n_").withColumn("hot_", F.lit(True))
+    some = left.join(F.broadcast(hot), key, "left")
+    told = some.filter(F.col("hot_") | F.col(key).isNull()).select(*wanted)
+    rest = some.filter(F.col("hot_").isNull() & F.col(key).isNotNull()).select(*left.columns)
+    return told.union(rest.join(right.filter(F.col("n_") <= limit).drop("n_"), key, "left").select(*wanted))
+
+
+def hot_limit(rows: int) -> int:
+    return max(500, rows // HOT_KEYS)
 
 
 @lru_cache(maxsize=2)
@@ -133,19 +150,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected edges (a long, b long): rows (node, component), the smallest node.
 
     Alternating large-star and small-star rounds. A star's hub is never gathered: its minimum is an
-    aggregate, joined back to the edges. Each round is a table in the shared folder.
+    aggregate, given back to its edges by `look_up`. Each round is a table in the shared folder, and
+    deleted once the next is written; the last one stays, as the result refers to it.
     """
     current = Staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     while True:
         e = current.read()
+        n = e.count()
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n_"))
+        large = look_up(both, low, "a", 2 * n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         mid = Staged(large, name)
         e = mid.read()
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        small = e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n_"))
+        small = look_up(e, low, "a", n).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         after = Staged(small.filter("a <> b").distinct(), name)
         mark = after.read().agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         current.drop()
@@ -157,4 +176,3 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     e = current.read()
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.llm.common import read, small_batches, text_batches, text_bytes
+from corpusmill.llm.common import read, text_batches, text_bytes
 from corpusmill.llm.fm_index import FMIndex, joined
 
 WINDOW, BLOCK_WORDS, SHARD_BYTES = 10, 2_000_000, 4 << 20
@@ -156,7 +156,6 @@ def scan_block(documents: DataFrame, items: list[tuple[int, bytes]], window: int
 
 def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = False) -> DataFrame:
     """(doc_id[, text and the other columns], n_words, spans, items): spans are of words, end exclusive."""
-    small_batches(documents.sparkSession)
     clash = [n for n, _ in ADDED if n in documents.columns]
     documents = documents.drop(*clash) if keep_text else documents.select("doc_id", "text")
     names = documents.columns if keep_text else ["doc_id"]

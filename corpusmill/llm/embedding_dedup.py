@@ -1,21 +1,26 @@
 """Embedding near-dedup through a pivot-permutation index.
 
 Reference points (pivots) are drawn from a bounded sample, no two of them with a cosine of `SPREAD` or
-more, so that a group of near vectors gets one or a few pivots however many rows it has, and all of its
-members post to these. Each vector is described by its `PREFIX` nearest pivots in order, and posted to
-the inverted list of each of them. Two vectors are candidates if their prefixes share at least `SHARED`
-pivots; a pair is taken in the list of its least shared pivot only, and verified by its cosine in double
-precision. Every vector is indexed; the pivots' number grows at most with the square root of the table,
-between fixed bounds, so their broadcast is bounded.
+more, so that a group of near vectors gets one or a few pivots however many rows it has. Each vector is
+described by its `PREFIX` nearest pivots in order. It is posted as a home to the inverted lists of its
+`HOMES` first pivots and as a probe to those of all its prefix. Two vectors are candidates where one's
+home is a pivot of the other's prefix and their prefixes share at least `SHARED` pivots; a pair is taken
+in the least list where its two sides meet only, and verified by its cosine in double precision. Every
+vector is indexed; the pivots' number grows at most with the square root of the table, between fixed
+bounds, so their broadcast is bounded.
 
-Vectors that are equal component by component are one class with a count, so copies are never paired.
-Long lists are cut into blocks of `BLOCK` vectors and compared block by block; a comparison emits one
-count per vector and the edges of a spanning forest, never pairs.
+Vectors of different lengths have no cosine and are never compared. Each of the `LENGTHS` commonest
+lengths has pivots of its own; any other length is one list, whose vectors are all compared.
 
-Nulls and odd vectors: null, empty or zero vectors, those with null or non-finite components, and those
-whose length is not the table's most frequent one link with nothing and are their own component. Rows with
-a null vec_id are left out. Repeated rows of one id count as vectors of their own; each gets a row. An
-empty table gives no rows.
+Vectors that are equal component by component are one class with a count, so copies are never paired.
+Lists are cut into blocks of `BLOCK` vectors and compared block by block; a comparison emits one count
+per vector and the edges of a spanning forest, never pairs.
+
+Nulls and odd vectors: null, empty or zero vectors and those with null or non-finite components link with
+nothing and are their own component. A vector with a null vec_id is compared like any other and gets its
+row; it names no component (its component_id is the smallest id reachable, null if there is none) and is
+never kept. Repeated rows of one id count as vectors of their own; each gets a row. Vectors may be of any
+length. Other columns of the table, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,29 +33,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import components, read, stage
+from corpusmill.llm.common import Staged, components, look_up, read
 
-COSINE, PREFIX, SHARED, SPREAD, BLOCK = 0.9, 10, 1, 0.7, 1024
+COSINE, PREFIX, HOMES, SHARED, SPREAD, BLOCK, LENGTHS = 0.9, 16, 2, 2, 0.7, 1024, 16
 PIVOTS_LEAST, PIVOTS_MOST, PIVOT_SAMPLE = 64, 2048, 8192
+LIST = 1 << 12  # lists are numbered length * LIST + pivot
 
 
 def keyed(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector array<double>, key): key is null where the vector links with nothing."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).filter("vec_id is not null")
-    fine = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0), F.lit(False))
-    v = v.withColumn("fine", fine)
-    usual = v.filter("fine").groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    n = usual[0].n if usual else -1
-    text = F.concat_ws(",", F.transform("vector", lambda x: (x + 0.0).cast("string")))
-    return v.select("vec_id", "vector", F.when(F.col("fine") & (F.size("vector") == n), F.sha2(text, 256)).alias("key"))
+    """(vec_id, vector, key): key is null where the vector links with nothing."""
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
+    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    text = F.concat_ws(",", F.transform("vector", lambda x: (x.cast("double") + 0.0).cast("string")))
+    return v.withColumn("key", F.when(F.coalesce(fine, F.lit(False)), F.sha2(text, 256)))
 
 
-def choose_pivots(classes: DataFrame, n: int) -> np.ndarray:
+def choose_pivots(classes: DataFrame, length: int, n: int) -> np.ndarray:
     """Pivots from a bounded sample, by the least hash of the vector: the same at every run. One that is near an earlier one is passed over."""
     count = int(min(PIVOTS_MOST, max(PIVOTS_LEAST, 2 * n**0.5)))
-    rows = classes.orderBy("key").limit(PIVOT_SAMPLE).select("vector").collect()
-    p = np.array([r.vector for r in rows], np.float64)
-    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    rows = classes.filter(F.size("vector") == length).orderBy("key").limit(PIVOT_SAMPLE).select("vector").collect()
+    p = unit(np.array([r.vector for r in rows], np.float64))
     taken = [0]
     near = p @ p[0]
     while len(taken) < count and (near < SPREAD).any():
@@ -59,105 +61,162 @@ def choose_pivots(classes: DataFrame, n: int) -> np.ndarray:
     return p[taken]
 
 
-def prefixes(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of the largest numbers would not be finite
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def prefixes(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Adds `near`: the numbers of the lists of each vector's nearest pivots, in order."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = np.array(batch.column("vector").to_pylist(), np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        near = x @ pivots.T
-        m = min(PREFIX, near.shape[1])
-        top = np.argpartition(-near, m - 1, axis=1)[:, :m]
-        order = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("copies"), pa.array(list(x)), pa.array(list(order.astype(np.int32)))], names=["vec_id", "copies", "unit", "near"])
-
-
-def compare(left: pa.Table, right: pa.Table | None, pivot: int, cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For two blocks of one list (right None: within one): ids, linked weight, and the least id each is joined to."""
-    both = [left] if right is None else [left, right]
-    ids, weight = (np.concatenate([t[c].to_numpy() for t in both]) for c in ("vec_id", "copies"))
-    unit, near = (np.concatenate([pc.list_flatten(t[c]).to_numpy().reshape(t.num_rows, -1) for t in both]) for c in ("unit", "near"))
-    k = left.num_rows
-    a, b = slice(0, k), slice(0, k) if right is None else slice(k, None)
-    link = unit[a] @ unit[b].T >= cosine
-    if right is None:
+        sizes = pc.list_value_length(batch.column("vector")).to_numpy()
+        for length in np.unique(sizes).tolist():
+            part = batch.filter(pa.array(sizes == length))
+            if length in pivots:
+                close = unit(pc.list_flatten(part.column("vector")).to_numpy().astype(np.float64).reshape(-1, length)) @ pivots[length].T
+                m = min(PREFIX, close.shape[1])
+                top = np.argpartition(-close, m - 1, axis=1)[:, :m]
+                order = np.take_along_axis(top, np.argsort(-np.take_along_axis(close, top, 1), axis=1, kind="stable"), 1)
+            else:
+                order = np.zeros((part.num_rows, 1), np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("copies"), part.column("vector"), pa.array(list(order + length * LIST))], names=["node", "copies", "vector", "near"])
+
+
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.diff(x, prepend=-1))
+
+
+def compare(home: tuple, probe: tuple | None, pivot: int, cosine: float, homes: int, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A list's homes against probes (None: among themselves), each (node, copies, unit, near): nodes, linked weight, and the least node each is joined to.
+
+    A pair that meets in several lists counts in the least of them.
+    """
+    node, copies, x, near = home
+    other = probe or home
+    link = x @ other[2].T >= cosine
+    if probe is None:
         np.fill_diagonal(link, False)
-    total = np.zeros(len(ids), np.int64)
-    if not link.any():
-        return ids, total, ids
-    values, codes = np.unique(near, return_inverse=True)
-    member = np.zeros((len(ids), len(values)), np.float32)
-    np.put_along_axis(member, codes.reshape(near.shape), 1, 1)
-    lower = member[:, values < pivot]
-    link &= lower[a] @ lower[b].T == 0
-    if shared > 1:
-        link &= member[a] @ member[b].T >= shared
-    if right is None:
-        total = link @ weight
-    else:
-        total[a], total[b] = link @ weight[b], link.T @ weight[a]
-    # a spanning forest: labels fall to the least id over links until they rest
-    label = ids.copy()
+    every = np.concatenate([node, other[0]]) if probe else node
+    total, label = np.zeros(len(every), np.int64), every.copy()
     rows, cols = np.nonzero(link)
-    cols = cols + (0 if right is None else k)
-    while len(rows):
-        low = np.minimum(label[rows], label[cols])
+    if not len(rows):
+        return every, total, label
+    values = np.unique(np.concatenate([near.ravel(), other[3].ravel()]))
+    mine, theirs = (np.searchsorted(values, a) for a in (near, other[3]))
+    has_mine, has_theirs = (np.zeros((len(c), len(values)), np.float32) for c in (mine, theirs))
+    np.put_along_axis(has_mine, mine, 1, 1)
+    np.put_along_axis(has_theirs, theirs, 1, 1)
+    keep = np.ones(len(rows), bool)
+    here = int(np.searchsorted(values, pivot))
+    for k in range(min(homes, near.shape[1])):
+        a, b = mine[rows, k], theirs[cols, k]
+        keep &= ~((a < here) & (has_theirs[cols, a] > 0)) & ~((b < here) & (has_mine[rows, b] > 0))
+    if shared > 1 and near.shape[1] >= shared:
+        some, at = np.unique(rows, return_inverse=True)
+        keep &= (has_mine[some] @ has_theirs.T)[at, cols] >= shared
+    rows, cols = rows[keep], cols[keep]
+    if not len(rows):
+        return every, total, label
+    total[: len(node)] = np.bincount(rows, other[1][cols], len(node))
+    by = np.argsort(cols.astype(np.uint16), kind="stable")
+    base = len(node) if probe else 0
+    if probe:
+        total[base:] = np.bincount(cols, copies[rows], len(other[0]))
+    # a spanning forest: labels fall to the least node over links until they rest
+    row_at, col_at = firsts(rows), firsts(cols[by])
+    while True:
         before = label.copy()
-        np.minimum.at(label, rows, low)
-        np.minimum.at(label, cols, low)
+        label[rows[row_at]] = np.minimum(label[rows[row_at]], np.minimum.reduceat(label[base + cols], row_at))
+        if probe:
+            to = base + cols[by][col_at]
+            label[to] = np.minimum(label[to], np.minimum.reduceat(label[rows[by]], col_at))
         if (before == label).all():
-            break
-    return ids, total, label
+            return every, total, label
 
 
-def link_counts(classes: DataFrame, pivots: np.ndarray, cosine: float, shared: int, block: int = BLOCK) -> DataFrame:
-    """(vec_id, linked, joined): partial sums of linked vectors, and an id of the same component."""
+def described(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """classes (node, copies, vector) with `near`."""
     shipped = classes.sparkSession.sparkContext.broadcast(pivots)
-    described = stage(classes.select("vec_id", "copies", "vector").mapInArrow(lambda b: prefixes(b, shipped.value), "vec_id long, copies long, unit array<double>, near array<int>"), "described")
-    sizes = described.select(F.explode("near").alias("pivot")).groupBy("pivot").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
-    table = {r.pivot: r.blocks for r in sizes.collect()}  # at most one row for each pivot
-    blocks = F.create_map(*[F.lit(x) for p, n in table.items() if n > 1 for x in (p, n)]) if any(n > 1 for n in table.values()) else None
-    posted = described.withColumn("pivot", F.explode("near"))
-    posted = posted.withColumn("blocks", F.coalesce(blocks[F.col("pivot")], F.lit(1)) if blocks is not None else F.lit(1))
-    posted = posted.withColumn("block", F.pmod(F.xxhash64("vec_id", "pivot"), F.col("blocks")).cast("int"))
-    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    cells = posted.withColumn("cell", F.explode(other)).select("vec_id", "copies", "unit", "near", "pivot", "block", "cell.i", "cell.j")
+    kind = classes.schema["vector"].dataType.simpleString()
+    return classes.select("node", "copies", "vector").mapInArrow(lambda b: prefixes(b, shipped.value), f"node long, copies long, vector {kind}, near array<long>")
+
+
+LINKED = "node long, linked long, joined long"
+
+
+def link_counts(near: DataFrame, lists: int, cosine: float, homes: int, shared: int, block: int = BLOCK) -> DataFrame:
+    """(node, linked, joined): partial sums of linked vectors, and a node of the same component. `lists`: how many lists there may be."""
+    posted = near.select("*", F.posexplode("near").alias("place", "pivot")).withColumn("home", F.col("place") < homes).drop("place")
+    sizes = posted.groupBy("pivot").agg(*[F.ceil(F.count_if(c) / block).cast("int").alias(n) for c, n in ((F.col("home"), "homes_"), (~F.col("home"), "probes_"))])
+    blocks = F.broadcast(sizes) if lists <= LENGTHS * PIVOTS_MOST else sizes
+    posted = posted.join(blocks, "pivot")
+    count = lambda c: F.greatest(F.col(c), F.lit(1))
+    posted = posted.withColumn("block", F.pmod(F.xxhash64("node", "pivot"), F.when(F.col("home"), count("homes_")).otherwise(count("probes_"))).cast("int"))
+    # cells are (i, j): home block i against home block j, or against probe block -1 - j
+    cell = lambda i, j: F.struct(F.lit(i).cast("int").alias("i") if isinstance(i, int) else i.alias("i"), j.cast("int").alias("j"))
+    up_to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    none = F.array().cast("array<struct<i:int,j:int>>")
+    own = F.transform(up_to("homes_"), lambda k: cell(F.least("block", k), F.greatest("block", k)))
+    probes = F.when(F.col("probes_") > 0, F.transform(up_to("probes_"), lambda k: cell(F.col("block"), -1 - k))).otherwise(none)
+    asked = F.when(F.col("homes_") > 0, F.transform(up_to("homes_"), lambda k: cell(k, -1 - F.col("block")))).otherwise(none)
+    cells = posted.withColumn("cell", F.explode(F.when(F.col("home"), F.concat(own, probes)).otherwise(asked)))
+    cells = cells.select("node", "copies", "vector", "near", "home", "pivot", "block", "cell.i", "cell.j")
+    empty = pa.table({c: pa.array([], pa.int64()) for c in ("node", "linked", "joined")})
+
+    def side(table: pa.Table) -> tuple:
+        flat = lambda c: pc.list_flatten(table[c]).to_numpy().reshape(table.num_rows, -1)
+        return table["node"].to_numpy(), table["copies"].to_numpy(), unit(flat("vector").astype(np.float64)), flat("near")
 
     def run(table: pa.Table) -> pa.Table:
-        pivot, i, j = table["pivot"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py()
-        table = table.sort_by("vec_id")
-        own = np.array(table["block"].to_pylist())
-        left = table.filter(pa.array(own == i))
-        right = None if i == j else table.filter(pa.array(own == j))
+        pivot, i, j = (table[c][0].as_py() for c in ("pivot", "i", "j"))
+        table = table.sort_by("node")
+        home, block = np.array(table["home"].to_pylist()), table["block"].to_numpy()
+        left = table.filter(pa.array(home & (block == i)))
+        right = None if i == j else table.filter(pa.array(home & (block == j) if j >= 0 else ~home))
         if not left.num_rows or right is not None and not right.num_rows:
-            return pa.table({"vec_id": pa.array([], pa.int64()), "linked": pa.array([], pa.int64()), "joined": pa.array([], pa.int64())})
-        ids, total, label = compare(left, right, pivot, cosine, shared)
+            return empty
+        nodes, total, label = compare(side(left), None if right is None else side(right), pivot, cosine, homes, shared)
         keep = total > 0
-        return pa.table({"vec_id": pa.array(ids[keep], pa.int64()), "linked": pa.array(total[keep], pa.int64()), "joined": pa.array(label[keep], pa.int64())})
+        return pa.table({"node": pa.array(nodes[keep], pa.int64()), "linked": pa.array(total[keep], pa.int64()), "joined": pa.array(label[keep], pa.int64())})
+
+    return cells.groupBy("pivot", "i", "j").applyInArrow(run, LINKED)
 
-    return cells.groupBy("pivot", "i", "j").applyInArrow(run, "vec_id long, linked long, joined long")
 
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, homes: int = HOMES, shared: int = SHARED) -> DataFrame:
+    """(vec_id, n_links, component_id, kept), a row for each input row."""
+    spark = vectors.sparkSession
+    staged: list[Staged] = []
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shared: int = SHARED) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), a row for each input row with an id."""
-    v = stage(keyed(vectors), "vectors")
-    counted = v.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    counted = stage(counted, "classes")
-    classes = v.select(F.col("vec_id"), "vector", "key").join(counted, "key").filter("vec_id = rep").dropDuplicates(["key"]).select("vec_id", "vector", "copies", "key")
-    n = counted.count()
-    if n:
-        linked = stage(link_counts(classes, choose_pivots(classes, n), cosine, shared), "linked")
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        staged.append(Staged(df, name))
+        return staged[-1].read()
+
+    v = keep(keyed(vectors), "vectors")
+    found = v.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    classes = keep(found.withColumn("node", F.monotonically_increasing_id()), "classes")
+    sizes = classes.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).orderBy(F.desc("n"), "length").limit(LENGTHS + 1).collect()
+    if sizes:
+        pivots = {r.length: choose_pivots(classes, r.length, r.n) for r in sizes[:LENGTHS]}
+        near = keep(described(classes, pivots), "described")
+        lists = sum(map(len, pivots.values())) if len(sizes) <= LENGTHS else LENGTHS * PIVOTS_MOST + 1
+        linked = keep(link_counts(near, lists, cosine, homes, shared), "linked")
     else:
-        linked = vectors.sparkSession.createDataFrame([], "vec_id long, linked long, joined long")
-    sums = linked.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("linked").alias("linked"))
-    joined = components(linked.select(F.col("vec_id").alias("a"), F.col("joined").alias("b"))).withColumnRenamed("node", "rep")
-    of_class = counted.join(sums, "rep", "left").join(joined, "rep", "left")
-    out = v.select("vec_id", "key").join(of_class, "key", "left")
+        linked = spark.createDataFrame([], LINKED)
+    sums = linked.groupBy("node").agg(F.sum("linked").alias("linked"))
+    joined = components(linked.select(F.col("node").alias("a"), F.col("joined").alias("b")))
+    names = classes.select("node", "rep").join(joined, "node")
+    least = names.groupBy("component").agg(F.min("rep").alias("least"))
+    reached = look_up(names.select("node", "component"), least.join(names.groupBy("component").agg(F.count("*").alias("n_")), "component"), "component", sum(r.n for r in sizes))
+    of_class = classes.select("key", "node", "rep", F.col("copies").alias("n_")).join(sums, "node", "left").join(reached.select("node", F.col("least")), "node", "left")
+    of_class = keep(of_class.select("key", "n_", F.col("n_").alias("copies"), "linked", F.coalesce("least", "rep").alias("component")), "of-class")
+    out = look_up(v.select("vec_id", "key"), of_class, "key", v.count())
     links = F.when(F.col("key").isNull(), 0).otherwise(F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long")
-    component = F.coalesce("component", "rep", "vec_id")
-    return out.select("vec_id", links.alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    for table in staged[1:-1]:
+        table.drop()
+    return out.select("vec_id", links.alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
-

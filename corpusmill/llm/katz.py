@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Staged, WordHashes, mix, read, small_batches, text_batches, text_bytes
+from corpusmill.llm.common import Staged, WordHashes, mix, read, text_batches, text_bytes
 from corpusmill.llm.quality import held_out
 
 CHUNK_WORDS, BUCKET_KEYS, HOT, TOP, BATCH_BYTES = 1_600_000, 800_000, 2000, 5, 2 << 20
@@ -358,7 +358,6 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 def score_documents(documents: DataFrame, held: Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learned from documents not `held`."""
     spark = documents.sparkSession
-    small_batches(spark, 128)
     chunks = step(chunked(documents, held), "chunks")
     facts = chunks.agg(F.sum("n_vocab"), F.sum("n_train"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.aggregate("trained", F.lit(0), lambda a, x: a + x.cast("int")))).first()
     n_vocab, total, n_tokens, trained_docs = (int(x or 0) for x in facts)

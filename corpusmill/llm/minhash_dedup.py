@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WordHashes, components, mix, read, small_batches, stage, text_batches, text_bytes
+from corpusmill.llm.common import WordHashes, components, mix, read, stage, text_batches, text_bytes
 
 BANDS, ROWS, SKETCH_BITS, PARITY_BITS, BLOCK, BATCH_BYTES = 32, 4, 1024, 2048, 1024, 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -177,7 +177,6 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each document row."""
     spark = documents.sparkSession
-    small_batches(spark)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = stage(signed(documents, size), "signatures")
     classes = sig.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))

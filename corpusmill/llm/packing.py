@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Staged, latin, read, small_batches, text_batches, tokenizer
+from corpusmill.llm.common import Staged, latin, read, text_batches, tokenizer
 from corpusmill.llm.token_counts import PLAIN
 
 CAPACITY, END_ID, BIN_PIECES, BATCH_BYTES, CACHE = 4096, 2, 40_000, 1 << 20, 900_000
@@ -127,7 +127,6 @@ def word_ids(path: str) -> WordIds:
 
 def cut_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full windows and the rest of each document."""
-    small_batches(documents.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

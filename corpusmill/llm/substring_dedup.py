@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Staged, WordHashes, mix, partitions, read, small_batches, text_batches, text_bytes
+from corpusmill.llm.common import Staged, WordHashes, mix, partitions, read, text_batches, text_bytes
 from corpusmill.llm.fm_index import FMIndex, joined, prefix_groups
 
 WINDOW, GRAM, HOT, SHARD_WORDS, BATCH_BYTES = 50, 16, 256, 600_000, 2 << 20
@@ -257,7 +257,6 @@ def kept_words(rows: DataFrame, window: int) -> DataFrame:
 
 def repeated(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), a row for each document row."""
-    small_batches(documents.sparkSession)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = Staged(scanned(documents, window, gram), "scanned").read()
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corpusmill.llm.common import latin, read, small_batches, text_batches, tokenizer
+from corpusmill.llm.common import latin, read, text_batches, tokenizer
 
 FREQUENT, SAMPLE_DOCUMENTS, SAMPLE_CHARS = 60_000, 1_500, 20_000
 CACHE, BATCH_BYTES = 200_000, 1 << 20
@@ -94,7 +94,6 @@ def frequent_lengths(documents: DataFrame, path: str, limit: int = FREQUENT, sam
 
 def count_tokens(documents: DataFrame, path: str, frequent: dict[str, int] | None = None) -> DataFrame:
     """documents with n_bytes and n_tokens, in place of columns of these names."""
-    small_batches(documents.sparkSession)
     table = documents.sparkSession.sparkContext.broadcast(frequent_lengths(documents, path) if frequent is None else frequent)
     kept = documents.drop("n_bytes", "n_tokens")
     names = kept.columns
