@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 class Staged:
     """A table written to the shared folder, so that lineage ends there."""
 
@@ -146,12 +151,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> Staged:
     """Connected components of undirected edges (a long, b long): rows (node, component), the smallest node.
 
     Alternating large-star and small-star rounds. A star's hub is never gathered: its minimum is an
     aggregate, given back to its edges by `look_up`. Each round is a table in the shared folder, and
-    deleted once the next is written; the last one stays, as the result refers to it.
+    deleted once the next is written.
     """
     current = Staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
@@ -175,4 +180,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = tuple(mark)
     e = current.read()
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = Staged(stars.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), name)
+    current.drop()
+    return out

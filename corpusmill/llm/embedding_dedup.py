@@ -204,7 +204,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, homes: int = HOM
     else:
         linked = spark.createDataFrame([], LINKED)
     sums = linked.groupBy("node").agg(F.sum("linked").alias("linked"))
-    joined = components(linked.select(F.col("node").alias("a"), F.col("joined").alias("b")))
+    staged.append(components(linked.select(F.col("node").alias("a"), F.col("joined").alias("b"))))
+    joined = staged[-1].read()
     names = classes.select("node", "rep").join(joined, "node")
     least = names.groupBy("component").agg(F.min("rep").alias("least"))
     reached = look_up(names.select("node", "component"), least.join(names.groupBy("component").agg(F.count("*").alias("n_")), "component"), "component", sum(r.n for r in sizes))

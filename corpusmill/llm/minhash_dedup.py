@@ -8,16 +8,19 @@ the full sets.
 Equal sets are one node, so copies are never paired. In a bucket each member is first paired with one
 leader only, the node that meets most others over all its buckets (of near copies, their original),
 which grows with the members, not their square. Once the links found so make components, a bucket that
-lies within one component is done. In the others, members of different components are compared block by
-block, and only pairs that may link are emitted and confirmed. For these a second parity bitmap, of the
-whole set, is used: its XOR has at most as many bits as the sets have different elements, so it never
-refuses a link. So no link between components is left out that shares a band and passes the sketch; at the
+lies within one component is done. The others are compared block by block: pairs of different components
+whose odd sketches allow a link are looked at once more by a second parity bitmap, of the whole set and as
+wide as the set asks for, whose XOR has at most as many bits as the sets have different elements, so that
+it never refuses a link. Of the pairs left, a block emits a spanning forest only, less than one pair a
+node; they are confirmed, and buckets in which one of them was refused are compared again without it,
+until none is. So no link between components is left out that shares a band and passes the sketch; at the
 threshold of 0.8 a pair shares none of the 32 bands with probability 5e-8, and the sketch bound is six
 standard deviations away.
 
 Nulls: a null or blank text is empty, of size 0 and linked with nothing. A null doc_id is never linked
-and has no component. Rows of one doc_id are one document: they get the same component. An empty table
-gives no rows.
+and has no component. Rows of one doc_id are one document: they get the same component. Repeated rows and
+equal texts (ties) are one node, of the smallest id, and each row gets its result. A text may be of any
+length; columns besides doc_id and text, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WordHashes, components, mix, read, stage, text_batches, text_bytes
+from corpusmill.llm.common import Staged, WordHashes, components, look_up, mix, read, text_batches, text_bytes
 
-BANDS, ROWS, SKETCH_BITS, PARITY_BITS, BLOCK, BATCH_BYTES = 32, 4, 1024, 2048, 1024, 1 << 20
+BANDS, ROWS, SKETCH_BITS, BLOCK, BATCH_BYTES = 32, 4, 1024, 1024, 1 << 20
+PARITY_LEAST, PARITY_MOST, GROUP_ELEMENTS = 2048, 65536, 2_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS, SHIFTS = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
@@ -75,12 +79,17 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(counts & 1, axis=1, bitorder="little").view(np.uint64)
 
 
-def set_parities(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity bitmaps of whole sets, as 64-bit words."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bit = (np.concatenate(sets) % np.uint64(PARITY_BITS)).astype(np.int64)
-    counts = np.bincount(row * PARITY_BITS + bit, minlength=len(sets) * PARITY_BITS).reshape(len(sets), PARITY_BITS)
-    return np.packbits((counts & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+def set_parity(elements: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a whole set, as 64-bit words: two bits an element and more, within bounds."""
+    bits = min(PARITY_MOST, max(PARITY_LEAST, 1 << (2 * len(elements) - 1).bit_length()))
+    counts = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(parity: np.ndarray) -> np.ndarray:
+    """The bitmaps of half the width."""
+    half = parity.shape[-1] // 2
+    return parity[..., :half] ^ parity[..., half:]
 
 
 def most_differing(percent: int) -> int:
@@ -110,9 +119,10 @@ def signed(documents: DataFrame, size: int) -> DataFrame:
             parity: list = [None] * len(sets)
             if full:
                 samples = signatures([sets[k] for k in full])
-                for k, *own in zip(full, band_keys(samples).view(np.int64), odd_sketches(samples).view(np.int64), set_parities([sets[k] for k in full]).view(np.int64), strict=True):
+                for k, *own in zip(full, band_keys(samples).view(np.int64), odd_sketches(samples).view(np.int64), strict=True):
                     keys[k] = xxhash.xxh3_128_digest(sets[k].tobytes())
-                    bands[k], sketch[k], parity[k] = own
+                    bands[k], sketch[k] = own
+                    parity[k] = set_parity(sets[k]).view(np.int64)
             columns = [batch.column("doc_id"), [len(s) for s in sets], keys, bands, sketch, parity]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, SIGNED.types, strict=True)], schema=SIGNED)
 
@@ -136,80 +146,190 @@ def may_link(n: Column, m: Column, x: Column, y: Column, percent: int) -> Column
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differing <= most_differing(percent))
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stage(full_sets(documents.join(needed, "doc_id", "left_semi"), size), "shingle-sets")
-    left = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("elements", "x"), "a")
-    both = left.join(sets.withColumnRenamed("node", "b").withColumnRenamed("elements", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+def confirmed(pairs: DataFrame, documents: DataFrame, percent: int, size: int, sets_at: list[Staged]) -> DataFrame:
+    """The pairs (head, member, n, of the member's size) whose full sets reach the threshold: (a, b), a < b.
+
+    Groups hold about GROUP_ELEMENTS elements. A head with more than that in members is repeated in several.
+    """
+    needed = pairs.select(F.explode(F.array("head", "member")).alias("doc_id")).distinct()
+    sets_at.append(Staged(full_sets(documents.join(needed, "doc_id", "left_semi"), size), "shingle-sets"))
+    sets = sets_at[-1].read()
+    weights = pairs.groupBy("head").agg(F.sum("n").alias("weight"), F.count("*").alias("n_")).withColumn("parts", F.ceil(F.col("weight") / GROUP_ELEMENTS).cast("int"))
+    facts = weights.agg(F.sum("weight"), F.sum("n_")).first()
+    groups = int(facts[0] or 0) // GROUP_ELEMENTS + 1
+    group = F.pmod(F.xxhash64("head", "part"), F.lit(groups)).cast("int")
+    dealt = look_up(pairs.select("head", "member"), weights.select("head", "parts", "n_"), "head", int(facts[1] or 0))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    members = dealt.join(sets.select(F.col("node").alias("member"), "elements"), "member").select(group.alias("group"), "head", "member", "elements")
+    heads = weights.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    heads = heads.join(sets.select(F.col("node").alias("head"), "elements"), "head").select(group.alias("of"), F.col("head").alias("name"), F.col("elements").alias("set"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own: dict[int, list[np.ndarray]] = {}
+        for head, x in zip(right["name"].to_pylist(), right["set"], strict=True):
+            own.setdefault(head, []).append(x.values.to_numpy().view(np.uint64))
+        a, b = [], []
+        for head, member, y in zip(left["head"].to_pylist(), left["member"].to_pylist(), left["elements"], strict=True):
+            y = y.values.to_numpy().view(np.uint64)
+            for x in own.get(head, []):
+                shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) and len(y) else 0
+                if shared and 100 * shared >= percent * (len(x) + len(y) - shared):
+                    a.append(min(head, member))
+                    b.append(max(head, member))
+                    break
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return members.groupBy("group").cogroup(heads.groupBy("of")).applyInArrow(run, "a long, b long").distinct()
+
+
+class Block:
+    """A cell's side: its nodes, and their bitmaps by width."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.node, self.component, self.n = (table[c].to_numpy() for c in ("node", "component", "n_shingles"))
+        self.sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(len(self.node), -1).view(np.uint64)
+        self.parity = [x.values.to_numpy().view(np.uint64) for x in table["parity"].combine_chunks()]
+        self.width = np.array([len(x) for x in self.parity])
+        self.tables: dict[int, np.ndarray] = {}
+
+    def at_width(self, places: np.ndarray, width: int) -> np.ndarray:
+        """Bitmaps of nodes that are as wide, or twice as wide and then folded."""
+        if width not in self.tables:
+            table = np.zeros((len(self.node), width), np.uint64)
+            for k in np.flatnonzero((self.width == width) | (self.width == 2 * width)).tolist():
+                table[k] = self.parity[k] if self.width[k] == width else folded(self.parity[k])
+            self.tables[width] = table
+        return self.tables[width][places]
+
+    def differing(self, places: np.ndarray, width: int, parity: np.ndarray) -> np.ndarray:
+        """How many bits these nodes' bitmaps differ in from one of this width; the wider one is folded."""
+        out = np.zeros(len(places), np.int64)
+        for wide in np.unique(self.width[places]).tolist():
+            at = np.flatnonzero(self.width[places] == wide)
+            own = parity
+            least = min(wide, width)
+            while len(own) > least:
+                own = folded(own)
+            out[at] = np.bitwise_count(self.at_width(places[at], least) ^ own).sum(1, dtype=np.int64)
+        return out
+
+
+def forest(left: Block, right: Block | None, percent: int, excluded: dict[int, set[int]]) -> tuple[list[int], list[int], list[int]]:
+    """Pairs (head, member, size of the member) that may link and join components of a cell, less than one a node."""
+    other = right or left
+    names, codes = np.unique(np.concatenate([left.component, other.component]), return_inverse=True)
+    mine, theirs = codes[: len(left.node)], codes[len(left.node) :]
+    root = np.arange(len(names))
+    limit = most_differing(percent)
+    heads, members, sizes = [], [], []
+    for r in range(len(left.node)):
+        n, own = left.n[r], mine[r]
+        fine = np.flatnonzero((root[theirs] != root[own]) & (100 * np.minimum(other.n, n) >= percent * np.maximum(other.n, n)))
+        if len(fine):
+            fine = fine[np.bitwise_count(other.sketch[fine] ^ left.sketch[r]).sum(1, dtype=np.int64) <= limit]
+        if len(fine):
+            differing = other.differing(fine, int(left.width[r]), left.parity[r])
+            fine = fine[differing * (100 + percent) <= (other.n[fine] + n) * (100 - percent)]
+        if len(fine) and (bad := excluded.get(int(left.node[r]))):
+            fine = fine[~np.isin(other.node[fine], list(bad))]
+        if not len(fine):
+            continue
+        found, first = np.unique(root[theirs[fine]], return_index=True)
+        for k in fine[first].tolist():
+            heads.append(int(left.node[r]))
+            members.append(int(other.node[k]))
+            sizes.append(int(other.n[k]))
+        root[np.isin(root, found)] = root[own]
+    return heads, members, sizes
+
+
+PAIRED = "key long, head long, member long, n long"
+PAIRED_ARROW = pa.schema([(c, pa.int64()) for c in ("key", "head", "member", "n")])
 
 
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share a bucket and whose sizes and set parities allow a link."""
-    sized = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    posted = members.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    """Rows of PAIRED for members (key, blocks, node, component, n_shingles, sketch, parity, refused) of open buckets."""
+    posted = members.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    cells = posted.withColumn("cell", F.explode(other)).select("key", "node", "component", "n_shingles", "parity", "block", "cell.i", "cell.j")
+    cells = posted.withColumn("cell", F.explode(other)).select("key", "node", "component", "n_shingles", "sketch", "parity", "refused", "block", "cell.i", "cell.j")
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        block, node, comp, n = (table[c].to_numpy() for c in ("block", "node", "component", "n_shingles"))
-        parity = table["parity"].combine_chunks().flatten().to_numpy().reshape(len(node), -1).view(np.uint64)
-        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out: list[np.ndarray] = []
-        for r in a.tolist():
-            fine = b[(comp[b] != comp[r]) & (100 * np.minimum(n[b], n[r]) >= percent * np.maximum(n[b], n[r]))]
-            if i == j:
-                fine = fine[node[fine] > node[r]]
-            if len(fine):
-                differing = np.bitwise_count(parity[fine] ^ parity[r]).sum(1, dtype=np.int64)
-                fine = fine[differing * (100 + percent) <= (n[fine] + n[r]) * (100 - percent)]
-            if len(fine):
-                out.append(np.stack([np.minimum(node[fine], node[r]), np.maximum(node[fine], node[r])]))
-        found = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
-
-    return cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        key, i, j = (table[c][0].as_py() for c in ("key", "i", "j"))
+        table = table.sort_by("node")
+        excluded: dict[int, set[int]] = {}
+        for node, refused in zip(table["node"].to_pylist(), table["refused"].to_pylist(), strict=True):
+            for x in refused or ():
+                excluded.setdefault(node, set()).add(x)
+                excluded.setdefault(x, set()).add(node)
+        block = table["block"].to_numpy()
+        sides = [Block(t) for t in (table.filter(pa.array(block == k)) for k in sorted({i, j})) if t.num_rows]
+        columns = forest(sides[0], sides[1] if i != j else None, percent, excluded) if len(sides) == len({i, j}) else ([], [], [])
+        return pa.Table.from_arrays([pa.array([key] * len(columns[0]), pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], schema=PAIRED_ARROW)
+
+    return cells.groupBy("key", "i", "j").applyInArrow(run, PAIRED)
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each document row."""
-    spark = documents.sparkSession
+    staged: list[Staged] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        staged.append(Staged(df, name))
+        return staged[-1].read()
+
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = stage(signed(documents, size), "signatures")
-    classes = sig.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    nodes = sig.join(classes, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"]).select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch", "parity")
-    nodes = stage(nodes, "nodes")
+    sig = keep(signed(documents, size), "signatures")
+    same = sig.filter("set_key is not null").groupBy("set_key")
+    classes = keep(same.agg(F.min("doc_id").alias("node"), F.count("*").alias("n_"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "parity")]), "classes")
+    nodes = classes.filter("node is not null").drop("set_key", "n_")
     posts = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = posts.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", "n")
-    shared = stage(posts.join(buckets, "key"), "buckets")  # only posts in buckets of two nodes or more
+    rows = BANDS * nodes.count()
+    buckets = posts.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n_")).filter("first < last")
+    shared = keep(look_up(posts, buckets.select("key", "n_", F.col("n_").alias("n")), "key", rows).filter("n is not null"), "buckets")  # only posts in buckets of two nodes or more
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    leaders = shared.join(degree, "node").groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node"))["node"].alias("leader"))
+    leaders = shared.join(degree, "node").groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node"))["node"].alias("head"), F.count("*").alias("n_"))
     shared = shared.select("key", "node")
 
-    facts = nodes.select("node", "n_shingles", "sketch")
-    side = lambda name, n, s: facts.select(F.col("node").alias(name), F.col("n_shingles").alias(n), F.col("sketch").alias(s))
-    star = shared.join(leaders, "key").filter("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    star = star.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a").filter(may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b")
-    star = stage(star, "star-pairs")
-    links = stage(confirmed(star, documents, percent, size), "links")
-    first = stage(components(links), "components")
-
-    members = shared.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_buckets = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    members = members.join(open_buckets, "key").join(nodes.select("node", "n_shingles", "parity"), "node")
-    crossed = stage(cross_pairs(members, percent).join(star, ["a", "b"], "left_anti"), "cross-pairs")
-    if crossed.isEmpty():
-        final = first
-    else:
-        more = confirmed(crossed, documents, percent, size)
-        final = stage(components(links.union(more)), "components")
-
-    named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("found"))
-    out = sig.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    facts = nodes.select(F.col("node").alias("head"), F.col("n_shingles").alias("m"), F.col("sketch").alias("y"))
+    star = look_up(shared, leaders, "key", rows).filter("node <> head").select("head", F.col("node").alias("member")).distinct()
+    star = keep(star, "star")
+    heads = star.groupBy("head").agg(F.count("*").alias("n_")).join(facts, "head").dropDuplicates(["head"])
+    star = look_up(star, heads, "head", star.count()).join(nodes.select(F.col("node").alias("member"), F.col("n_shingles").alias("n"), F.col("sketch").alias("x")), "member")
+    star = keep(star.filter(may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("head", "member", "n"), "star-pairs")
+    links = keep(confirmed(star, documents, percent, size, staged), "links")
+    staged.append(components(links))
+    found = staged[-1].read()
+
+    pair = lambda df: df.select(F.least("head", "member").alias("a"), F.greatest("head", "member").alias("b"), "member", "head")
+    # a refused pair is listed with its member, so that no list grows with a leader's bucket
+    refused = pair(star).join(links, ["a", "b"], "left_anti").select(F.col("member").alias("node"), F.col("head").alias("other"))
+    keys = None
+    while True:
+        members = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        members = members if keys is None else members.join(keys, "key", "left_semi")
+        spread = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_")).filter("low < high")
+        spread = spread.select("key", "n_", F.ceil(F.col("n_") / BLOCK).cast("int").alias("blocks"))
+        members = look_up(members, spread, "key", rows).filter("blocks is not null").join(nodes.select("node", "n_shingles", "sketch", "parity"), "node")
+        members = members.join(refused.groupBy("node").agg(F.collect_set("other").alias("refused")), "node", "left")
+        crossed = keep(cross_pairs(members, percent), "cross-pairs")
+        if crossed.isEmpty():
+            break
+        more = keep(confirmed(crossed.select("head", "member", "n").distinct(), documents, percent, size, staged), "links")
+        links = links.union(more)
+        staged.append(components(links))
+        found = staged[-1].read()
+        failed = keep(pair(crossed.select("head", "member").distinct()).join(more, ["a", "b"], "left_anti"), "refused")
+        if failed.isEmpty():
+            break
+        keys = crossed.join(failed, ["head", "member"], "left_semi").select("key").distinct()
+        refused = refused.union(failed.select(F.col("member").alias("node"), F.col("head").alias("other")))
+
+    named = classes.select("set_key", "n_", F.col("node")).join(found, "node", "left")
+    named = keep(named.select("set_key", "n_", F.coalesce("component", "node").alias("found")), "named")
+    out = look_up(sig.select("doc_id", "n_shingles", "set_key"), named, "set_key", sig.count())
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
+    for table in staged[1:-1]:
+        table.drop()
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 

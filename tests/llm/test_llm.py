@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,24 +132,66 @@ def test_chat_templates_that_are_not_concatenative():
     assert [(r["segment"], r["formatted"], r["rewritten"]) for r in chat_format.render(iter([(1, iter(turns))]), last, "assistant")] == [(0, last(turns), True)]
 
 
-def test_secrets_spans_ledger_and_redaction(spark, docs, none):
-    texts = ["token=token=abcdefgh12 secret: token: abcdefghijk", "é😀 AKIA" + "A" * 12 + " " + "0" * 40 + "g" + "a" * 31, "PassWord = 'x' api_key:'abcdefgh'", None]
-    df = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
-    out, ledger = secrets.scan(df)
-    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in out.collect()}
-    rule = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
-    for i, t in enumerate(texts):
-        want = [("assign", m.start(), m.end()) for m in rule.finditer(t or "") if len(m[1]) >= 8]
-        assert [s for s in got[i] if s[0] == "assign"] == want and got[i] == got[i + 4]
-    assert [s[0] for s in got[1]] == ["access", "hex"]
-    assert secrets.scan_unseen(df, ledger).count() == 0
-    newer = (*secrets.RULES[:3], secrets.Rule("pem", 2, 3, "-----BEGIN"))
-    assert {r.rule for r in secrets.scan_unseen(df, ledger, newer).collect()} == {"pem"}
-    cut = out.select(secrets.redact(F.col("text"), F.col("found")).alias("t"), "doc_id").orderBy("doc_id").first().t
-    assert cut == "[SECRET] secret: token: abcdefghijk"
+BASE_RULES = (
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I), 2, 8),
+    ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16),
+    ("hex", re.compile("[0-9a-f]+"), 0, 32),
+)
+
+
+def test_secrets_base_spans_are_those_of_python(spark, docs, none):
+    parts = ["token=", "SECRET: '", "Api_Key\"  = ", "passwd:", "AKIA", "abcdef0123456789" * 2, "ABCDEFGHIJ12", "é😀", " ", "\n", "'", ",", "0" * 31, "g", "x=y", "\ufeff"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(300)] + ["token=abcdefgh " * 3000, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out, _ = secrets.scan(df)
+    rows = out.select("doc_id", secrets.redact(F.col("text"), F.col("found")).alias("clean"), F.filter("found", lambda x: x["place"] <= 2).alias("base"), "found").collect()
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        want = sorted((m.start(), place, kind, m.end()) for place, (kind, rule, group, least) in enumerate(BASE_RULES) for m in rule.finditer(text) if len(m[group]) >= least)
+        assert [tuple(x) for x in r.base] == want
+        clean, at = [], 0
+        for start, _, _, end in sorted(map(tuple, r.found)):
+            if start >= at:
+                clean += [text[at:start], "[SECRET]"]
+            at = max(at, end)
+        assert (r.clean or "") == "".join(clean) + text[at:]
+    assert sum(len(r.base) for r in rows) > 3300
     assert secrets.scan(none)[0].count() == 0 and secrets.scan(docs)[0].count() == len(ROWS)
 
 
+def test_secrets_query_digests_and_named_ledger(spark, tmp_path):
+    texts = ["token=token=abcdefgh12 secret: token: abcdefghijk", "é😀 AKIA" + "A" * 12 + " " + "0" * 40 + "g" + "a" * 31, None, "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.conf.set("corpusmill.secrets.ledger", f"file://{tmp_path}/ledger")
+    try:
+        first, second = ({r.doc_id: r for r in secrets.op3_secret_scan(spark, f"file://{tmp_path}").collect()} for _ in range(2))
+    finally:
+        spark.conf.unset("corpusmill.secrets.ledger")
+    spans = {0: "assign:0:22", 1: "access:3:19,hex:20:60", 2: "", 3: ""}
+    counts = {0: (1, 0, 0), 1: (0, 1, 1), 2: (0, 0, 0), 3: (0, 0, 0)}
+    for i, r in first.items():
+        assert (r.n_assign, r.n_access, r.n_hex) == counts[i] and r.spans == spans[i] and r.base_sha256 == hashlib.sha256(spans[i].encode()).hexdigest()
+    assert first == second
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.blobs().count() == 4 * len(secrets.RULES) and ledger.paths().count() == 4
+
+
+def test_secrets_ledger_scans_only_what_is_new(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
+    at = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = "token=abcdefgh1", "AKIA" + "B" * 12
+    _, ledger = secrets.scan(at([(1, one), (2, one), (3, "plain"), (None, one)]), folder)
+    assert ledger.blobs().count() == 2 * len(secrets.RULES)
+    assert secrets.scan_unseen(at([(4, one), (5, "plain")]), ledger.blobs()).count() == 0
+    out, ledger = secrets.scan(at([(1, two), (2, one), (6, one)]), folder)
+    assert {(r.doc_id, r.found[0].kind) for r in out.collect()} == {(1, "access"), (2, "assign"), (6, "assign")}
+    assert ledger.blobs().count() == 3 * len(secrets.RULES)
+    # both versions of path 1 are told
+    assert sorted((r.path or "", r.found[0].kind) for r in secrets.path_findings(ledger).collect()) == [("", "assign"), ("1", "access"), ("1", "assign"), ("2", "assign"), ("6", "assign")]
+    newer = (*secrets.RULES[:3], secrets.Rule("pem", 9, 3, "-----BEGIN"))
+    assert {(r.rule, r.version) for r in secrets.scan_unseen(at([(1, one)]), ledger.blobs(), newer).collect()} == {("pem", 9)}
+
+
 def test_secrets_redact_the_whole_private_key(spark):
     head, tail, body = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\n".join(["MIIEpAIBAAKCAQEA+/" * 3] * 3000) + "=="
     texts = [f"a {head}\nProc-Type: 4,ENCRYPTED\n\n{body}\n{tail} b", f"a {head}\n{body}", f"a {head} is a header", f"{head}\n{body}\n{head}\n{body}\n{tail} c"]
@@ -237,6 +280,60 @@ def test_minhash_against_brute_force(spark, docs, none):
     assert minhash_dedup.near_duplicates(docs).count() == len(ROWS) and minhash_dedup.near_duplicates(none).count() == 0
 
 
+def components_by_brute_force(texts, size, percent):
+    """(shingles, component) of each id."""
+    sets = {i: frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if (w := (t or "").lower().split()) else frozenset() for i, t in texts}
+    component = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and percent * len(sets[a] | sets[b]) <= 100 * len(sets[a] & sets[b])]
+    while any(component[a] != component[b] for a, b in links):
+        for a, b in links:
+            component[a] = component[b] = min(component[a], component[b])
+    return {i: (len(s), component[i]) for i, s in sets.items()}
+
+
+def test_minhash_groups_below_the_threshold_and_chains(spark, monkeypatch):
+    """Groups whose members are all a little less similar than the threshold, chains through them, and exact copies: no link lost, no pairs of all."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "GROUP_ELEMENTS", 3000)
+    base = [f"w{k}" for k in range(900)]
+
+    def edit(words, n):
+        at = set(rng.sample(range(len(words)), n))
+        return [f"x{rng.random()}" if k in at else w for k, w in enumerate(words)]
+
+    rows = [(k, " ".join(edit(base, 45))) for k in range(60)]
+    walk = base
+    for k in range(100, 130):
+        walk = edit(walk, 40)
+        rows.append((k, " ".join(walk)))
+    rows += [(200 + k, rows[k][1]) for k in range(0, 90, 3)] + [(300 + k, " ".join(edit(rows[7][1].split(), 20 + k))) for k in range(40)]
+    emitted = []
+    real = minhash_dedup.cross_pairs
+
+    def counted(members, percent):
+        out = real(members, percent)
+        emitted.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "cross_pairs", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 2).collect()}
+    assert got == components_by_brute_force(rows, 2, 80)
+    assert len(set(c for _, c in got.values())) > 20 and emitted
+
+
+@pytest.mark.parametrize("n", [30, 60])
+def test_minhash_emits_no_pairs_of_long_documents_below_the_threshold(n):
+    base = [f"w{k}" for k in range(5000)]
+    texts = []
+    for _ in range(n):
+        at = set(rng.sample(range(5000), 200))
+        texts.append(" ".join(f"x{rng.random()}" if k in at else w for k, w in enumerate(base)).encode())
+    sets = minhash_dedup.shingle_sets(texts, 2, minhash_dedup.WordHashes())
+    samples = minhash_dedup.odd_sketches(minhash_dedup.signatures(sets)).view(np.int64)
+    table = pa.table({"node": list(range(n)), "component": list(range(n)), "n_shingles": [len(s) for s in sets], "sketch": pa.array(list(samples)), "parity": pa.array([minhash_dedup.set_parity(s).view(np.int64) for s in sets])})
+    assert len(minhash_dedup.forest(minhash_dedup.Block(table), None, 80, {})[0]) == 0
+
+
 def test_token_counts_are_the_librarys(spark, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
