@@ -7,8 +7,9 @@ sign), so that unseen words count too. A two-layer numpy network scores the pool
 temperature, fitted on a part kept from training, calibrates its probabilities.
 
 Word counts and neighbour sums are aggregations over the whole texts of all documents. The network is
-fitted on the driver on a bounded sample: at most `FIT_ROWS` labelled rows, those with the least hash of
-the id, whose whole texts are pooled in executors, so that only vectors of fixed length are collected.
+fitted on the driver on a bounded sample: at most `FIT_ROWS` labels, those with the least hash of the id
+(and at most twice as many rows of documents, should ids repeat, by the hash of the text), whose whole
+texts are pooled in executors, so that only vectors of fixed length are collected.
 Scoring reads whole texts. Labels, lang, source and ids are never inputs of a score.
 
 Nulls: a null text is empty and scored as such (its pooled vectors are zero); rows with a null label or
@@ -23,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +32,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusmill.llm.common import read, small_batches, stage, text_batches
+from corpusmill.llm.common import Staged, read, text_batches
 
 FIT_ROWS = 6_000
 DIM, WINDOW, NONZERO, WORD_LEAST, WORDS, SHAPES = 48, 2, 6, 4, 20_000, 500
 HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.01, 1e-3
 CACHE, BATCH_BYTES = 150_000, 1 << 20
-HELD, CHUNK = 200_000, 256
-_RUNS = ((re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[a-zß-öø-ÿ]+"), "a"), (re.compile("[0-9]+"), "0"))
+HELD, CHUNK = 500_000, 256
+_SIGNS = {ord(c): sign for sign, ranges in (("A", "AZÀÖØÞ"), ("a", "azßöøÿ"), ("0", "09")) for low, high in zip(ranges[::2], ranges[1::2], strict=True) for c in map(chr, range(ord(low), ord(high) + 1))}
+_TWICE = re.compile(r"(.)\1+").sub
 
 
 def shape(word: str) -> str:
     """A word's runs of capitals, small letters and digits by one sign each; repeated signs once."""
-    for run, sign in _RUNS:
-        word = run.sub(sign, word)
-    return re.sub(r"(.)\1+", r"\1", word)[:8]
+    return _TWICE(r"\1", word.translate(_SIGNS))[:8]
 
 
 def index_vectors(units: list[str]) -> np.ndarray:
@@ -58,6 +59,20 @@ def index_vectors(units: list[str]) -> np.ndarray:
     return out
 
 
+class Codes(dict):
+    """word -> word row * 2^12 + shape row, worked out once for each word a worker meets; emptied when full."""
+
+    def __init__(self, words: dict[str, int], shapes: dict[str, int]) -> None:
+        super().__init__()
+        self.words, self.shapes = words, shapes
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        code = self[word] = self.words.get(word, 0) << 12 | self.shapes.get(shape(word), 0)
+        return code
+
+
 @dataclass
 class Vectors:
     """Row 0 of either table is the zero vector of what is unknown."""
@@ -67,88 +82,98 @@ class Vectors:
     word_table: np.ndarray
     shape_table: np.ndarray
 
-    def __post_init__(self) -> None:
-        self.cache: dict[str, int] = {}
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
 
-    def codes(self, words: list[str]) -> np.ndarray:
-        """word row * 2^12 + shape row of each word."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        known = self.cache
-        for word in words if len(known) == 0 else {w for w in words if w not in known}:
-            if word not in known:
-                known[word] = self.words.get(word, 0) << 12 | self.shapes.get(shape(word), 0)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of all words of all texts, and each text's number of words."""
+        known = self.__dict__.setdefault("known", Codes(self.words, self.shapes))
+        split = [t.split() for t in texts]
+        sizes = np.array([len(w) for w in split], np.int64)
+        return np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum())), sizes
 
     def pool(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), 2 * DIM + 1), np.float64)
-        for k, text in enumerate(texts):
-            words = text.split()
-            if not words:
-                continue
-            codes = self.codes(words)
-            rows = np.bincount(codes & 4095, minlength=len(self.shape_table))
-            own = codes >> 12
-            own = own[own > 0]
-            if len(own):
-                out[k, :DIM] = self.word_table[own].mean(0, dtype=np.float64)
-            out[k, DIM : 2 * DIM] = rows @ self.shape_table / len(words)
-            out[k, -1] = len(own) / len(words)
+        codes, sizes = self.codes(texts)
+        full = np.flatnonzero(sizes)
+        if not len(full):
+            return out
+        sizes = sizes[full]
+        starts = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(full)), sizes)
+        height = len(self.shape_table)
+        shapes = np.bincount(owner * height + (codes & 4095), minlength=len(full) * height).reshape(-1, height)
+        own = codes >> 12
+        n_known = np.add.reduceat((own > 0).astype(np.int64), starts)
+        sums = np.add.reduceat(self.word_table[own], starts, axis=0, dtype=np.float64)
+        out[full, :DIM] = sums / np.maximum(n_known, 1)[:, None]
+        out[full, DIM : 2 * DIM] = shapes @ self.shape_table / sizes[:, None]
+        out[full, -1] = n_known / sizes
         return out
 
 
-def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, unit, n): partial counts of words ("w") and shapes ("s"); at most about HELD words are held."""
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, n): partial counts of words; at most about HELD words are held."""
     counts: Counter = Counter()
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        shapes: Counter = Counter()
-        for w, n in counts.items():
-            shapes[shape(w)] += n
-        for kind, found in (("w", counts), ("s", shapes)):
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["kind", "unit", "n"])
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
         counts.clear()
+        return out
 
     for batch in text_batches(batches, BATCH_BYTES):
         for text in batch.column("text").to_pylist():
             counts.update((text or "").split())
         if len(counts) > HELD:
-            yield from flush()
-    yield from flush()
+            yield flush()
+    yield flush()
+
+
+def count_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word counts (unit, n) to partial counts of shapes: (unit, n)."""
+    for batch in batches:
+        shapes: Counter = Counter()
+        for word, n in zip(batch.column("unit").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            shapes[shape(word)] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(shapes), pa.string()), pa.array(list(shapes.values()), pa.int64())], names=["unit", "n"])
 
 
 def neighbour_sums(texts: list[str], vectors: Vectors, index: np.ndarray, word_index: np.ndarray, out: np.ndarray) -> None:
-    """Add the index vectors around each word of `texts` to its row of `out`: known words first, then the shapes of the others."""
+    """Add the index vectors around each word of `texts` to its row of `out`: known words first, then the shapes of the others.
+
+    The tables hold small whole numbers, so that sums over a window fit into a byte.
+    """
     n_words = len(vectors.word_table)
-    for text in texts:
-        codes = vectors.codes(text.split())
-        if not len(codes):
-            continue
-        own_word, own_shape = codes >> 12, codes & 4095
-        each = index[own_shape] + word_index[own_word]
-        around = np.zeros_like(each)
-        for d in range(1, WINDOW + 1):
-            if d < len(each):
-                around[d:] += each[:-d]
-                around[:-d] += each[d:]
-        rows = np.where(own_word > 0, own_word, n_words + own_shape)
-        order = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        out[rows[order[first]]] += np.add.reduceat(around[order], first, axis=0)
+    codes, sizes = vectors.codes(texts)
+    if not len(codes):
+        return
+    # WINDOW empty places after each text keep its words from being the next one's neighbours
+    place = np.arange(len(codes)) + np.repeat(np.arange(len(sizes)) * WINDOW, sizes)
+    each = np.zeros((len(codes) + len(sizes) * WINDOW, DIM), np.int8)
+    each[place] = index[codes & 4095] + word_index[codes >> 12]
+    around = np.zeros_like(each)
+    for d in range(1, WINDOW + 1):
+        around[d:] += each[:-d]
+        around[:-d] += each[d:]
+    rows = np.where(codes > 4095, codes >> 12, n_words + (codes & 4095))
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    out[rows[order[first]]] += np.add.reduceat(around[place[order]], first, axis=0, dtype=np.int32)
 
 
 def random_indexing(documents: DataFrame) -> Vectors:
     """Word and shape vectors learned from all texts. Sums are whole numbers, so their order does not matter."""
     spark = documents.sparkSession
     texts = documents.select("text")
-    counts = stage(texts.mapInArrow(count_units, "kind string, unit string, n long").groupBy("kind", "unit").agg(F.sum("n").alias("n")), "unit-counts")
-    most = lambda kind, least, limit: counts.filter((F.col("kind") == kind) & (F.col("n") >= least)).orderBy(F.desc("n"), "unit").limit(limit).collect()
-    words = [r.unit for r in most("w", WORD_LEAST, WORDS)]
-    occurrences = {r.unit: r.n for r in most("s", 1, SHAPES)}
+    added = lambda df: df.groupBy("unit").agg(F.sum("n").alias("n"))
+    counts = Staged(added(texts.mapInArrow(count_words, "unit string, n long")), "word-counts")
+    words = [r.unit for r in counts.read().filter(F.col("n") >= WORD_LEAST).orderBy(F.desc("n"), "unit").limit(WORDS).collect()]
+    occurrences = {r.unit: r.n for r in added(counts.read().mapInArrow(count_shapes, "unit string, n long")).orderBy(F.desc("n"), "unit").limit(SHAPES).collect()}
+    counts.drop()
     shapes = list(occurrences)
     out = Vectors({w: k + 1 for k, w in enumerate(words)}, {s: k + 1 for k, s in enumerate(shapes)}, np.zeros((len(words) + 1, DIM), np.float32), np.zeros((len(shapes) + 1, DIM), np.float32))
-    index = np.concatenate([np.zeros((1, DIM), np.float32), index_vectors(["s" + s for s in shapes])])
-    word_index = np.concatenate([np.zeros((1, DIM), np.float32), index_vectors(["w" + w for w in words])])
+    index = np.concatenate([np.zeros((1, DIM)), index_vectors(["s" + s for s in shapes])]).astype(np.int8)
+    word_index = np.concatenate([np.zeros((1, DIM)), index_vectors(["w" + w for w in words])]).astype(np.int8)
     n_words, height = len(words) + 1, len(words) + len(shapes) + 2
     shared = spark.sparkContext.broadcast((out, index, word_index))
 
@@ -236,7 +261,6 @@ class Model:
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """documents (doc_id, text); labels (doc_id, quality). At most `rows` labels and twice as many pooled vectors reach the driver."""
-    small_batches(documents.sparkSession)
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "quality")
@@ -255,13 +279,11 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     got = named.mapInArrow(pool, "at long, name string, quality int, pooled array<double>").orderBy("at", "name", "quality").limit(2 * rows).collect()
     y = np.array([r.quality for r in got], float)
     network = train(np.array([r.pooled for r in got]), y)
-    vectors.cache = {}
     return Model(float(y.mean()), vectors, network)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """documents with `score`, in place of a column of this name."""
-    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kept = documents.drop("score")
     names = kept.columns
