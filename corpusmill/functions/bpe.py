@@ -5,17 +5,23 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import Protocol
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.sources.files import file_system, read_json, write_json
+
 #: Control tokens in the order of their ids.
 SPECIAL_TOKENS = ["|<pad>|", "|<unknown>|", "|<bos>|", "|<eos>|", "|<sep>|", "|<cls>|", "|<mask>|", "|<system>|", "|<user>|", "|<assistant>|", "|<thinking>|", "|<end_of_thinking>|", "|<end_of_turn>|"]
 SPECIAL = {t.strip("|<>"): i for i, t in enumerate(SPECIAL_TOKENS)}
+#: Special tokens that have a common name.
+NAMED = {"pad": "pad", "unk": "unknown", "bos": "bos", "eos": "eos", "sep": "sep", "cls": "cls", "mask": "mask"}
 #: Fixed value: the public byte-level pre-token pattern; (?U) makes Java's classes Unicode ones.
 PRETOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -113,40 +119,126 @@ class Bpe:
         pieces = self.tables()["pieces"]
         return b"".join(pieces[i] if i in pieces else b"" if skip_special else self.special_tokens[i].encode() for i in ids).decode("utf-8", "replace")
 
+    def tokenize(self, text: str) -> list[int]:
+        return self.encode(text)
+
     def dumps(self) -> str:
         return json.dumps({"special_tokens": self.special_tokens, "merges": self.merges}, ensure_ascii=False)
 
     @classmethod
     def loads(cls, text: str) -> Bpe:
+        """From dumps() or from the public JSON form."""
         d = json.loads(text)
+        if "model" in d:
+            return cls.of_public(d)
         return cls(tuple(map(tuple, d["merges"])), tuple(d["special_tokens"]))
 
+    def public(self) -> dict:
+        """The tokenizer in the JSON form of the public tokenizers library, byte-level, with the same ids."""
+        t = self.tables()
+        shown = {i: "".join(byte_symbols()[b] for b in piece) for i, piece in t["pieces"].items()}
+        added = [{"id": i, "content": c, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for c, i in t["special"].items()]
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        vocab = t["special"] | {s: i for i, s in sorted(shown.items())}
+        model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": vocab, "merges": [[shown[a], shown[b]] for a, b in self.merges]}
+        return {"version": "1.0", "truncation": None, "padding": None, "added_tokens": added, "normalizer": None, "pre_tokenizer": level, "post_processor": None, "decoder": level, "model": model}
 
-def encode_udf(bpe: Bpe):  # noqa: ANN201
-    """text -> array<int>; the vocabulary travels once, as a broadcast of bounded size."""
-    from pyspark.sql import SparkSession
+    @classmethod
+    def of_public(cls, d: dict) -> Bpe:
+        special = [t["content"] for t in sorted(d["added_tokens"], key=lambda t: t["id"])]
+        vocab, base = d["model"]["vocab"], cls((), tuple(special))
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in d["model"]["merges"]]
+        if any(vocab[a + b] != base.first_byte + 256 + k for k, (a, b) in enumerate(pairs)) or any(vocab[byte_symbols()[b]] != i for b, i in base.tables()["to_id"].items()):
+            raise ValueError("ids are not specials, byte symbols by code point, then merges in order")
+        return cls(tuple((vocab[a], vocab[b]) for a, b in pairs), tuple(special))
+
+    def special_map(self) -> dict:
+        """Special tokens by what they are for; those without a common name are in one list."""
+        named = {f"{n}_token": f"|<{w}>|" for n, w in NAMED.items() if f"|<{w}>|" in self.special_tokens}
+        return named | {"extra_special_tokens": [t for t in self.special_tokens if t not in named.values()]}
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One JSON file."""
+        write_json(spark, path, self.public())
+
+    def save_folder(self, spark: SparkSession, folder: str) -> None:
+        """tokenizer.json and special_tokens_map.json."""
+        self.save(spark, f"{folder}/tokenizer.json")
+        write_json(spark, f"{folder}/special_tokens_map.json", self.special_map(), indent=2)
+
+    @staticmethod
+    def file_at(spark: SparkSession, path: str) -> str:
+        """A tokenizer's file, given it or its folder."""
+        fs, p = file_system(spark, path)
+        return f"{path.rstrip('/')}/tokenizer.json" if fs.exists(p) and fs.getFileStatus(p).isDirectory() else path
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Bpe:
+        return cls.of_public(read_json(spark, cls.file_at(spark, path)))
 
-    shared = SparkSession.active().sparkContext.broadcast(bpe)
 
-    @F.pandas_udf("array<int>")
-    def encode(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else shared.value.encode(t))
+class Tokenizer(Protocol):
+    """What packing asks of a tokenizer; it is pickled, by value where it is not of an importable module."""
+
+    def tokenize(self, text: str) -> list[int]: ...
+
+
+@lru_cache(maxsize=4)
+def _unpickled(data: bytes) -> Tokenizer:
+    """One for each worker, so that its caches last."""
+    return cloudpickle.loads(data)
+
+
+def encode_udf(tokenizer: Tokenizer):  # noqa: ANN201
+    """text -> array<int>, batch by batch; the vocabulary travels once, as a broadcast of bounded size."""
+    shared = SparkSession.active().sparkContext.broadcast(cloudpickle.dumps(tokenizer))
+
+    @F.arrow_udf("array<int>")
+    def encode(text: pa.Array) -> pa.Array:
+        one = _unpickled(shared.value).tokenize
+        return pa.array([None if t is None else one(t) for t in text.to_pylist()], pa.list_(pa.int32()))
 
     return encode
 
 
 def decode_udf(bpe: Bpe):  # noqa: ANN201
-    from pyspark.sql import SparkSession
-
+    """array<int> -> text; special tokens are left out."""
     shared = SparkSession.active().sparkContext.broadcast(bpe)
 
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else shared.value.decode(x))
+    @F.arrow_udf("string")
+    def decode(ids: pa.Array) -> pa.Array:
+        piece = shared.value.tables()["pieces"].get
+        return pa.array([None if x is None else b"".join([piece(i, b"") for i in x]).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
 
     return decode
 
 
+def byte_tokens(text: Column) -> Column:
+    """What the vocabulary without merges gives, for texts without special strings: within the JVM."""
+    base = Bpe()
+    to_id = base.tables()["to_id"]
+    shown = F.array(*[F.lit(to_id[b]) for b in range(256)])
+    digits = F.split(F.regexp_replace(F.hex(text.cast("binary")), "(..)", "$1 "), " ")
+    codes = F.transform(F.filter(digits, lambda d: d != ""), lambda d: F.conv(d, 16, 10).cast("int"))
+    return F.element_at(F.transform(F.array(shown), lambda table: F.transform(codes, lambda c: F.element_at(table, c + 1))), 1)
+
+
+def inspected(df: DataFrame, text: str, bpe: Bpe) -> DataFrame:
+    """df with ids, decoded_text, formatted_tokens, and all of it as one JSON string `inspection`."""
+    shared = df.sparkSession.sparkContext.broadcast(bpe)
+
+    @F.arrow_udf("array<string>")
+    def shown(ids: pa.Array) -> pa.Array:
+        own, signs = shared.value, byte_symbols()
+        pieces = own.tables()["pieces"]
+        name = lru_cache(maxsize=None)(lambda i: own.special_tokens[i] if i < own.first_byte else "".join(signs[b] for b in pieces[i]))
+        return pa.array([None if x is None else [name(i) for i in x] for x in ids.to_pylist()], pa.list_(pa.string()))
+
+    out = df.withColumn("ids", encode_udf(bpe)(text)).withColumn("decoded_text", decode_udf(bpe)("ids"))
+    out = out.withColumn("formatted_tokens", F.transform(shown("ids"), format_token))
+    return out.withColumn("inspection", F.to_json(F.struct(F.col(text).alias("text"), "ids", "decoded_text", "formatted_tokens")))
+
+
 def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
 
@@ -157,55 +249,79 @@ def pretoken_counts(df: DataFrame, text: str) -> DataFrame:
 
 def train(df: DataFrame, text: str, vocab_size: int = 65536, least: int = 1, most_words: int = 5_000_000) -> Bpe:
     """Count pre-tokens in Spark, merge on the driver over the distinct ones (refused beyond `most_words`: raise `least`)."""
-    counts = pretoken_counts(df, text).filter(F.col("n") >= least)
-    if (n := counts.count()) > most_words:
-        raise ValueError(f"{n} distinct pre-tokens; raise `least`")
-    return merge_words([(r.pretoken, r.n) for r in counts.toLocalIterator()], vocab_size)
+    counts = pretoken_counts(df, text).filter(F.col("n") >= least).limit(most_words + 1).toArrow()
+    if counts.num_rows > most_words:
+        raise ValueError(f"more than {most_words} distinct pre-tokens; raise `least`")
+    return merge_words(list(zip(counts["pretoken"].to_pylist(), counts["n"].to_pylist(), strict=True)), vocab_size)
 
 
 def merge_words(words: list[tuple[str, int]], vocab_size: int) -> Bpe:
-    """The most frequent pair first, ties by the smaller ids; pair counts are kept up to date by where they occur."""
-    to_id = Bpe().tables()["to_id"]
-    seqs = [[to_id[b] for b in w.encode()] for w, _ in sorted(words)]
-    weights = [n for _, n in sorted(words)]
-    pairs: Counter = Counter()
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, ids in enumerate(seqs):
-        for pair in zip(ids, ids[1:], strict=False):
-            pairs[pair] += weights[k]
-            where[pair].add(k)
-    heap = [(-n, p) for p, n in pairs.items()]
-    heapq.heapify(heap)
+    """The most frequent pair first, ties by the smaller ids.
+
+    All words lie in one array of symbols, linked to what follows and precedes them; a pair's places are
+    kept by pair and looked at again when it is merged, so the work goes with the changes.
+    """
+    words = sorted(words)
+    new, top = len(SPECIAL_TOKENS) + 256, max(vocab_size, len(SPECIAL_TOKENS) + 256) + 1
+    symbol = np.full(256, -1, np.int64)
+    for byte, i in Bpe().tables()["to_id"].items():
+        symbol[byte] = i
+    symbol[255] = -1  # no byte of UTF-8: it ends a word
+    coded = [w.encode() for w, _ in words]
+    x = symbol[np.frombuffer(b"\xff".join([b"", *coded, b""]), np.uint8)]
+    weight = np.zeros(len(x), np.int64)
+    weight[1:] = np.repeat([n for _, n in words], [len(c) + 1 for c in coded])
+    after, before = np.arange(1, len(x) + 1), np.arange(-1, len(x) - 1)
+    count: dict[int, int] = {}
+    places: dict[int, list[np.ndarray]] = {}
+    heap: list[tuple[int, int]] = []
+
+    def edges(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, place) of the places where a pair begins."""
+        at = at[(x[at] >= 0) & (x[after[at]] >= 0)]
+        return x[at] * top + x[after[at]], at
+
+    def tell(at: np.ndarray, sign: int) -> None:
+        """Count the pairs that begin at these places, or take them off; new ones are listed."""
+        pair, at = edges(at)
+        if not len(pair):
+            return
+        by = np.argsort(pair, kind="stable")
+        pair, at = pair[by], at[by]
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        sums = np.add.reduceat(weight[at], first)
+        for key, n, own in zip(pair[first].tolist(), sums.tolist(), np.split(at, first[1:]), strict=True):
+            count[key] = count.get(key, 0) + sign * n
+            if sign > 0:
+                places.setdefault(key, []).append(own)
+                heapq.heappush(heap, (-count[key], key))
+
+    tell(np.arange(len(x) - 1), 1)
     merges: list[tuple[int, int]] = []
-    new = len(SPECIAL_TOKENS) + 256
     while new < vocab_size and heap:
-        n, pair = heapq.heappop(heap)
-        if pairs[pair] != -n:
-            if pairs[pair] > 0:
-                heapq.heappush(heap, (-pairs[pair], pair))
+        n, key = heapq.heappop(heap)
+        if count[key] != -n:
+            if count[key] > 0:
+                heapq.heappush(heap, (-count[key], key))
             continue
         if n == 0:
             break
-        touched: set[tuple[int, int]] = set()
-        for k in where.pop(pair):
-            ids, out, i = seqs[k], [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            for p in zip(ids, ids[1:], strict=False):
-                pairs[p] -= weights[k]
-            for p in zip(out, out[1:], strict=False):
-                pairs[p] += weights[k]
-                where[p].add(k)
-                touched.add(p)
-            seqs[k] = out
-        for p in touched:
-            heapq.heappush(heap, (-pairs[p], p))
-        merges.append(pair)
+        a, b = divmod(key, top)
+        at = np.unique(np.concatenate(places.pop(key)))
+        at = at[(x[at] == a) & (x[np.minimum(after[at], len(x) - 1)] == b)]
+        if a == b and len(at):  # of a run, every other place
+            start = np.flatnonzero(np.concatenate([[True], at[1:] != after[at[:-1]]]))
+            run = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+            at = at[run % 2 == 0]
+        gone = after[at]
+        touched = np.unique(np.concatenate([before[at], at, gone]))
+        tell(touched, -1)
+        x[at] = new
+        x[gone] = -2
+        after[at] = after[gone]
+        before[after[at]] = at
+        tell(np.unique(np.concatenate([before[at], at])), 1)
+        merges.append((a, b))
         new += 1
     return Bpe(tuple(merges))
 

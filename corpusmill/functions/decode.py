@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,3 +101,37 @@ def next_token(logits: Column, history: Column, penalty: float = 1.0, ngram: int
     if temperature <= 0:
         raise ValueError("the temperature must be positive")
     return sample(top_p(top_k(F.transform(out, lambda x: x / temperature), k), p), u)
+
+
+def generate(prompt: Column, provider: Callable[[Column], Column], most: int, stops: list[int], u: Column | None = None, **selection: float) -> Column:
+    """At most `most` ids after the prompt, within a row: `provider` gives the logits of the next id from all ids so far.
+
+    The id that stops is the last one. `u` has a number in [0, 1) for each step (None: greedy); `selection`
+    goes to next_token, whose history is the prompt and what was made.
+    """
+    if most <= 0:
+        raise ValueError("the number of new tokens must be positive")
+
+    def step(state: Column, i: Column) -> Column:
+        ids = F.concat(state["prompt"], state["made"])
+        draw = None if u is None else F.element_at(u, i)
+        # all of a step is within the lambda of the state: nothing is looked at once a stop was made
+        new = F.when(state["done"], F.lit(None).cast("int")).otherwise(let(ids, lambda own: next_token(provider(own), own, u=draw, **selection)).cast("int"))
+        return let(F.struct(state.alias("s"), new.alias("new")), lambda x: F.struct(x["s"]["prompt"].alias("prompt"), F.when(x["new"].isNull(), x["s"]["made"]).otherwise(F.array_append(x["s"]["made"], x["new"])).alias("made"), (x["s"]["done"] | F.coalesce(x["new"].isin(stops), F.lit(False))).alias("done")))
+
+    ids = F.transform(prompt, lambda x: x.cast("int"))
+    start = F.struct(ids.alias("prompt"), F.array().cast("array<int>").alias("made"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["made"])
+
+
+#: The characters that Python's str.strip() takes off.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    return F.trim(text, F.lit(BLANKS))
+
+
+def asks_to_end(text: Column) -> Column:
+    """Whether an input line ends a session: fixed values."""
+    return stripped(text).isin("", "exit", "quit")

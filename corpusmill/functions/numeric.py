@@ -1,10 +1,13 @@
-"""Schedules, budgets, losses, rotary positions and small layers as column expressions."""
+"""Schedules, budgets, losses, rotary positions, small layers and facts of training runs as column expressions.
+
+The layers are for small dimensions: they state what a model computes, within a row and without Python.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.decode import let, softmax
@@ -69,8 +72,107 @@ def swiglu(gate: Column, up: Column) -> Column:
     return F.zip_with(gate, up, lambda g, u: silu(g) * u)
 
 
+def linear(weight: Column, x: Column) -> Column:
+    """A matrix (array of rows) times a vector."""
+    return F.transform(weight, lambda row: dot(row, x))
+
+
+def feed_forward(x: Column, gate: Column, up: Column, down: Column) -> Column:
+    """The gated layer with its three projections, each computed once."""
+    return let(swiglu(linear(gate, x), linear(up, x)), lambda h: linear(down, h))
+
+
+def add(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
 def attention(query: Column, keys: Column, values: Column, dim: int) -> Column:
     """Softmax attention of one query over small arrays of keys and values."""
     weight = softmax(F.transform(keys, lambda k: dot(query, k) / math.sqrt(dim)))
     mixed = F.zip_with(weight, values, lambda w, v: F.transform(v, lambda x: x * w))
-    return F.aggregate(mixed, F.array_repeat(F.lit(0.0), dim), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return F.aggregate(mixed, F.array_repeat(F.lit(0.0), dim), add)
+
+
+def heads_of(x: Column, heads: int, dim: int) -> Column:
+    """A vector cut into `heads` parts of `dim` values."""
+    return F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: F.slice(x, h * dim + 1, F.lit(dim)))
+
+
+def multi_head_attention(queries: Column, keys: Column, values: Column, heads: int, dim: int, past: Column | None = None) -> Column:
+    """Causal attention, head by head with rotary positions: one output for each query, its heads side by side.
+
+    `past` is a cache, struct(keys, values) of rotated keys that all lie before the queries.
+    """
+    if dim % 2:
+        raise ValueError("the dimension of a head must be even")
+    before = F.lit(0) if past is None else F.size(past["keys"])
+    turn = lambda rows: F.transform(rows, lambda x, i: F.flatten(F.transform(heads_of(x, heads, dim), lambda h: rotate(h, i + before, dim))))
+    state = F.struct(turn(queries).alias("q"), (turn(keys) if past is None else F.concat(past["keys"], turn(keys))).alias("k"), (values if past is None else F.concat(past["values"], values)).alias("v"))
+
+    def attend(s: Column) -> Column:
+        def one(q: Column, i: Column) -> Column:
+            seen = lambda rows, h: F.transform(F.slice(rows, F.lit(1), i + 1 + before), lambda r: F.slice(r, h * dim + 1, F.lit(dim)))
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: attention(F.slice(q, h * dim + 1, F.lit(dim)), seen(s["k"], h), seen(s["v"], h), dim)))
+
+        return F.struct(F.transform(s["q"], one).alias("outputs"), s["k"].alias("keys"), s["v"].alias("values"))
+
+    return let(state, attend)
+
+
+def decoder_block(rows: Column, layer: Column, heads: int, dim: int, past: Column | None = None) -> Column:
+    """A pre-norm block over a sequence: struct(rows, keys, values). `layer` has norm1, q, k, v, out, norm2, gate, up, down."""
+    project = lambda x, w: F.transform(x, lambda r: linear(w, r))
+    normed = F.transform(rows, lambda r: rms_norm(r, layer["norm1"]))
+
+    def run(n: Column) -> Column:
+        return multi_head_attention(project(n, layer["q"]), project(n, layer["k"]), project(n, layer["v"]), heads, dim, past)
+
+    def rest(a: Column) -> Column:
+        middle = F.zip_with(rows, project(a["outputs"], layer["out"]), add)
+        finish = lambda r: add(r, feed_forward(rms_norm(r, layer["norm2"]), layer["gate"], layer["up"], layer["down"]))
+        return F.struct(F.transform(middle, finish).alias("rows"), a["keys"].alias("keys"), a["values"].alias("values"))
+
+    return let(let(normed, run), rest)
+
+
+def embed(ids: Column, table: Column) -> Column:
+    return F.transform(ids, lambda i: F.element_at(table, i.cast("int") + 1))
+
+
+def tied_logits(rows: Column, norm: Column, table: Column) -> Column:
+    """Logits of each row by the embedding table itself."""
+    return F.transform(rows, lambda r: linear(table, rms_norm(r, norm)))
+
+
+# --- aggregates and metadata of training runs --------------------------------------------------------
+
+
+def mean_loss(loss: Column) -> Column:
+    """An aggregate over the steps or batches of a group."""
+    return F.avg(loss)
+
+
+def best_checkpoint(checkpoint: Column, loss: Column) -> Column:
+    """An aggregate: the checkpoint of the least loss, the first of equals; losses that are null or NaN don't count."""
+    fine = loss.isNotNull() & ~F.isnan(loss)
+    return F.min_by(checkpoint, F.when(fine, F.struct(loss, checkpoint)))
+
+
+def sample_count(batch: Column, batches: Column, devices: Column) -> Column:
+    return batch.cast("long") * batches * devices
+
+
+def parameters(spark: SparkSession, vocab: int, d_model: int, layers: int, d_ff: int) -> DataFrame:
+    """(name, kind, shape) of a decoder's parameters. The output head is tied to the embeddings."""
+    block = [("attention.norm", "norm", [d_model]), *((f"attention.{n}", "projection", [d_model, d_model]) for n in "qkvo"), ("feed_forward.norm", "norm", [d_model]), ("feed_forward.gate", "projection", [d_ff, d_model]), ("feed_forward.up", "projection", [d_ff, d_model]), ("feed_forward.down", "projection", [d_model, d_ff])]
+    rows = [("embedding", "embedding", [vocab, d_model]), *((f"block.{i}.{n}", kind, shape) for i in range(layers) for n, kind, shape in block), ("norm", "norm", [d_model])]
+    return spark.createDataFrame(rows, "name string, kind string, shape array<long>")
+
+
+def numel(shape: Column) -> Column:
+    return F.aggregate(shape, F.lit(1).cast("long"), lambda a, n: a * n)
+
+
+def weight_decay(name: Column, kind: Column, decay: float = 0.01) -> Column:
+    """Projections decay; embeddings, norms and biases don't."""
+    return F.when(kind.isin("embedding", "norm") | name.endswith(".bias"), F.lit(0.0)).otherwise(F.lit(decay))

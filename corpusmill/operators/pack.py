@@ -24,15 +24,20 @@ def order_key(case: str, index: int) -> int:
 
 
 class Packer:
-    """Segments in, groups of segments out. The buffer is sorted by length, ties by falling order key."""
+    """Segments in, groups of segments out. The buffer is sorted by length, ties by falling order key: (length, -order key, index, content)."""
 
     def __init__(self, case: str, max_len: int, buffer: int = BUFFER) -> None:
         self.case, self.max_len, self.limit = case, max_len, buffer
-        self.held: list[tuple[int, int, list[int], list[int]]] = []
+        self.held: list[tuple[int, int, int, object]] = []
         self.index = 0
 
+    def hold(self, size: int, index: int, content: object) -> None:
+        if size > self.max_len:
+            raise ValueError("a segment is longer than max_len")
+        insort(self.held, (size, -order_key(self.case, index), index, content), key=lambda s: s[:3])
+
     def add(self, inputs: list[int], labels: list[int]) -> Iterator[list[tuple[list[int], list[int]]]]:
-        insort(self.held, (len(inputs), -order_key(self.case, self.index), inputs, labels))
+        self.hold(len(inputs), self.index, (inputs, labels))
         self.index += 1
         if len(self.held) >= self.limit:
             yield self.take()
@@ -43,8 +48,8 @@ class Packer:
             at = bisect_right(self.held, room, key=lambda s: s[0])
             if not at:
                 break
-            size, _, inputs, labels = self.held.pop(at - 1)
-            out.append((inputs, labels))
+            size, _, _, content = self.held.pop(at - 1)
+            out.append(content)
             room -= size
         return out
 
@@ -84,8 +89,6 @@ def pack_rows(rows: Iterable[tuple[int, list[int], list[int]]], case: str, max_l
             if packer:
                 yield from shown(packer.rest())
             packer, rank, made = Packer(case, max_len, buffer), own, 0
-        if len(inputs) > max_len:
-            raise ValueError("a segment is longer than max_len")
         yield from shown(packer.add(inputs, labels))
     if packer:
         yield from shown(packer.rest())
@@ -109,5 +112,5 @@ def pack(segments: DataFrame, case: str, max_len: int, pad: int = 0, buffer: int
 
 
 def deal(df: DataFrame, order: list[str], world: int) -> DataFrame:
-    """Rows of one rank in one partition, in order: texts move here, before they become ids."""
-    return df.repartition(world, "rank").sortWithinPartitions("rank", *order)
+    """Rows of one rank in one partition, a partition for each of `world` ranks, in order: texts move here, before they become ids."""
+    return df.repartitionById(world, F.col("rank").cast("int")).sortWithinPartitions("rank", *order)

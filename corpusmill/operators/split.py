@@ -17,22 +17,31 @@ def blake2b64(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else hashlib.blake2b(t.encode(), digest_size=8).hexdigest())
 
 
+def md5_64(text: Column) -> Column:
+    """The first 8 bytes of the MD5 digest as 16 hex digits: within the JVM, for corpora that need not agree with BLAKE2b splits."""
+    return F.substring(F.md5(text), 1, 16)
+
+
+#: Content digests by name.
+DIGESTS = {"blake2b": blake2b64, "md5": md5_64}
+
+
 def unsigned(hex16: Column) -> Column:
     return F.conv(hex16, 16, 10).cast("decimal(20,0)")
 
 
-def bucket(text: Column, modulo: int) -> Column:
+def bucket(text: Column, modulo: int, digest: str = "blake2b") -> Column:
     """Content-keyed bucket: equal texts always share one."""
     if modulo <= 0:
         raise ValueError("modulo must be positive")
-    return (unsigned(blake2b64(text)) % modulo).cast("int")
+    return (unsigned(DIGESTS[digest](text)) % modulo).cast("int")
 
 
-def keep_buckets(df: DataFrame, text: str, modulo: int = 1, indexes: Iterable[int] = (0,)) -> DataFrame:
+def keep_buckets(df: DataFrame, text: str, modulo: int = 1, indexes: Iterable[int] = (0,), digest: str = "blake2b") -> DataFrame:
     wanted = sorted(set(indexes))
     if modulo == 1 and wanted == [0]:
         return df
-    return df.filter(bucket(F.col(text), modulo).isin(wanted))
+    return df.filter(bucket(F.col(text), modulo, digest).isin(wanted))
 
 
 def train_indexes(modulo: int, validation: int) -> tuple[int, ...]:
@@ -41,9 +50,9 @@ def train_indexes(modulo: int, validation: int) -> tuple[int, ...]:
     return tuple(i for i in range(modulo) if i != validation)
 
 
-def label_split(df: DataFrame, text: str, modulo: int, validation: int) -> DataFrame:
+def label_split(df: DataFrame, text: str, modulo: int, validation: int, digest: str = "blake2b") -> DataFrame:
     """One pass for both sides: a column split of 'validation' or 'train'."""
-    return df.withColumn("split", F.when(bucket(F.col(text), modulo) == validation, "validation").otherwise("train"))
+    return df.withColumn("split", F.when(bucket(F.col(text), modulo, digest) == validation, "validation").otherwise("train"))
 
 
 def shuffle_key(key: Column, seed: int | Column) -> Column:
@@ -51,10 +60,12 @@ def shuffle_key(key: Column, seed: int | Column) -> Column:
     return F.md5(F.concat_ws(":", seed.cast("string"), key.cast("string")))
 
 
-def passes(df: DataFrame, key: str, seed: int, count: int = 1) -> DataFrame:
-    """`count` passes over the rows, each with its own order: columns pass_index and shuffle_key."""
+def passes(df: DataFrame, key: str, seed: int, count: int = 1, required: bool = False) -> DataFrame:
+    """`count` passes over the rows, each with its own order: columns pass_index and shuffle_key. A `required` corpus must not be empty."""
     if count <= 0:
         raise ValueError("passes must be positive")
+    if required and df.isEmpty():
+        raise ValueError("the corpus is empty: repeated passes would give nothing")
     out = df.withColumn("pass_index", F.explode(F.array(*[F.lit(p) for p in range(count)])))
     return out.withColumn("shuffle_key", shuffle_key(F.col(key), F.lit(seed) + F.col("pass_index")))
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import decode, numeric
-from corpusmill.functions.bpe import SPECIAL, Bpe, decode_udf, encode_udf, pretoken_counts, train
+from corpusmill.functions.bpe import SPECIAL, Bpe, decode_udf, encode_udf, inspected, pretoken_counts, train
+from corpusmill.functions.bpe import byte_tokens as tokens_of_bytes
 from corpusmill.operators import chat, mask, pack, split
 from corpusmill.operators.segment import segments
-from corpusmill.sources.corpus import CorpusCase, chain, instruction_chats, take
+from corpusmill.sources.corpus import CorpusCase, chain, instruction_chats, limit_batches, preview, read_cache, read_instructions, scan, take, write_cache, write_generations, write_metrics
 
 MAX_LEN, RANKS = 1024, 8
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,25 +44,33 @@ def case(sf: str, name: str, table: str, column: str = "text", **limits: int) ->
 
 @query("SELECT substring(text, 1, 100) AS text, doc_id FROM documents ORDER BY doc_id LIMIT 200")
 def corpus_take_truncate(spark: SparkSession, sf: str) -> DataFrame:
-    out = take(table(spark, sf, "documents"), case(sf, "documents", "documents", sample_count=200, max_chars=100), ["doc_id"])
+    own = case(sf, "documents", "documents", sample_count=200, max_chars=100)
+    out = take(scan(spark, own), own, ["doc_id"])
     return out.select("text", F.col("order_0").alias("doc_id"))
 
 
 @query("SELECT 0 AS case_ordinal, doc_id AS ordinal, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark")
 def corpus_chain(spark: SparkSession, sf: str) -> DataFrame:
-    first = take(table(spark, sf, "documents"), case(sf, "documents", "documents"), ["doc_id"])
-    second = take(table(spark, sf, "benchmark"), case(sf, "benchmark", "benchmark"), ["item_id"])
-    return chain([first, second]).select("case_ordinal", F.col("order_0").alias("ordinal"), "text")
+    cases = [(case(sf, "documents", "documents"), "doc_id"), (case(sf, "benchmark", "benchmark"), "item_id")]
+    return chain([take(scan(spark, c), c, [order]) for c, order in cases]).select("case_ordinal", F.col("order_0").alias("ordinal"), "text")
 
 
-def md5_bucket(text: Column, modulo: int) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % modulo
+MD5_BUCKET = "CAST(CAST('0x' || substring(md5(text), 1, 16) AS UBIGINT) % 100 AS INTEGER)"
 
 
-@query("""SELECT CAST(('0x' || substring(md5(text), 1, 15)) AS BIGINT) % 100 AS bucket, count(*) AS n,
- CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1""")
+@query(f"SELECT {MD5_BUCKET} AS bucket, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def split_md5_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy(md5_bucket(F.col("text"), 100).alias("bucket")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return table(spark, sf, "documents").groupBy(split.bucket(F.col("text"), 100, "md5").alias("bucket")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {MD5_BUCKET} = 7 THEN 'validation' ELSE 'train' END AS split FROM documents")
+def split_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return split.label_split(table(spark, sf, "documents").select("doc_id", "text"), "text", 100, 7, "md5").select("doc_id", "split")
+
+
+@query(f"SELECT doc_id FROM documents WHERE {MD5_BUCKET} <> 7")
+def split_train_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return split.keep_buckets(table(spark, sf, "documents"), "text", 100, split.train_indexes(100, 7), "md5").select("doc_id")
 
 
 @query()
@@ -75,6 +85,57 @@ def shuffle_rank_partition(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "pass_index", F.col("rank").cast("long").alias("rank"))
 
 
+@query("SELECT doc_id, substring(text, 1, 100) AS text FROM documents ORDER BY doc_id LIMIT 5")
+def corpus_preview(spark: SparkSession, sf: str) -> DataFrame:
+    return preview(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], ["text"])
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 96")
+def validation_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return limit_batches(table(spark, sf, "documents").select("doc_id", "n_chars"), ["doc_id"], 16, 6)
+
+
+@query("SELECT CAST(item_id AS BIGINT) AS item_id, text AS prompt, 'assistant' AS answer_role, text AS answer FROM benchmark")
+def instruction_scan(spark: SparkSession, sf: str) -> DataFrame:
+    own = case(sf, "benchmark", "benchmark")
+    numbered = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), F.struct(F.col("text").alias("t")).alias("of"))
+    chats_ = read_instructions(spark, own, "text", "text").select(F.col("messages")[0]["content"].alias("prompt"), F.col("messages")[1]["role"].alias("answer_role"), F.col("messages")[1]["content"].alias("answer"))
+    return chats_.join(numbered, F.col("prompt") == F.col("of.t")).select("item_id", "prompt", "answer_role", "answer")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where all executors can write: next to the checkpoints, or in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(doc_id AS BIGINT) AS example_no, n_chars FROM documents ORDER BY doc_id LIMIT 64")
+def cache_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Written, read through the guard, written again over the first."""
+    path, facts = f"{work_folder(spark, 'cache')}/validation", {"corpus_signature": case(sf, "documents", "documents").signature()}
+    examples = table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("example_no"), "n_chars")
+    for _ in range(2):
+        write_cache(examples, path, 64, 1024, facts)
+    return read_cache(spark, path, 64, 1024, facts).select("example_no", "n_chars")
+
+
+@query("SELECT doc_id AS sample_index, text AS prompt, n_chars AS global_step FROM documents")
+def generations_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    folder = work_folder(spark, "generations")
+    records = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_index"), F.col("text").alias("prompt"), F.col("n_chars").alias("global_step"))
+    write_generations(records, folder, 3)
+    return spark.read.schema(records.schema).json(f"{folder}/step-3")
+
+
+@query("SELECT vec_id AS step, label AS epoch FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings")
+def metrics_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    folder = work_folder(spark, "metrics")
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("step"), F.col("label").alias("epoch"))
+    for shift in (0, 1000000):
+        write_metrics(rows.withColumn("step", F.col("step") + shift), folder)
+    return spark.read.schema(rows.schema).option("header", True).csv(folder)
+
+
 # --- tokens, segments, packing ---------------------------------------------------------------------
 
 BYTES = Bpe()
@@ -184,17 +245,71 @@ def sft_pairs(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations")
     after = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
     pairs = turns.filter("role = 'user'").select("conv_id", "turn", "text").join(after, ["conv_id", "turn"])
-    own = instruction_chats(pairs.select("text", "output")).columns[0]
-    message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
-    out = pairs.withColumn(own, F.array(message("user", "text"), message("assistant", "output")))
-    return out.select("conv_id", "turn", F.col(own)[0]["content"].alias("prompt"), F.col(own)[1]["content"].alias("answer"))
+    out = instruction_chats(pairs, keep=["conv_id", "turn"])
+    return out.select("conv_id", "turn", F.col("messages")[0]["content"].alias("prompt"), F.col("messages")[1]["content"].alias("answer"))
 
 
-@query(f"""SELECT doc_id, CAST(least(128, greatest(1, least({MAX_LEN}, strlen(text) + 1) // 2)) AS BIGINT) AS n FROM documents""")
+@query(f"""SELECT doc_id, CAST(least(128, greatest(1, (doc_id % n + 1) // 2)) AS BIGINT) AS n
+ FROM (SELECT doc_id, least({MAX_LEN}, strlen(text) + 1) AS n FROM documents)""")
 def validation_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    """The inputs as if their first segment ended somewhere within them."""
     first = segments(byte_documents(spark, sf), "tokens", MAX_LEN, SPECIAL["bos"], SPECIAL["eos"]).filter("segment_no = 0")
-    zeros = F.array_repeat(F.lit(0), F.size("inputs"))
-    return first.select("doc_id", F.size(chat.validation_prompt(F.col("inputs"), zeros)).cast("long").alias("n"))
+    own = (F.col("doc_id") % F.size("inputs") + 1).cast("int")
+    parts = F.transform("inputs", lambda x, i: F.when(i < own, 0).otherwise(1))
+    return first.select("doc_id", F.size(chat.validation_prompt(F.col("inputs"), parts)).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS n_ids, CAST(2 AS INTEGER) AS first_id, CAST(strlen(replace(text, ' ', '')) + 1 AS BIGINT) AS n_left FROM documents")
+def continuation_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    """The start, then the text; and what is left when an id is taken out."""
+    ids = F.transform(chat.continuation_prompt(F.col("tokens")), lambda x: x.cast("int"))
+    return byte_documents(spark, sf).select("doc_id", F.size(ids).cast("long").alias("n_ids"), ids[0].alias("first_id"), F.size(chat.without_stops(ids, [BYTES.token_to_id("Ġ")])).cast("long").alias("n_left"))
+
+
+CHAT_LABELS_SQL = f"""WITH t AS (SELECT conv_id, turn, role, CASE role WHEN 'system' THEN 7 WHEN 'user' THEN 8 ELSE 9 END AS marker, role = 'assistant' AS mine,
+ list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c) + 100) AS ids FROM conversations),
+m AS (SELECT conv_id, turn, mine, list_concat([marker], ids, [12]) AS ids, list_concat([false], list_transform(ids, lambda x: mine), [mine]) AS mask FROM t),
+c AS (SELECT conv_id, list_concat([2], flatten(list(ids ORDER BY turn)), [3]) AS ids, list_concat([false], flatten(list(mask ORDER BY turn)), [last(mine ORDER BY turn)]) AS mask FROM m GROUP BY conv_id),
+l AS (SELECT conv_id, ids, list_transform(range(2, least(len(ids), {MAX_LEN} + 1) + 1), lambda i: CASE WHEN mask[i] THEN ids[i] ELSE 0 END) AS labels FROM c)
+SELECT conv_id, md5(array_to_string(ids[1:least(len(ids) - 1, {MAX_LEN})], ',')) AS inputs, md5(array_to_string(labels, ',')) AS labels FROM l"""
+
+
+@query(CHAT_LABELS_SQL)
+def chat_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Shifted ids and labels themselves, with code points for a tokenizer."""
+    code = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c) + 100)
+    own = chat.conversations(table(spark, sf, "conversations").withColumn("tokens", code))
+    out = own.select("conv_id", F.size(chat.serialized(F.col("messages"))).alias("n"), chat.example(chat.serialized(F.col("messages")), MAX_LEN).alias("e"))
+    shown = lambda c: F.md5(F.array_join(F.slice(c, F.lit(1), F.least(F.col("n") - 1, F.lit(MAX_LEN))), ","))
+    return out.select("conv_id", shown("e.input_ids").alias("inputs"), shown("e.labels").alias("labels"))
+
+
+@query("SELECT doc_id, text AS decoded_text, CAST(strlen(text) AS BIGINT) AS n_ids, md5(replace(replace(text, chr(10), 'N'), ' ', 'S')) AS shown FROM documents WHERE strlen(text) = length(text)")
+def encode_inspector(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of ASCII alone, whose tokens show as they are."""
+    plain = table(spark, sf, "documents").select("doc_id", "text").filter(F.octet_length("text") == F.length("text"))
+    out = inspected(plain, "text", BYTES).withColumn("back", F.from_json("inspection", "text string, ids array<int>, decoded_text string, formatted_tokens array<string>"))
+    shown = F.translate(F.array_join("back.formatted_tokens", ""), "\n ", "NS")
+    return out.select("doc_id", "back.decoded_text", F.size("back.ids").cast("long").alias("n_ids"), F.md5(shown).alias("shown"))
+
+
+@query(f"SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_tokens FROM documents")
+def byte_tokens_native(spark: SparkSession, sf: str) -> DataFrame:
+    """Byte ids by built-in functions, held against the tokenizer's own: none may differ."""
+    ids = table(spark, sf, "documents").select("doc_id", tokens_of_bytes(F.col("text")).alias("native"), encode_udf(BYTES)("text").alias("tokens"))
+    return ids.select("doc_id", F.when(F.col("native") == F.col("tokens"), F.size("native")).cast("long").alias("n_tokens"))
+
+
+@query("SELECT item_id, CAST(sum(size * (size + 1) // 2) AS BIGINT) AS visible, true AS padding_sees_all FROM (SELECT item_id, CAST(least(64, strlen(text) + 1 - s * 64) AS BIGINT) AS size FROM (SELECT item_id, text, unnest(range(0, (strlen(text) + 64) // 64)) AS s FROM benchmark)) GROUP BY item_id")
+def packed_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """The mask itself, over examples of 64 places packed from one item each."""
+    items = table(spark, sf, "benchmark").withColumn("rank", F.col("item_id").cast("int"))
+    own = segments(items.select("rank", encode_udf(BYTES)("text").alias("tokens")).repartition("rank").sortWithinPartitions("rank"), "tokens", 64, SPECIAL["bos"], SPECIAL["eos"])
+    seen = F.zip_with(mask.packed_mask(F.col("segments")), "segments", lambda row, s: F.struct(F.size(F.filter(row, lambda x: x)).alias("n"), s.alias("s")))
+    out = pack.pack(own, "benchmark", 64).select("rank", seen.alias("seen"), F.size(F.filter("segments", lambda s: s >= 0)).alias("used"))
+    total = F.aggregate("seen", F.lit(0).cast("long"), lambda a, x: a + F.when(x["s"] >= 0, x["n"]).otherwise(0))
+    padding = F.forall("seen", lambda x: (x["s"] >= 0) | (x["n"] == F.col("used")))
+    return out.groupBy("rank").agg(F.sum(total).alias("visible"), F.bool_and(padding).alias("padding_sees_all")).join(items.select("rank", "item_id"), "rank").select("item_id", "visible", "padding_sees_all")
 
 
 # --- decoding and numeric kernels ------------------------------------------------------------------
@@ -279,3 +394,75 @@ FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
 def rms_norm(spark: SparkSession, sf: str) -> DataFrame:
     out = numeric.rms_norm(F.col("embedding").cast("array<double>"), F.transform("embedding", lambda x, i: (i + 1).cast("double")))
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(out, F.lit(0.0), lambda a, v: a + v), 4).alias("mark"))
+
+
+@query(f"""WITH k AS (SELECT * FROM (SELECT *, l / 0.7 AS t, rank() OVER (PARTITION BY vec_id ORDER BY l DESC) AS r FROM ({EACH})) WHERE r <= 8),
+p AS (SELECT *, exp(t - max(t) OVER (PARTITION BY vec_id)) AS e FROM k), q AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM p),
+c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY l DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q),
+s AS (SELECT vec_id, i, sum(p) OVER (PARTITION BY vec_id ORDER BY i) / sum(p) OVER (PARTITION BY vec_id) AS upto FROM c WHERE before <= 0.85)
+SELECT vec_id, CAST(min(i) AS INTEGER) AS token FROM s WHERE upto > (vec_id * 37 % 101) / 101.0 GROUP BY vec_id""")
+def sampled_next(spark: SparkSession, sf: str) -> DataFrame:
+    """Temperature, top-k, top-p, then a draw by a given number."""
+    u = (F.col("vec_id") * 37 % 101) / 101.0
+    return logits(spark, sf).select("vec_id", decode.next_token(F.col("x"), F.array().cast("array<int>"), temperature=0.7, k=8, p=0.85, u=u).alias("token"))
+
+
+@query("""WITH RECURSIVE g(vec_id, last, n) AS (SELECT vec_id, CAST(vec_id % 16 AS INTEGER), 0 FROM embeddings
+ UNION ALL SELECT vec_id, CAST((last * 5 + 3) % 16 AS INTEGER), n + 1 FROM g WHERE n < 12 AND (n = 0 OR last <> 7))
+SELECT vec_id, string_agg(CAST(last AS VARCHAR), ',' ORDER BY n) FILTER (WHERE n > 0) AS made, coalesce(string_agg(CAST(last AS VARCHAR), ',' ORDER BY n) FILTER (WHERE n > 0 AND last <> 7), '') AS shown FROM g GROUP BY vec_id""")
+def greedy_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve steps at most, ending with the stop id; a provider whose best id follows from the last one."""
+    provider = lambda ids: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda v: -F.abs(v - (F.element_at(ids, -1) * 5 + 3) % 16).cast("double"))
+    made = decode.generate(F.array((F.col("vec_id") % 16).cast("int")), provider, 12, [7])
+    out = table(spark, sf, "embeddings").select("vec_id", made.alias("made"))
+    return out.select("vec_id", F.array_join("made", ",").alias("made"), F.array_join(chat.without_stops(F.col("made"), [7]), ",").alias("shown"))
+
+
+LINES = "SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN ' exit' || chr(10) WHEN 1 THEN chr(9) || 'Exit ' WHEN 2 THEN '   ' WHEN 3 THEN 'quit' ELSE ' a  b ' END AS line FROM embeddings"
+
+
+@query(f"SELECT vec_id, trim(line, ' ' || chr(9) || chr(10)) AS line, trim(line, ' ' || chr(9) || chr(10)) IN ('', 'exit', 'quit') AS ends FROM ({LINES})")
+def input_lines(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("vec_id") % 5
+    line = F.when(kind == 0, " exit\n").when(kind == 1, "\tExit ").when(kind == 2, "   ").when(kind == 3, "quit").otherwise(" a  b ")
+    return table(spark, sf, "embeddings").select("vec_id", decode.stripped(line).alias("line"), decode.asks_to_end(line).alias("ends"))
+
+
+@query("""WITH m AS (SELECT label, avg(l) AS loss FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS l FROM embeddings) GROUP BY label)
+SELECT (SELECT count(*) FROM m) AS epochs, (SELECT arg_min(label, loss) FROM m) AS best, round((SELECT min(loss) FROM m), 9) AS loss""")
+def best_epoch(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean loss of each epoch, and the checkpoint of the least."""
+    rows = table(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("l"))
+    epochs = rows.groupBy("label").agg(numeric.mean_loss(F.col("l")).alias("loss"))
+    return epochs.agg(F.count("*").alias("epochs"), numeric.best_checkpoint(F.col("label"), F.col("loss")).alias("best"), F.round(F.min("loss"), 9).alias("loss"))
+
+
+@query("""SELECT 0.0::DOUBLE AS decay, CAST(1 + 16 * 2 + 1 AS BIGINT) AS n, CAST(65536 * 768 + 16 * 2 * 768 + 768 AS BIGINT) AS weights
+UNION ALL SELECT 0.01::DOUBLE, CAST(16 * 7 AS BIGINT), CAST(16 * (4 * 768 * 768 + 3 * 2048 * 768) AS BIGINT)""")
+def parameter_groups(spark: SparkSession, sf: str) -> DataFrame:
+    rows = numeric.parameters(spark, 65536, 768, 16, 2048)
+    return rows.groupBy(numeric.weight_decay(F.col("name"), F.col("kind")).alias("decay")).agg(F.count("*").alias("n"), F.sum(numeric.numel(F.col("shape"))).alias("weights"))
+
+
+@query("SELECT CAST(d AS BIGINT) AS devices, CAST(16 * 64 * d AS BIGINT) AS samples FROM range(1, 9) t(d)")
+def validation_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(1, 9).select(F.col("id").alias("devices"), numeric.sample_count(F.lit(16), F.lit(64), F.col("id")).alias("samples"))
+
+
+ROWS = "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings"
+
+
+@query(f"""WITH w AS (SELECT vec_id, e, [list_dot_product(e[1:16], e[17:32]) / 4, list_dot_product(e[1:16], e[33:48]) / 4, list_dot_product(e[1:16], e[49:64]) / 4] AS s FROM ({ROWS}))
+SELECT vec_id, round(list_sum(list_transform(range(1, 17), lambda j: j * (exp(s[1]) * e[16 + j] + exp(s[2]) * e[32 + j] + exp(s[3]) * e[48 + j]))) / (exp(s[1]) + exp(s[2]) + exp(s[3])), 5) AS mark FROM w""")
+def attention_mix(spark: SparkSession, sf: str) -> DataFrame:
+    part = lambda k: F.slice(F.col("embedding").cast("array<double>"), 16 * k + 1, 16)
+    keys = F.array(part(1), part(2), part(3))
+    out = numeric.attention(part(0), keys, keys, 16)
+    return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(F.transform(out, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, v: a + v), 5).alias("mark"))
+
+
+@query(f"""SELECT vec_id, round(list_sum(list_transform(range(1, 33), lambda i: i * e[i] / (1 + exp(-e[i])) * e[32 + i])), 5) AS mark FROM ({ROWS})""")
+def gated_unit(spark: SparkSession, sf: str) -> DataFrame:
+    part = lambda k: F.slice(F.col("embedding").cast("array<double>"), 32 * k + 1, 32)
+    out = F.transform(numeric.swiglu(part(0), part(1)), lambda x, i: x * (i + 1))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(out, F.lit(0.0), lambda a, v: a + v), 5).alias("mark"))

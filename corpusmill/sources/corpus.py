@@ -10,6 +10,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from corpusmill.sources.files import file_system, publish, read_json, write_json
 
 
 @dataclass(frozen=True)
@@ -40,16 +43,34 @@ class CorpusCase:
 
 
 def cache_path(folder: str, case: CorpusCase, packing: str, max_len: int, samples: int, modulo: int, index: int, given: str = "") -> str:
+    # fixed value: the form of the path
     return given or f"{folder}/validation-cache-{case.signature()}-{packing}-len{max_len}-samples{samples}-split{modulo}-{index}"
 
 
 def scan(spark: SparkSession, case: CorpusCase, form: str = "parquet") -> DataFrame:
     """The corpus' rows; a null text is refused when read."""
-    df = spark.read.format(form).load(case.dataset_path)
+    return checked(spark.read.format(form).load(case.dataset_path), case)
+
+
+def scan_stream(spark: SparkSession, case: CorpusCase, schema: StructType | str, form: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
+    """The same corpus as a stream of its files, in the order of their arrival."""
+    reader = spark.readStream.format(form).schema(schema)
+    reader = reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)
+    return checked(reader.load(case.dataset_path), case)
+
+
+def checked(df: DataFrame, case: CorpusCase) -> DataFrame:
     text = F.coalesce(F.col(case.text_column), F.raise_error(F.lit(f"null text in corpus {case.name}")).cast("string"))
     return df.withColumn(case.text_column, text)
 
 
+def reshard(df: DataFrame, shards: int, key: str | None = None) -> DataFrame:
+    """The rows in so many parts: by a key's hash, or evenly."""
+    if shards <= 0:
+        raise ValueError("shards must be positive")
+    return df.repartition(shards) if key is None else df.repartition(shards, key)
+
+
 def take(df: DataFrame, case: CorpusCase, order: list[Column | str]) -> DataFrame:
     """The first `sample_count` rows in `order`, their texts cut to `max_chars` code points: (text)."""
     text = F.col(case.text_column) if case.max_chars is None else F.substring(case.text_column, 1, case.max_chars)
@@ -62,41 +83,54 @@ def chain(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.select("text", "order_0").withColumn("case_ordinal", F.lit(i)) for i, p in enumerate(parts)])
 
 
-def instruction_chats(df: DataFrame, prompt: str = "text", answer: str = "output") -> DataFrame:
-    """Each row as a chat of two messages; other columns are left out."""
+def instruction_chats(df: DataFrame, prompt: str = "text", answer: str = "output", keep: list[str] | None = None) -> DataFrame:
+    """Each row as a chat of two messages, and the columns to `keep`; others are left out."""
     message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
-    return df.select(F.array(message("user", prompt), message("assistant", answer)).alias("messages"))
+    return df.select(*(keep or []), F.array(message("user", prompt), message("assistant", answer)).alias("messages"))
+
+
+def read_instructions(spark: SparkSession, case: CorpusCase, prompt: str = "text", answer: str = "output", form: str = "parquet") -> DataFrame:
+    """A whole instruction corpus as chats (messages), one for each row."""
+    return instruction_chats(spark.read.format(form).load(case.dataset_path), prompt, answer)
+
+
+def exactly(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of an ordered table."""
+    if n <= 0:
+        raise ValueError("the number of samples must be positive")
+    return df.limit(n)
+
+
+def preview(df: DataFrame, order: list[str], texts: list[str], n: int = 5, chars: int = 100) -> DataFrame:
+    """The first n rows, their texts cut to `chars` code points: for people to look at."""
+    cut = [F.substring(c, 1, chars).alias(c) if c in texts else F.col(c) for c in df.columns]
+    return df.orderBy(*order).limit(n).select(*cut)
 
 
-def _fs(spark: SparkSession, path: str):  # noqa: ANN202
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def limit_batches(examples: DataFrame, order: list[str], batch: int, batches: int | None) -> DataFrame:
+    """What so many batches hold; all where `batches` is None."""
+    return examples if batches is None else examples.orderBy(*order).limit(batch * batches)
 
 
 def write_cache(examples: DataFrame, path: str, num_samples: int, max_len: int, metadata: dict) -> None:
     """Exactly `num_samples` examples (ordered by example_no) and their metadata, published by one rename."""
     spark = examples.sparkSession
     draft = f"{path}.draft-{uuid.uuid4().hex}"
-    fs, target = _fs(spark, path)
-    source = _fs(spark, draft)[1]
     try:
-        examples.orderBy("example_no").limit(num_samples).write.parquet(f"{draft}/examples")
+        exactly(examples.orderBy("example_no"), num_samples).write.parquet(f"{draft}/examples")
         found = spark.read.parquet(f"{draft}/examples").count()
         if found < num_samples:
             raise ValueError(f"the corpus gives {found} examples; the cache needs {num_samples}")
-        full = metadata | {"num_samples": num_samples, "max_len": max_len}
-        spark.createDataFrame([(json.dumps(full, sort_keys=True, ensure_ascii=False),)], "value string").coalesce(1).write.text(f"{draft}/metadata")
-        if fs.exists(target):
-            fs.delete(target, True)
-        if not fs.rename(source, target):
-            raise OSError(f"could not publish {path}")
+        write_json(spark, f"{draft}/metadata.json", dict(sorted((metadata | {"num_samples": num_samples, "max_len": max_len}).items())))
+        publish(spark, draft, path)
     finally:
-        fs.delete(source, True)
+        fs, p = file_system(spark, draft)
+        fs.delete(p, True)
 
 
 def read_cache(spark: SparkSession, path: str, num_samples: int, max_len: int, metadata: dict) -> DataFrame:
     """The cached examples; refused if an expected entry differs. Further entries are allowed."""
-    stored = json.loads(spark.read.text(f"{path}/metadata").first().value)
+    stored = read_json(spark, f"{path}/metadata.json")
     for key, value in (metadata | {"num_samples": num_samples, "max_len": max_len}).items():
         if stored.get(key) != value:
             raise ValueError(f"cache {path}: {key} is {stored.get(key)!r}, not {value!r}")

@@ -1,7 +1,10 @@
-"""Packing of a stream of segments: each micro-batch goes through the same bounded packer.
+"""Packing of a stream of segments through the same bounded buffer as a batch.
 
 The buffer is the packer's only state. Rows arrive as (rank, inputs, labels); a rank's segments wait in
-keyed state, BUFFER at most, and the rest is packed when the stream has been idle or ends.
+keyed state, BUFFER at most. A row whose inputs are null ends the rank's pass: what waits is packed, and
+order keys begin anew; example numbers go on. Given `idle`, a rank without rows for so long is drained
+likewise; such a stream never runs out of batches, so it doesn't go with the available-now trigger. A
+micro-batch's rows of a rank are taken in the order in which they come, end rows last.
 """
 
 from __future__ import annotations
@@ -14,39 +17,34 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusmill.operators.pack import BUFFER, SCHEMA, Packer, layout
 
-STATE = "index long, made long, inputs array<array<int>>, labels array<array<int>>, keys array<long>"
+COLUMNS = ["rank", "example_no", "inputs", "labels", "positions", "segments"]
+STATE = "index long, made long, held array<struct<index:long,inputs:array<int>,labels:array<int>>>"
 
 
-def pack_stream(segments: DataFrame, case: str, max_len: int, pad: int = 0, buffer: int = BUFFER, idle: str = "10 seconds") -> DataFrame:
-    """Append-mode rows of SCHEMA. After `idle` without rows a rank is drained."""
-    seconds = int(pd.Timedelta(idle).total_seconds() * 1000)
+def pack_stream(segments: DataFrame, case: str, max_len: int, pad: int = 0, buffer: int = BUFFER, idle: str | None = None) -> DataFrame:
+    """Append-mode rows of SCHEMA."""
+    milliseconds = 0 if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        packer, made = Packer(case, max_len, buffer), 0
-        if state.exists:
-            index, made, inputs, labels, keys = state.get
-            packer.held = [(len(i), -int(k), list(i), list(x)) for i, x, k in zip(inputs, labels, map(_unsigned, keys), strict=True)]
-            packer.held.sort()
-            packer.index = index
+        packer = Packer(case, max_len, buffer)
+        packer.index, made, held = state.get if state.exists else (0, 0, [])
+        for index, inputs, labels in held:
+            packer.hold(len(inputs), int(index), (list(inputs), list(labels)))
+        ended = state.hasTimedOut
         groups = []
-        if state.hasTimedOut:
-            groups = list(packer.rest())
-            state.remove()
-        else:
-            for frame in frames:
-                for inputs, labels in zip(frame["inputs"], frame["labels"], strict=True):
+        for frame in () if ended else frames:
+            for inputs, labels in zip(frame["inputs"], frame["labels"], strict=True):
+                if inputs is None:
+                    ended = True
+                else:
                     groups.extend(packer.add([int(x) for x in inputs], [int(x) for x in labels]))
-            state.update((packer.index, made + len(groups), [h[2] for h in packer.held], [h[3] for h in packer.held], [_signed(-h[1]) for h in packer.held]))
-            state.setTimeoutDuration(seconds)
+        if ended:
+            groups.extend(packer.rest())
+            packer.index = 0
         rows = [(int(key[0]), made + k, *(c.tolist() for c in layout(g, max_len, pad))) for k, g in enumerate(groups)]
-        yield pd.DataFrame(rows, columns=["rank", "example_no", "inputs", "labels", "positions", "segments"])
+        state.update((packer.index, made + len(rows), [(index, *content) for _, _, index, content in packer.held]))
+        if packer.held and milliseconds:
+            state.setTimeoutDuration(milliseconds)
+        yield pd.DataFrame(rows, columns=COLUMNS)
 
-    return segments.groupBy("rank").applyInPandasWithState(step, SCHEMA, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def _unsigned(x: int) -> int:
-    return x + (1 << 64) if x < 0 else x
+    return segments.groupBy("rank").applyInPandasWithState(step, SCHEMA, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if milliseconds else GroupStateTimeout.NoTimeout)
