@@ -5,14 +5,19 @@ that no phrase holds ends a sequence, since no occurrence can cross it, and sequ
 shortest phrase are left out. The shard's FM-index is searched backwards for all phrases at once through
 its wavelet levels; occurrences are located by sampled suffix positions and merged into spans.
 
-Only the phrases are shipped, in blocks of at most `BLOCK_WORDS` words; a larger benchmark takes several
-passes, whose spans are merged. No text is shuffled.
+Only the phrases are shipped, in blocks of about `BLOCK_PHRASES` phrases, cut from the items in executors
+and kept in the shared folder; the driver holds one block at a time. A benchmark of one block takes one
+pass over the documents; a larger one takes several, one after the other, whose spans are merged. No text
+is shuffled.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. A phrase
 is each window of `WINDOW` consecutive words of an item, or the whole of a shorter item that has words.
 
 Nulls: a null text has no words; null doc ids are kept; items with a null id are left out. Repeated rows
-each get a row; repeated items count once for an id. Empty tables: no rows, or no hits.
+each get a row; repeated items count once for an id, and items that share a phrase (ties) are all named.
+Texts may be of any length: a very long one is a shard by itself, a very long item many parts. Of other
+columns, those named like the operator's own (n_words, spans, items) are replaced. Empty tables: no rows,
+or no hits.
 """
 
 from __future__ import annotations
@@ -23,14 +28,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.llm.common import read, text_batches, text_bytes
+from corpusmill.llm.common import Staged, read, text_batches, text_bytes
 from corpusmill.llm.fm_index import FMIndex, joined
 
-WINDOW, BLOCK_WORDS, SHARD_BYTES = 10, 2_000_000, 4 << 20
+WINDOW, BLOCK_PHRASES, PART, SHARD_BYTES = 10, 400_000, 20_000, 4 << 20
 #: Bytes of words; A-Z become a-z, other ASCII a space.
 TABLE = bytes(c if c >= 0x80 or chr(c).isdigit() or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -44,16 +50,23 @@ class Phrases:
 
     def __init__(self, items: list[tuple[int, bytes]], window: int) -> None:
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[at : at + window]), set()).add(item)
-        self.least = min(map(len, found), default=window)
-        self.by_length: list[tuple[np.ndarray, list[list[int]]]] = []
-        for length in sorted({len(p) for p in found}):
-            rows = [p for p in found if len(p) == length]
-            self.by_length.append((np.array(rows, np.int64).reshape(-1, length), [sorted(found[p]) for p in rows]))
+        held: dict[int, list[np.ndarray]] = {}
+        for item, line in items:
+            own = line.split()
+            ids = np.fromiter((self.number.setdefault(w, len(self.number) + 1) for w in own), np.int32, len(own))
+            if len(ids):
+                size = min(window, len(ids))
+                rows = np.lib.stride_tricks.sliding_window_view(ids, size)
+                held.setdefault(size, []).append(np.concatenate([rows, np.full((len(rows), 1), len(held.setdefault(-1, [])), np.int32)], 1))
+                held[-1].append(np.int64(item))
+        names = np.array(held.pop(-1, []), np.int64)
+        self.least = min(held, default=window)
+        #: For each length: phrases, where each one's items begin, and the items.
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for length in sorted(held):
+            rows, which = np.unique(np.concatenate([r[:, :-1] for r in held[length]]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.reshape(-1), names[np.concatenate([r[:, -1] for r in held[length]])]], 1), axis=0)
+            self.by_length.append((rows, np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1)), pairs[:, 1]))
 
 
 class Lookup(dict):
@@ -77,7 +90,7 @@ def search_shard(documents: list[np.ndarray], phrases: Phrases) -> tuple[list[li
     text, starts = joined([r[2] for r in runs])
     fm = FMIndex(text)
     hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for patterns, holders in phrases.by_length:
+    for patterns, begins, holders in phrases.by_length:
         low, high = fm.search(patterns)
         size = high - low
         total = int(size.sum())
@@ -89,7 +102,7 @@ def search_shard(documents: list[np.ndarray], phrases: Phrases) -> tuple[list[li
         doc = np.array([runs[r][0] for r in run])
         begin = np.array([runs[r][1] for r in run]) + at - starts[run]
         for d, p in set(zip(doc.tolist(), which.tolist(), strict=True)):
-            items[d].update(holders[p])
+            items[d].update(holders[begins[p] : begins[p + 1]].tolist())
         hits.append((doc, begin, begin + patterns.shape[1]))
     if hits:
         doc, begin, end = (np.concatenate(x) for x in zip(*hits, strict=True))
@@ -102,27 +115,28 @@ def search_shard(documents: list[np.ndarray], phrases: Phrases) -> tuple[list[li
     return spans, items
 
 
-def blocks_of(items: DataFrame, most: int) -> list[list[tuple[int, bytes]]]:
-    """The test items in blocks of at most about `most` words each."""
-    out: list[list[tuple[int, bytes]]] = [[]]
-    held = 0
-    for row in items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").toLocalIterator():
-        text = row.text.encode()
-        n = text.count(b" ") + 1
-        if out[-1] and held + n > most:
-            out.append([])
-            held = 0
-        out[-1].append((row.item_id, text))
-        held += n
-    return out
+def parts_of(items: DataFrame, window: int) -> DataFrame:
+    """(item_id, line, n): each item's words, in parts of PART phrases at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, SHARD_BYTES):
+            for item, text in zip(batch.column("item_id").to_pylist(), text_bytes(batch), strict=True):
+                own = words(text)
+                total = max(1, len(own) - window + 1) if own else 0
+                cuts = range(0, total, PART)
+                lines = [b" ".join(own[at : at + PART + window - 1]) for at in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(lines), pa.int64()), pa.array(lines, pa.binary()), pa.array([min(PART, total - at) for at in cuts], pa.int64())], names=["item_id", "line", "n"])
+
+    some = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    return some.mapInArrow(run, "item_id long, line binary, n long")
 
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 ADDED = [("n_words", pa.int64()), ("spans", pa.list_(SPAN)), ("items", pa.list_(pa.int64()))]
 
 
-def scan_block(documents: DataFrame, items: list[tuple[int, bytes]], window: int, names: list[str]) -> DataFrame:
-    shipped = documents.sparkSession.sparkContext.broadcast(Phrases(items, window))
+def scan_block(documents: DataFrame, shipped: Broadcast, names: list[str]) -> DataFrame:
+    """The columns `names` of documents, with ADDED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shipped.value
@@ -154,28 +168,43 @@ def scan_block(documents: DataFrame, items: list[tuple[int, bytes]], window: int
     return documents.mapInArrow(run, StructType([*(documents.schema[n] for n in names), *added.fields]))
 
 
-def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = False) -> DataFrame:
+def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW, block_phrases: int = BLOCK_PHRASES, keep_text: bool = False) -> DataFrame:
     """(doc_id[, text and the other columns], n_words, spans, items): spans are of words, end exclusive."""
+    spark = documents.sparkSession
     clash = [n for n, _ in ADDED if n in documents.columns]
     documents = documents.drop(*clash) if keep_text else documents.select("doc_id", "text")
     names = documents.columns if keep_text else ["doc_id"]
-    blocks = blocks_of(items, block_words)
-    if len(blocks) == 1:
-        return scan_block(documents, blocks[0], window, names)
-    numbered = documents.withColumn("row_", F.monotonically_increasing_id())
-    from corpusmill.llm.common import stage
-
-    numbered = stage(numbered, "numbered")
-    parts = [scan_block(numbered, b, window, [*names, "row_"] if k == 0 else ["row_"]) for k, b in enumerate(blocks)]
-    first = parts[0]
-    rest = reduce(DataFrame.union, [p.select("row_", "spans", "items") for p in parts])
-    merged = rest.groupBy("row_").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    parts = Staged(parts_of(items, window), "test-phrases")
+    count = max(1, -(-int(parts.read().agg(F.sum("n")).first()[0] or 0) // block_phrases))
+    block = F.pmod(F.xxhash64("item_id", "line"), F.lit(count))
+
+    def phrases(k: int) -> Broadcast:
+        """One block of about block_phrases + PART phrases."""
+        rows = parts.read().filter(block == k).select("item_id", "line").collect()
+        return spark.sparkContext.broadcast(Phrases([(r.item_id, bytes(r.line)) for r in rows], window))
+
+    if count == 1:
+        out = scan_block(documents, phrases(0), names)
+        parts.drop()
+        return out
+    row = "row_" if "row_" not in names else next(f"row_{k}" for k in range(len(names) + 1) if f"row_{k}" not in names)
+    numbered = Staged(documents.withColumn(row, F.monotonically_increasing_id()), "numbered").read()
+    found = []
+    for k in range(count):
+        shipped = phrases(k)
+        own = scan_block(numbered, shipped, [*names, row] if k == 0 else [row])
+        found.append(Staged(own if k == 0 else own.filter(F.size("spans") > 0), "found").read())
+        shipped.destroy()
+    parts.drop()
+    first = found[0]
+    rest = reduce(DataFrame.union, [p.select(row, "spans", "items") for p in found])
+    merged = rest.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     union = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:long,end:long>>"),
         lambda out, x: F.when((F.size(out) > 0) & (x["start"] <= F.try_element_at(out, F.lit(-1))["end"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], x["end"]).alias("end"))))).otherwise(F.concat(out, F.array(x))),
     )
-    return first.drop("spans", "items").join(merged.select("row_", union.alias("spans"), "items"), "row_").select(*names, "n_words", "spans", "items")
+    return first.drop("spans", "items").join(merged.select(row, union.alias("spans"), "items"), row).select(*names, "n_words", "spans", "items")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,16 +8,23 @@ a row that share their anchor make a passage. Equal windows have equal anchors,
    repeats throughout;
 2. anchors are counted, and passages whose anchor lies in one text only are done: they hold no repeat;
 3. the other passages are cut from the texts, equal ones become one with the least id, and they are dealt
-   by their anchor to shards. Where one anchor has more than `HOT` different passages, they are cut into
-   single windows, dealt by the window itself, so that no anchor fills a shard;
-4. a shard's FM-index is built over its passages; each is streamed through it from its end, one symbol
-   of backward search at a time, at a capped match length. Where the statistic reaches the window,
-   the suffix range is the set of all occurrences, and the least id among them is read off;
+   by their anchor to shards of about `SHARD_WORDS` words. An anchor with more words than that is cut into
+   several blocks: each is a shard, and the passages of all of the anchor's blocks are streamed through it;
+4. a shard's FM-index is built over its passages. Of the suffix array it keeps only, in rank order, where
+   runs of suffixes that agree in a window begin, and the least id of each run. Passages are streamed
+   through it from their ends, one symbol of backward search at a time, at a capped match length. Where
+   the statistic reaches the window, the suffix range is the set of all occurrences, and the least id
+   among them is read off;
 5. the words under windows whose least id is smaller than the document's own are removed.
 
+Keys that many rows share (a text, an anchor, a passage) are looked up by a bounded broadcast, so that no
+task gets all of them.
+
 Nulls: a null text has no words. A null doc_id is never a smaller id and none is smaller than it: its
-words stay. Rows of one id repeat nothing of each other, their ids being equal. An empty table gives no
-rows.
+words stay. Rows of one id repeat nothing of each other, their ids being equal; each gets its row. Of equal
+passages (ties) the one of the least id is the first. Texts may be of any length; the passages of one
+shard are in memory at a time, and a passage that is longer than a shard is one by itself. Columns besides
+doc_id and text, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Staged, WordHashes, mix, partitions, read, text_batches, text_bytes
-from corpusmill.llm.fm_index import FMIndex, joined, prefix_groups
+from corpusmill.llm.common import Staged, WordHashes, look_up, mix, partitions, read, text_batches, text_bytes
+from corpusmill.llm.fm_index import Bits, FMIndex, joined, prefix_groups
 
-WINDOW, GRAM, HOT, SHARD_WORDS, BATCH_BYTES = 50, 16, 256, 600_000, 2 << 20
+WINDOW, GRAM, SHARD_WORDS, BATCH_BYTES = 50, 16, 400_000, 2 << 20
+NOWHERE = np.iinfo(np.int64).max
 
 
 def grams(h: np.ndarray, size: int) -> np.ndarray:
@@ -94,11 +102,11 @@ def is_text(words: list[bytes], key: bytes) -> bool:
     return hashlib.sha256(b" ".join(words)).digest() == key
 
 
-PASSAGE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("start", pa.int64()), ("shard_key", pa.int64()), ("passage", pa.binary()), ("words", pa.binary())])
+PASSAGE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("start", pa.int64()), ("shard_key", pa.int64()), ("passage", pa.binary()), ("words", pa.binary()), ("n", pa.int64())])
 
 
 def passages(suspects: DataFrame, window: int, gram: int) -> DataFrame:
-    """suspects (doc_id, text_key, text, shared array<long>): rows (doc_id, text_key, start, shard_key, passage, words)."""
+    """suspects (doc_id, text_key, text, shared array<long>): rows (doc_id, text_key, start, shard_key, passage, words, n of words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -116,112 +124,116 @@ def passages(suspects: DataFrame, window: int, gram: int) -> DataFrame:
                 for a, at, end in zip(anchor.view(np.int64).tolist(), first.tolist(), ends.tolist(), strict=True):
                     if a in own:
                         line = b" ".join(words[at : end + window - 1])
-                        rows.append((doc, key, at, a, xxhash.xxh3_128_digest(line), line))
+                        rows.append((doc, key, at, a, xxhash.xxh3_128_digest(line), line, end + window - 1 - at))
                 if len(rows) > 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PASSAGE.types, strict=True)], schema=PASSAGE)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PASSAGE.types, strict=True)], schema=PASSAGE)
 
-    return suspects.mapInArrow(run, "doc_id long, text_key binary, start long, shard_key long, passage binary, words binary")
-
-
-def windows_of(hot: DataFrame, window: int) -> DataFrame:
-    """hot (passage, words, least): rows (passage, at, name, words, least), one for each window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for passage, line, least in zip(*(batch.column(c).to_pylist() for c in ("passage", "words", "least")), strict=True):
-                own = line.split(b" ")
-                for first in range(0, len(own) - window + 1, 2000):
-                    at = range(first, min(first + 2000, len(own) - window + 1))
-                    cut = [b" ".join(own[k : k + window]) for k in at]
-                    names = [xxhash.xxh3_128_digest(b"window " + w) for w in cut]
-                    yield pa.RecordBatch.from_arrays([pa.array([passage] * len(cut), pa.binary()), pa.array(at, pa.int64()), pa.array(names, pa.binary()), pa.array(cut, pa.binary()), pa.array([least] * len(cut), pa.int64())], names=["passage", "at", "name", "words", "least"])
-
-    return hot.select("passage", "words", "least").mapInArrow(run, "passage binary, at long, name binary, words binary, least long")
-
-
-def capped_statistics(fm: FMIndex, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """(low of the suffix range, match length up to `cap`) at each position of sequences the index holds.
-
-    All sequences are streamed at once, from their ends: a match of the cap's length first loses its last
-    symbol (its range widens to the group of suffixes equal in cap - 1 symbols), then grows at the front
-    by a step of backward search.
-    """
-    group = prefix_groups(text, fm.order, cap - 1)
-    edges = np.append(np.flatnonzero(group), fm.n)
-    of = np.cumsum(group) - 1
-    low_at, length_at = np.zeros(fm.n, np.int64), np.zeros(fm.n, np.int64)
-    by = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[by], sizes[by]
-    low, high = np.zeros(len(sizes), np.int64), np.full(len(sizes), fm.n, np.int64)
-    length = np.zeros(len(sizes), np.int64)
-    live = len(sizes)
-    for step in range(int(sizes[0]) if len(sizes) else 0):
-        while live and sizes[live - 1] <= step:
-            live -= 1
-        at = starts[:live] + sizes[:live] - 1 - step
-        lo, hi, n = low[:live], high[:live], length[:live]
-        full = np.flatnonzero(n == cap)
-        if len(full):
-            g = of[lo[full]]
-            lo[full], hi[full], n[full] = edges[g], edges[g + 1], cap - 1
-        lo[:], hi[:] = fm.extend(text[at], lo, hi)
-        n += 1
-        low_at[at], length_at[at] = lo, n
-    return low_at, length_at
-
-
-def search_shard(lines: list[bytes], ids: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each passage, the least id among the occurrences of each of its windows."""
-    number: dict[bytes, int] = {}
-    known = lambda w: number.setdefault(w, len(number) + 1)
-    seqs = []
-    for line in lines:
-        own = line.split(b" ")
-        seqs.append(np.fromiter(map(known, own), np.int64, len(own)))
-    text, starts = joined(seqs)
-    sizes = np.array([len(s) for s in seqs], np.int64)
-    fm = FMIndex(text, locate=False)
-    low, length = capped_statistics(fm, text, starts, sizes, window)
-    owner = ids[np.searchsorted(starts, fm.order, side="right") - 1]
-    group = prefix_groups(text, fm.order, window)
-    least = np.minimum.reduceat(owner, np.flatnonzero(group))[np.cumsum(group) - 1]
-    out = []
-    for at, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-        here = slice(at, at + size - window + 1)
-        if (length[here] < window).any():
-            raise AssertionError("a passage's own window must occur in its shard")
-        out.append(least[low[here]])
-    return out
+    return suspects.mapInArrow(run, "doc_id long, text_key binary, start long, shard_key long, passage binary, words binary, n long")
+
+
+class Shard:
+    """A compressed index over passages, each with an id, and the least id of each run of equal windows."""
+
+    def __init__(self, lines: list[bytes], ids: np.ndarray, window: int) -> None:
+        self.number: dict[bytes, int] = {}
+        self.window = window
+        self.seqs = [np.fromiter((self.number.setdefault(w, len(self.number) + 1) for w in line.split(b" ")), np.int64) for line in lines]
+        text, starts = joined(self.seqs)
+        self.fm = FMIndex(text, locate=False)
+        order, self.fm.order = self.fm.order, None
+        shorter, whole = prefix_groups(text, order, window - 1), prefix_groups(text, order, window)
+        self.shorter, self.edges = Bits(shorter), np.append(np.flatnonzero(shorter), self.fm.n).astype(np.int32 if self.fm.n < 1 << 31 else np.int64)
+        self.whole = Bits(whole)
+        self.least = np.minimum.reduceat(ids[np.searchsorted(starts, order, side="right") - 1], np.flatnonzero(whole))
+
+    def least_at(self, low: np.ndarray) -> np.ndarray:
+        return self.least[self.whole.rank(low + 1) - 1]
+
+    def statistics(self) -> list[np.ndarray]:
+        """For each of its own passages, the least id among the occurrences of each window.
+
+        All are streamed at once, from their ends: a match of the window's length first loses its last
+        symbol (its range widens to the run of suffixes equal in one symbol less), then grows at the
+        front by a step of backward search.
+        """
+        cap, fm = self.window, self.fm
+        sizes = np.array([len(s) for s in self.seqs], np.int64)
+        by = np.argsort(-sizes, kind="stable")
+        flat, first = np.concatenate(self.seqs), np.cumsum(sizes) - sizes
+        first, ordered = first[by], sizes[by]
+        found = np.full(len(flat), NOWHERE)
+        low, high, length = np.zeros(len(by), np.int64), np.full(len(by), fm.n, np.int64), np.zeros(len(by), np.int64)
+        live = len(by)
+        for step in range(int(ordered[0])):
+            while live and ordered[live - 1] <= step:
+                live -= 1
+            at = first[:live] + ordered[:live] - 1 - step
+            lo, hi, n = low[:live], high[:live], length[:live]
+            full = np.flatnonzero(n == cap)
+            if len(full):
+                g = self.shorter.rank(lo[full] + 1) - 1
+                lo[full], hi[full], n[full] = self.edges[g], self.edges[g + 1], cap - 1
+            lo[:], hi[:] = fm.extend(flat[at], lo, hi)
+            n += 1
+            full = np.flatnonzero(n == cap)
+            found[at[full]] = self.least_at(lo[full])
+        ends = np.cumsum(sizes)
+        return [found[b - n : b - cap + 1] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+    def search(self, lines: list[bytes]) -> list[np.ndarray]:
+        """The same for passages of other shards: NOWHERE where a window does not occur. Equal windows are searched once."""
+        known = self.number.get
+        split = [line.split(b" ") for line in lines]
+        seqs = [np.fromiter((known(w, 0) for w in own), np.int64, len(own)) for own in split]
+        windows = [np.lib.stride_tricks.sliding_window_view(q, self.window) for q in seqs]
+        out = [np.full(len(w), NOWHERE) for w in windows]
+        for at in range(0, len(seqs), 256):
+            part = np.concatenate(windows[at : at + 256])
+            fine = np.flatnonzero((part > 0).all(1))
+            if not len(fine):
+                continue
+            rows, back = np.unique(part[fine], axis=0, return_inverse=True)
+            low, high = self.fm.search(rows)
+            least = np.full(len(rows), NOWHERE)
+            hit = np.flatnonzero(low < high)
+            least[hit] = self.least_at(low[hit])
+            flat = np.full(len(part), NOWHERE)
+            flat[fine] = least[back.reshape(-1)]
+            for k, own in enumerate(np.split(flat, np.cumsum([len(w) for w in windows[at : at + 256]])[:-1])):
+                out[at + k] = own
+        return out
 
 
 def shards(distinct: DataFrame, window: int, shard_words: int) -> DataFrame:
-    """distinct (passage, shard_key, words, least): rows (passage, least_ids)."""
-
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        found = search_shard([r[1] for r in held], np.array([r[2] for r in held], np.int64), window)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["passage", "least_ids"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-        for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("shard_key", "passage", "words", "least")), strict=True):
-                if size > shard_words and key != last:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(tuple(row))
-                size += row[1].count(b" ") + 1
-                last = key
-        if held:
-            yield flush(held)
-
-    n = partitions(distinct.sparkSession)
-    dealt = distinct.repartition(n, "shard_key").sortWithinPartitions("shard_key")
-    return dealt.select("shard_key", "passage", "words", "least").mapInArrow(run, "passage binary, least_ids array<long>")
+    """distinct (passage, shard_key, words, n, least): rows (passage, least_ids)."""
+    weights = distinct.groupBy("shard_key").agg(F.sum("n").alias("weight"), F.count("*").alias("n_"))
+    facts = weights.agg(F.sum("weight"), F.sum("n_")).first()
+    count = max(partitions(distinct.sparkSession), int(facts[0] or 0) // shard_words + 1)
+    large = weights.filter(F.col("weight") > shard_words).select("shard_key", "n_", F.ceil(F.col("weight") / shard_words).cast("int").alias("blocks"))
+    dealt = look_up(distinct, large, "shard_key", int(facts[1] or 0)) if not large.isEmpty() else distinct.withColumn("blocks", F.lit(None).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("passage"), F.col("blocks")).cast("int"))
+    cell = lambda key, i, j: F.struct(key.alias("key"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    several = F.sequence(F.lit(0), F.col("blocks") - 1)
+    crossed = F.flatten(F.transform(several, lambda k: F.when(k == F.col("block"), F.array(cell(F.col("shard_key"), k, k))).otherwise(F.array(cell(F.col("shard_key"), F.col("block"), k), cell(F.col("shard_key"), k, F.col("block"))))))
+    alone = F.array(cell(F.pmod(F.xxhash64("shard_key"), F.lit(count)), F.lit(-1), F.lit(-1)))
+    cells = dealt.withColumn("cell", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(crossed)))
+    cells = cells.select("passage", "words", "least", F.coalesce("block", F.lit(-1)).alias("block"), "cell.key", "cell.i", "cell.j")
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        block = table["block"].to_numpy()
+        index = table.filter(pa.array(block == i))
+        stream = index if i == j else table.filter(pa.array(block == j))
+        found: list[np.ndarray] = []
+        if index.num_rows and stream.num_rows:
+            shard = Shard(index["words"].to_pylist(), index["least"].to_numpy(), window)
+            found = shard.statistics() if i == j else shard.search(stream["words"].to_pylist())
+        return pa.table({"passage": stream["passage"] if found else pa.array([], pa.binary()), "least_ids": pa.array(found, pa.list_(pa.int64()))})
+
+    return cells.groupBy("key", "i", "j").applyInArrow(run, "passage binary, least_ids array<long>")
 
 
 def removed_words(starts: list[int], n: int, window: int) -> np.ndarray:
@@ -255,49 +267,57 @@ def kept_words(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key binary, n_words long, n_removed long, kept_sha256 string")
 
 
-def repeated(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
+def repeated(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), a row for each document row."""
+    staged: list[Staged] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        staged.append(Staged(df, name))
+        return staged[-1].read()
+
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = Staged(scanned(documents, window, gram), "scanned").read()
+    scan = keep(scanned(documents, window, gram), "scanned")
+    rows = scan.count()
 
     # 1. one text of each kind, that of the least id
-    texts = Staged(scan.groupBy("text_key").agg(F.min("doc_id").alias("least")).filter("least is not null"), "texts").read()
-    first = scan.filter(F.size("anchors") > 0).select("doc_id", "text_key", "anchors").join(texts, "text_key").filter("doc_id = least").dropDuplicates(["text_key"])
+    texts = keep(scan.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_"), F.first("anchors").alias("anchors")).filter("least is not null"), "texts")
+    first = texts.filter(F.size("anchors") > 0)
 
     # 2. anchors of more than one text
-    posts = first.select("doc_id", "text_key", F.explode(F.array_distinct("anchors")).alias("anchor"))
-    spread = posts.groupBy("anchor").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).filter("a < b").select("anchor")
-    own = posts.join(spread, "anchor").groupBy("doc_id", "text_key").agg(F.collect_list("anchor").alias("shared"))
-
-    # 3. passages; those of hot anchors window by window
-    suspects = Staged(documents.join(own, "doc_id"), "suspects").read()
-    found = Staged(passages(suspects, window, gram), "passages").read()
-    distinct = Staged(found.groupBy("passage", "shard_key").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")), "distinct-passages").read()
-    crowded = distinct.groupBy("shard_key").count().filter(F.col("count") > hot).select("shard_key")
-    split = Staged(windows_of(distinct.join(crowded, "shard_key", "left_semi"), window), "windows").read()
-    single = split.groupBy(F.col("name").alias("passage")).agg(F.min("least").alias("least"), F.first("words").alias("words"))
-    dealt = distinct.join(crowded, "shard_key", "left_anti").select("passage", "shard_key", "least", "words")
-    dealt = dealt.union(single.select("passage", F.xxhash64("passage").alias("shard_key"), "least", "words"))
+    posts = first.select(F.col("least").alias("doc_id"), "text_key", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    spread = posts.groupBy("anchor").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.count("*").alias("n_")).filter("a < b")
+    shared = look_up(posts, spread.select("anchor", "n_", F.lit(True).alias("met")), "anchor", rows).filter("met")
+    own = shared.groupBy("doc_id", "text_key").agg(F.collect_list("anchor").alias("shared"))
+
+    # 3. passages
+    suspects = keep(documents.join(own, "doc_id"), "suspects")
+    found = keep(passages(suspects, window, gram), "passages")
+    distinct = keep(found.groupBy("passage", "shard_key").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.first("n").alias("n"), F.count("*").alias("n_")), "distinct-passages")
 
     # 4. the least id of each window
-    least = Staged(shards(dealt, window, shard_words), "least-ids").read()
-    again = split.select(F.col("passage").alias("whole"), "at", F.col("name").alias("passage")).join(least, "passage").groupBy(F.col("whole").alias("passage"))
-    again = again.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.element_at("least_ids", 1).alias("least")))), lambda x: x["least"]).alias("least_ids"))
-    hits = found.select("passage", "doc_id", "text_key", "start").join(least.union(again), "passage")
+    least = keep(shards(distinct.drop("n_"), window, shard_words), "least-ids")
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y))
+    merged = least.groupBy("passage").agg(F.collect_list("least_ids").alias("all"))
+    merged = merged.select("passage", F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.element_at("all", 1), both).alias("least_ids"))
+    hits = look_up(found.select("passage", "doc_id", "text_key", "start"), merged.join(distinct.select("passage", "n_"), "passage"), "passage", rows)
     starts = F.transform(F.filter(F.transform("least_ids", lambda x, i: F.struct(x.alias("least"), i.cast("long").alias("i"))), lambda x: x["least"] < F.col("doc_id")), lambda x: x["i"] + F.col("start"))
     gone = hits.select("doc_id", "text_key", starts.alias("starts")).filter(F.size("starts") > 0).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
     # 5. repeats of a whole text lose all windows, others those found
-    changed = Staged(kept_words(suspects.select("doc_id", "text_key", "text").join(gone, ["doc_id", "text_key"]), window), "changed").read()
-    out = scan.select("doc_id", "text_key", "n_words", "kept_sha256").join(texts, "text_key", "left")
-    out = out.join(changed.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.col("n_removed").alias("some"), F.col("kept_sha256").alias("rest")), ["doc_id", "text_key"], "left")
+    changed = kept_words(suspects.select("doc_id", "text_key", "text").join(gone, ["doc_id", "text_key"]), window)
+    changed = changed.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.col("n_removed").alias("some"), F.col("kept_sha256").alias("rest"))
+    told = keep(texts.select("text_key", "n_", "least").join(changed.withColumnRenamed("doc_id", "least"), ["least", "text_key"], "left"), "told")
+    out = look_up(scan.select("doc_id", "text_key", "n_words", "kept_sha256"), told, "text_key", rows)
     whole = (F.col("least") < F.col("doc_id")) & (F.col("n_words") >= window)
+    mine = F.col("least") == F.col("doc_id")
     nothing = hashlib.sha256(b"").hexdigest()
+    for table in staged[1:-1]:
+        table.drop()
     return out.select(
         "doc_id",
         "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.coalesce("some", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(nothing)).otherwise(F.coalesce("rest", "kept_sha256")).alias("kept_sha256"),
+        F.when(whole, F.col("n_words")).when(mine, F.coalesce("some", F.lit(0))).otherwise(0).cast("long").alias("n_removed"),
+        F.when(whole, F.lit(nothing)).when(mine, F.coalesce("rest", "kept_sha256")).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )
 
 

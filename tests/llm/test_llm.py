@@ -239,12 +239,12 @@ def test_quality_word_vectors_are_neighbour_sums_of_the_whole_corpus(spark):
             np.testing.assert_allclose(table[k], want[name] / np.linalg.norm(want[name]), atol=1e-6)
 
 
-@pytest.mark.parametrize("hot", [1, 256])
-def test_substring_dedup_against_brute_force(spark, none, hot):
+@pytest.mark.parametrize("shard_words", [60, 2000])
+def test_substring_dedup_against_brute_force(spark, none, shard_words):
     window = 12
     shared = prose(30)
     rows = [(k, f"{prose(rng.randrange(0, 30))} {shared if k % 2 else ''} {prose(20)}") for k in range(40)] + [(50, BASE), (51, BASE), (52, BASE), (53, None), (54, LONG), (54, LONG), (55, LONG[5000:9000]), (None, BASE)]
-    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string"), window, 4, hot, 2000).collect() if r.doc_id is not None)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string"), window, 4, shard_words).collect() if r.doc_id is not None)
     least = {}
     split = [(i, (t or "").split()) for i, t in rows if i is not None]
     for i, w in split:
@@ -430,10 +430,11 @@ def test_katz_against_brute_force(spark, monkeypatch):
         assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-9)
 
 
-def test_decontamination_blocks_agree(spark, docs, none):
+def test_decontamination_blocks_agree(spark, docs, none, monkeypatch):
     items = spark.createDataFrame([(1, " ".join(BASE.split()[20:45]).upper()), (2, "One"), (3, None), (None, "one"), (4, "!!"), (5, " ".join(LONG.split()[99:111]))], "item_id long, text string")
     one = decontamination.contamination(docs, items).orderBy("doc_id", "n_words").collect()
-    many = decontamination.contamination(docs, items, block_words=5).orderBy("doc_id", "n_words").collect()
+    monkeypatch.setattr(decontamination, "PART", 3)
+    many = decontamination.contamination(docs, items, block_phrases=5).orderBy("doc_id", "n_words").collect()
     assert [(r.doc_id, r.n_words, r.spans, r["items"]) for r in one] == [(r.doc_id, r.n_words, r.spans, r["items"]) for r in many]
     got = {r.doc_id: (r["items"], [tuple(s) for s in r.spans]) for r in one}
     assert got[1] == ([1], [(20, 45)]) and got[7] == ([2], [(0, 1)]) and got[9][0] == [5] and got[4] == ([], [])
