@@ -204,16 +204,9 @@ def bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", decode_udf(bpe)(encode_udf(bpe)("text")).alias("text"))
 
 
-@query("""SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, ' ?[a-zA-Z]+')) AS w
- FROM (SELECT text FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^ a-zA-Z.,\\n]'))) GROUP BY 1""".replace("\\\\n", "\\n"))
-def pretoken_words(spark: SparkSession, sf: str) -> DataFrame:
-    plain = table(spark, sf, "documents").filter("lang = 'en'").filter(~F.col("text").rlike(r"[^ a-zA-Z.,\n]"))
-    return pretoken_counts(plain, "text").filter(F.col("pretoken").rlike("^ ?[a-zA-Z]+$")).select(F.col("pretoken").alias("word"), "n")
-
-
 @query()
 def pretoken_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """All pre-tokens of all documents; pretoken_words is the part of it that SQL can express."""
+    """All pre-tokens of all documents: their pattern looks ahead, which SQL's regular expressions can't."""
     return pretoken_counts(table(spark, sf, "documents"), "text").select("pretoken", "n")
 
 
@@ -284,13 +277,12 @@ def chat_labels(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("conv_id", shown("e.input_ids").alias("inputs"), shown("e.labels").alias("labels"))
 
 
-@query("SELECT doc_id, text AS decoded_text, CAST(strlen(text) AS BIGINT) AS n_ids, md5(replace(replace(text, chr(10), 'N'), ' ', 'S')) AS shown FROM documents WHERE strlen(text) = length(text)")
+@query("SELECT doc_id, text, text AS decoded_text, CAST(strlen(text) AS BIGINT) AS n_ids, CAST(strlen(text) AS BIGINT) AS n_shown FROM documents")
 def encode_inspector(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts of ASCII alone, whose tokens show as they are."""
-    plain = table(spark, sf, "documents").select("doc_id", "text").filter(F.octet_length("text") == F.length("text"))
-    out = inspected(plain, "text", BYTES).withColumn("back", F.from_json("inspection", "text string, ids array<int>, decoded_text string, formatted_tokens array<string>"))
-    shown = F.translate(F.array_join("back.formatted_tokens", ""), "\n ", "NS")
-    return out.select("doc_id", "back.decoded_text", F.size("back.ids").cast("long").alias("n_ids"), F.md5(shown).alias("shown"))
+    """What the JSON form says of each text, read back."""
+    out = inspected(table(spark, sf, "documents").select("doc_id", "text"), "text", BYTES)
+    back = F.from_json("inspection", "text string, ids array<int>, decoded_text string, formatted_tokens array<string>").alias("back")
+    return out.select("doc_id", back).select("doc_id", "back.text", "back.decoded_text", F.size("back.ids").cast("long").alias("n_ids"), F.size("back.formatted_tokens").cast("long").alias("n_shown"))
 
 
 @query(f"SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_tokens FROM documents")
