@@ -12,8 +12,9 @@ conversation, which is held in memory, quadratic in its turns. One that rewrites
 in one row with its whole rendering.
 
 Nulls: a null role or text is empty; a null conv_id is a conversation of its own. Turns are taken by
-(turn, role, text), nulls first, so that repeated turn numbers have a fixed order. Repeated rows are
-turns like any other. An empty table gives no rows.
+(turn, role, text), nulls first, so that repeated turn numbers (ties) have a fixed order. Repeated rows are
+turns like any other. A turn may be of any length; columns besides conv_id, turn, role and text, whatever
+their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -119,13 +120,15 @@ def by_conversation(batches: Iterator[pa.RecordBatch], columns: list[str]) -> It
         yield conv, (r[1:] for r in own)
 
 
-def to_batches(rows: Iterator[dict], schema: pa.Schema, size: int = 256) -> Iterator[pa.RecordBatch]:
-    held = []
+def to_batches(rows: Iterator[dict], schema: pa.Schema, size: int = 256, chars: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `size` rows and about `chars` formatted characters, or of one row."""
+    held, total = [], 0
     for row in rows:
         held.append(row)
-        if len(held) >= size:
+        total += len(row.get("formatted") or "")
+        if len(held) >= size or total >= chars:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
-            held = []
+            held, total = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 

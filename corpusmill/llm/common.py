@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -24,11 +23,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='corpusmill-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder all executors share for tables between steps; a folder of the warehouse, which they share too, where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpusmill-steps"
     return folder.rstrip("/")
 
 

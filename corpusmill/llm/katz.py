@@ -15,7 +15,9 @@ whole bigram; their sums, at most `HOT` rows, are shared.
 Words are told apart by 64-bit hashes. The buckets of words name them by their places in order of
 frequency, so that a request for bigrams is mostly small numbers: it lists its words once, with their
 totals, and each bigram points into that list. Nulls: a null text is empty (one end token); a document
-with a null id is learned from. Repeated rows count and are scored each. An empty table gives no rows.
+with a null id is learned from. Repeated rows count and are scored each. Of equally frequent words (ties)
+names go by hash, which no score depends on. A text may be of any length; a very long one is a chunk by
+itself. Columns besides doc_id, text and those `held` reads are not read. An empty table gives no rows.
 With no training tokens every token has probability 1.
 """
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import Staged, WordHashes, mix, read, text_batches, text_bytes
 from corpusmill.llm.quality import held_out
 
-CHUNK_WORDS, BUCKET_KEYS, HOT, TOP, BATCH_BYTES = 1_600_000, 800_000, 2000, 5, 2 << 20
+CHUNK_WORDS, BUCKET_KEYS, HOT, TOP, BATCH_BYTES = 1_600_000, 800_000, 40_000, 5, 2 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 START, END = 1 << 62, np.uint64(0x5EED0000_00000002)  # a name, a hash
 

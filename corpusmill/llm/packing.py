@@ -8,7 +8,9 @@ a bin. Only piece lengths are shuffled, no ids.
 
 Ids come from pre-tokens cached per worker; texts outside the plain character ranges, or with special
 strings, are encoded whole by the library. Nulls: a null text is empty (its document is the end id
-alone); null ids are kept. Repeated rows are packed each. An empty table gives no rows.
+alone); null ids are kept. Repeated rows are packed each. Pieces of one length (ties) go by id, content and
+start. Texts may be of any length. Columns besides doc_id and text, whatever their names, are not read. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import Staged, latin, read, text_batches, tokenizer
-from corpusmill.llm.token_counts import PLAIN
 
 CAPACITY, END_ID, BIN_PIECES, BATCH_BYTES, CACHE = 4096, 2, 40_000, 1 << 20, 900_000
+#: Characters of the Basic Latin to Greek and Cyrillic blocks, general punctuation and common CJK.
+PLAIN = "[^\\x00-\\u036f\\u0391-\\u03a1\\u03a3-\\u0481\\u048a-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u20ac\\u3001-\\u3003\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5]"
 #: The letters and the numbers below U+0100 that lower-cased text can hold.
 LETTERS, NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 

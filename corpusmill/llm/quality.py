@@ -14,8 +14,9 @@ Scoring reads whole texts. Labels, lang, source and ids are never inputs of a sc
 
 Nulls: a null text is empty and scored as such (its pooled vectors are zero); rows with a null label or
 id are not learned from; a null id is kept and scored. Of repeated labels of one id each counts. Without
-labelled rows, or with one class only, each score is the smoothed share of label 1, 0.5 without rows. An
-empty table gives no rows.
+labelled rows, or with one class only, each score is the smoothed share of label 1, 0.5 without rows. Words
+of one frequency (ties) go by their letters, rows of one hash by id and label. Texts may be of any length.
+Other columns are kept, but one named score is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from corpusmill.llm.common import Staged, read, text_batches
 FIT_ROWS = 6_000
 DIM, WINDOW, NONZERO, WORD_LEAST, WORDS, SHAPES = 48, 2, 6, 4, 20_000, 500
 HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.01, 1e-3
-CACHE, BATCH_BYTES = 150_000, 1 << 20
-HELD, CHUNK = 500_000, 256
+CACHE, BATCH_BYTES = 400_000, 1 << 20
+HELD, CHUNK = 300_000, 256
 _SIGNS = {ord(c): sign for sign, ranges in (("A", "AZÀÖØÞ"), ("a", "azßöøÿ"), ("0", "09")) for low, high in zip(ranges[::2], ranges[1::2], strict=True) for c in map(chr, range(ord(low), ord(high) + 1))}
 _TWICE = re.compile(r"(.)\1+").sub
 

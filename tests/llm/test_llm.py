@@ -120,6 +120,19 @@ def test_chat_round_trip_and_rewriting(spark):
     assert list(chat_format.render(iter([(1, iter([("user", "a"), ("assistant", "b")]))]), forgets, "assistant"))[0]["rewritten"]
 
 
+@pytest.mark.parametrize("n", [63, 64, 65, 200])
+def test_chat_templates_at_and_beyond_a_segment(n):
+    turns = [("assistant" if k % 2 else "user", f"t{k} <|im_end|>") for k in range(n)]
+    show = lambda turns: "".join(f"[{who}]{t}\n" for who, t in turns)
+    for template in (chat_format.chatml, lambda turns: "<s>" + show(turns), lambda turns: "[system]be kind\n" + show(turns)):
+        rows = list(chat_format.render(iter([(1, iter(turns))]), template, "assistant"))
+        assert not any(r["rewritten"] for r in rows) and "".join(r["formatted"] for r in rows) == template(turns)
+        loss = [chat_format.unescape(r["formatted"][x["start"] : x["end"]]) for r in rows for x in r["loss"]]
+        assert loss == [t for who, t in turns if who == "assistant"]
+    for rewriting in (lambda turns: show(turns[-50:]), lambda turns: "".join(f"[{who}]{t if k > len(turns) - 3 else ''}" for k, (who, t) in enumerate(turns))):
+        assert all(r["rewritten"] for r in chat_format.render(iter([(1, iter(turns))]), rewriting, "assistant"))
+
+
 def test_chat_templates_that_are_not_concatenative():
     turns = [("assistant" if k % 2 else "user", f"t{k}") for k in range(150)]
     show = lambda turns: "".join(f"[{who}]{t}\n" for who, t in turns)
@@ -239,6 +252,35 @@ def test_quality_word_vectors_are_neighbour_sums_of_the_whole_corpus(spark):
             np.testing.assert_allclose(table[k], want[name] / np.linalg.norm(want[name]), atol=1e-6)
 
 
+def test_quality_pooling_network_and_temperature_against_plain_numpy():
+    r = np.random.default_rng(3)
+    words, shapes = {"aa": 1, "Bb": 2}, {"a": 1, "Aa": 2, "0": 3}
+    v = quality.Vectors(words, shapes, r.normal(size=(3, quality.DIM)).astype(np.float32), r.normal(size=(4, quality.DIM)).astype(np.float32))
+    v.word_table[0] = v.shape_table[0] = 0
+    texts = ["aa Bb zz 12", "", "?? Cc", "aa " * 5000]
+    pooled = v.pool(texts)
+    for row, text in zip(pooled, texts, strict=True):
+        own = text.split()
+        known = [words[w] for w in own if w in words]
+        want = np.zeros(2 * quality.DIM + 1)
+        if own:
+            if known:
+                want[: quality.DIM] = v.word_table[known].astype(float).mean(0)
+            want[quality.DIM : -1] = v.shape_table[[shapes.get(quality.shape(w), 0) for w in own]].astype(float).mean(0)
+            want[-1] = len(known) / len(own)
+        np.testing.assert_allclose(row, want, rtol=1e-6, atol=1e-9)
+    x = r.normal(size=(400, 5))
+    y = (x[:, 0] + 0.7 * r.normal(size=400) > 0).astype(float)
+    net = quality.train(x, y)
+    hidden = np.tanh((x - net.mean) / net.scale @ net.w1 + net.b1)
+    logits = hidden @ net.w2 + net.b2
+    np.testing.assert_allclose(net.scores(x), 1 / (1 + np.exp(-logits / net.temperature)))
+    assert (np.round(net.scores(x)) == y).mean() > 0.75
+    held = np.random.default_rng(7).permutation(400)[:80]
+    loss = lambda t: -np.mean(np.log(np.where(y[held] == 1, 1 / (1 + np.exp(-logits[held] / t)), 1 / (1 + np.exp(logits[held] / t)))))
+    assert all(loss(net.temperature) <= loss(t) + 1e-12 for t in np.exp(np.linspace(-1.5, 2.5, 81)))
+
+
 @pytest.mark.parametrize("shard_words", [60, 2000])
 def test_substring_dedup_against_brute_force(spark, none, shard_words):
     window = 12
@@ -310,8 +352,8 @@ def test_minhash_groups_below_the_threshold_and_chains(spark, monkeypatch):
     emitted = []
     real = minhash_dedup.cross_pairs
 
-    def counted(members, percent):
-        out = real(members, percent)
+    def counted(*given):
+        out = real(*given)
         emitted.append(out.count())
         return out
 
@@ -346,6 +388,40 @@ def test_token_counts_are_the_librarys(spark, docs, none):
     assert token_counts.count_tokens(docs.withColumn("n_tokens", F.lit("x")), path).count() == len(ROWS) and token_counts.count_tokens(none, path).count() == 0
 
 
+def test_token_counts_split_as_the_library_for_every_assigned_character():
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    counter = token_counts.Counts(public_tokenizers.path("byte_bpe_50k.json"), {})
+    split = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer.pre_tokenize_str
+    known = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    for at in range(0, len(known), 2000):
+        text = "".join(f"a{c}1{c} {c}{c}! {c}'s" for c in known[at : at + 2000])
+        assert not counter.odd(text)
+        sizes = np.cumsum([0] + [len(t) for t in counter.split(text)])
+        assert [x[1] for x in split(text)] == list(zip(sizes.tolist(), sizes[1:].tolist(), strict=False))
+
+
+def test_packed_ids_are_the_librarys(spark, docs):
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    odd = ["Straße ÉCOLE İstanbul ſ ﬁ", "漢字かな 한국어 😀😀 שלום", "a\u0301e\u0308 ǅ \x1c\x85 ½²", "<|endoftext|> it's", "x" * 500, " ".join(WORDS) * 5]
+    rows = [(k, t) for k, t in enumerate([t for _, t in ROWS] + odd)]
+    got = packing.cut_pieces(spark.createDataFrame(rows, "doc_id long, text string"), path, 64).collect()
+    want = []
+    for k, t in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want += [(k, at, min(64, len(ids) - at), zlib.crc32(ids[at : at + 64].tobytes()), len(ids)) for at in range(0, len(ids), 64)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_packing_is_whole(spark, docs, none):
     import public_tokenizers
 
@@ -442,6 +518,59 @@ def test_decontamination_blocks_agree(spark, docs, none, monkeypatch):
     assert decontamination.contamination(docs, items.limit(0)).filter(F.size("spans") > 0).count() == 0
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on its own input: what it drops, keeps and changes."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = ["password=abcdefgh1 and AKIA" + "B" * 12, "é" + "0" * 40 + " api_key: 'ABCDEFGH'", "token=" + "a1" * 20 + " token=short", BASE, " ".join(NEAR), prose(60)]
+    docs = docs.union(spark.createDataFrame([(10**6 + k, t, "en", "s", len(t)) for k, t in enumerate(texts)], docs.schema))
+    rows = {r.doc_id: r for r in docs.collect()}
+    shown = lambda df: {r.doc_id: r for r in df.collect()}
+    steps = dict(corpus_pipeline.STAGES)
+
+    score = {r.doc_id: r.score for r in quality.score(docs.select("doc_id", "text"), quality.learned(spark, sf)).collect()}
+    assert shown(steps["quality"](spark, docs, sf)) == {i: r for i, r in rows.items() if score[i] >= 0.5}
+
+    groups = components_by_brute_force([(i, r.text) for i, r in rows.items()], 5, 80)
+    assert shown(steps["near_dedup"](spark, docs, sf)) == {i: r for i, r in rows.items() if groups[i][1] == i}
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    items = [w for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if (w := words(r.text))]
+    phrases = {tuple(w[k : k + 10]) for w in items for k in range(max(1, len(w) - 9))}
+    sizes = {len(p) for p in phrases}
+    tainted = {i for i, r in rows.items() for w in [words(r.text)] if any(tuple(w[k : k + n]) in phrases for n in sizes for k in range(len(w) - n + 1))}
+    assert tainted and shown(steps["decontamination"](spark, docs, sf)) == {i: r for i, r in rows.items() if i not in tainted}
+
+    clean = shown(steps["secrets"](spark, docs, sf))
+    assert clean.keys() == rows.keys()
+    changed = 0
+    for i, r in rows.items():
+        spans = sorted((m.start(), m.end()) for _, rule, group, least in BASE_RULES for m in rule.finditer(r.text) if len(m[group]) >= least)
+        out, at = "", 0
+        for start, end in spans:
+            if start >= at:
+                out += r.text[at:start] + "[SECRET]"
+            at = max(at, end)
+        want = out + r.text[at:]
+        if "PRIVATE KEY" not in r.text:
+            assert clean[i].text == want and clean[i].n_chars == (len(want) if spans else r.n_chars)
+        changed += bool(spans)
+    assert changed
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packed: dict = {}
+    for r in steps["packing"](spark, docs, sf).collect():
+        packed.setdefault(r.doc_id, []).append((r.start, r.length))
+    for i, r in rows.items():
+        n = len(library.encode(r.text, add_special_tokens=False).ids) + 1
+        own = sorted(packed[i])
+        assert own[0][0] == 0 and all(a + k == b for (a, k), (b, _) in zip(own, own[1:], strict=False)) and sum(own[-1]) == n
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
