@@ -26,7 +26,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import exists, look_up, read, shared_dir
+from corpusmill.llm.common import exists, hot_limit, look_up, read, shared_dir
 
 
 @dataclass(frozen=True)
@@ -157,8 +157,9 @@ def scan(documents: DataFrame, folder: str | None = None, rules: tuple[Rule, ...
     ledger.add_paths(own.distinct().join(seen, own["path"].eqNullSafe(seen["path"]) & (own["blob"] == seen["blob"]), "left_anti"))
     found = findings(ledger.blobs(), rules).withColumnRenamed("blob", "blob_id_")
     out = documents.drop("found", "blob_id_").withColumn("blob_id_", blob_of(F.col("text")))
-    rows = out.select("blob_id_").join(found.select("blob_id_"), "blob_id_", "left_semi").groupBy("blob_id_").agg(F.count("*").alias("n_"))
-    out = look_up(out, found.join(rows, "blob_id_"), "blob_id_", documents.count())
+    rows = documents.count()
+    counts = out.groupBy("blob_id_").agg(F.count("*").alias("n_")).join(found, "blob_id_", "left")
+    out = look_up(out, counts.filter(F.col("found").isNotNull() | (F.col("n_") > hot_limit(rows))), "blob_id_", rows)
     return out.drop("blob_id_").withColumn("found", F.coalesce("found", F.array().cast(f"array<{FINDING}>"))), ledger
 
 
