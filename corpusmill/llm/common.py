@@ -151,21 +151,20 @@ def components(edges: DataFrame, name: str = "components") -> Staged:
     """Connected components of undirected edges (a long, b long): rows (node, component), the smallest node.
 
     Alternating large-star and small-star rounds. A star's hub is never gathered: its minimum is an
-    aggregate, given back to its edges by `look_up`. Each round is a table in the shared folder, and
-    deleted once the next is written.
+    aggregate, joined back to its edges, a join whose crowded partitions adaptive execution splits. Each
+    round is a table in the shared folder, and deleted once the next is written.
     """
     current = Staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     while True:
         e = current.read()
-        n = e.count()
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n_"))
-        large = look_up(both, low, "a", 2 * n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         mid = Staged(large, name)
         e = mid.read()
-        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n_"))
-        small = look_up(e, low, "a", n).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        low = e.groupBy("a").agg(F.min("b").alias("m"))
+        small = e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         after = Staged(small.filter("a <> b").distinct(), name)
         mark = after.read().agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         current.drop()

@@ -12,9 +12,8 @@ lies within one component is done. The others are compared block by block: pairs
 whose odd sketches allow a link are looked at once more by a second parity bitmap, of the whole set and as
 wide as the set asks for, whose XOR has at most as many bits as the sets have different elements, so that
 it never refuses a link. Of the pairs left, a block emits a spanning forest only, less than one pair a
-node; they are confirmed. Buckets in which one of them was refused are compared again without those, at
-first with `AGAIN` pairs between a node and a component, then with all pairs that the bitmap allows, which
-are those a hair below the threshold. So no link between components is left out that shares a band and passes the sketch; at the
+node; they are confirmed. Buckets in which one of them was refused are compared once more, with all pairs
+of different components that the bitmap allows: what it can't tell lies a hair below the threshold. So no link between components is left out that shares a band and passes the sketch; at the
 threshold of 0.8 a pair shares none of the 32 bands with probability 5e-8, and the sketch bound is six
 standard deviations away.
 
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import Staged, WordHashes, components, look_up, mix, read, text_batches, text_bytes
 
 BANDS, ROWS, SKETCH_BITS, BLOCK, BATCH_BYTES = 32, 4, 1024, 1024, 1 << 20
-PARITY_LEAST, PARITY_MOST, GROUP_ELEMENTS, AGAIN = 2048, 131072, 2_000_000, 16
+PARITY_LEAST, PARITY_MOST, GROUP_ELEMENTS = 2048, 131072, 2_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS, SHIFTS = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
@@ -156,6 +155,8 @@ def confirmed(pairs: DataFrame, documents: DataFrame, percent: int, size: int, s
     sets_at.append(Staged(full_sets(documents.join(needed, "doc_id", "left_semi"), size), "shingle-sets"))
     sets = sets_at[-1].read()
     weights = pairs.groupBy("head").agg(F.sum("n").alias("weight"), F.count("*").alias("n_")).withColumn("parts", F.ceil(F.col("weight") / GROUP_ELEMENTS).cast("int"))
+    sets_at.append(Staged(weights, "heads"))
+    weights = sets_at[-1].read()
     facts = weights.agg(F.sum("weight"), F.sum("n_")).first()
     groups = int(facts[0] or 0) // GROUP_ELEMENTS + 1
     group = F.pmod(F.xxhash64("head", "part"), F.lit(groups)).cast("int")
@@ -215,12 +216,8 @@ class Block:
         return out
 
 
-def forest(left: Block, right: Block | None, percent: int, excluded: dict[int, set[int]], most: int | None = 1) -> tuple[list[int], list[int], list[int]]:
-    """Pairs (head, member, size of the member) that may link and join components of a cell.
-
-    At most `most` pairs join a node to a component, and none are between components joined before (1:
-    less than one pair a node). None: all pairs of different components that may link.
-    """
+def forest(left: Block, right: Block | None, percent: int, excluded: dict[int, set[int]], every: bool = False) -> tuple[list[int], list[int], list[int]]:
+    """Pairs (head, member, size of the member) that may link and join components of a cell, less than one a node; or every one between different components."""
     other = right or left
     names, codes = np.unique(np.concatenate([left.component, other.component]), return_inverse=True)
     mine, theirs = codes[: len(left.node)], codes[len(left.node) :]
@@ -240,13 +237,10 @@ def forest(left: Block, right: Block | None, percent: int, excluded: dict[int, s
         if not len(fine):
             continue
         if right is None:  # the other half of the pairs is met from the other side
-            fine = fine[other.node[fine] > left.node[r]] if most is None else fine
-        if most is not None:
-            at = root[theirs[fine]]
-            fine = fine[np.argsort(at, kind="stable")]
-            found, first, sizes_ = np.unique(root[theirs[fine]], return_index=True, return_counts=True)
-            place = np.arange(len(fine)) - np.repeat(first, sizes_)
-            fine = fine[place < most]
+            fine = fine[other.node[fine] > left.node[r]] if every else fine
+        if not every:
+            found, first = np.unique(root[theirs[fine]], return_index=True)
+            fine = fine[first]
             root[np.isin(root, found)] = root[own]
         for k in fine.tolist():
             heads.append(int(left.node[r]))
@@ -259,7 +253,7 @@ PAIRED = "key long, head long, member long, n long"
 PAIRED_ARROW = pa.schema([(c, pa.int64()) for c in ("key", "head", "member", "n")])
 
 
-def cross_pairs(members: DataFrame, percent: int, most: int | None = 1) -> DataFrame:
+def cross_pairs(members: DataFrame, percent: int, every: bool = False) -> DataFrame:
     """Rows of PAIRED for members (key, blocks, node, component, n_shingles, sketch, parity, refused) of open buckets."""
     posted = members.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
@@ -275,7 +269,7 @@ def cross_pairs(members: DataFrame, percent: int, most: int | None = 1) -> DataF
                 excluded.setdefault(x, set()).add(node)
         block = table["block"].to_numpy()
         sides = [Block(t) for t in (table.filter(pa.array(block == k)) for k in sorted({i, j})) if t.num_rows]
-        columns = forest(sides[0], sides[1] if i != j else None, percent, excluded, most) if len(sides) == len({i, j}) else ([], [], [])
+        columns = forest(sides[0], sides[1] if i != j else None, percent, excluded, every) if len(sides) == len({i, j}) else ([], [], [])
         return pa.Table.from_arrays([pa.array([key] * len(columns[0]), pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], schema=PAIRED_ARROW)
 
     return cells.groupBy("key", "i", "j").applyInArrow(run, PAIRED)
@@ -297,15 +291,17 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5) -> D
     posts = nodes.select("node", F.explode("bands").alias("key"))
     rows = BANDS * nodes.count()
     buckets = posts.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n_")).filter("first < last")
-    shared = keep(look_up(posts, buckets.select("key", "n_", F.col("n_").alias("n")), "key", rows).filter("n is not null"), "buckets")  # only posts in buckets of two nodes or more
+    buckets = keep(buckets.select("key", "n_", F.col("n_").alias("n")), "bucket-sizes")
+    shared = keep(look_up(posts, buckets, "key", rows).filter("n is not null"), "buckets")  # only posts in buckets of two nodes or more
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     leaders = shared.join(degree, "node").groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node"))["node"].alias("head"), F.count("*").alias("n_"))
+    leaders = keep(leaders, "leaders")
     shared = shared.select("key", "node")
 
     facts = nodes.select(F.col("node").alias("head"), F.col("n_shingles").alias("m"), F.col("sketch").alias("y"))
     star = look_up(shared, leaders, "key", rows).filter("node <> head").select("head", F.col("node").alias("member")).distinct()
     star = keep(star, "star")
-    heads = star.groupBy("head").agg(F.count("*").alias("n_")).join(facts, "head").dropDuplicates(["head"])
+    heads = keep(star.groupBy("head").agg(F.count("*").alias("n_")).join(facts, "head").dropDuplicates(["head"]), "heads")
     star = look_up(star, heads, "head", star.count()).join(nodes.select(F.col("node").alias("member"), F.col("n_shingles").alias("n"), F.col("sketch").alias("x")), "member")
     star = keep(star.filter(may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("head", "member", "n"), "star-pairs")
     links = keep(confirmed(star, documents, percent, size, staged), "links")
@@ -316,21 +312,23 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5) -> D
     # a refused pair is listed with its member, so that no list grows with a leader's bucket
     refused = pair(star).join(links, ["a", "b"], "left_anti").select(F.col("member").alias("node"), F.col("head").alias("other"))
     keys = None
-    for most in (1, AGAIN, None):
+    for every in (False, True):
         members = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         members = members if keys is None else members.join(keys, "key", "left_semi")
         spread = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_")).filter("low < high")
-        spread = spread.select("key", "n_", F.ceil(F.col("n_") / BLOCK).cast("int").alias("blocks"))
+        spread = keep(spread.select("key", "n_", F.ceil(F.col("n_") / BLOCK).cast("int").alias("blocks")), "open-buckets")
+        if spread.isEmpty():
+            break
         members = look_up(members, spread, "key", rows).filter("blocks is not null").join(nodes.select("node", "n_shingles", "sketch", "parity"), "node")
         members = members.join(refused.groupBy("node").agg(F.collect_set("other").alias("refused")), "node", "left")
-        crossed = keep(cross_pairs(members, percent, most), "cross-pairs")
+        crossed = keep(cross_pairs(members, percent, every), "cross-pairs")
         if crossed.isEmpty():
             break
         more = keep(confirmed(crossed.select("head", "member", "n").distinct(), documents, percent, size, staged), "links")
         links = links.union(more)
         staged.append(components(links))
         found = staged[-1].read()
-        if most is None:
+        if every:
             break
         failed = keep(pair(crossed.select("head", "member").distinct()).join(more, ["a", "b"], "left_anti"), "refused")
         if failed.isEmpty():
