@@ -155,8 +155,13 @@ def components(edges: DataFrame, name: str = "components") -> Staged:
     round is a table in the shared folder, and deleted once the next is written.
     """
     current = Staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
-    while True:
+
+    def resting(e: DataFrame) -> bool:
+        """Whether all are stars: nobody has two parents, no parent has one."""
+        parents = e.select(F.col("b").alias("a")).distinct().withColumn("parent", F.lit(True))
+        return e.groupBy("a").count().join(parents, "a", "left").filter(F.col("parent") | (F.col("count") > 1)).isEmpty()
+
+    while not resting(current.read()):
         e = current.read()
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -166,13 +171,9 @@ def components(edges: DataFrame, name: str = "components") -> Staged:
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         small = e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         after = Staged(small.filter("a <> b").distinct(), name)
-        mark = after.read().agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         current.drop()
         mid.drop()
         current = after
-        if tuple(mark) == before:
-            break
-        before = tuple(mark)
     e = current.read()
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = Staged(stars.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), name)
