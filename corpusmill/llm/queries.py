@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import chat_format, decontamination, embedding_dedup, katz, minhash_dedup, packing, quality, secrets, substring_dedup, token_counts
+from corpusmill.llm import chat_format, click_dedup, decontamination, embedding_dedup, katz, licences, minhash_dedup, packing, quality, secrets, substring_dedup, token_counts, whitening
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_lm_score": katz.op8_lm_score,
     "op9_packing": packing.op9_packing,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_license_scan": licences.op11_license_scan,
+    "op12_click_dedup": click_dedup.op12_click_dedup,
+    "op13_whitening": whitening.op13_whitening,
 }
-SQL = {"op2_chat_format": chat_format.OP2_SQL, "op10_decontamination": decontamination.OP10_SQL}
+SQL = {"op2_chat_format": chat_format.OP2_SQL, "op10_decontamination": decontamination.OP10_SQL, "op12_click_dedup": click_dedup.OP12_SQL}
