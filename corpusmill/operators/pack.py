@@ -1,14 +1,16 @@
-"""Best-fit packing through a bounded buffer, one packer for each rank.
+"""Best-fit packing through a bounded buffer, one packer for each rank, or for each slice of a rank.
 
-Rows are dealt by rank and sorted; a packer streams its rows with at most BUFFER segments in hand. The
-number of ranks is a parameter, never the incidental number of partitions.
+A packer streams its rows, in order, with at most BUFFER segments in hand. What makes a packer are the
+columns `by`: a rank, or a rank's slice of a pass. A slice is a range of the pass' seeded order, so all
+packers of a range run in the task that holds it, and there are as many tasks as slices, however few ranks
+there are. Ranks and slices are parameters, never the incidental number of partitions.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -70,47 +72,62 @@ def layout(group: list[tuple[list[int], list[int]]], max_len: int, pad: int) ->
     return tuple(out)
 
 
-SCHEMA = "rank int, example_no long, inputs array<int>, labels array<int>, positions array<int>, segments array<int>"
-ARROW = pa.schema([("rank", pa.int32()), ("example_no", pa.int64()), *((n, pa.list_(pa.int32())) for n in ("inputs", "labels", "positions", "segments"))])
+COLUMNS = "example_no long, inputs array<int>, labels array<int>, positions array<int>, segments array<int>"
+SCHEMA = f"rank int, {COLUMNS}"
+#: What makes a packer where ranks are cut into slices.
+SLICED = ("pass_index", "slice", "rank")
+ROWS = 256
 
 
-def pack_rows(rows: Iterable[tuple[int, list[int], list[int]]], case: str, max_len: int, pad: int, buffer: int) -> Iterator[tuple]:
-    """Rows (rank, inputs, labels) in order, ranks in runs."""
-    packer, rank, made = None, None, 0
+def pack_rows(rows: Iterable[tuple], case: str, max_len: int, pad: int, buffer: int) -> Iterator[tuple]:
+    """Rows (packer, inputs, labels) in order, each packer's in a run."""
+    packer, name, made = None, None, 0
 
     def shown(groups: Iterable[list]) -> Iterator[tuple]:
         nonlocal made
         for group in groups:
-            yield (rank, made, *layout(group, max_len, pad))
+            yield (name, made, *layout(group, max_len, pad))
             made += 1
 
     for own, inputs, labels in rows:
-        if own != rank:
+        if packer is None or own != name:
             if packer:
                 yield from shown(packer.rest())
-            packer, rank, made = Packer(case, max_len, buffer), own, 0
+            packer, name, made = Packer(case, max_len, buffer), own, 0
         yield from shown(packer.add(inputs, labels))
     if packer:
         yield from shown(packer.rest())
 
 
-def pack(segments: DataFrame, case: str, max_len: int, pad: int = 0, buffer: int = BUFFER) -> DataFrame:
-    """segments (rank, inputs, labels), dealt by rank and sorted within it: rows of SCHEMA."""
+def pack(segments: DataFrame, case: str, max_len: int, pad: int = 0, buffer: int = BUFFER, by: Sequence[str] = ("rank",)) -> DataFrame:
+    """segments (by, inputs, labels), each packer's in one task and in order: rows of `by` and COLUMNS."""
+    lists = pa.list_(pa.int32())
+    form = pa.schema([*((b, pa.int32()) for b in by), ("example_no", pa.int64()), *((n, lists) for n in ("inputs", "labels", "positions", "segments"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("rank", "inputs", "labels")), strict=True))
+        rows = ((r[:-2], *r[-2:]) for b in batches for r in zip(*(b.column(c).to_pylist() for c in (*by, "inputs", "labels")), strict=True))
         held = []
+
+        def flush() -> pa.RecordBatch:
+            columns = [*zip(*(r[0] for r in held), strict=True), *list(zip(*held, strict=True))[1:]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, form.types, strict=True)], schema=form)
+
         for row in pack_rows(rows, case, max_len, pad, buffer):
             held.append(row)
-            if len(held) == 256:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), ARROW.types, strict=True)], schema=ARROW)
+            if len(held) == ROWS:
+                yield flush()
                 held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), ARROW.types, strict=True)], schema=ARROW)
+            yield flush()
 
-    return segments.select(F.col("rank").cast("int").alias("rank"), "inputs", "labels").mapInArrow(run, SCHEMA)
+    return segments.select(*[F.col(b).cast("int").alias(b) for b in by], "inputs", "labels").mapInArrow(run, ", ".join([*(f"{b} int" for b in by), COLUMNS]))
 
 
 def deal(df: DataFrame, order: list[str], world: int) -> DataFrame:
     """Rows of one rank in one partition, a partition for each of `world` ranks, in order: texts move here, before they become ids."""
     return df.repartitionById(world, F.col("rank").cast("int")).sortWithinPartitions("rank", *order)
+
+
+def in_slices(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows as split.slices leaves them (a pass' slice in one task), brought into the order of their packers: nothing moves."""
+    return df.sortWithinPartitions(*SLICED, *order)

@@ -5,16 +5,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-@F.pandas_udf(StringType())
-def blake2b64(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def blake2b64(text: pa.Array) -> pa.Array:
     """The 8-byte BLAKE2b digest of the UTF-8 text as 16 hex digits: their order is the unsigned order."""
-    return text.map(lambda t: None if t is None else hashlib.blake2b(t.encode(), digest_size=8).hexdigest())
+    return pa.array([None if t is None else hashlib.blake2b(t, digest_size=8).hexdigest() for t in text.cast(pa.binary()).to_pylist()], pa.string())
 
 
 def md5_64(text: Column) -> Column:
@@ -70,23 +70,33 @@ def passes(df: DataFrame, key: str, seed: int, count: int = 1, required: bool =
     return out.withColumn("shuffle_key", shuffle_key(F.col(key), F.lit(seed) + F.col("pass_index")))
 
 
-def ranks(df: DataFrame, key: str, world: int) -> DataFrame:
-    """Every world-th row of each pass' order. The order is numbered range by range, so no task sees a whole pass.
+def place_in_order(digest: Column, parts: int) -> Column:
+    """Which of `parts` equal ranges of a hexadecimal digest's order it falls into."""
+    prefix = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return F.floor(prefix * parts / F.lit(1 << 32)).cast("int")
+
 
-    Rows are range-partitioned by their order; each range's size is counted, and the offsets (one number
-    a partition) are added to the row numbers within ranges.
+def slices(df: DataFrame, key: str, world: int, count: int) -> DataFrame:
+    """Ranks and slices of ordered passes: columns `slice` (which of `count` ranges of the pass' order) and `rank` (every world-th row of the pass).
+
+    Each range's size is counted from the keys alone, and the offsets (one number a pass and range) are added to
+    the row numbers within ranges; so rows move once, to the task of their range, where all of the range's rows
+    then are, and no task sees a whole pass.
     """
-    if world == 1:
-        return df.withColumn("rank", F.lit(0))
     by = ["pass_index", "shuffle_key", key]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long"), F.lit(1 << 32))
-    ranged = df.withColumn("range_", F.floor(part * n / (1 << 32)).cast("int"))
-    sizes = ranged.groupBy("pass_index", "range_").count()
-    before = sizes.withColumn("before_", F.coalesce(F.sum("count").over(Window.partitionBy("pass_index").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    own = F.row_number().over(Window.partitionBy("pass_index", "range_").orderBy(*by)) - 1
-    out = ranged.withColumn("own_", own).join(F.broadcast(before), ["pass_index", "range_"])
-    return out.withColumn("rank", ((F.col("own_") + F.col("before_")) % world).cast("int")).drop("own_", "before_", "range_")
+    ranged = df.withColumn("slice", place_in_order(F.col("shuffle_key"), count))
+    if world == 1:
+        return ranged.repartition("pass_index", "slice").withColumn("rank", F.lit(0))
+    sizes = ranged.groupBy("pass_index", "slice").count()
+    before = sizes.withColumn("before_", F.coalesce(F.sum("count").over(Window.partitionBy("pass_index").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    own = F.row_number().over(Window.partitionBy("pass_index", "slice").orderBy(*by)) - 1
+    out = ranged.withColumn("own_", own).join(F.broadcast(before), ["pass_index", "slice"])
+    return out.withColumn("rank", ((F.col("own_") + F.col("before_")) % world).cast("int")).drop("own_", "before_")
+
+
+def ranks(df: DataFrame, key: str, world: int) -> DataFrame:
+    """Every world-th row of each pass' order."""
+    return slices(df, key, world, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).drop("slice")
 
 
 def resumed_seed(seed: int, global_step: int | None) -> int:

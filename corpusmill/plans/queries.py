@@ -13,6 +13,7 @@ from corpusmill.functions.bpe import SPECIAL, Bpe, decode_udf, encode_udf, inspe
 from corpusmill.functions.bpe import byte_tokens as tokens_of_bytes
 from corpusmill.operators import chat, mask, pack, split
 from corpusmill.operators.segment import segments
+from corpusmill.plans import jobs
 from corpusmill.sources.corpus import CorpusCase, chain, instruction_chats, limit_batches, preview, read_cache, read_instructions, scan, take, write_cache, write_generations, write_metrics
 
 MAX_LEN, RANKS = 1024, 8
@@ -197,6 +198,43 @@ def packed_mask_counts(spark: SparkSession, sf: str) -> DataFrame:
     return packed(spark, sf).agg(F.sum(F.aggregate(real, F.lit(0).cast("long"), lambda a, x: a + x)).alias("visible"))
 
 
+WORLD, SLICES = 3, 6
+ORDER_KEY = "md5('17:' || CAST(doc_id AS VARCHAR))"
+PLACE_SQL = f"CAST('0x' || substring({ORDER_KEY}, 1, 8) AS UBIGINT)"
+
+
+@query(f"""SELECT CAST(p * {SLICES} // 4294967296 AS INTEGER) AS slice, CAST((n - 1) % {WORLD} AS INTEGER) AS rank, CAST(sum(size) AS BIGINT) AS tokens, CAST(sum((size + {MAX_LEN} - 1) // {MAX_LEN}) AS BIGINT) AS segments
+ FROM (SELECT {PLACE_SQL} AS p, row_number() OVER (ORDER BY {ORDER_KEY}, doc_id) AS n, strlen(text) + 1 AS size FROM documents) GROUP BY 1, 2""")
+def pack_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents packed by (rank, slice): what each packer took."""
+    own = case(sf, "documents", "documents")
+    out = jobs.examples(table(spark, sf, "documents"), "doc_id", BYTES, own, MAX_LEN, WORLD, slices=SLICES)
+    used = F.size(F.filter("segments", lambda s: s >= 0))
+    return out.groupBy("slice", "rank").agg(F.sum(used).cast("long").alias("tokens"), F.sum(F.array_max("segments") + 1).cast("long").alias("segments"))
+
+
+CACHED, CACHE_SLICE = 100, 20_000
+
+
+@query(f"""SELECT doc_id, CAST(size AS BIGINT) AS n_inputs, CAST(before // {CACHE_SLICE} AS INTEGER) AS slice
+ FROM (SELECT doc_id, size, sum(size) OVER (ORDER BY {ORDER_KEY}, doc_id) - size AS before FROM (SELECT doc_id, strlen(text) + 1 AS size FROM documents)) WHERE before < {CACHED * MAX_LEN}""")
+def exact_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, by seeded order, that give so many examples, and the slices they are packed in."""
+    out = jobs.first_documents(table(spark, sf, "documents"), "doc_id", BYTES, "text", CACHED, MAX_LEN, work_folder(spark, "prefix"), slice_tokens=CACHE_SLICE)
+    return out.select(F.col("key").alias("doc_id"), "n_inputs", "slice")
+
+
+@query(f"SELECT range AS example_no, {MAX_LEN} AS size, true AS sound FROM range({CACHED})")
+def packed_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Exactly so many packed examples of the corpus, written as a cache and read through its guard."""
+    own, path = case(sf, "documents", "documents"), f"{work_folder(spark, 'packed-cache')}/validation"
+    facts = {"corpus_signature": own.signature()}
+    jobs.validation_cache(table(spark, sf, "documents"), "doc_id", BYTES, own, path, CACHED, MAX_LEN, facts, slice_tokens=CACHE_SLICE)
+    used = F.filter(F.arrays_zip("inputs", "labels", "segments"), lambda x: x["segments"] >= 0)
+    shifted = F.forall(F.sequence(F.lit(1), F.size("u") - 1), lambda i: (F.get("u", i)["segments"] != F.get("u", i - 1)["segments"]) | (F.get("u", i)["inputs"] == F.get("u", i - 1)["labels"]))
+    return read_cache(spark, path, CACHED, MAX_LEN, facts).withColumn("u", used).select("example_no", F.size("inputs").alias("size"), ((F.size("u") < 2) | shifted).alias("sound"))
+
+
 @query("SELECT doc_id, text FROM documents")
 def bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")

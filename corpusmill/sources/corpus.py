@@ -8,7 +8,7 @@ import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -94,11 +94,11 @@ def read_instructions(spark: SparkSession, case: CorpusCase, prompt: str = "text
     return instruction_chats(spark.read.format(form).load(case.dataset_path), prompt, answer)
 
 
-def exactly(df: DataFrame, n: int) -> DataFrame:
-    """The first n rows of an ordered table."""
+def numbered(examples: DataFrame, n: int) -> DataFrame:
+    """The examples numbered below n, in order: no others are sorted."""
     if n <= 0:
         raise ValueError("the number of samples must be positive")
-    return df.limit(n)
+    return examples.filter(F.col("example_no") < n).sort("example_no")
 
 
 def preview(df: DataFrame, order: list[str], texts: list[str], n: int = 5, chars: int = 100) -> DataFrame:
@@ -113,12 +113,13 @@ def limit_batches(examples: DataFrame, order: list[str], batch: int, batches: in
 
 
 def write_cache(examples: DataFrame, path: str, num_samples: int, max_len: int, metadata: dict) -> None:
-    """Exactly `num_samples` examples (ordered by example_no) and their metadata, published by one rename."""
+    """Exactly `num_samples` examples, those numbered below it (example_no counts from 0), and their metadata, published by one rename."""
     spark = examples.sparkSession
     draft = f"{path}.draft-{uuid.uuid4().hex}"
     try:
-        exactly(examples.orderBy("example_no"), num_samples).write.parquet(f"{draft}/examples")
-        found = spark.read.parquet(f"{draft}/examples").count()
+        seen = Observation()
+        numbered(examples, num_samples).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{draft}/examples")
+        found = seen.get["n"]
         if found < num_samples:
             raise ValueError(f"the corpus gives {found} examples; the cache needs {num_samples}")
         write_json(spark, f"{draft}/metadata.json", dict(sorted((metadata | {"num_samples": num_samples, "max_len": max_len}).items())))
