@@ -20,6 +20,8 @@ from corpusmill.sources.files import file_system, read_json, write_json
 #: Control tokens in the order of their ids.
 SPECIAL_TOKENS = ["|<pad>|", "|<unknown>|", "|<bos>|", "|<eos>|", "|<sep>|", "|<cls>|", "|<mask>|", "|<system>|", "|<user>|", "|<assistant>|", "|<thinking>|", "|<end_of_thinking>|", "|<end_of_turn>|"]
 SPECIAL = {t.strip("|<>"): i for i, t in enumerate(SPECIAL_TOKENS)}
+#: Distinct pre-tokens that the driver may hold while it merges them.
+DRIVER_WORDS = 500_000
 #: Special tokens that have a common name.
 NAMED = {"pad": "pad", "unk": "unknown", "bos": "bos", "eos": "eos", "sep": "sep", "cls": "cls", "mask": "mask"}
 #: Fixed value: the public byte-level pre-token pattern; (?U) makes Java's classes Unicode ones.
@@ -78,24 +80,29 @@ class Bpe:
         return shown[token]
 
     def _word(self, word: str) -> list[int]:
+        """The word's merges, the earliest rank first and of equal ones the leftmost.
+
+        Symbols are linked to their neighbours; a heap holds the pairs that can merge, those that have changed
+        meanwhile are passed over. So a word of n bytes takes n log n steps.
+        """
         t = self.tables()
-        ids = [t["to_id"][b] for b in word.encode()]
-        ranks = t["ranks"]
-        while len(ids) > 1:
-            best = min(range(len(ids) - 1), key=lambda i: ranks.get((ids[i], ids[i + 1]), 1 << 60))
-            pair = ids[best], ids[best + 1]
-            if pair not in ranks:
-                break
-            new, out, i = self.first_byte + 256 + ranks[pair], [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        ids: list[int] = [t["to_id"][b] for b in word.encode()]
+        rank, new = t["ranks"].get, self.first_byte + 256
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = [(r, i) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (r := rank(pair)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= len(ids) or rank((ids[i], ids[j])) != r:
+                continue
+            ids[i], ids[j], after[i] = new + r, -1, after[j]
+            if after[j] < len(ids):
+                before[after[j]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] < len(ids) and (own := rank((ids[left], ids[after[left]]))) is not None:
+                    heapq.heappush(heap, (own, left))
+        return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> list[int]:
         t = self.tables()
@@ -247,11 +254,18 @@ def pretoken_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(pretokens(F.col(text))).alias("pretoken")).groupBy("pretoken").agg(F.count("*").alias("n"))
 
 
-def train(df: DataFrame, text: str, vocab_size: int = 65536, least: int = 1, most_words: int = 5_000_000) -> Bpe:
-    """Count pre-tokens in Spark, merge on the driver over the distinct ones (refused beyond `most_words`: raise `least`)."""
+class TooManyWords(ValueError):
+    """There are more distinct pre-tokens than the driver is to hold."""
+
+
+def train(df: DataFrame, text: str, vocab_size: int = 65536, least: int = 1, most_words: int = DRIVER_WORDS) -> Bpe:
+    """Count pre-tokens in Spark, merge on the driver over the distinct ones: for few of them (refused beyond `most_words`).
+
+    bpe_training.train_partitioned makes the same vocabulary of any number.
+    """
     counts = pretoken_counts(df, text).filter(F.col("n") >= least).limit(most_words + 1).toArrow()
     if counts.num_rows > most_words:
-        raise ValueError(f"more than {most_words} distinct pre-tokens; raise `least`")
+        raise TooManyWords(f"more than {most_words} distinct pre-tokens")
     return merge_words(list(zip(counts["pretoken"].to_pylist(), counts["n"].to_pylist(), strict=True)), vocab_size)
 
 

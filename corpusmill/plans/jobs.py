@@ -8,7 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.bpe import SPECIAL, Bpe, Tokenizer, encode_udf, inspected, train
+from corpusmill.functions.bpe import SPECIAL, Bpe, Tokenizer, TooManyWords, encode_udf, inspected, train
+from corpusmill.functions.bpe_training import train_partitioned
 from corpusmill.operators import chat, pack, split
 from corpusmill.operators.segment import segments
 from corpusmill.plans.settings import MIDTRAINING, POSTTRAINING, PRETRAINING, validate
@@ -26,7 +27,10 @@ BYTES_A_TOKEN, SPARE = 4, 1.2
 def train_tokenizer(spark: SparkSession, cases: Iterable[tuple[CorpusCase, str]], folder: str, vocab_size: int = 65536) -> Bpe:
     """cases: a corpus and the column that orders its rows. The tokenizer is saved as a folder."""
     texts = chain([take(scan(spark, case), case, [order]) for case, order in cases])
-    bpe = train(texts, "text", vocab_size)
+    try:
+        bpe = train(texts, "text", vocab_size)
+    except TooManyWords:
+        bpe = train_partitioned(texts, "text", vocab_size)
     bpe.save_folder(spark, folder)
     return bpe
 

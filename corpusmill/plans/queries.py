@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +10,12 @@ from pyspark.sql import functions as F
 from corpusmill.functions import decode, numeric
 from corpusmill.functions.bpe import SPECIAL, Bpe, decode_udf, encode_udf, inspected, pretoken_counts, train
 from corpusmill.functions.bpe import byte_tokens as tokens_of_bytes
+from corpusmill.functions.bpe_training import train_partitioned
 from corpusmill.operators import chat, mask, pack, split
 from corpusmill.operators.segment import segments
 from corpusmill.plans import jobs
 from corpusmill.sources.corpus import CorpusCase, chain, instruction_chats, limit_batches, preview, read_cache, read_instructions, scan, take, write_cache, write_generations, write_metrics
+from corpusmill.sources.files import work_folder
 
 MAX_LEN, RANKS = 1024, 8
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,12 +105,6 @@ def instruction_scan(spark: SparkSession, sf: str) -> DataFrame:
     return chats_.join(numbered, F.col("prompt") == F.col("of.t")).select("item_id", "prompt", "answer_role", "answer")
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can write: next to the checkpoints, or in the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT CAST(doc_id AS BIGINT) AS example_no, n_chars FROM documents ORDER BY doc_id LIMIT 64")
 def cache_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Written, read through the guard, written again over the first."""
@@ -242,6 +237,13 @@ def bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", decode_udf(bpe)(encode_udf(bpe)("text")).alias("text"))
 
 
+@query()
+def bpe_merges(spark: SparkSession, sf: str) -> DataFrame:
+    """The first merges of a vocabulary over all documents, trained over partitioned tables. Rounds of merges are beyond SQL; tests hold it against the public trainer."""
+    merges = train_partitioned(table(spark, sf, "documents").select("text"), "text", 340).merges
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, left_id int, right_id int")
+
+
 @query()
 def pretoken_totals(spark: SparkSession, sf: str) -> DataFrame:
     """All pre-tokens of all documents: their pattern looks ahead, which SQL's regular expressions can't."""
