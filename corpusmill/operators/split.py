@@ -60,13 +60,13 @@ def shuffle_key(key: Column, seed: int | Column) -> Column:
     return F.md5(F.concat_ws(":", seed.cast("string"), key.cast("string")))
 
 
-def passes(df: DataFrame, key: str, seed: int, count: int = 1, required: bool = False) -> DataFrame:
-    """`count` passes over the rows, each with its own order: columns pass_index and shuffle_key. A `required` corpus must not be empty."""
+def passes(df: DataFrame, key: str, seed: int, count: int = 1, required: bool = False, first: int = 0) -> DataFrame:
+    """`count` passes over the rows from the `first` on, each with its own order: columns pass_index and shuffle_key. A `required` corpus must not be empty."""
     if count <= 0:
         raise ValueError("passes must be positive")
     if required and df.isEmpty():
         raise ValueError("the corpus is empty: repeated passes would give nothing")
-    out = df.withColumn("pass_index", F.explode(F.array(*[F.lit(p) for p in range(count)])))
+    out = df.withColumn("pass_index", F.explode(F.sequence(F.lit(first), F.lit(first + count - 1))))
     return out.withColumn("shuffle_key", shuffle_key(F.col(key), F.lit(seed) + F.col("pass_index")))
 
 

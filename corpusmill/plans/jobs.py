@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.functions.bpe import SPECIAL, Bpe, Tokenizer, TooManyWords, encode_udf, inspected, train
 from corpusmill.functions.bpe_training import train_partitioned
@@ -15,6 +16,7 @@ from corpusmill.operators.segment import segments
 from corpusmill.plans.settings import MIDTRAINING, POSTTRAINING, PRETRAINING, validate
 from corpusmill.sources.corpus import CorpusCase, cache_path, chain, read_instructions, scan, take, write_cache
 from corpusmill.sources.files import file_system, write_json, write_model_config
+from corpusmill.streaming.passes import run_passes
 
 #: Fixed values of a packed corpus: the name of its packing, the seed of its order.
 PACKING, SEED = "best_fit", 17
@@ -54,11 +56,29 @@ def examples(docs: DataFrame, key: str, tokenizer: Tokenizer, case: CorpusCase,
     """
     rows = docs.select(F.col(key).alias("key"), F.col(case.text_column).alias("text"))
     ordered = split.slices(split.passes(rows, "key", seed, passes, required=True), "key", world, slices)
+    return packed(ordered, tokenizer, case, max_len)
+
+
+def packed(ordered: DataFrame, tokenizer: Tokenizer, case: CorpusCase, max_len: int) -> DataFrame:
+    """Examples of documents (text) as split.slices leaves them."""
     dealt = pack.in_slices(ordered, ["shuffle_key", "key"])
     own = segments(dealt.select(*pack.SLICED, encode_udf(tokenizer)("text").alias("tokens")), "tokens", max_len, SPECIAL["bos"], SPECIAL["eos"])
     return pack.pack(own, case.name, max_len, by=pack.SLICED)
 
 
+def stream_examples(docs: DataFrame, key: str, tokenizer: Tokenizer, case: CorpusCase, max_len: int, folder: str, checkpoint: str, slices: int, world: int = 1, seed: int = SEED, step: int = 1, first: int = 0, last: int | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Packed examples of pass after pass, `step` slices a micro-batch, without end; the same as examples() makes of those passes.
+
+    Each micro-batch is a folder of its own and replaces what a failed one left there.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.col(case.text_column).alias("text"))
+
+    def each(ordered: DataFrame, number: int) -> None:
+        packed(ordered, tokenizer, case, max_len).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return run_passes(rows, "key", seed, slices, checkpoint, each, world, step, first, last, trigger)
+
+
 def tokenized(docs: DataFrame, tokenizer: Tokenizer, low: float, high: float) -> DataFrame:
     """Documents (key, text) whose place in the seeded order lies in [low, high) of all, as (shuffle_key, key, tokens); no other text is read further."""
     place = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long")
