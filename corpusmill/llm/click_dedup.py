@@ -276,7 +276,8 @@ def feed(spark: SparkSession, folder: str, origin: int, batches: int, width: int
     place = lambda p: jvm.org.apache.hadoop.fs.Path(f"{folder}/{p}")
     fs = place("").getFileSystem(conf)
     fs.mkdirs(place("fed"))
-    settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    # a start has two micro-batches: a store that stayed open after them would hold its files until maintenance comes
+    settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
