@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -67,14 +67,36 @@ def top_p(logits: Column, p: float) -> Column:
     def cut(x: Column) -> Column:
         zipped = F.arrays_zip(softmax(x).alias("p"), x.alias("l"))
         ranked = F.array_sort(F.transform(zipped, lambda v, i: F.struct((-v["l"]).alias("n"), i.alias("i"), v["p"].alias("p"))))
-        state = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("keep"))
-        step = lambda s, v: F.struct((s["sum"] + v["p"]).alias("sum"), F.when(s["sum"] <= p, F.array_append(s["keep"], v["i"])).otherwise(s["keep"]).alias("keep"))
-        kept = F.aggregate(ranked, state, step, lambda s: s["keep"])
-        return let(kept, lambda ids: F.transform(x, lambda v, i: F.when(F.array_contains(ids, i), v).otherwise(F.lit(float("-inf")))))
+        state = F.struct(F.lit(0.0).alias("sum"), F.lit(float("-inf")).alias("n"), F.lit(-1).alias("i"))
+        step = lambda s, v: F.struct((s["sum"] + v["p"]).alias("sum"), F.when(s["sum"] <= p, v["n"]).otherwise(s["n"]).alias("n"), F.when(s["sum"] <= p, v["i"]).otherwise(s["i"]).alias("i"))
+        last = F.aggregate(ranked, state, step, lambda s: F.struct(s["n"].alias("n"), s["i"].alias("i")))
+        # all up to the last kept one, in one pass
+        return let(last, lambda t: F.transform(x, lambda v, i: F.when((-v < t["n"]) | ((-v == t["n"]) & (i <= t["i"])), v).otherwise(F.lit(float("-inf")))))
 
     return let(logits, cut)
 
 
+def top_k_rows(logits: DataFrame, row: str, logit: str, k: int) -> DataFrame:
+    """The same over a table of one logit a row (row, id, logit): each task keeps k of a row's logits and their ties before any move."""
+    if k <= 0:
+        return logits
+    place = F.rank().over(Window.partitionBy(row).orderBy(F.desc(logit)))
+    return logits.withColumn("place_", place).filter(F.col("place_") <= k).drop("place_")
+
+
+def top_p_rows(logits: DataFrame, row: str, token: str, logit: str, p: float) -> DataFrame:
+    """The same over a table of one logit a row: a row's logits are summed up where they lie, then ranked."""
+    if not 0 < p <= 1:
+        raise ValueError("p must be in (0, 1]")
+    if p == 1:
+        return logits
+    high = logits.groupBy(row).agg(F.max(logit).alias("high_"))
+    shares = logits.join(high, row).withColumn("share_", F.exp(F.col(logit) - F.col("high_"))).drop("high_")
+    whole = Window.partitionBy(row)
+    before = F.coalesce(F.sum("share_").over(whole.orderBy(F.desc(logit), token).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return shares.withColumn("before_", before).withColumn("total_", F.sum("share_").over(whole)).filter(F.col("before_") <= p * F.col("total_")).drop("share_", "before_", "total_")
+
+
 def kept_ids(logits: Column) -> Column:
     numbered = F.transform(logits, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     return F.transform(F.filter(numbered, lambda s: s["x"] > float("-inf")), lambda s: s["i"])

@@ -1,17 +1,46 @@
-"""The attention mask of packed segments, within a row: no self-join, no shuffle."""
+"""The attention mask of packed segments, within a row: no self-join, no shuffle.
+
+A query sees one interval of keys, so a mask is a pair of bounds a query; rows of the mask are made on demand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmill.functions.decode import let
+
+
+def bounds(segments: Column) -> Column:
+    """array<struct<first, last>>: a query sees the keys of its own segment up to itself; a padding query all earlier keys that are not padding.
+
+    Segments lie side by side, numbered from 0, with padding (-1) at the end. One pass, and one search a segment.
+    """
+
+    def of(s: Column) -> Column:
+        numbers = F.filter(F.sequence(F.lit(0), F.greatest(F.array_max(s), F.lit(0))), lambda n: n <= F.array_max(s))
+        begins = F.transform(numbers, lambda n: (F.array_position(s, n) - 1).cast("int"))
+        used = F.size(F.filter(s, lambda x: x >= 0))
+        span = lambda first, last: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
+        return let(F.struct(begins.alias("b"), used.alias("u")), lambda t: F.transform(s, lambda x, q: F.when(x >= 0, span(F.get(t["b"], x), q)).otherwise(span(F.lit(0), t["u"] - 1))))
+
+    return let(segments, of)
+
+
+def sees(bound: Column, key: Column) -> Column:
+    """Whether the query of this bound sees a key."""
+    return (key >= bound["first"]) & (key <= bound["last"])
+
+
+def mask_row(bound: Column, size: Column) -> Column:
+    """array<boolean>: one query's row of the mask."""
+    run = lambda value, n: F.array_repeat(F.lit(value), n)
+    return F.concat(run(False, bound["first"]), run(True, bound["last"] - bound["first"] + 1), run(False, size - bound["last"] - 1))
+
 
 def packed_mask(segments: Column) -> Column:
-    """array<array<boolean>>: a query sees earlier keys of its own segment; a padding query all earlier keys that are not padding."""
-    places = F.sequence(F.lit(0), F.size(segments) - 1)
-    at = lambda i: F.element_at(segments, i.cast("int") + 1)
-    row = lambda q: F.transform(places, lambda k: (k <= q) & (at(k) >= 0) & ((at(q) < 0) | (at(k) == at(q))))
-    return F.transform(places, row)
+    """array<array<boolean>>: all rows of the mask."""
+    return let(segments, lambda s: F.transform(bounds(s), lambda b: mask_row(b, F.size(s))))
 
 
 def visible_keys(segments: Column, positions: Column) -> Column:

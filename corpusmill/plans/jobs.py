@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,9 +26,9 @@ SLICE_BYTES, SLICE_TOKENS = 64 << 20, 8 << 20
 BYTES_A_TOKEN, SPARE = 4, 1.2
 
 
-def train_tokenizer(spark: SparkSession, cases: Iterable[tuple[CorpusCase, str]], folder: str, vocab_size: int = 65536) -> Bpe:
-    """cases: a corpus and the column that orders its rows. The tokenizer is saved as a folder."""
-    texts = chain([take(scan(spark, case), case, [order]) for case, order in cases])
+def train_tokenizer(spark: SparkSession, cases: Iterable[tuple[CorpusCase, str | None]], folder: str, vocab_size: int = 65536) -> Bpe:
+    """cases: a corpus and the column that orders its rows (None: the order of its files). The tokenizer is saved as a folder."""
+    texts = chain([take(scan(spark, case), case, order and [order]) for case, order in cases])
     try:
         bpe = train(texts, "text", vocab_size)
     except TooManyWords:
@@ -155,11 +155,13 @@ def pack_corpus(spark: SparkSession, case: CorpusCase, key: str, tokenizer: str,
     part = lambda indexes: split.keep_buckets(docs, case.text_column, modulo, indexes)
     training = part(split.train_indexes(modulo, index))
     slices = slice_count(training, case.text_column)
-    examples(training, key, bpe, case, max_len, world, passes, seed, slices).write.mode("overwrite").partitionBy("rank").parquet(f"{folder}/examples")
+    seen, used = Observation(), F.size(F.filter("segments", lambda x: x >= 0))
+    made = examples(training, key, bpe, case, max_len, world, passes, seed, slices)
+    made.observe(seen, F.count(F.lit(1)).alias("examples"), F.sum(used).alias("tokens")).write.mode("overwrite").partitionBy("rank").parquet(f"{folder}/examples")
     samples = settings["batch_size"] * settings["val_batches"] * world
     cache = cache_path(folder, case, PACKING, max_len, samples, modulo, index, settings.get("validation_cache_path") or "")
     validation_cache(part((index,)), key, bpe, case, cache, samples, max_len, {"packing_version": PACKING, "corpus_signature": case.signature(), "corpus_case": case.fields()})
-    config = settings | {"max_len": max_len, "device_count": world, "slices": slices, "lr_schedule": "warmup_cosine", "corpus_signature": case.signature(), "dataset_case": case.fields()}
+    config = settings | {"max_len": max_len, "device_count": world, "slices": slices, "train_examples": seen.get["examples"], "train_tokens": seen.get["tokens"], "lr_schedule": "warmup_cosine", "corpus_signature": case.signature(), "dataset_case": case.fields()}
     config |= {"global_batch_size": settings["batch_size"] * world, "effective_batch_size": settings["batch_size"] * settings["gradient_accumulation_steps"], "min_learning_rate": settings["learning_rate"] * settings["min_learning_rate_ratio"]}
     config |= {"validation_cache_path": cache, "validation_sample_count": samples, "packing_version": PACKING, "base_shuffle_seed": SEED, "shuffle_seed": seed, **{f"{n}_token_id": SPECIAL[n] for n in ("pad", "bos", "eos")}}
     full = write_model_config(spark, folder, config, inherited)
@@ -174,7 +176,9 @@ def chat_examples(spark: SparkSession, case: CorpusCase, tokenizer: str, folder:
     pairs = read_instructions(spark, case, prompt, answer).select(*[F.col("messages")[i]["content"].alias(f"t{i}") for i in (0, 1)])
     message = lambda role, c: F.struct(F.lit(role).alias("role"), ids(c).alias("tokens"))
     items = pairs.select(chat.serialized(F.array(message("user", "t0"), message("assistant", "t1"))).alias("items"))
-    items.select(chat.example(F.col("items"), max_len).alias("e")).select("e.*").write.mode("overwrite").parquet(f"{folder}/examples")
-    n = spark.read.parquet(f"{folder}/examples").count()
-    write_json(spark, f"{folder}/run.json", {"rows": n, "max_len": max_len, "repeat_epochs": repeat_epochs, "dataset_case": case.fields()})
+    seen, made = Observation(), items.select(chat.example(F.col("items"), max_len).alias("e"), F.size(F.filter("items", lambda x: x["target"])).alias("n")).select("e.*", "n")
+    facts = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("targets")]
+    made.observe(seen, *facts).drop("n").write.mode("overwrite").parquet(f"{folder}/examples")
+    n = seen.get["rows"]
+    write_json(spark, f"{folder}/run.json", {"rows": n, "targets": seen.get["targets"], "max_len": max_len, "repeat_epochs": repeat_epochs, "dataset_case": case.fields()})
     return n

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from corpusmill.functions import decode, numeric
 from corpusmill.functions.bpe import SPECIAL, Bpe, decode_udf, encode_udf, inspected, pretoken_counts, train
 from corpusmill.functions.bpe import byte_tokens as tokens_of_bytes
 from corpusmill.functions.bpe_training import train_partitioned
+from corpusmill.functions.table_functions import register as register_table_functions
 from corpusmill.operators import chat, mask, pack, split
 from corpusmill.operators.segment import segments
 from corpusmill.plans import jobs
-from corpusmill.sources.corpus import CorpusCase, chain, instruction_chats, limit_batches, preview, read_cache, read_instructions, scan, take, write_cache, write_generations, write_metrics
+from corpusmill.sources.corpus import CorpusCase, block_shard, chain, instruction_chats, limit_batches, preview, read_cache, read_instructions, scan, take, write_cache, write_generations, write_metrics
 from corpusmill.sources.files import work_folder
 
 MAX_LEN, RANKS = 1024, 8
@@ -99,10 +101,24 @@ def validation_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT CAST(item_id AS BIGINT) AS item_id, text AS prompt, 'assistant' AS answer_role, text AS answer FROM benchmark")
 def instruction_scan(spark: SparkSession, sf: str) -> DataFrame:
-    own = case(sf, "benchmark", "benchmark")
-    numbered = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), F.struct(F.col("text").alias("t")).alias("of"))
-    chats_ = read_instructions(spark, own, "text", "text").select(F.col("messages")[0]["content"].alias("prompt"), F.col("messages")[1]["role"].alias("answer_role"), F.col("messages")[1]["content"].alias("answer"))
-    return chats_.join(numbered, F.col("prompt") == F.col("of.t")).select("item_id", "prompt", "answer_role", "answer")
+    out = read_instructions(spark, case(sf, "benchmark", "benchmark"), "text", "text", keep=["item_id"])
+    user, reply = F.col("messages")[0], F.col("messages")[1]
+    return out.select(F.col("item_id").cast("long").alias("item_id"), user["content"].alias("prompt"), reply["role"].alias("answer_role"), reply["content"].alias("answer"))
+
+
+@query("SELECT substring(text, 1, 100) AS text, doc_id AS place FROM documents ORDER BY doc_id LIMIT 200")
+def corpus_take_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rows of the files as they lie, without an ordering column; a row's place is its number in the file."""
+    own = case(sf, "documents", "documents", sample_count=200, max_chars=100)
+    return take(scan(spark, own), own).select("text", F.col("order_1").alias("place"))
+
+
+@query("SELECT count(*) AS n, true AS each_has_one_shard FROM documents")
+def corpus_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows labelled with shards by their place in files, and read again shard by shard."""
+    docs, shard = scan(spark, case(sf, "documents", "documents")), block_shard(4, 50)
+    parts = [docs.filter(shard == k).select(shard.alias("shard"), F.lit(k).alias("k")) for k in range(4)]
+    return reduce(DataFrame.union, parts).agg(F.count("*").alias("n"), F.bool_and(F.col("shard") == F.col("k")).alias("each_has_one_shard"))
 
 
 @query("SELECT CAST(doc_id AS BIGINT) AS example_no, n_chars FROM documents ORDER BY doc_id LIMIT 64")
@@ -186,6 +202,32 @@ def padded_layout(spark: SparkSession, sf: str) -> DataFrame:
     return packed(spark, sf).agg(F.bool_and(sound).alias("sound"), F.sum(used).cast("long").alias("tokens"))
 
 
+@query(f"SELECT CAST(sum(size * (size + 1) // 2) AS BIGINT) AS visible FROM ({SEGMENT_SQL})")
+def mask_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The masks of all packed documents as intervals: how many pairs of query and key they hold, padding left out."""
+    real = F.filter(F.arrays_zip(mask.bounds(F.col("segments")).alias("b"), F.col("segments").alias("s")), lambda x: x["s"] >= 0)
+    return packed(spark, sf).agg(F.sum(F.aggregate(real, F.lit(0).cast("long"), lambda a, x: a + x["b"]["last"] - x["b"]["first"] + 1)).alias("visible"))
+
+
+@query(SEGMENT_SQL)
+def sql_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments by the table function, called from SQL."""
+    register_table_functions(spark)
+    table(spark, sf, "documents").select("doc_id", tokens_of_bytes(F.col("text")).alias("tokens")).createOrReplaceTempView("corpusmill_docs")
+    return spark.sql(f"SELECT doc_id, CAST(segment_no AS BIGINT) AS segment_no, CAST(size(inputs) AS BIGINT) AS size FROM token_segments(TABLE(corpusmill_docs), max_len => {MAX_LEN}, bos => {SPECIAL['bos']}, eos => {SPECIAL['eos']})")
+
+
+@query(f"SELECT CAST(doc_id % {RANKS} AS BIGINT) AS rank, CAST(sum(strlen(text) + 1) AS BIGINT) AS tokens, CAST(sum((strlen(text) + {MAX_LEN}) // {MAX_LEN}) AS BIGINT) AS segments FROM documents GROUP BY 1")
+def sql_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents segmented and packed in SQL, a packer for each partition of the call."""
+    register_table_functions(spark)
+    ids = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % RANKS).alias("rank"), tokens_of_bytes(F.col("text")).alias("tokens"))
+    ids.createOrReplaceTempView("corpusmill_docs")
+    return spark.sql(f"""WITH s AS (SELECT * FROM token_segments(TABLE(corpusmill_docs), max_len => {MAX_LEN}, bos => {SPECIAL['bos']}, eos => {SPECIAL['eos']}))
+     SELECT rank, CAST(sum(size(filter(segments, x -> x >= 0))) AS BIGINT) AS tokens, CAST(sum(array_max(segments) + 1) AS BIGINT) AS segments
+     FROM pack_best_fit(TABLE(s) PARTITION BY rank ORDER BY (doc_id, segment_no), corpus => 'documents', max_len => {MAX_LEN}, keep => 'rank') GROUP BY rank""")
+
+
 @query(f"SELECT CAST(sum(size * (size + 1) // 2) AS BIGINT) AS visible FROM ({SEGMENT_SQL})")
 def packed_mask_counts(spark: SparkSession, sf: str) -> DataFrame:
     seen = mask.visible_keys(F.col("segments"), F.col("positions"))
@@ -354,6 +396,10 @@ def logits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 10).alias("x"))
 
 
+def logit_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return logits(spark, sf).select("vec_id", F.posexplode("x").alias("token", "logit"))
+
+
 def ids(c: Column) -> Column:
     return F.array_join(c, ",").alias("kept")
 
@@ -363,6 +409,17 @@ def topk_filter(spark: SparkSession, sf: str) -> DataFrame:
     return logits(spark, sf).select("vec_id", ids(decode.kept_ids(decode.top_k(F.col("x"), 8))))
 
 
+@query(f"SELECT vec_id, CAST(i AS INTEGER) AS token, l AS logit FROM (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY l DESC) AS r FROM ({EACH})) WHERE r <= 8")
+def topk_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return decode.top_k_rows(logit_rows(spark, sf), "vec_id", "logit", 8)
+
+
+@query(f"""SELECT vec_id, CAST(i AS INTEGER) AS token, l AS logit FROM (SELECT *, coalesce(sum(e) OVER (PARTITION BY vec_id ORDER BY l DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(e) OVER (PARTITION BY vec_id) AS total
+ FROM (SELECT *, exp(l - max(l) OVER (PARTITION BY vec_id)) AS e FROM ({EACH}))) WHERE before <= 0.9 * total""")
+def topp_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return decode.top_p_rows(logit_rows(spark, sf), "vec_id", "token", "logit", 0.9)
+
+
 @query(f"""WITH k AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY l DESC) AS r, max(l) OVER (PARTITION BY vec_id) AS m FROM ({EACH})) WHERE r <= 8),
 p AS (SELECT *, exp(l - m) / sum(exp(l - m)) OVER (PARTITION BY vec_id) AS p FROM k),
 c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY l DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)

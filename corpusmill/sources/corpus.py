@@ -71,9 +71,45 @@ def reshard(df: DataFrame, shards: int, key: str | None = None) -> DataFrame:
     return df.repartition(shards) if key is None else df.repartition(shards, key)
 
 
-def take(df: DataFrame, case: CorpusCase, order: list[Column | str]) -> DataFrame:
-    """The first `sample_count` rows in `order`, their texts cut to `max_chars` code points: (text)."""
+def file_order() -> list[Column]:
+    """Where a row lies: its file and its place there. Every file scan has them, so an order needs no column."""
+    return [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+
+
+def block_shard(shards: int, block_rows: int = 10_000) -> Column:
+    """The shard of a row, by the block of rows it lies in: nothing moves, and how files are split into tasks doesn't matter."""
+    if shards <= 0:
+        raise ValueError("shards must be positive")
+    path, row = file_order()
+    return F.pmod(F.xxhash64(F.regexp_extract(path, "[^/]+$", 0), F.floor(row / block_rows)), F.lit(shards)).cast("int")
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of a file scan, in the order of files and of rows in them: by a filter, without a sort or an exchange.
+
+    Rows of files are counted from their footers, in the files' order and no further than n; other files are not
+    opened again.
+    """
+    if n <= 0:
+        raise ValueError("the number of rows must be positive")
+    path, row = file_order()
+    whole, last, left = [], None, n
+    for r in df.groupBy(path.alias("path")).agg(F.count("*").alias("n")).orderBy("path").toLocalIterator():
+        if r.n >= left:
+            last = r.path
+            break
+        whole.append(r.path)
+        left -= r.n
+    mine = path.isin(whole) if whole else F.lit(False)
+    return df.filter(mine if last is None else mine | ((path == last) & (row < left)))
+
+
+def take(df: DataFrame, case: CorpusCase, order: list[Column | str] | None = None) -> DataFrame:
+    """The first `sample_count` rows in `order`, their texts cut to `max_chars` code points: (text, order_0, ...). Without an order: that of the files."""
     text = F.col(case.text_column) if case.max_chars is None else F.substring(case.text_column, 1, case.max_chars)
+    if order is None:
+        rows = df if case.sample_count is None else first_rows(df, case.sample_count)
+        return rows.select(text.alias("text"), *[o.alias(f"order_{i}") for i, o in enumerate(file_order())])
     out = df.select(text.alias("text"), *[F.col(o).alias(f"order_{i}") if isinstance(o, str) else o.alias(f"order_{i}") for i, o in enumerate(order)])
     return out if case.sample_count is None else out.orderBy(*[f"order_{i}" for i in range(len(order))]).limit(case.sample_count)
 
@@ -89,9 +125,9 @@ def instruction_chats(df: DataFrame, prompt: str = "text", answer: str = "output
     return df.select(*(keep or []), F.array(message("user", prompt), message("assistant", answer)).alias("messages"))
 
 
-def read_instructions(spark: SparkSession, case: CorpusCase, prompt: str = "text", answer: str = "output", form: str = "parquet") -> DataFrame:
-    """A whole instruction corpus as chats (messages), one for each row."""
-    return instruction_chats(spark.read.format(form).load(case.dataset_path), prompt, answer)
+def read_instructions(spark: SparkSession, case: CorpusCase, prompt: str = "text", answer: str = "output", form: str = "parquet", keep: list[str] | None = None) -> DataFrame:
+    """A whole instruction corpus as chats (messages), one for each row, and the columns to `keep`."""
+    return instruction_chats(spark.read.format(form).load(case.dataset_path), prompt, answer, keep)
 
 
 def numbered(examples: DataFrame, n: int) -> DataFrame:
