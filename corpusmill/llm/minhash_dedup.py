@@ -13,7 +13,8 @@ whose odd sketches allow a link are looked at once more by a second parity bitma
 wide as the set asks for, whose XOR has at most as many bits as the sets have different elements, so that
 it never refuses a link. Of the pairs left, a block emits a spanning forest only, less than one pair a
 node; they are confirmed. Buckets in which one of them was refused are compared once more, with all pairs
-of different components that the bitmap allows: what it can't tell lies a hair below the threshold. So no link between components is left out that shares a band and passes the sketch; at the
+of different components that the bitmap allows: what it can't tell lies a hair below the threshold (at 0.8,
+above 0.79, however long the texts). So no link between components is left out that shares a band and passes the sketch; at the
 threshold of 0.8 a pair shares none of the 32 bands with probability 5e-8, and the sketch bound is six
 standard deviations away.
 
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import Staged, WordHashes, components, look_up, mix, read, text_batches, text_bytes
 
 BANDS, ROWS, SKETCH_BITS, BLOCK, BATCH_BYTES = 32, 4, 1024, 1024, 1 << 20
-PARITY_LEAST, PARITY_MOST, GROUP_ELEMENTS = 2048, 131072, 2_000_000
+PARITY_LEAST, GROUP_ELEMENTS = 2048, 2_000_000
+#: Elements of the sets in a block of a bucket: their bitmaps have a byte an element at most.
+BLOCK_ELEMENTS = 32 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS, SHIFTS = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
@@ -80,8 +83,8 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
 
 
 def set_parity(elements: np.ndarray) -> np.ndarray:
-    """Parity bitmap of a whole set, as 64-bit words: four bits an element and more, within bounds."""
-    bits = min(PARITY_MOST, max(PARITY_LEAST, 1 << (4 * len(elements) - 1).bit_length()))
+    """Parity bitmap of a whole set, as 64-bit words: four to eight bits an element, however many there are."""
+    bits = max(PARITY_LEAST, 1 << (4 * len(elements) - 1).bit_length())
     counts = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -192,16 +195,16 @@ class Block:
         self.sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(len(self.node), -1).view(np.uint64)
         self.parity = [x.values.to_numpy().view(np.uint64) for x in table["parity"].combine_chunks()]
         self.width = np.array([len(x) for x in self.parity])
-        self.tables: dict[int, np.ndarray] = {}
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def at_width(self, places: np.ndarray, width: int) -> np.ndarray:
         """Bitmaps of nodes that are as wide, or twice as wide and then folded."""
         if width not in self.tables:
-            table = np.zeros((len(self.node), width), np.uint64)
-            for k in np.flatnonzero((self.width == width) | (self.width == 2 * width)).tolist():
-                table[k] = self.parity[k] if self.width[k] == width else folded(self.parity[k])
-            self.tables[width] = table
-        return self.tables[width][places]
+            own = np.flatnonzero((self.width == width) | (self.width == 2 * width))
+            rows = [self.parity[k] if self.width[k] == width else folded(self.parity[k]) for k in own.tolist()]
+            self.tables[width] = own, np.stack(rows)
+        own, table = self.tables[width]
+        return table[np.searchsorted(own, places)]
 
     def differing(self, places: np.ndarray, width: int, parity: np.ndarray) -> np.ndarray:
         """How many bits these nodes' bitmaps differ in from one of this width; the wider one is folded."""
@@ -288,7 +291,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5) -> D
     same = sig.filter("set_key is not null").groupBy("set_key")
     classes = keep(same.agg(F.min("doc_id").alias("node"), F.count("*").alias("n_"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "parity")]), "classes")
     nodes = classes.filter("node is not null").drop("set_key", "n_")
-    posts = nodes.select("node", F.explode("bands").alias("key"))
+    posts = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
     rows = BANDS * nodes.count()
     buckets = posts.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n_")).filter("first < last")
     buckets = keep(buckets.select("key", "n_", F.col("n_").alias("n")), "bucket-sizes")
@@ -296,7 +299,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5) -> D
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     leaders = shared.join(degree, "node").groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node"))["node"].alias("head"), F.count("*").alias("n_"))
     leaders = keep(leaders, "leaders")
-    shared = shared.select("key", "node")
+    shared = shared.select("key", "node", "n_shingles")
 
     facts = nodes.select(F.col("node").alias("head"), F.col("n_shingles").alias("m"), F.col("sketch").alias("y"))
     star = look_up(shared, leaders, "key", rows).filter("node <> head").select("head", F.col("node").alias("member")).distinct()
@@ -313,13 +316,14 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5) -> D
     refused = pair(star).join(links, ["a", "b"], "left_anti").select(F.col("member").alias("node"), F.col("head").alias("other"))
     keys = None
     for every in (False, True):
-        members = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        members = shared.join(found, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
         members = members if keys is None else members.join(keys, "key", "left_semi")
-        spread = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_")).filter("low < high")
-        spread = keep(spread.select("key", "n_", F.ceil(F.col("n_") / BLOCK).cast("int").alias("blocks")), "open-buckets")
+        spread = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_"), F.sum("n_shingles").alias("elements")).filter("low < high")
+        blocks = F.greatest(F.ceil(F.col("n_") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+        spread = keep(spread.select("key", "n_", blocks.alias("blocks")), "open-buckets")
         if spread.isEmpty():
             break
-        members = look_up(members, spread, "key", rows).filter("blocks is not null").join(nodes.select("node", "n_shingles", "sketch", "parity"), "node")
+        members = look_up(members, spread, "key", rows).filter("blocks is not null").join(nodes.select("node", "sketch", "parity"), "node")
         members = members.join(refused.groupBy("node").agg(F.collect_set("other").alias("refused")), "node", "left")
         crossed = keep(cross_pairs(members, percent, every), "cross-pairs")
         if crossed.isEmpty():
