@@ -13,7 +13,8 @@ is shuffled.
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. A phrase
 is each window of `WINDOW` consecutive words of an item, or the whole of a shorter item that has words.
 
-Nulls: a null text has no words; null doc ids are kept; items with a null id are left out. Repeated rows
+Nulls: a null text has no words; null doc ids are kept; an item with a null id marks words like any other, but is
+not named among the items found. Repeated rows
 each get a row; repeated items count once for an id, and items that share a phrase (ties) are all named.
 Texts may be of any length: a very long one is a shard by itself, a very long item many parts. Of other
 columns, those named like the operator's own (n_words, spans, items) are replaced. Empty tables: no rows,
@@ -36,6 +37,8 @@ from pyspark.sql.types import StructType
 from corpusmill.llm.common import Staged, read, text_batches, text_bytes
 from corpusmill.llm.fm_index import FMIndex, joined
 
+#: Stands for a null id within a block of phrases.
+NAMELESS = np.iinfo(np.int64).min
 WINDOW, BLOCK_PHRASES, PART, SHARD_BYTES = 10, 400_000, 20_000, 4 << 20
 #: Bytes of words; A-Z become a-z, other ASCII a space.
 TABLE = bytes(c if c >= 0x80 or chr(c).isdigit() or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -48,7 +51,7 @@ def words(text: bytes) -> list[bytes]:
 class Phrases:
     """Test phrases as rows of word numbers, by length, with the items that hold each."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes]], window: int) -> None:
         self.number: dict[bytes, int] = {}
         held: dict[int, list[np.ndarray]] = {}
         for item, line in items:
@@ -58,7 +61,7 @@ class Phrases:
                 size = min(window, len(ids))
                 rows = np.lib.stride_tricks.sliding_window_view(ids, size)
                 held.setdefault(size, []).append(np.concatenate([rows, np.full((len(rows), 1), len(held.setdefault(-1, [])), np.int32)], 1))
-                held[-1].append(np.int64(item))
+                held[-1].append(np.int64(NAMELESS if item is None else item))
         names = np.array(held.pop(-1, []), np.int64)
         self.least = min(held, default=window)
         #: For each length: phrases, where each one's items begin, and the items.
@@ -127,7 +130,7 @@ def parts_of(items: DataFrame, window: int) -> DataFrame:
                 lines = [b" ".join(own[at : at + PART + window - 1]) for at in cuts]
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(lines), pa.int64()), pa.array(lines, pa.binary()), pa.array([min(PART, total - at) for at in cuts], pa.int64())], names=["item_id", "line", "n"])
 
-    some = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    some = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     return some.mapInArrow(run, "item_id long, line binary, n long")
 
 
@@ -150,7 +153,7 @@ def scan_block(documents: DataFrame, shipped: Broadcast, names: list[str]) -> Da
                 own = words(text)
                 docs.append(np.fromiter(map(number, own), np.int64, len(own)))
             spans, found = search_shard(docs, phrases)
-            more = [pa.array([len(d) for d in docs], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], ADDED[1][1]), pa.array([sorted(f) for f in found], ADDED[2][1])]
+            more = [pa.array([len(d) for d in docs], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], ADDED[1][1]), pa.array([sorted(f - {NAMELESS}) for f in found], ADDED[2][1])]
             keep = [batch.column(c) for c in names]
             return pa.RecordBatch.from_arrays([*keep, *more], names=[*names, *(n for n, _ in ADDED)])
 
@@ -188,14 +191,15 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
         parts.drop()
         return out
     row = "row_" if "row_" not in names else next(f"row_{k}" for k in range(len(names) + 1) if f"row_{k}" not in names)
-    numbered = Staged(documents.withColumn(row, F.monotonically_increasing_id()), "numbered").read()
-    found = []
+    copy = Staged(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    numbered, found = copy.read(), []
     for k in range(count):
         shipped = phrases(k)
         own = scan_block(numbered, shipped, [*names, row] if k == 0 else [row])
         found.append(Staged(own if k == 0 else own.filter(F.size("spans") > 0), "found").read())
         shipped.destroy()
     parts.drop()
+    copy.drop()
     first = found[0]
     rest = reduce(DataFrame.union, [p.select(row, "spans", "items") for p in found])
     merged = rest.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -220,7 +224,7 @@ def digest(items: set[int]) -> str:
 
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 p AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS phrase, least(len(w), 10) AS size
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT size FROM p),
@@ -228,7 +232,7 @@ hits AS (SELECT DISTINCT doc_id, item_id, i, g.size FROM (
   SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase
   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)) g JOIN p ON g.phrase = p.phrase AND g.size = p.size),
 words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
