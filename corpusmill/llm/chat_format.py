@@ -6,8 +6,10 @@ its last turn. A template whose longer output does not begin with the shorter on
 such conversations are reported, not masked.
 
 Long conversations are output in segments of `SEGMENT` turns. A template whose attribute `concatenative`
-is true, as the default one's, renders each turn by itself, so its segments are rendered apart and the work
-stays linear. No probe can prove this of a black box: any other template renders every prefix of the whole
+is true, as the default one's, says that it renders each turn by itself, so its segments are rendered apart and the
+work stays linear. At each border between segments this is put to the proof: both together must render as one after
+the other, or the conversation is reported as rewritten. What a template does over more than two segments is taken
+on its word, as no probe can prove it of a black box: any other template renders every prefix of the whole
 conversation, which is held in memory, quadratic in its turns. One that rewrites history is then reported
 in one row with its whole rendering.
 
@@ -87,9 +89,12 @@ def render(groups: Iterator[tuple[int | None, Iterator[Turn]]], template: Templa
     """Rows of OUTPUT. Offsets are code points within the segment's string."""
     apart = getattr(template, "concatenative", False)
     for conv, turns in groups:
-        segment = 0
+        segment, last = 0, []
         while part := list(islice(turns, SEGMENT) if apart else turns):
             added, rewritten = turn_spans(part, template, [])
+            if apart and last and not rewritten:
+                rewritten = template(last + part) != template(last) + "".join(added)
+            last = part if apart else []
             bounds: list[tuple[int, int] | None] = []
             for k, ((who, _), shown) in enumerate(zip(part, added, strict=False)):
                 bounds.append(content_bounds(template, part[:k], who, shown) if who == role else None)
