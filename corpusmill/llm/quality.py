@@ -10,7 +10,8 @@ Word counts and neighbour sums are aggregations over the whole texts of all docu
 fitted on the driver on a bounded sample: at most `FIT_ROWS` labels, those with the least hash of the id
 (and at most twice as many rows of documents, should ids repeat, by the hash of the text), whose whole
 texts are pooled in executors, so that only vectors of fixed length are collected.
-Scoring reads whole texts. Labels, lang, source and ids are never inputs of a score.
+Scoring reads whole texts. The model is shipped to all tasks, so its vocabulary has a bound, which is a parameter of
+`fit`: of words beyond it only the shape counts (its first eight signs), of shapes beyond it nothing. Labels, lang, source and ids are never inputs of a score.
 
 Nulls: a null text is empty and scored as such (its pooled vectors are zero); rows with a null label or
 id are not learned from; a null id is kept and scored. Of repeated labels of one id each counts. Without
@@ -29,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -36,7 +38,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from corpusmill.llm.common import Staged, read, text_batches
 
 FIT_ROWS = 6_000
-DIM, WINDOW, NONZERO, WORD_LEAST, WORDS, SHAPES = 48, 2, 6, 4, 20_000, 500
+#: The vocabulary: the WORDS most frequent words of WORD_LEAST occurrences or more, the SHAPES most frequent shapes.
+WORD_LEAST, WORDS, SHAPES = 4, 20_000, 500
+DIM, WINDOW, NONZERO = 48, 2, 6
+#: Tasks whose sums one group adds up; sums of sums are added up likewise.
+FAN, LEVELS = 64, 2
 HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.01, 1e-3
 CACHE, BATCH_BYTES = 400_000, 1 << 20
 HELD, CHUNK = 300_000, 256
@@ -162,45 +168,48 @@ def neighbour_sums(texts: list[str], vectors: Vectors, index: np.ndarray, word_i
     out[rows[order[first]]] += np.add.reduceat(around[place[order]], first, axis=0, dtype=np.int32)
 
 
-def random_indexing(documents: DataFrame) -> Vectors:
+def random_indexing(documents: DataFrame, n_words: int = WORDS, n_shapes: int = SHAPES, least: int = WORD_LEAST) -> Vectors:
     """Word and shape vectors learned from all texts. Sums are whole numbers, so their order does not matter."""
     spark = documents.sparkSession
     texts = documents.select("text")
     added = lambda df: df.groupBy("unit").agg(F.sum("n").alias("n"))
     counts = Staged(added(texts.mapInArrow(count_words, "unit string, n long")), "word-counts")
-    words = [r.unit for r in counts.read().filter(F.col("n") >= WORD_LEAST).orderBy(F.desc("n"), "unit").limit(WORDS).collect()]
-    occurrences = {r.unit: r.n for r in added(counts.read().mapInArrow(count_shapes, "unit string, n long")).orderBy(F.desc("n"), "unit").limit(SHAPES).collect()}
+    words = [r.unit for r in counts.read().filter(F.col("n") >= least).orderBy(F.desc("n"), "unit").limit(n_words).collect()]
+    occurrences = {r.unit: r.n for r in added(counts.read().mapInArrow(count_shapes, "unit string, n long")).orderBy(F.desc("n"), "unit").limit(n_shapes).collect()}
     counts.drop()
     shapes = list(occurrences)
     out = Vectors({w: k + 1 for k, w in enumerate(words)}, {s: k + 1 for k, s in enumerate(shapes)}, np.zeros((len(words) + 1, DIM), np.float32), np.zeros((len(shapes) + 1, DIM), np.float32))
     index = np.concatenate([np.zeros((1, DIM)), index_vectors(["s" + s for s in shapes])]).astype(np.int8)
     word_index = np.concatenate([np.zeros((1, DIM)), index_vectors(["w" + w for w in words])]).astype(np.int8)
-    n_words, height = len(words) + 1, len(words) + len(shapes) + 2
+    first_shape, height = len(words) + 1, len(words) + len(shapes) + 2
     shared = spark.sparkContext.broadcast((out, index, word_index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((height, DIM))
+        task, sums = TaskContext.get().partitionId(), np.zeros((height, DIM))
         vectors, *tables = shared.value
         for batch in text_batches(batches, BATCH_BYTES):
             neighbour_sums([t or "" for t in batch.column("text").to_pylist()], vectors, *tables, sums)
         for k in range(0, height, CHUNK):
             part = sums[k : k + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["at", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["task", "at", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_buffer()) for x in table["sums"])
-        return pa.table({"at": table["at"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"task": table["task"][:1], "at": table["at"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
+    added_up = texts.mapInArrow(run, "task int, at int, sums binary")
+    for _ in range(LEVELS):
+        added_up = added_up.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("task", "at").applyInArrow(add, "task int, at int, sums binary")
     sums = np.zeros((height, DIM))
-    for r in texts.mapInArrow(run, "at int, sums binary").groupBy("at").applyInArrow(add, "at int, sums binary").collect():  # at most height / CHUNK rows
+    for r in added_up.groupBy("at").applyInArrow(add, "task int, at int, sums binary").collect():  # at most height / CHUNK rows
         part = np.frombuffer(r.sums).reshape(-1, DIM)
         sums[r.at : r.at + len(part)] = part
-    shape_sums = sums[n_words:]
+    shape_sums = sums[first_shape:]
     if words:
-        np.add.at(shape_sums, [out.shapes.get(shape(w), 0) for w in words], sums[1:n_words])
+        np.add.at(shape_sums, [out.shapes.get(shape(w), 0) for w in words], sums[1:first_shape])
     shape_sums += index * np.array([0, *occurrences.values()])[:, None]
-    out.word_table, out.shape_table = sums[:n_words].astype(np.float32), shape_sums.astype(np.float32)
+    out.word_table, out.shape_table = sums[:first_shape].astype(np.float32), shape_sums.astype(np.float32)
     for table in (out.word_table, out.shape_table):
         table[0] = 0
         table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
@@ -260,7 +269,7 @@ class Model:
         return self.network.scores(self.vectors.pool(texts)) if self.network else np.full(len(texts), self.share)
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, words: int = WORDS, shapes: int = SHAPES, least: int = WORD_LEAST) -> Model:
     """documents (doc_id, text); labels (doc_id, quality). At most `rows` labels and twice as many pooled vectors reach the driver."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
@@ -268,7 +277,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     seen = {r.quality: r["count"] for r in sample.groupBy("quality").count().collect()}
     if len(seen) < 2:
         return Model((seen.get(1, 0) + 1) / (sum(seen.values()) + 2))
-    vectors = random_indexing(documents)
+    vectors = random_indexing(documents, words, shapes, least)
     shared = documents.sparkSession.sparkContext.broadcast(vectors)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
