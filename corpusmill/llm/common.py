@@ -33,6 +33,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Staged:
     """A table written to the shared folder, so that lineage ends there."""
 
@@ -48,13 +53,7 @@ class Staged:
 
     def drop(self) -> None:
         """Delete the files; only once nothing lazy refers to them any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    return Staged(df, name).read()
+        remove(self.spark, self.path)
 
 
 def look_up(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
