@@ -11,11 +11,13 @@ text that is changed); an empty table gives no rows. Repeated rows and ties: see
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontamination, minhash_dedup, packing, quality, secrets
-from corpusmill.llm.common import read, stage
+from corpusmill.llm.common import Staged, read, remove, shared_dir
 
 #: SQL can't express the classifier or the tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -61,9 +63,9 @@ def cut_test_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return widen(scanned.filter(F.size("spans") == 0), docs)
 
 
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; every row stays, repeated ones too. Overlapping spans become one mark."""
-    found, _ = secrets.scan(narrow(docs))
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """Secrets are replaced in the texts; every row stays, repeated ones too. Overlapping spans become one mark. The ledger's folder is a new one where none is given."""
+    found, _ = secrets.scan(narrow(docs), ledger)
     out = found.withColumn("text", secrets.redact(F.col("text"), F.col("found")))
     if "n_chars" in docs.columns:
         length = F.when(F.size("found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("other_")["n_chars"])
@@ -88,7 +90,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages. A stage's table is deleted when the next one is written; the result refers to the pieces alone."""
+    ledger = f"{shared_dir(spark)}/pipeline-ledger-{uuid.uuid4().hex}"
+    docs, held = read(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        more = {"ledger": ledger} if name == "secrets" else {}
+        after = Staged(step(spark, docs, sf_dir, **more), f"pipeline-{name}")
+        if held is not None:
+            held.drop()
+        docs, held = after.read(), after
+    remove(spark, ledger)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    held.drop()
+    return out
