@@ -457,15 +457,27 @@ def masked_ce(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("label").agg(F.round(numeric.masked_mean(numeric.token_loss(F.col("x"), F.col("t")), F.col("t")), 6).alias("loss"))
 
 
-@query("""SELECT CAST(s AS BIGINT) AS step, round(CASE WHEN s < 2000 THEN 2e-4 * s / 2000 ELSE 2e-5 + 1.8e-4 * 0.5 * (1 + cos(pi() * least(1.0, (s - 2000) / 598000))) END, 12) AS rate FROM range(0, 600001, 1000) t(s)""")
+BATCH, WARMUP, STEPS = 16, 20, 100_000
+
+
+@query(f"""SELECT doc_id, CAST(before // {BATCH} AS BIGINT) AS step, round(CASE WHEN before // {BATCH} < {WARMUP} THEN 2e-4 * (before // {BATCH}) / {WARMUP} ELSE 2e-5 + 1.8e-4 * 0.5 * (1 + cos(pi() * least(1.0, (before // {BATCH} - {WARMUP}) / {STEPS - WARMUP}))) END, 12) AS rate
+ FROM (SELECT doc_id, sum(n) OVER (ORDER BY {ORDER_KEY}, doc_id) - n AS before FROM (SELECT doc_id, (strlen(text) + {MAX_LEN}) // {MAX_LEN} AS n FROM documents))""")
 def lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(0, 600001, 1000).select(F.col("id").alias("step"), F.round(numeric.warmup_cosine(F.col("id"), 2e-4, 2e-5, 2000, 600000), 12).alias("rate"))
+    """The step at which each document's first segment comes, by seeded order, and the learning rate there."""
+    docs = table(spark, sf, "documents").select("doc_id", F.floor((F.octet_length("text") + MAX_LEN) / MAX_LEN).cast("long").alias("n"))
+    ordered = docs.withColumn("shuffle_key", split.shuffle_key(F.col("doc_id"), 17))
+    ordered = ordered.withColumn("range_", split.place_in_order(F.col("shuffle_key"), RANKS))
+    summed = jobs.prefix_sums(ordered, "range_", ["shuffle_key", "doc_id"], "n", "before")
+    step = F.floor(F.col("before") / BATCH)
+    return summed.select("doc_id", step.alias("step"), F.round(numeric.warmup_cosine(step, 2e-4, 2e-5, WARMUP, STEPS), 12).alias("rate"))
 
 
-@query("""SELECT CAST(d AS BIGINT) AS devices, CAST(40960 * 16 * d * 2 * 1024 AS BIGINT) AS tokens, CAST(ceil(1000.0 / (16 * d)) * 3 AS BIGINT) AS steps FROM range(1, 9) t(d)""")
+@query("SELECT source, CAST(ceil(count(*) / 32.0) * 3 AS BIGINT) AS steps, CAST(ceil(count(*) / 32.0) * 3 * 16 * 2 * 2 * 1024 AS BIGINT) AS tokens FROM documents GROUP BY source")
 def token_budget(spark: SparkSession, sf: str) -> DataFrame:
-    d = F.col("id")
-    return spark.range(1, 9).select(d.alias("devices"), numeric.token_budget(F.lit(40960), F.lit(16), d, F.lit(2), F.lit(1024)).alias("tokens"), numeric.sft_steps(F.lit(1000), F.lit(16), d, F.lit(3)).cast("long").alias("steps"))
+    """What three epochs over each source take on two devices."""
+    two, rows = F.lit(2), table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    steps = numeric.sft_steps(F.col("n"), F.lit(16), two, F.lit(3)).cast("long")
+    return rows.select("source", steps.alias("steps"), numeric.token_budget(steps, F.lit(16), two, F.lit(2), F.lit(1024)).alias("tokens"))
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(range(0, 32), lambda i:
@@ -507,35 +519,41 @@ def greedy_decode(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("vec_id", F.array_join("made", ",").alias("made"), F.array_join(chat.without_stops(F.col("made"), [7]), ",").alias("shown"))
 
 
-LINES = "SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN ' exit' || chr(10) WHEN 1 THEN chr(9) || 'Exit ' WHEN 2 THEN '   ' WHEN 3 THEN 'quit' ELSE ' a  b ' END AS line FROM embeddings"
+STRIPPED = "trim(concat(CASE turn % 3 WHEN 0 THEN chr(9) WHEN 1 THEN ' ' ELSE '' END, CASE WHEN turn % 4 = 3 THEN 'quit' ELSE text END, chr(10)), ' ' || chr(9) || chr(10) || chr(13))"
 
 
-@query(f"SELECT vec_id, trim(line, ' ' || chr(9) || chr(10)) AS line, trim(line, ' ' || chr(9) || chr(10)) IN ('', 'exit', 'quit') AS ends FROM ({LINES})")
+@query(f"SELECT conv_id, turn, {STRIPPED} AS line, {STRIPPED} IN ('', 'exit', 'quit') AS ends FROM conversations")
 def input_lines(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.col("vec_id") % 5
-    line = F.when(kind == 0, " exit\n").when(kind == 1, "\tExit ").when(kind == 2, "   ").when(kind == 3, "quit").otherwise(" a  b ")
-    return table(spark, sf, "embeddings").select("vec_id", decode.stripped(line).alias("line"), decode.asks_to_end(line).alias("ends"))
+    """The turns of all conversations as typed lines, every fourth asking to end."""
+    before = F.when(F.col("turn") % 3 == 0, "\t").when(F.col("turn") % 3 == 1, " ").otherwise("")
+    line = F.concat(before, F.when(F.col("turn") % 4 == 3, "quit").otherwise(F.col("text")), F.lit("\n"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", decode.stripped(line).alias("line"), decode.asks_to_end(line).alias("ends"))
 
 
-@query("""WITH m AS (SELECT label, avg(l) AS loss FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS l FROM embeddings) GROUP BY label)
+@query("""WITH m AS (SELECT label, avg(l) AS loss FROM (SELECT label, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS l FROM embeddings) GROUP BY label)
 SELECT (SELECT count(*) FROM m) AS epochs, (SELECT arg_min(label, loss) FROM m) AS best, round((SELECT min(loss) FROM m), 9) AS loss""")
 def best_epoch(spark: SparkSession, sf: str) -> DataFrame:
     """Mean loss of each epoch, and the checkpoint of the least."""
-    rows = table(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("l"))
+    rows = table(spark, sf, "embeddings").select("label", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("l"))
     epochs = rows.groupBy("label").agg(numeric.mean_loss(F.col("l")).alias("loss"))
     return epochs.agg(F.count("*").alias("epochs"), numeric.best_checkpoint(F.col("label"), F.col("loss")).alias("best"), F.round(F.min("loss"), 9).alias("loss"))
 
 
-@query("""SELECT 0.0::DOUBLE AS decay, CAST(1 + 16 * 2 + 1 AS BIGINT) AS n, CAST(65536 * 768 + 16 * 2 * 768 + 768 AS BIGINT) AS weights
-UNION ALL SELECT 0.01::DOUBLE, CAST(16 * 7 AS BIGINT), CAST(16 * (4 * 768 * 768 + 3 * 2048 * 768) AS BIGINT)""")
+@query("""SELECT 0.0::DOUBLE AS decay, count(DISTINCT label) AS n, CAST(count(DISTINCT label) * 64 AS BIGINT) AS weights FROM embeddings
+UNION ALL SELECT 0.01::DOUBLE, count(DISTINCT label), CAST(count(*) * 64 AS BIGINT) FROM embeddings""")
 def parameter_groups(spark: SparkSession, sf: str) -> DataFrame:
-    rows = numeric.parameters(spark, 65536, 768, 16, 2048)
+    """The vectors of each label as a matrix, and its norm: which of them decay, and their weights."""
+    labels = table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).cast("long").alias("d"))
+    named = lambda kind, *shape: F.struct(F.concat(F.lit("block."), "label", F.lit(f".{kind}")).alias("name"), F.lit(kind).alias("kind"), F.array(*shape).alias("shape"))
+    rows = labels.select(F.inline(F.array(named("projection", F.col("n"), F.col("d")), named("norm", F.col("d")))))
     return rows.groupBy(numeric.weight_decay(F.col("name"), F.col("kind")).alias("decay")).agg(F.count("*").alias("n"), F.sum(numeric.numel(F.col("shape"))).alias("weights"))
 
 
-@query("SELECT CAST(d AS BIGINT) AS devices, CAST(16 * 64 * d AS BIGINT) AS samples FROM range(1, 9) t(d)")
+@query("SELECT lang, CAST(ceil(count(*) / 16.0) * 16 * 2 AS BIGINT) AS samples FROM documents GROUP BY lang")
 def validation_samples(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1, 9).select(F.col("id").alias("devices"), numeric.sample_count(F.lit(16), F.lit(64), F.col("id")).alias("samples"))
+    """The examples of a validation over each language on two devices, in whole batches."""
+    rows = table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return rows.select("lang", numeric.sample_count(F.lit(16), F.ceil(F.col("n") / 16), F.lit(2)).alias("samples"))
 
 
 ROWS = "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings"
