@@ -41,6 +41,8 @@ from corpusmill.llm.common import Staged, WordHashes, look_up, mix, partitions,
 from corpusmill.llm.fm_index import Bits, FMIndex, joined, prefix_groups
 
 WINDOW, GRAM, SHARD_WORDS, BATCH_BYTES = 50, 16, 400_000, 2 << 20
+#: Windows of foreign passages that are searched at a time.
+SLICE = 1 << 16
 NOWHERE = np.iinfo(np.int64).max
 
 
@@ -184,14 +186,22 @@ class Shard:
         return [found[b - n : b - cap + 1] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
     def search(self, lines: list[bytes]) -> list[np.ndarray]:
-        """The same for passages of other shards: NOWHERE where a window does not occur. Equal windows are searched once."""
+        """The same for passages of other shards: NOWHERE where a window does not occur. Equal windows are searched once.
+
+        At most 2 * SLICE windows are laid out at a time, however long a passage is.
+        """
         known = self.number.get
         split = [line.split(b" ") for line in lines]
         seqs = [np.fromiter((known(w, 0) for w in own), np.int64, len(own)) for own in split]
         windows = [np.lib.stride_tricks.sliding_window_view(q, self.window) for q in seqs]
         out = [np.full(len(w), NOWHERE) for w in windows]
-        for at in range(0, len(seqs), 256):
-            part = np.concatenate(windows[at : at + 256])
+        cuts = [(k, a, min(a + SLICE, len(w))) for k, w in enumerate(windows) for a in range(0, len(w), SLICE)]
+        while cuts:
+            mine, size = [], 0
+            while cuts and size < SLICE:
+                mine.append(cuts.pop())
+                size += mine[-1][2] - mine[-1][1]
+            part = np.concatenate([windows[k][a:b] for k, a, b in mine])
             fine = np.flatnonzero((part > 0).all(1))
             if not len(fine):
                 continue
@@ -202,8 +212,10 @@ class Shard:
             least[hit] = self.least_at(low[hit])
             flat = np.full(len(part), NOWHERE)
             flat[fine] = least[back.reshape(-1)]
-            for k, own in enumerate(np.split(flat, np.cumsum([len(w) for w in windows[at : at + 256]])[:-1])):
-                out[at + k] = own
+            at = 0
+            for k, a, b in mine:
+                out[k][a:b] = flat[at : at + b - a]
+                at += b - a
         return out
 
 

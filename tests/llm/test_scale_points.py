@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat_format, decontamination, minhash_dedup, quality
+from corpusmill.llm import chat_format, decontamination, minhash_dedup, quality, substring_dedup
 
 
 def long_texts(n, words, share):
@@ -93,3 +93,33 @@ def test_vectors_do_not_depend_on_tasks_or_levels_of_sums(spark, monkeypatch):
     assert one.words == many.words and np.array_equal(one.word_table, many.word_table) and np.array_equal(one.shape_table, many.shape_table)
     few = quality.random_indexing(df, n_words=2, n_shapes=3, least=1)
     assert len(few.words) == 2 and len(few.shapes) == 3 and F.lit(1) is not None
+
+
+@pytest.mark.parametrize("size", [3, 64, 1 << 16])
+def test_search_of_foreign_passages_in_slices(monkeypatch, size):
+    monkeypatch.setattr(substring_dedup, "SLICE", size)
+    rng, window = random.Random(9), 6
+    draw = lambda n: [rng.choice("abc") for _ in range(n)]
+    held = [draw(rng.randrange(6, 60)) for _ in range(12)]
+    streamed = [draw(rng.randrange(6, 200)) for _ in range(8)] + [held[3] + ["unknown"] * 9 + held[4]]
+    ids = np.array([50 - k for k in range(12)])
+    shard = substring_dedup.Shard([" ".join(h).encode() for h in held], ids, window)
+    least = {}
+    for h, i in zip(held, ids.tolist(), strict=True):
+        for k in range(len(h) - window + 1):
+            least[tuple(h[k : k + window])] = min(i, least.get(tuple(h[k : k + window]), i))
+    got = shard.search([" ".join(q).encode() for q in streamed])
+    for q, own in zip(streamed, got, strict=True):
+        assert own.tolist() == [least.get(tuple(q[k : k + window]), substring_dedup.NOWHERE) for k in range(len(q) - window + 1)]
+
+
+def test_a_million_repeated_words_are_searched_in_bounded_memory():
+    import tracemalloc
+
+    shard = substring_dedup.Shard([b" ".join([b"again"] * 90), b" ".join(b"w%d" % k for k in range(200))], np.array([4, 7]), 50)
+    line = b" ".join([b"again"] * 1_000_000)
+    tracemalloc.start()
+    got = shard.search([line])[0]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert (got == 4).all() and len(got) == 1_000_000 - 49 and peak < 300e6
