@@ -9,9 +9,10 @@ deadline, which closes windows of shards that get no more rows.
 
 The stream's clock is the hour. Its watermark trails by `LATE` hours and a millisecond, so that it stands
 just below the last hour that is not late. Each of the `BATCHES` batches is released into the folder that
-the query reads, and the query is started anew on one checkpoint: a micro-batch with the rows, then one
-without, in which the advanced watermark fires timers. An end mark in the last batch lies beyond all
-deadlines and closes what is open.
+the query reads, and the query is started anew on one checkpoint, for one micro-batch. What a batch's
+watermark closes is closed in the next start, before its rows are looked at, and by timers in shards that
+have no rows then; it counts as closed after the batch before. An end mark in the last batch lies beyond
+all deadlines; one more start, with a mark alone, closes what is open.
 
 Hot ids: an id with more than `HOT` copies is spread over several shards by hash. Its equal copies are
 counted before, and each of its shards also gets the least hash of each of the id's hours, so that all of
@@ -138,10 +139,10 @@ def fold(held: Windows, rows: Windows, width: int = WIDTH) -> tuple[Windows, lis
 
 
 class Expiring(StatefulProcessor):
-    """One start of the query: `batch` is its number; hours are counted from `origin` on the stream's clock."""
+    """One start of the query: `batch` is its number, `before` that of the last one; hours are counted from `origin` on the stream's clock."""
 
-    def __init__(self, batch: int, origin: int, width: int = WIDTH) -> None:
-        self.batch, self.origin, self.width = batch, origin, width
+    def __init__(self, batch: int, before: int, origin: int, width: int = WIDTH) -> None:
+        self.batch, self.before, self.origin, self.width = batch, before, origin, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -180,8 +181,8 @@ class Expiring(StatefulProcessor):
         own["hash"] = np.frombuffer(b"".join(h for f in frames for h in f["hash"]), "S32")
         blob, alarm = self.state.get() if self.state.exists() else (None, None)
         gone, held = self.expired(unpack(blob), watermark)
-        if len(gone["id"]):  # after the batch before
-            yield self.shown(gone, self.batch - 1)
+        if len(gone["id"]):
+            yield self.shown(gone, self.before)
         held, closed = fold(held, own, self.width)
         for part in closed:
             yield self.shown(part, self.batch)
@@ -193,17 +194,17 @@ class Expiring(StatefulProcessor):
         blob, _ = self.state.get()
         gone, held = self.expired(unpack(blob), timerValues.getCurrentWatermarkInMs())
         if len(gone["id"]):
-            yield self.shown(gone, self.batch)
+            yield self.shown(gone, self.before)
         self.keep(held, None)
 
     def close(self) -> None:
         pass
 
 
-def closed_windows(stream: DataFrame, batch: int, origin: int, width: int = WIDTH, late: int = LATE) -> DataFrame:
+def closed_windows(stream: DataFrame, batch: int, before: int, origin: int, width: int = WIDTH, late: int = LATE) -> DataFrame:
     """A stream of FED rows: the windows that close (CLOSED), in append mode. `at` is the clock: (hour - origin + 1) hours."""
     clocked = stream.withWatermark("at", f"{late * HOUR_MS + 1} milliseconds")
-    return clocked.groupBy("shard").transformWithStateInPandas(Expiring(batch, origin, width), CLOSED, "Append", "EventTime")
+    return clocked.groupBy("shard").transformWithStateInPandas(Expiring(batch, before, origin, width), CLOSED, "Append", "EventTime")
 
 
 # --- copies in batches -----------------------------------------------------------------------------
@@ -260,7 +261,7 @@ def deduplicate(clicks: DataFrame, batches: int = BATCHES, width: int = WIDTH, l
     clock = F.timestamp_millis((F.col("hour") - facts.origin + 1) * HOUR_MS)
     fed = fed.select("batch", "shard", clock.alias("at"), "id", "hour", F.unhex("hash").alias("hash"), F.crc32(F.col("hash").cast("binary")).alias("crc"), "n", "spread")
     beyond = facts.last + width + late + 2
-    mark = spark.range(1).select(F.lit(batches - 1).alias("batch"), F.lit(0).alias("shard"), F.timestamp_millis(F.lit((beyond - facts.origin + 1) * HOUR_MS)).alias("at"), F.lit(0).cast("long").alias("id"), F.lit(beyond).cast("long").alias("hour"), F.unhex(F.lit("")).alias("hash"), F.lit(0).cast("long").alias("crc"), F.lit(-1).cast("long").alias("n"), F.lit(False).alias("spread"))
+    mark = spark.range(batches - 1, batches + 1).select(F.col("id").cast("int").alias("batch"), F.lit(0).alias("shard"), F.timestamp_millis(F.lit((beyond - facts.origin + 1) * HOUR_MS)).alias("at"), F.lit(0).cast("long").alias("id"), F.lit(beyond).cast("long").alias("hour"), F.unhex(F.lit("")).alias("hash"), F.lit(0).cast("long").alias("crc"), F.lit(-1).cast("long").alias("n"), F.lit(False).alias("spread"))
     fed.union(mark).write.option("compression", "zstd").partitionBy("batch").parquet(f"{folder}/cut")
     out = feed(spark, folder, facts.origin, batches, width, late)
     whole = out.filter("not spread").select("click_id", "start_hour", "closed_batch", "n_rows", "n_conflicts", "conflict_crc", "hash")
@@ -271,25 +272,27 @@ def deduplicate(clicks: DataFrame, batches: int = BATCHES, width: int = WIDTH, l
 
 
 def feed(spark: SparkSession, folder: str, origin: int, batches: int, width: int, late: int) -> DataFrame:
-    """Release batch after batch of `folder`/cut and run the query on each; the closed windows (CLOSED)."""
+    """Release batch after batch of `folder`/cut, and the end mark, and run the query on each; the closed windows (CLOSED)."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     place = lambda p: jvm.org.apache.hadoop.fs.Path(f"{folder}/{p}")
     fs = place("").getFileSystem(conf)
     fs.mkdirs(place("fed"))
-    # a start has two micro-batches: a store that stayed open after them would hold its files until maintenance comes
-    settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+    # a start has one micro-batch: a store that stayed open after it would hold its files until maintenance comes
+    settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        for batch in range(batches):
+        last = -1
+        for batch in range(batches + 1):
             if not fs.exists(place(f"cut/batch={batch}")):
                 continue
             if not fs.rename(place(f"cut/batch={batch}"), place(f"fed/{batch}")):
                 raise OSError(f"could not release batch {batch}")
             stream = spark.readStream.schema(FED).option("recursiveFileLookup", "true").parquet(f"{folder}/fed")
-            sink = closed_windows(stream, batch, origin, width, late).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/closed").option("compression", "zstd")
+            sink = closed_windows(stream, batch, last, origin, width, late).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/closed").option("compression", "zstd")
             sink.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+            last = batch
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
