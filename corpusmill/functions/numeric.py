@@ -43,7 +43,11 @@ def masked_mean(loss: Column, label: Column, ignore: int = 0) -> Column:
     return F.when(n > 0, F.try_divide(F.sum(F.when(label != ignore, loss)), n)).otherwise(F.lit(float("nan")))
 
 
-def rotate(x: Column, position: Column, dim: int, base: float = 10000.0) -> Column:
+#: The base of rotary positions, the norm's epsilon.
+ROTARY_BASE, NORM_EPSILON = 10000.0, 1e-6
+
+
+def rotate(x: Column, position: Column, dim: int, base: float = ROTARY_BASE) -> Column:
     """Rotary position: pairs of neighbours are turned by position * base^(-2i/dim)."""
     if dim % 2:
         raise ValueError("the dimension must be even")
@@ -60,7 +64,7 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def rms_norm(x: Column, weight: Column, epsilon: float = 1e-6) -> Column:
+def rms_norm(x: Column, weight: Column, epsilon: float = NORM_EPSILON) -> Column:
     return let(F.sqrt(dot(x, x) / F.size(x) + epsilon), lambda scale: F.zip_with(x, weight, lambda a, w: a / scale * w))
 
 

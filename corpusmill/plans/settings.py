@@ -34,7 +34,7 @@ def above(name: str, least: float = 0) -> Check:
     return f"{name} must be greater than {least}", lambda s: s[name] > least
 
 
-#: What training runs have in common, whatever they train on.
+#: The names and bounds of settings. What training runs have in common, whatever they train on.
 RUN: list[Check] = [
     *(above(name) for name in ("learning_rate", "batch_size", "gradient_accumulation_steps", "max_steps", "val_batches", "val_check_interval", "checkpoint_every_n_steps", "metric_log_every_n_steps", "loss_chunk_size")),
     ("num_workers must not be negative", lambda s: s["num_workers"] >= 0),

@@ -122,10 +122,14 @@ def write_model_config(spark: SparkSession, folder: str, config: dict, inherited
     return full
 
 
+#: What a chat model's config takes of its run, and the names it has beside them.
+CHAT_SETTINGS = ("learning_rate", "base_model_id", "repeat_epochs", "posttraining_steps")
+
+
 def chat_config(base: dict, run: dict, special: dict[str, int], train: list[str], validation: str) -> dict:
     """The config of a chat model: the base model's, the run's settings and where its data came from."""
     batch = run.get("batch_size", 1)
-    settings = {k: run[k] for k in ("learning_rate", "base_model_id", "repeat_epochs", "posttraining_steps")}
+    settings = {k: run[k] for k in CHAT_SETTINGS}
     defaults = {"devices": "auto", "device_count": 1, "global_batch_size": batch, "global_effective_batch_size": batch}
     ids = {f"{name}_token_id": special[name] for name in ("pad", "bos", "eos", "end_of_turn")}
     data = {"trainable_layers": "all", "chat_template_version": CHAT_TEMPLATE_VERSION, "posttraining_datasets": train, "validation_dataset": validation}

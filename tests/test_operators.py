@@ -21,6 +21,7 @@ def test_segments_overlap_by_one(spark):
 
 
 def test_packing_golden_and_layout(spark):
+    # fixed values: the ids of a known packing
     rows = [(0, i, [1, *d], [*d, 2]) for i, d in enumerate([[10, 11], [20], [30, 31]])]
     df = spark.createDataFrame(rows, "rank int, n int, inputs array<int>, labels array<int>")
     out = pack.pack(pack.deal(df, ["n"], 1), "custom", 6).orderBy("example_no").collect()
@@ -30,6 +31,7 @@ def test_packing_golden_and_layout(spark):
 
 
 def test_order_keys():
+    # fixed values: the contract's keys
     assert [pack.order_key("custom", i) for i in range(3)] == [10064941160879506248, 9091561828713820370, 10389098500249429391]
 
 
