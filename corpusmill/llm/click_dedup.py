@@ -18,8 +18,8 @@ Hot ids: an id with more than `HOT` copies is spread over several shards by hash
 counted before, and each of its shards also gets the least hash of each of the id's hours, so that all of
 them open and close the same windows and count their own rows; the counts are summed afterwards.
 
-Nulls: a row without click_id or arrived_at has no copies; a null or non-finite value, and any other null,
-is empty in the hash. A negative click_id has copies j = 0 to click_id % 3 by a remainder that follows the
+Nulls: a row without click_id or arrived_at has no copies; a null or non-finite value or one whose hundredfold
+is beyond a long, and any other null, is empty in the hash. A negative click_id has copies j = 0 to click_id % 3 by a remainder that follows the
 sign: one if it is 0, none otherwise. Repeated rows are repeats; ties (same hour and hash) are one opener
 and its repeats. Texts in props may be of any length: only their hash travels. Other columns are left out.
 Empty table: no windows.
@@ -220,7 +220,7 @@ def micros(df: DataFrame, name: str) -> Column:
 def copies(clicks: DataFrame) -> DataFrame:
     """(id, hour, line, hash, crc): each row's copies; `line` is where a copy stands among the batches."""
     scaled = F.floor(F.col("value").cast("double") * 100 + 0.5).cast("long")
-    number = F.when(~F.isnan("value") & (F.abs("value") < 1e15), scaled)
+    number = F.when(~F.isnan("value") & (F.abs("value") < 9e16), scaled)
     parts = [F.col("client_id").cast("string"), F.col("kind"), number.cast("string"), micros(clicks, "ts").cast("string"), F.col("props")]
     rows = clicks.select(F.col("click_id").cast("long").alias("id"), F.floor(micros(clicks, "arrived_at") / F.lit(3_600_000_000).cast("decimal(20,0)")).cast("long").alias("came"), F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]).alias("said"))
     rows = rows.filter("came is not null and id is not null and id % 3 >= 0").withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("id") % 3).cast("int"))))
