@@ -1,12 +1,15 @@
-"""All eleven queries over odd tables: nulls in every column, empty and very long texts, ties, repeated rows, clashing extra columns, no rows."""
+"""All queries over odd tables: nulls in every column, empty and very long texts, ties, repeated rows, clashing extra columns, no rows."""
 
 import random
 from collections import Counter
+from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from corpusmill.llm.click_dedup import OP12_SQL
 from corpusmill.llm.queries import QUERIES
 
 CLASHES = ["score", "spans", "items", "n_words", "found", "blob_id_", "blob", "set_key", "component", "component_id", "node", "a", "b", "key", "held", "row_", "text_key", "least", "anchors", "chunk", "bucket", "start", "length", "sequence_id", "kept", "rep", "shared", "n_tokens", "n_bytes", "quality", "other_"]
@@ -16,7 +19,9 @@ TABLES = {
     "benchmark": "item_id long, text string",
     "labels": "doc_id long, quality int, toxic int",
     "conversations": "conv_id long, turn long, role string, text string",
+    "clicks": "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, client_id long, kind string, value double, props string",
 }
+NOON, HOUR = datetime(2024, 2, 1, 12), timedelta(hours=1)
 QUERIES = {**QUERIES, "pipeline": corpus_pipeline.run}
 
 
@@ -35,6 +40,7 @@ def rows():
         "embeddings": vectors,
         "benchmark": [(1, " ".join(page.split()[5:30])), (1, "one"), (2, None), (None, "one"), (3, ""), (4, "!!")],
         "labels": [(k % 14, k % 2, None) for k in range(14)] + [(None, 1, 0), (1, None, None), (0, 0, 0), (99, 1, 1)],
+        "clicks": [(5, NOON, NOON, 1, "a|b", 1.5, "{}")] * 3 + [(5, None, NOON + 30 * HOUR, None, None, None, None), (4, NOON, NOON, 1, "", float("nan"), "x" * 50_000), (8, NOON, NOON + 900 * HOUR, 1, "a", -0.005, None), (None, NOON, NOON, 1, "a", 1.0, ""), (2, NOON, None, 1, "a", 1.0, ""), (-1, NOON, NOON, 1, "a", 1.0, ""), (-3, NOON, NOON, 1, "a", float("inf"), "")],
         "conversations": [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 1, "assistant", "yes"), (1, None, "assistant", None), (None, 0, None, "<|im_end|>"), (2, 0, "system", "x\\n" * 5000), (2, None, None, None)],
     }
 
@@ -63,6 +69,14 @@ def test_odd_tables(spark, folder, name):
         assert shown == (Counter(want) if given["embeddings"] else Counter())
     elif name == "op2_chat_format":
         assert {r.conv_id for r in got} == {-1, *ids("conversations")} and len(got) == len({r.conv_id for r in got})
+    elif name == "op12_click_dedup":
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW clicks AS SELECT * REPLACE (CASE WHEN isfinite(value) THEN value END AS value) FROM '{sf.removeprefix('file://')}/clicks.parquet/*.parquet'")
+        want = con.sql(f"SELECT click_id, start_hour, closed_batch, n_repeats, n_conflicts, conflict_crc, hash FROM ({OP12_SQL})").fetchall() if given["clicks"] else []
+        assert Counter(map(tuple, got)) == Counter(want) and (not given["clicks"] or {r.click_id for r in got} == {4, 5, 8, -3})
+    elif name == "op13_whitening":
+        first = sorted((r.vec_id for r in got if r.component == 1), key=lambda x: (x is None, x or 0))
+        assert first == ([0, 0, 1, 2, 3, 4, 5, 10, 12, None] if given["embeddings"] else []) and all(r.n == 10 for r in got)
     elif name in ("op9_packing", "pipeline"):
         held: dict = {}
         for r in got:
