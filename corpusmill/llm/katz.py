@@ -1,20 +1,27 @@
-"""Language-model scoring: Katz backoff over bigrams with Good-Turing discounts.
+"""Language-model scoring: Katz backoff with Good-Turing discounts, trigrams by default.
 
-Tokens are lower-cased words and an end per document; each token's context is the token before it, or a
-start. A seen bigram has its discounted relative frequency; an unseen one backs off to the unigram,
-times the weight that makes the context's probabilities sum to one exactly; unigrams back off to one
-unknown word, which has what Good-Turing leaves.
+Tokens are lower-cased words and an end per document; a token's context is the `order - 1` tokens before it,
+the first of a document having a start before it and no longer context. A seen n-gram has its discounted
+relative frequency; an unseen one backs off to the n-gram one word shorter, times the weight that makes the
+context's probabilities sum to one exactly, and so on down to the unigram and one unknown word, which has
+what Good-Turing leaves.
 
 Nothing model-sized is broadcast. Documents are read once into chunks of about `CHUNK_WORDS` tokens with
 a vocabulary of their own. Each chunk asks for the counts of its distinct words, then of its distinct
-bigrams; requests carry the chunk's own training counts, so that the tables, dealt by hash into buckets
-of bounded size, are made by adding them up and answered in place. Answers go back to the chunk, where
-every token is scored. Contexts with more than 1/`HOT` of all tokens are spread over buckets by the
-whole bigram; their sums, at most `HOT` rows, are shared.
+bigrams, then of its distinct trigrams; requests carry the chunk's own training counts, so that the tables of
+a level, dealt by hash of the context into buckets of bounded size, are made by adding them up and answered
+in place; answers are stored with the chunk before the next level, and after the last one every token is
+scored. A context that one chunk alone holds is not asked for: that chunk has all its followers. It knows so
+from the level below, whose buckets tell which n-grams one chunk alone listed. Contexts with more than
+1/`HOT` of all tokens are spread over buckets by the whole n-gram; their sums, at most `HOT` rows a level, are
+shared.
+
+The weight of a context takes the probabilities that its seen followers have one level below. These are
+discounted counts times a factor of the shorter context, as a seen n-gram's shorter one is seen too; so
+requests carry counts, buckets add up discounted ones, and the chunk multiplies by the factor it knows.
 
 Words are told apart by 64-bit hashes. The buckets of words name them by their places in order of
-frequency, so that a request for bigrams is mostly small numbers: it lists its words once, with their
-totals, and each bigram points into that list. Nulls: a null text is empty (one end token); a document
+frequency, so that requests are mostly small numbers. Nulls: a null text is empty (one end token); a document
 with a null id is learned from. Repeated rows count and are scored each. Of equally frequent words (ties)
 names go by hash, which no score depends on. A text may be of any length; a very long one is a chunk by
 itself. Columns besides doc_id, text and those `held` reads are not read. An empty table gives no rows.
@@ -23,10 +30,11 @@ With no training tokens every token has probability 1.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,22 +141,25 @@ def by_bucket(which: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.nd
         yield int(which[part[0]]), part
 
 
-def step(df: DataFrame, name: str) -> DataFrame:
-    """A written table; the shuffle files behind it go with the query that writes it."""
+def step(df: DataFrame, name: str, *used: Staged) -> Staged:
+    """A written table; the shuffle files behind it go with the query that writes it, and the tables `used` up by it."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key)
     conf.set(key, "true")
     try:
-        return Staged(df, name).read()
+        written = Staged(df, name)
     finally:
         conf.set(key, before)
+    for table in used:
+        table.drop()
+    return written
 
 
 # --- words ---------------------------------------------------------------------------------------
 
 ASKED = "bucket long, chunk long, words binary, counts binary"
-ANSWER = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("ranks", pa.binary()), ("totals", pa.binary()), ("stats", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64()))])
-ANSWERED = "bucket long, chunk long, ranks binary, totals binary, stats array<long>, hot array<long>"
+ANSWER = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("ranks", pa.binary()), ("totals", pa.binary()), ("sole", pa.binary()), ("stats", pa.list_(pa.int64()))])
+ANSWERED = "bucket long, chunk long, ranks binary, totals binary, sole binary, stats array<long>"
 
 
 def word_requests(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -166,10 +177,10 @@ def count_of_counts(totals: np.ndarray) -> list[int]:
     return np.bincount(totals[(totals > 0) & (totals <= TOP + 1)], minlength=TOP + 2).tolist()
 
 
-def word_answers(requests: DataFrame, buckets: int, hot_least: int) -> DataFrame:
-    """For each chunk its words' ranks in the bucket and totals; for each bucket (chunk null) count-of-counts, distinct words, and hot words.
+def word_answers(requests: DataFrame, buckets: int) -> DataFrame:
+    """For each chunk its words' ranks in the bucket, totals and which it alone has; for each bucket (chunk null) count-of-counts and distinct words.
 
-    ranks: in the words' order; totals: ascending, so from the last rank to the first.
+    ranks and sole: in the words' order; totals: ascending, so from the last rank to the first.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -182,9 +193,9 @@ def word_answers(requests: DataFrame, buckets: int, hot_least: int) -> DataFrame
         bucket = table["bucket"][0].as_py()
         rank = np.empty(len(values), np.int64)
         rank[np.argsort(-totals, kind="stable")] = np.arange(len(values))
-        hot = (rank[totals > hot_least] * buckets + bucket).tolist()
-        rows = [(bucket, c, squeeze(rank[at]), squeeze(deltas(np.sort(totals[at]))), None, None) for c, at in zip(table["chunk"].to_pylist(), np.split(place, cuts), strict=True)]
-        rows.append((bucket, None, None, None, [*count_of_counts(totals), int((totals > 0).sum())], hot))
+        sole = np.bincount(place) == 1
+        rows = [(bucket, c, squeeze(rank[at]), squeeze(deltas(np.sort(totals[at]))), squeeze(np.packbits(sole[at])), None) for c, at in zip(table["chunk"].to_pylist(), np.split(place, cuts), strict=True)]
+        rows.append((bucket, None, None, None, None, [*count_of_counts(totals), int((totals > 0).sum())]))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ANSWER.types, strict=True)], schema=ANSWER)
 
     return requests.groupBy("bucket").applyInArrow(run, ANSWERED)
@@ -234,9 +245,13 @@ class Words:
         return np.where(c > 0, p, self.unknown)
 
 
+def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return d[np.minimum(c, TOP) * (c <= TOP)] * c
+
+
 def context_weights(c: np.ndarray, few: np.ndarray, covered: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scale of seen bigrams, backoff weight) of contexts seen c times, `few[:, r - 1]` of whose followers r times,
-    the followers' unigram probabilities adding up to `covered`."""
+    """(scale of seen n-grams, backoff weight) of contexts seen c times, `few[:, r - 1]` of whose followers r times,
+    the followers' probabilities one level below adding up to `covered`."""
     r = np.arange(1, TOP + 1)
     off = few @ ((1 - d[1:]) * r)
     scale = np.where(off > 0, 1.0, c / (c + 1.0))
@@ -244,112 +259,239 @@ def context_weights(c: np.ndarray, few: np.ndarray, covered: np.ndarray, d: np.n
     return scale, np.where(c > 0, left / np.maximum(1 - covered, 1e-300), 1.0)
 
 
-class Bigrams:
-    """The distinct bigrams of a chunk, in the order in which both sides list them: by bucket, context, word."""
+# --- n-grams of a chunk ----------------------------------------------------------------------------
 
-    def __init__(self, row: dict, names: np.ndarray, totals: np.ndarray, hot: set[int], buckets: int) -> None:
-        self.tokens = expand(row["tokens"], np.uint32).astype(np.int64)
-        self.names, self.totals = np.append(names, START), totals
-        lengths = np.array(row["lengths"], np.int64)
-        self.starts = np.cumsum(lengths) - lengths
-        n = len(names)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = n  # the start
-        trained = np.repeat(np.array(row["trained"]), lengths)
-        pair, self.place = np.unique(before * n + self.tokens, return_inverse=True)
-        self.place = self.place.astype(np.int32)
-        self.own = np.bincount(self.place[trained], minlength=len(pair)).astype(np.int32)
-        self.context, self.word = (pair // n).astype(np.int32), (pair % n).astype(np.int32)
-        del before, trained, pair
-        self.context_name, self.word_name = self.names[self.context], self.names[self.word]
-        is_hot = np.isin(self.names, np.array(sorted(hot), np.int64))[self.context]
-        self.bucket = bucket_of(np.where(is_hot, mix(self.context_name) + self.word_name.view(np.uint64), self.context_name.view(np.uint64)), buckets)
+LEVEL = pa.struct([(n, pa.binary()) for n in ("counts", "sole", "few", "covered")])
+STATE = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("trained", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("tokens", pa.binary()), ("names", pa.binary()), ("totals", pa.binary()), ("sole", pa.binary()), ("levels", pa.list_(LEVEL))])
+STATES = "chunk long, doc_ids array<long>, trained array<boolean>, lengths array<long>, tokens binary, names binary, totals binary, sole binary, levels array<struct<counts: binary, sole: binary, few: binary, covered: binary>>"
+
+
+def bits(b: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(expand(b, np.uint8), count=n).astype(bool)
+
+
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def tally(owner: np.ndarray, count: np.ndarray, worth: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(few, covered) of n contexts from their n-grams: owners, counts and what each follower has one level below."""
+    some = (count > 0) & (count <= TOP)
+    few = np.bincount(owner[some] * TOP + count[some] - 1, minlength=n * TOP).reshape(n, TOP)
+    return few, np.bincount(owner, weights=np.where(count > 0, worth, 0.0), minlength=n)
 
-    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(bucket, places of its bigrams by context and word)."""
-        yield from by_bucket(self.bucket, np.lexsort((self.word_name, self.context_name)))
 
+class Level:
+    """The distinct n-grams of one length in a chunk, by context and word: places of contexts among the shorter
+    n-grams (words and the start for bigrams), words, own training counts, the n-grams without their first word,
+    and each token's n-gram, -1 for none."""
 
-PAIRS = "bucket long, chunk long, contexts binary, sizes binary, words binary, totals binary, pointers binary, counts binary"
-PAIRS_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((n, pa.binary()) for n in ("contexts", "sizes", "words", "totals", "pointers", "counts"))])
+    def __init__(self, before: np.ndarray, tokens: np.ndarray, shorter: np.ndarray, trained: np.ndarray, n: int) -> None:
+        at = np.flatnonzero(before >= 0)
+        grams, first, place = np.unique(before[at].astype(np.int64) * n + tokens[at], return_index=True, return_inverse=True)
+        self.place = np.full(len(tokens), -1, np.int32)
+        self.place[at] = place
+        self.own = np.bincount(place[trained[at]], minlength=len(grams)).astype(np.int64)
+        self.context, self.word = grams // n, grams % n
+        self.shorter = shorter[at[first]].astype(np.int64)
 
 
-def named(row: dict, answers: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names and totals of a chunk's words."""
-    vocab = expand(row["vocab"], np.uint64)
-    names, totals = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
+class Chunk:
+    """A chunk with its n-grams up to the level after the last one answered."""
+
+    def __init__(self, row: dict, trained_docs: int) -> None:
+        lengths = np.array(row["lengths"], np.int64)
+        self.tokens = expand(row["tokens"], np.uint32).astype(np.int64)
+        self.starts = np.cumsum(lengths) - lengths
+        self.trained = np.repeat(np.array(row["trained"], bool), lengths)
+        self.totals = expand(row["totals"], np.int64)
+        n = len(self.totals)
+        self.names = np.append(expand(row["names"], np.int64), START)
+        before = self.behind(self.tokens)
+        before[self.starts] = n  # the start
+        self.levels = [Level(before, self.tokens, self.tokens, self.trained, n)]
+        self.counts = [np.append(self.totals, trained_docs)]  # of contexts, level by level
+        self.sole = np.append(bits(row["sole"], n), False)  # contexts of the last level that no other chunk has
+        self.sums: list[tuple[np.ndarray, np.ndarray]] = []
+        for stored in row["levels"]:
+            counts = expand(stored["counts"], np.int64)
+            self.answer(counts, bits(stored["sole"], len(counts)), expand(stored["few"], np.int64).reshape(-1, TOP), expand_floats(stored["covered"]))
+            self.deepen()
+
+    def behind(self, x: np.ndarray) -> np.ndarray:
+        """What the token before each one has; -1 for a document's first."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.starts] = -1
+        return out
+
+    def answer(self, counts: np.ndarray, sole: np.ndarray, few: np.ndarray, covered: np.ndarray) -> None:
+        """The last level's figures."""
+        self.counts.append(counts)
+        self.sums.append((few, covered))
+        self.sole = sole
+
+    def deepen(self) -> None:
+        last = self.levels[-1]
+        self.levels.append(Level(self.behind(last.place), self.tokens, last.place, self.trained, len(self.totals)))
+
+    def worth(self, words: Words, ds: list[np.ndarray]) -> np.ndarray:
+        """What the last level's n-grams have one level below, up to a factor of the shorter context."""
+        c = self.counts[-1][self.levels[-1].shorter]
+        return discounted(c, ds[-1]) if ds else words.probability(c)
+
+    def context_names(self, places: np.ndarray) -> list[np.ndarray]:
+        """The words of the last level's contexts, the last one first."""
+        out = []
+        for level in self.levels[-2::-1]:
+            out.append(self.names[level.word[places]])
+            places = level.context[places]
+        return [*out, self.names[places]]
+
+    def parts(self, hot_least: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, n-grams by context and word, where their contexts begin, which contexts are hot); those of contexts that others have too."""
+        last = self.levels[-1]
+        at = np.flatnonzero(~self.sole[last.context])
+        columns, word = self.context_names(last.context[at]), self.names[last.word[at]]
+        hot = (self.counts[-1][last.context[at]] > hot_least) | (columns[0] == START)
+        key = columns[0].view(np.uint64)
+        for c in columns[1:]:
+            key = mix(key) + c.view(np.uint64)
+        which = bucket_of(np.where(hot, mix(key) + word.view(np.uint64), key), buckets)
+        for bucket, part in by_bucket(which, np.lexsort((word, *columns[::-1]))):
+            first = firsts(last.context[at[part]])
+            yield bucket, at[part], first, hot[part[first]]
+
+    def own_sums(self, words: Words, ds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        last = self.levels[-1]
+        return tally(last.context, last.own, self.worth(words, ds), len(self.counts[-1]))
+
+    def take(self, answers: list[dict], shared: dict, hot_least: int, buckets: int, words: Words, ds: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """(counts, sole, few, covered) of the last level from the buckets' answers, the hot contexts' sums and the chunk's own."""
+        last, got = self.levels[-1], {a["bucket"]: a for a in answers}
+        counts, sole = last.own.copy(), np.ones(len(last.own), bool)
+        few, covered = self.own_sums(words, ds)
+        for bucket, at, first, hot in self.parts(hot_least, buckets):
+            a, contexts = got[bucket], last.context[at[first]]
+            counts[at], sole[at] = expand(a["counts"], np.int64), bits(a["sole"], len(at))
+            few[contexts], covered[contexts] = expand(a["few"], np.int64).reshape(-1, TOP), expand_floats(a["covered"])
+            common = contexts[hot]
+            for c, name in zip(common.tolist(), zip(*(x.tolist() for x in self.context_names(common)), strict=True), strict=True):
+                few[c], covered[c] = shared[name]
+        return counts, sole, few, covered
+
+    def scores(self, words: Words, ds: list[np.ndarray]) -> np.ndarray:
+        """log10 of each token's probability: the seen n-gram's, or the weight times that one level below."""
+        p, factor = words.probability(self.totals)[self.tokens], None
+        for k, (d, (few, covered)) in enumerate(zip(ds, self.sums, strict=True)):
+            level, c, count = self.levels[k], self.counts[k], self.counts[k + 1]
+            if factor is not None:
+                covered = covered * factor[self.levels[k - 1].shorter]
+            scale, weight = context_weights(c, few, covered, d)
+            factor = scale / np.maximum(c, 1)
+            at = np.flatnonzero(level.place >= 0)
+            gram = level.place[at]
+            context = level.context[gram]
+            p[at] = np.where(count[gram] > 0, discounted(count, d)[gram] * factor[context], weight[context] * p[at])
+        return np.log10(p)
+
+
+def named(row: dict, answers: list[dict], buckets: int) -> dict:
+    """The state of a chunk whose words are answered."""
+    vocab = expand(row.pop("vocab"), np.uint64)
+    names, totals, sole = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64), np.zeros(len(vocab), bool)
     got = {a["bucket"]: a for a in answers}
     for b, at in by_bucket(bucket_of(vocab, buckets), np.argsort(vocab)):
         rank = expand(got[b]["ranks"], np.int64)
-        names[at] = rank * buckets + b
+        names[at], sole[at] = rank * buckets + b, bits(got[b]["sole"], len(at))
         totals[at[np.argsort(-rank)]] = np.cumsum(expand(got[b]["totals"], np.uint64), dtype=np.uint64).astype(np.int64)
-    return names, totals
+    return {**row, "names": squeeze(names), "totals": squeeze(totals), "sole": squeeze(np.packbits(sole)), "levels": []}
 
 
-def firsts(x: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+def named_chunks(chunks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([named(row, right.to_pylist(), buckets) for row in left.to_pylist()], schema=STATE)
 
+    left = chunks.select("chunk", "doc_ids", "trained", "lengths", "tokens", "vocab")
+    right = answers.filter("chunk is not null").select("chunk", "bucket", "ranks", "totals", "sole")
+    return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(run, STATES)
 
-def pair_requests(chunks: DataFrame, answers: DataFrame, hot: set[int], word_buckets: int, buckets: int) -> DataFrame:
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for row in left.to_pylist():
-            b = Bigrams(row, *named(row, right.to_pylist(), word_buckets), hot, buckets)
-            for bucket, at in b.parts():
-                first = firsts(b.context[at])
-                sizes = np.diff(np.append(first, len(at)))
-                words, one, pointers = np.unique(b.word_name[at], return_index=True, return_inverse=True)
-                steps = np.diff(pointers, prepend=0)  # ascending within a context
-                steps[first] = pointers[first]
-                parts = deltas(b.context_name[at[first]]), sizes.astype(np.int32), deltas(words), b.totals[b.word[at[one]]], steps.astype(np.uint32), b.own[at]
-                out.append((bucket, row["chunk"], *map(squeeze, parts)))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PAIRS_ARROW.types, strict=True)], schema=PAIRS_ARROW) if out else PAIRS_ARROW.empty_table()
 
-    chunks = chunks.select("chunk", "trained", "lengths", "tokens", "vocab")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, PAIRS)
+# --- tables of n-grams -----------------------------------------------------------------------------
+
+GRAMS_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("contexts", pa.list_(pa.binary())), *((n, pa.binary()) for n in ("hot", "sizes", "words", "counts", "shorter")), ("stats", pa.list_(pa.int64()))])
+GRAMS = "bucket long, chunk long, contexts array<binary>, hot binary, sizes binary, words binary, counts binary, shorter binary, stats array<long>"
+FOUND_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((n, pa.binary()) for n in ("counts", "sole", "few", "covered")), ("stats", pa.list_(pa.int64())), ("hot", pa.list_(pa.list_(pa.int64()))), ("hot_few", pa.list_(pa.list_(pa.int64()))), ("hot_covered", pa.list_(pa.float64()))])
+FOUND = "bucket long, chunk long, counts binary, sole binary, few binary, covered binary, stats array<long>, hot array<array<long>>, hot_few array<array<long>>, hot_covered array<double>"
+
+
+def gram_requests(states: DataFrame, trained_docs: int, hot_least: int, buckets: int) -> DataFrame:
+    """For each chunk and bucket the n-grams asked for; one row a chunk has the count-of-counts of those it alone holds."""
+
+    def of(row: dict) -> Iterator[dict]:
+        chunk = Chunk(row, trained_docs)
+        last = chunk.levels[-1]
+        alone = last.own[chunk.sole[last.context]]
+        yield {"bucket": row["chunk"] % buckets, "chunk": row["chunk"], "stats": count_of_counts(alone)}
+        for bucket, at, first, hot in chunk.parts(hot_least, buckets):
+            columns, word = chunk.context_names(last.context[at[first]]), chunk.names[last.word[at]]
+            steps = np.diff(word, prepend=0)  # ascending within a context
+            steps[first] = word[first]
+            arrays = {"hot": hot, "sizes": np.diff(np.append(first, len(at))).astype(np.int32), "words": steps, "counts": last.own[at].astype(np.int32), "shorter": chunk.counts[-1][last.shorter[at]]}
+            yield {"bucket": bucket, "chunk": row["chunk"], "contexts": [squeeze(deltas(columns[0])), *map(squeeze, columns[1:])], **{k: squeeze(v) for k, v in arrays.items()}}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_pylist(list(of(batch.slice(i, 1).to_pylist()[0])), schema=GRAMS_ARROW)
+
+    return states.mapInArrow(run, GRAMS)
 
 
-FOUND = "bucket long, chunk long, counts binary, few binary, covered binary, stats array<long>, hot_few array<array<long>>, hot_covered array<double>, hot array<long>"
-FOUND_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("counts", pa.binary()), ("few", pa.binary()), ("covered", pa.binary()), ("stats", pa.list_(pa.int64())), ("hot_few", pa.list_(pa.list_(pa.int64()))), ("hot_covered", pa.list_(pa.float64())), ("hot", pa.list_(pa.int64()))])
+def number(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each row, equal for equal rows and in their order; one place of each number)."""
+    ids, first = np.zeros(len(columns[0]), np.int64), np.zeros(0, np.int64)
+    for c in columns:
+        values, at = np.unique(c, return_inverse=True)
+        _, first, ids = np.unique(ids * len(values) + at, return_index=True, return_inverse=True)
+    return ids, first
 
 
-def pair_answers(requests: DataFrame, words: Words, hot: set[int]) -> DataFrame:
-    """For each chunk its bigrams' totals and its contexts' sums; for each bucket (chunk null) count-of-counts and hot contexts' sums."""
+def gram_answers(requests: DataFrame, words: Words, ds: list[np.ndarray]) -> DataFrame:
+    """For each chunk its n-grams' totals, which it alone has, and its contexts' sums; for each bucket (chunk null) count-of-counts and hot contexts' sums."""
 
     def run(table: pa.Table) -> pa.Table:
-        names_of = lambda column: [np.cumsum(expand(b, np.uint64), dtype=np.uint64) for b in table[column].to_pylist()]
-        contexts, listed = names_of("contexts"), names_of("words")
-        sizes = [expand(b, np.int32) for b in table["sizes"].to_pylist()]
-        own = np.concatenate([expand(b, np.int32) for b in table["counts"].to_pylist()])
-        names, at = np.unique(np.concatenate(contexts), return_inverse=True)
-        known, place = np.unique(np.concatenate(listed), return_inverse=True)
-        total = np.empty(len(known), np.int64)
-        total[place] = np.concatenate([expand(b, np.int64) for b in table["totals"].to_pylist()])
-        key, c, w = [], 0, 0
-        for steps, mine, size, own_words in zip(table["pointers"].to_pylist(), contexts, sizes, listed, strict=True):
-            steps = expand(steps, np.uint32).astype(np.int64)
-            run_on, first = np.cumsum(steps), np.cumsum(size, dtype=np.int64) - size
-            pointers = run_on - np.repeat(run_on[first] - steps[first], size)
-            key.append(np.repeat(at[c : c + len(mine)], size) * len(known) + place[w : w + len(own_words)][pointers])
-            c, w = c + len(mine), w + len(own_words)
-        key, place = np.unique(np.concatenate(key), return_inverse=True)
-        count = np.bincount(place, weights=own, minlength=len(key)).astype(np.int64)
-        seen = count > 0
-        owner, word = np.divmod(key, len(known))
-        few = np.zeros((len(names), TOP), np.int64)
-        some = seen & (count <= TOP)
-        np.add.at(few, (owner[some], count[some] - 1), 1)
-        covered = np.bincount(owner[seen], weights=words.probability(total[word[seen]]), minlength=len(names))
-        bucket, rows, p, c = table["bucket"][0].as_py(), [], 0, 0
-        for chunk, mine, size in zip(table["chunk"].to_pylist(), contexts, sizes, strict=True):
-            pairs, k = int(size.sum()), at[c : c + len(mine)]
-            rows.append((bucket, chunk, squeeze(count[place[p : p + pairs]].astype(np.int64)), squeeze(few[k].reshape(-1).astype(np.int64)), squeeze_floats(covered[k]), None, None, None, None))
-            p, c = p + pairs, c + len(mine)
-        common = np.flatnonzero(np.isin(names, np.array(sorted(hot), np.uint64)))
-        rows.append((bucket, None, None, None, None, count_of_counts(count), few[common].tolist(), covered[common].tolist(), names[common].view(np.int64).tolist()))
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), FOUND_ARROW.types, strict=True)], schema=FOUND_ARROW)
+        bucket, stats = table["bucket"][0].as_py(), np.zeros(TOP + 2, np.int64)
+        for s in table["stats"].drop_null().to_pylist():
+            stats += s
+        asked = table.filter(pc.is_null(table["stats"]))
+        out: list[dict] = []
+        if asked.num_rows:
+            whole = lambda name, kind: [expand(b, kind) for b in asked[name].to_pylist()]
+            sizes, chunks = whole("sizes", np.int32), asked["chunk"].to_pylist()
+            columns = [[expand(b, np.int64) for b in column] for column in zip(*asked["contexts"].to_pylist(), strict=True)]
+            columns[0] = [np.cumsum(c) for c in columns[0]]
+            flat = [np.concatenate(c) for c in columns]
+            context, one = number(flat)
+            size = np.concatenate(sizes).astype(np.int64)
+            first = np.cumsum(size) - size
+            steps = np.concatenate(whole("words", np.int64))
+            word = np.cumsum(steps)
+            word -= np.repeat(word[first] - steps[first], size)
+            gram, at = number([np.repeat(context, size), word])
+            count = np.bincount(gram, weights=np.concatenate(whole("counts", np.int32))).astype(np.int64)
+            sole = np.bincount(gram) == 1
+            shorter = np.concatenate(whole("shorter", np.int64))[at]
+            few, covered = tally(np.repeat(context, size)[at], count, discounted(shorter, ds[-1]) if ds else words.probability(shorter), len(one))
+            stats += count_of_counts(count)
+            ends, cuts = np.cumsum([int(s.sum()) for s in sizes])[:-1], np.cumsum([len(s) for s in sizes])[:-1]
+            for chunk, g, c in zip(chunks, np.split(gram, ends), np.split(context, cuts), strict=True):
+                out.append({"bucket": bucket, "chunk": chunk, "counts": squeeze(count[g]), "sole": squeeze(np.packbits(sole[g])), "few": squeeze(few[c].reshape(-1)), "covered": squeeze_floats(covered[c])})
+            hot = np.flatnonzero(np.concatenate(whole("hot", np.uint8))[one])
+            out.append({"bucket": bucket, "hot": np.stack([c[one[hot]] for c in flat], 1).tolist(), "hot_few": few[hot].tolist(), "hot_covered": covered[hot].tolist()})
+        out.append({"bucket": bucket, "stats": stats.tolist()})
+        return pa.Table.from_pylist(out, schema=FOUND_ARROW)
 
     return requests.groupBy("bucket").applyInArrow(run, FOUND)
 
@@ -357,61 +499,67 @@ def pair_answers(requests: DataFrame, words: Words, hot: set[int]) -> DataFrame:
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score_documents(documents: DataFrame, held: Column) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learned from documents not `held`."""
-    spark = documents.sparkSession
+def by_place(df: DataFrame) -> dict[int, int]:
+    return {r[0]: int(r[1]) for r in df.filter("chunk is null").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect()}
+
+
+def score_documents(documents: DataFrame, held: Column, order: int = 3) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) by n-grams of up to `order` words, 2 or more; learned from documents not `held`."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     chunks = step(chunked(documents, held), "chunks")
-    facts = chunks.agg(F.sum("n_vocab"), F.sum("n_train"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.aggregate("trained", F.lit(0), lambda a, x: a + x.cast("int")))).first()
+    facts = chunks.read().agg(F.sum("n_vocab"), F.sum("n_train"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.aggregate("trained", F.lit(0), lambda a, x: a + x.cast("int")))).first()
     n_vocab, total, n_tokens, trained_docs = (int(x or 0) for x in facts)
-    word_buckets, pair_buckets = buckets_for(n_vocab), buckets_for(n_tokens * 2 // 3)
-    answers = step(word_answers(word_requests(chunks, word_buckets), word_buckets, max(1, total // HOT)), "word-answers")
-    sums = answers.filter("chunk is null").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect()
-    stats = dict((r[0], r[1]) for r in sums)
-    n_r, distinct = [int(stats.get(r, 0)) for r in range(TOP + 2)], int(stats.get(TOP + 2, 0))
-    hot = {r[0] for r in answers.filter("chunk is null").select(F.explode("hot")).collect()} | {START}
-    words = Words(n_r, total)
-    totals = answers.filter("chunk is not null").select("chunk", "bucket", "ranks", "totals")
-    found = step(pair_answers(pair_requests(chunks, totals, hot, word_buckets, pair_buckets), words, hot), "pair-answers")
-    per_bucket = found.filter("chunk is null")
-    sums = dict(tuple(r) for r in per_bucket.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect())
-    d = discounts([int(sums.get(r, 0)) for r in range(TOP + 2)])
-    spread = per_bucket.select(F.explode(F.arrays_zip("hot", "hot_few", "hot_covered")).alias("x")).select("x.*").groupBy("hot")
-    hot_rows = spread.agg(F.array(*[F.sum(F.col("hot_few")[r]) for r in range(TOP)]).alias("few"), F.sum("hot_covered").alias("covered")).collect()
-    hot_sums = {r.hot: (r.few, r.covered) for r in hot_rows}  # at most HOT + 1 rows
+    word_buckets, buckets, hot_least = buckets_for(n_vocab), buckets_for(n_tokens * 2 // 3), max(1, total // HOT)
+    answers = step(word_answers(word_requests(chunks.read(), word_buckets), word_buckets), "word-answers")
+    stats = by_place(answers.read())
+    words, distinct = Words([stats.get(r, 0) for r in range(TOP + 2)], total), stats.get(TOP + 2, 0)
+    states = step(named_chunks(chunks.read(), answers.read(), word_buckets), "word-states", chunks, answers)
+    ds: list[np.ndarray] = []
+    for n in range(2, order + 1):
+        below = list(ds)
+        found = step(gram_answers(gram_requests(states.read(), trained_docs, hot_least, buckets), words, below), f"answers-{n}")
+        stats = by_place(found.read())
+        ds.append(discounts([stats.get(r, 0) for r in range(TOP + 2)]))
+        spread = found.read().filter("hot is not null").select(F.explode(F.arrays_zip("hot", "hot_few", "hot_covered")).alias("x")).select("x.*").groupBy("hot")
+        sums = spread.agg(F.array(*[F.sum(F.col("hot_few")[r]) for r in range(TOP)]).alias("few"), F.sum("hot_covered").alias("covered")).collect()
+        shared = {tuple(r.hot): (r.few, r.covered) for r in sums}  # at most HOT + 1 rows
+        answered = found.read().filter("counts is not null").select("chunk", "bucket", "counts", "sole", "few", "covered")
+        both = states.read().groupBy("chunk").cogroup(answered.groupBy("chunk"))
+        if n < order:
+            states = step(both.applyInArrow(stored(trained_docs, shared, hot_least, buckets, words, below), STATES), f"states-{n}", states, found)
+    return both.applyInArrow(scored(trained_docs, shared, hot_least, buckets, words, ds, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def stored(trained_docs: int, shared: dict, hot_least: int, buckets: int, words: Words, below: list[np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Chunks with one more level answered."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.to_pylist()
+        for row in rows:
+            counts, sole, few, covered = Chunk(row, trained_docs).take(right.to_pylist(), shared, hot_least, buckets, words, below)
+            row["levels"].append({"counts": squeeze(counts), "sole": squeeze(np.packbits(sole)), "few": squeeze(few.reshape(-1)), "covered": squeeze_floats(covered)})
+        return pa.Table.from_pylist(rows, schema=STATE)
+
+    return run
+
+
+def scored(trained_docs: int, shared: dict, hot_least: int, buckets: int, words: Words, ds: list[np.ndarray], total: int, distinct: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The scores of a chunk's documents, the last level's answers taken."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        right_rows = right.to_pylist()
         for row in left.to_pylist():
-            b = Bigrams(row, *named(row, [r for r in right_rows if r["totals"] is not None], word_buckets), hot, pair_buckets)
-            got = {r["bucket"]: r for r in right_rows if r["totals"] is None}
-            n = len(b.totals)
-            count = np.zeros(len(b.context), np.int64)
-            few, covered = np.zeros((n + 1, TOP), np.int64), np.zeros(n + 1)
-            for bucket, at in b.parts():
-                answer = got[bucket]
-                count[at] = expand(answer["counts"], np.int64)
-                first = firsts(b.context[at])
-                few[b.context[at[first]]] = expand(answer["few"], np.int64).reshape(-1, TOP)
-                covered[b.context[at[first]]] = expand_floats(answer["covered"])
-            for k in np.flatnonzero(np.isin(b.names, np.array(sorted(hot_sums), np.int64))).tolist():
-                few[k], covered[k] = hot_sums[int(b.names[k])]
-            c = np.append(b.totals, trained_docs)
-            scale, weight = context_weights(c, few, covered, d)
-            seen = d[np.minimum(count, TOP) * (count <= TOP)] * count * scale[b.context] / np.maximum(c[b.context], 1)
-            p = np.where(count > 0, seen, weight[b.context] * words.probability(b.totals[b.word]))
-            score = np.add.reduceat(np.log10(p)[b.place], b.starts)
+            b = Chunk(row, trained_docs)
+            b.answer(*b.take(right.to_pylist(), shared, hot_least, buckets, words, ds[:-1]))
+            score = np.add.reduceat(b.scores(words, ds), b.starts)
             base = np.add.reduceat(np.log10((b.totals + 1) / (total + distinct + 1))[b.tokens], b.starts)
             known = np.add.reduceat((b.totals > 0)[b.tokens].astype(np.int64), b.starts)
-            k = len(row["doc_ids"])
-            out.append([row["doc_ids"], [not t for t in row["trained"]], row["lengths"], known, [total] * k, base, score])
-        if not out:
-            return SCORED.empty_table()
-        return pa.concat_tables([pa.Table.from_arrays([pa.array(v, t) for v, t in zip(o, SCORED.types, strict=True)], schema=SCORED) for o in out])
-
-    both = totals.select("chunk", "bucket", "ranks", "totals", *[F.lit(None).cast("binary").alias(x) for x in ("counts", "few", "covered")]).union(found.filter("chunk is not null").select("chunk", "bucket", *[F.lit(None).cast("binary").alias(x) for x in ("ranks", "totals")], "counts", "few", "covered"))
-    chunks = chunks.select("chunk", "doc_ids", "trained", "lengths", "tokens", "vocab")
-    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            columns = [row["doc_ids"], [not t for t in row["trained"]], row["lengths"], known, [total] * len(known), base, score]
+            out.append(pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, SCORED.types, strict=True)], schema=SCORED))
+        return pa.concat_tables(out) if out else SCORED.empty_table()
+
+    return run
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -458,51 +458,59 @@ def test_katz_is_normalised(spark, docs, none):
     assert katz.score_documents(none, F.lit(False)).count() == 0
 
 
-def test_katz_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_against_brute_force(spark, monkeypatch, order):
     for name, value in (("CHUNK_WORDS", 400), ("BUCKET_KEYS", 30), ("HOT", 30)):
         monkeypatch.setattr(katz, name, value)
     skewed = lambda n: " ".join(WORDS[int(200 * rng.random() ** 4)] for _ in range(n))
     rows = [(k, skewed(rng.randrange(0, 60))) for k in range(150)] + [(200, None), (201, "Unseen " + WORDS[0] + " unseen"), (203, "once ONCE"), (204, ""), (7, skewed(9)), (7, skewed(9))]
+    rows += [(300 + k, "only here these words repeat only here these words repeat") for k in range(3)]  # k = 1 is held out
     docs = [(i, [*(t or "").lower().split(), None]) for i, t in rows]  # None: the end
     held = {i: i % 5 == 1 for i, _ in docs}
-    word, pair, starts = Counter(), Counter(), sum(not held[i] for i, _ in docs)
+    grams = [Counter() for _ in range(order)]  # by length - 1; one that begins a document has "<s>" before it
+    starts = sum(not held[i] for i, _ in docs)
     for i, w in docs:
         if not held[i]:
-            word.update(w)
-            pair.update(zip(["<s>", *w], w, strict=False))
-    total, distinct = sum(word.values()), len(word)
+            grams[0].update((x,) for x in w)
+            line = ["<s>", *w]
+            for n in range(2, order + 1):
+                grams[n - 1].update(zip(*(line[k:] for k in range(n)), strict=False))
+    total, distinct = sum(grams[0].values()), len(grams[0])
     kinds = lambda c: [0, *(sum(v == r for v in c.values()) for r in range(1, katz.TOP + 2))]
-    d1, d2 = katz.discounts(kinds(word)), katz.discounts(kinds(pair))
+    ds = [katz.discounts(kinds(c)) for c in grams]
     disc = lambda d, c: (d[c] if c <= katz.TOP else 1.0) * c
-    lost = sum(v - disc(d1, v) for v in word.values())
+    lost = sum(v - disc(ds[0], v) for v in grams[0].values())
     assert lost > 0
-    unigram = lambda w: disc(d1, word[w]) / total if word[w] else lost / total
     followers = {}
-    for (a, b), v in pair.items():
-        followers.setdefault(a, {})[b] = v
-
-    def probability(a, b):
-        seen = followers.get(a, {})
-        c = starts if a == "<s>" else word[a]
+    for c in grams[1:]:
+        for g, v in c.items():
+            followers.setdefault(g[:-1], {})[g[-1]] = v
+
+    def probability(context, b):
+        if not context:
+            return disc(ds[0], grams[0][(b,)]) / total if grams[0][(b,)] else lost / total
+        seen, d = followers.get(context, {}), ds[len(context)]
         if not seen:
-            return unigram(b)
-        off = sum(v - disc(d2, v) for v in seen.values())
+            return probability(context[1:], b)
+        c = starts if context == ("<s>",) else grams[len(context) - 1][context]
+        assert c == sum(seen.values())
+        off = sum(v - disc(d, v) for v in seen.values())
         scale, left = (1.0, off / c) if off > 0 else (c / (c + 1), 1 / (c + 1))
-        return disc(d2, seen[b]) / c * scale if b in seen else left / (1 - sum(map(unigram, seen))) * unigram(b)
+        return disc(d, seen[b]) / c * scale if b in seen else left / (1 - sum(probability(context[1:], x) for x in seen)) * probability(context[1:], b)
 
-    for a in ["<s>", *word]:
-        if a is not None:
-            assert sum(probability(a, b) for b in [*word, "never seen"]) == pytest.approx(1)
+    for context in [*followers][:: 1 if order == 2 else 40]:
+        assert sum(probability(context, b) for b in [*(g[0] for g in grams[0]), "never seen"]) == pytest.approx(1)
     want = []
     for i, w in docs:
-        base = sum(math.log10((word[x] + 1) / (total + distinct + 1)) for x in w)
-        score = sum(math.log10(probability(a, b)) for a, b in zip(["<s>", *w], w, strict=False))
-        want.append((i, held[i], len(w), sum(word[x] > 0 for x in w), total, base, score))
+        base = sum(math.log10((grams[0][(x,)] + 1) / (total + distinct + 1)) for x in w)
+        line = ["<s>", *w]
+        score = sum(math.log10(probability(tuple(line[max(0, k - order + 1) : k]), line[k])) for k in range(1, len(line)))
+        want.append((i, held[i], len(w), sum(grams[0][(x,)] > 0 for x in w), total, base, score))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = [tuple(r) for r in katz.score_documents(df, F.col("doc_id") % 5 == 1).collect()]
-    order = lambda rows: sorted(rows, key=lambda r: (r[0], r[2], round(r[6], 6)))
+    got = [tuple(r) for r in katz.score_documents(df, F.col("doc_id") % 5 == 1, order).collect()]
+    key = lambda rows: sorted(rows, key=lambda r: (r[0], r[2], round(r[6], 6)))
     assert len(got) == len(want)
-    for x, y in zip(order(got), order(want), strict=True):
+    for x, y in zip(key(got), key(want), strict=True):
         assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-9)
 
 
