@@ -16,7 +16,8 @@ from the level below, whose buckets tell which n-grams one chunk alone listed. C
 1/`HOT` of all tokens are spread over buckets by the whole n-gram; their sums, at most `HOT` rows a level, are
 shared.
 
-The weight of a context takes the probabilities that its seen followers have one level below. These are
+A context's sums are sent and kept only where a follower was not seen, as only its weight needs them. The
+weight of a context takes the probabilities that its seen followers have one level below. These are
 discounted counts times a factor of the shorter context, as a seen n-gram's shorter one is seen too; so
 requests carry counts, buckets add up discounted ones, and the chunk multiplies by the factor it knows.
 
@@ -134,7 +135,10 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def by_bucket(which: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places) with the places in `order` within each bucket."""
-    order = order[np.argsort(which[order], kind="stable")]
+    values = which[order]
+    if len(values) and values.max() < 1 << 16:
+        values = values.astype(np.uint16)  # sorted digit by digit
+    order = order[np.argsort(values, kind="stable")]
     values = which[order]
     cuts = np.flatnonzero(np.diff(values)) + 1
     for part in np.split(order, cuts) if len(order) else []:
@@ -249,21 +253,18 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return d[np.minimum(c, TOP) * (c <= TOP)] * c
 
 
-def context_weights(c: np.ndarray, few: np.ndarray, covered: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scale of seen n-grams, backoff weight) of contexts seen c times, `few[:, r - 1]` of whose followers r times,
-    the followers' probabilities one level below adding up to `covered`."""
-    r = np.arange(1, TOP + 1)
-    off = few @ ((1 - d[1:]) * r)
-    scale = np.where(off > 0, 1.0, c / (c + 1.0))
+def backoff_weights(c: np.ndarray, few: np.ndarray, covered: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Of contexts seen c times, `few[:, r - 1]` of whose followers r times, the followers' probabilities one level below adding up to `covered`."""
+    off = few @ ((1 - d[1:]) * np.arange(1, TOP + 1))
     left = np.where(off > 0, off / np.maximum(c, 1), 1 / (c + 1.0))
-    return scale, np.where(c > 0, left / np.maximum(1 - covered, 1e-300), 1.0)
+    return np.where(c > 0, left / np.maximum(1 - covered, 1e-300), 1.0)
 
 
 # --- n-grams of a chunk ----------------------------------------------------------------------------
 
-LEVEL = pa.struct([(n, pa.binary()) for n in ("counts", "sole", "few", "covered")])
+LEVEL = pa.struct([(n, pa.binary()) for n in ("counts", "sole", "rare", "few", "covered")])
 STATE = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("trained", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("tokens", pa.binary()), ("names", pa.binary()), ("totals", pa.binary()), ("sole", pa.binary()), ("levels", pa.list_(LEVEL))])
-STATES = "chunk long, doc_ids array<long>, trained array<boolean>, lengths array<long>, tokens binary, names binary, totals binary, sole binary, levels array<struct<counts: binary, sole: binary, few: binary, covered: binary>>"
+STATES = "chunk long, doc_ids array<long>, trained array<boolean>, lengths array<long>, tokens binary, names binary, totals binary, sole binary, levels array<struct<counts: binary, sole: binary, rare: binary, few: binary, covered: binary>>"
 
 
 def bits(b: bytes, n: int) -> np.ndarray:
@@ -279,22 +280,36 @@ def tally(owner: np.ndarray, count: np.ndarray, worth: np.ndarray, n: int) -> tu
     """(few, covered) of n contexts from their n-grams: owners, counts and what each follower has one level below."""
     some = (count > 0) & (count <= TOP)
     few = np.bincount(owner[some] * TOP + count[some] - 1, minlength=n * TOP).reshape(n, TOP)
-    return few, np.bincount(owner, weights=np.where(count > 0, worth, 0.0), minlength=n)
+    return few, np.bincount(owner, weights=np.where(count > 0, worth, 0.0), minlength=n).astype(float)  # of no rows it has whole numbers
 
 
 class Level:
-    """The distinct n-grams of one length in a chunk, by context and word: places of contexts among the shorter
-    n-grams (words and the start for bigrams), words, own training counts, the n-grams without their first word,
-    and each token's n-gram, -1 for none."""
+    """The distinct n-grams of one length in a chunk: places of contexts among the shorter n-grams (words and
+    the start for bigrams), words, own training counts, the n-grams without their first word, and each
+    token's n-gram, -1 for none. Once answered: counts, which n-grams no other chunk has, which contexts have
+    rare followers (their n-grams are discounted), and the sums of contexts that lack a follower of theirs here."""
+
+    counts: np.ndarray
+    sole: np.ndarray
+    rare: np.ndarray
+    few: np.ndarray
+    covered: np.ndarray
 
     def __init__(self, before: np.ndarray, tokens: np.ndarray, shorter: np.ndarray, trained: np.ndarray, n: int) -> None:
         at = np.flatnonzero(before >= 0)
-        grams, first, place = np.unique(before[at].astype(np.int64) * n + tokens[at], return_index=True, return_inverse=True)
+        grams, place = np.unique(before[at].astype(np.int64) * n + tokens[at], return_inverse=True)
         self.place = np.full(len(tokens), -1, np.int32)
         self.place[at] = place
-        self.own = np.bincount(place[trained[at]], minlength=len(grams)).astype(np.int64)
-        self.context, self.word = grams // n, grams % n
-        self.shorter = shorter[at[first]].astype(np.int64)
+        self.own = np.bincount(place[trained[at]], minlength=len(grams)).astype(np.int32)
+        self.context, self.word = (grams // n).astype(np.int32), (grams % n).astype(np.int32)
+        self.shorter = np.empty(len(grams), np.int32)
+        self.shorter[place] = shorter[at]
+
+    def lacking(self, contexts: int) -> np.ndarray:
+        """Contexts with a follower here that training has not: those whose backoff weights count."""
+        out = np.zeros(contexts, bool)
+        out[self.context[self.counts == 0]] = True
+        return out
 
 
 class Chunk:
@@ -302,7 +317,7 @@ class Chunk:
 
     def __init__(self, row: dict, trained_docs: int) -> None:
         lengths = np.array(row["lengths"], np.int64)
-        self.tokens = expand(row["tokens"], np.uint32).astype(np.int64)
+        self.tokens = expand(row["tokens"], np.uint32).astype(np.int32)
         self.starts = np.cumsum(lengths) - lengths
         self.trained = np.repeat(np.array(row["trained"], bool), lengths)
         self.totals = expand(row["totals"], np.int64)
@@ -311,13 +326,15 @@ class Chunk:
         before = self.behind(self.tokens)
         before[self.starts] = n  # the start
         self.levels = [Level(before, self.tokens, self.tokens, self.trained, n)]
-        self.counts = [np.append(self.totals, trained_docs)]  # of contexts, level by level
-        self.sole = np.append(bits(row["sole"], n), False)  # contexts of the last level that no other chunk has
-        self.sums: list[tuple[np.ndarray, np.ndarray]] = []
+        self.context_counts = self.counts = np.append(self.totals, trained_docs)  # of the first and of the last level's contexts
+        self.sole = np.append(bits(row["sole"], n), False)
         for stored in row["levels"]:
-            counts = expand(stored["counts"], np.int64)
-            self.answer(counts, bits(stored["sole"], len(counts)), expand(stored["few"], np.int64).reshape(-1, TOP), expand_floats(stored["covered"]))
-            self.deepen()
+            last, contexts = self.levels[-1], len(self.counts)
+            last.counts = expand(stored["counts"], np.int64)
+            last.sole, last.rare = bits(stored["sole"], len(last.counts)), bits(stored["rare"], contexts)
+            last.few, last.covered = expand(stored["few"], np.int32).reshape(-1, TOP), expand_floats(stored["covered"])
+            self.counts, self.sole = last.counts, last.sole
+            self.levels.append(Level(self.behind(last.place), self.tokens, last.place, self.trained, n))
 
     def behind(self, x: np.ndarray) -> np.ndarray:
         """What the token before each one has; -1 for a document's first."""
@@ -326,74 +343,85 @@ class Chunk:
         out[self.starts] = -1
         return out
 
-    def answer(self, counts: np.ndarray, sole: np.ndarray, few: np.ndarray, covered: np.ndarray) -> None:
-        """The last level's figures."""
-        self.counts.append(counts)
-        self.sums.append((few, covered))
-        self.sole = sole
-
-    def deepen(self) -> None:
-        last = self.levels[-1]
-        self.levels.append(Level(self.behind(last.place), self.tokens, last.place, self.trained, len(self.totals)))
-
-    def worth(self, words: Words, ds: list[np.ndarray]) -> np.ndarray:
-        """What the last level's n-grams have one level below, up to a factor of the shorter context."""
-        c = self.counts[-1][self.levels[-1].shorter]
-        return discounted(c, ds[-1]) if ds else words.probability(c)
-
     def context_names(self, places: np.ndarray) -> list[np.ndarray]:
         """The words of the last level's contexts, the last one first."""
+        return [self.names[w] for w in self.context_words(places)]
+
+    def context_words(self, places: np.ndarray) -> list[np.ndarray]:
         out = []
         for level in self.levels[-2::-1]:
-            out.append(self.names[level.word[places]])
+            out.append(level.word[places])
             places = level.context[places]
-        return [*out, self.names[places]]
-
-    def parts(self, hot_least: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(bucket, n-grams by context and word, where their contexts begin, which contexts are hot); those of contexts that others have too."""
-        last = self.levels[-1]
-        at = np.flatnonzero(~self.sole[last.context])
-        columns, word = self.context_names(last.context[at]), self.names[last.word[at]]
-        hot = (self.counts[-1][last.context[at]] > hot_least) | (columns[0] == START)
+        return [*out, places]
+
+    def parts(self, hot_least: int, buckets: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, n-grams by context and word, where their contexts begin, which contexts are hot) of n-grams asked for:
+        those whose contexts training has and other chunks too."""
+        last, n = self.levels[-1], len(self.names)
+        at = np.flatnonzero((~self.sole & (self.counts > 0))[last.context])
+        used, context = np.unique(last.context[at], return_inverse=True)
+        rank = np.empty(n, np.int64)
+        rank[np.argsort(self.names)] = np.arange(n)
+        order = np.zeros(len(used), np.int64)  # of the contexts by their words
+        for words in self.context_words(used):
+            order = np.unique(order * n + rank[words], return_inverse=True)[1]
+        columns = self.context_names(used)
+        hot = (self.counts[used] > hot_least) | (columns[0] == START)
         key = columns[0].view(np.uint64)
         for c in columns[1:]:
             key = mix(key) + c.view(np.uint64)
-        which = bucket_of(np.where(hot, mix(key) + word.view(np.uint64), key), buckets)
-        for bucket, part in by_bucket(which, np.lexsort((word, *columns[::-1]))):
-            first = firsts(last.context[at[part]])
-            yield bucket, at[part], first, hot[part[first]]
-
-    def own_sums(self, words: Words, ds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        last = self.levels[-1]
-        return tally(last.context, last.own, self.worth(words, ds), len(self.counts[-1]))
-
-    def take(self, answers: list[dict], shared: dict, hot_least: int, buckets: int, words: Words, ds: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """(counts, sole, few, covered) of the last level from the buckets' answers, the hot contexts' sums and the chunk's own."""
-        last, got = self.levels[-1], {a["bucket"]: a for a in answers}
-        counts, sole = last.own.copy(), np.ones(len(last.own), bool)
-        few, covered = self.own_sums(words, ds)
-        for bucket, at, first, hot in self.parts(hot_least, buckets):
-            a, contexts = got[bucket], last.context[at[first]]
-            counts[at], sole[at] = expand(a["counts"], np.int64), bits(a["sole"], len(at))
-            few[contexts], covered[contexts] = expand(a["few"], np.int64).reshape(-1, TOP), expand_floats(a["covered"])
-            common = contexts[hot]
+        spread, which = hot[context], bucket_of(key, buckets)[context]
+        which[spread] = bucket_of(mix(key)[context[spread]] + self.names[last.word[at[spread]]].view(np.uint64), buckets)
+        out = []
+        for bucket, part in by_bucket(which, np.argsort(order[context] * n + rank[last.word[at]])):
+            first = firsts(context[part])
+            out.append((bucket, at[part], first, hot[context[part[first]]]))
+        return out
+
+    def take(self, answers: list[dict], shared: dict, hot_least: int, buckets: int, words: Words, ds: list[np.ndarray]) -> Level:
+        """The last level with its figures, from the buckets' answers, the hot contexts' sums and the chunk's own n-grams."""
+        last, got, n = self.levels[-1], {a["bucket"]: a for a in answers}, len(self.counts)
+        parts = self.parts(hot_least, buckets)
+        last.counts, last.sole, last.rare = last.own.astype(np.int64), self.sole[last.context], np.zeros(n, bool)
+        last.rare[last.context[(last.own > 0) & (last.own <= TOP)]] = True  # of others' contexts it is answered
+        for bucket, at, first, _ in parts:
+            a = got[bucket]
+            last.counts[at], last.sole[at] = expand(a["counts"], np.int64), bits(a["sole"], len(at))
+            last.rare[last.context[at[first]]] = bits(a["rare"], len(first))
+        lacking = last.lacking(n)
+        index = np.cumsum(lacking) - 1
+        mine = np.flatnonzero((lacking & self.sole)[last.context])
+        shorter = self.counts[last.shorter[mine]]
+        few, last.covered = tally(index[last.context[mine]], last.own[mine], discounted(shorter, ds[-1]) if ds else words.probability(shorter), int(lacking.sum()))
+        last.few = few.astype(np.int32)
+        for bucket, at, first, _ in parts:
+            contexts = last.context[at[first]]
+            # the answer has sums of contexts that lack one of the followers asked for in this part
+            here = contexts[np.logical_or.reduceat(last.counts[at] == 0, first)]
+            last.few[index[here]], last.covered[index[here]] = expand(got[bucket]["few"], np.int32).reshape(-1, TOP), expand_floats(got[bucket]["covered"])
+        for _, at, first, hot in parts:
+            common = last.context[at[first[hot]]]
             for c, name in zip(common.tolist(), zip(*(x.tolist() for x in self.context_names(common)), strict=True), strict=True):
-                few[c], covered[c] = shared[name]
-        return counts, sole, few, covered
+                few, covered = shared[name]
+                last.rare[c] = any(few)
+                if lacking[c]:
+                    last.few[index[c]], last.covered[index[c]] = few, covered
+        return last
 
     def scores(self, words: Words, ds: list[np.ndarray]) -> np.ndarray:
         """log10 of each token's probability: the seen n-gram's, or the weight times that one level below."""
-        p, factor = words.probability(self.totals)[self.tokens], None
-        for k, (d, (few, covered)) in enumerate(zip(ds, self.sums, strict=True)):
-            level, c, count = self.levels[k], self.counts[k], self.counts[k + 1]
-            if factor is not None:
-                covered = covered * factor[self.levels[k - 1].shorter]
-            scale, weight = context_weights(c, few, covered, d)
-            factor = scale / np.maximum(c, 1)
+        p, c, factor, shorter = words.probability(self.totals)[self.tokens], self.context_counts, None, None
+        for level, d in zip(self.levels, ds, strict=True):
+            lacking = level.lacking(len(c))
+            covered = level.covered if factor is None else level.covered * factor[shorter[lacking]]
+            weight = backoff_weights(c[lacking], level.few, covered, d)
+            factor, shorter = np.where(level.rare, 1.0, c / (c + 1.0)) / np.maximum(c, 1), level.shorter
             at = np.flatnonzero(level.place >= 0)
             gram = level.place[at]
-            context = level.context[gram]
-            p[at] = np.where(count[gram] > 0, discounted(count, d)[gram] * factor[context], weight[context] * p[at])
+            context, seen = level.context[gram], level.counts[gram] > 0
+            p[at[seen]] = discounted(level.counts[gram[seen]], d) * factor[context[seen]]
+            p[at[~seen]] *= weight[(np.cumsum(lacking) - 1)[context[~seen]]]
+            c = level.counts
         return np.log10(p)
 
 
@@ -422,8 +450,8 @@ def named_chunks(chunks: DataFrame, answers: DataFrame, buckets: int) -> DataFra
 
 GRAMS_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("contexts", pa.list_(pa.binary())), *((n, pa.binary()) for n in ("hot", "sizes", "words", "counts", "shorter")), ("stats", pa.list_(pa.int64()))])
 GRAMS = "bucket long, chunk long, contexts array<binary>, hot binary, sizes binary, words binary, counts binary, shorter binary, stats array<long>"
-FOUND_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((n, pa.binary()) for n in ("counts", "sole", "few", "covered")), ("stats", pa.list_(pa.int64())), ("hot", pa.list_(pa.list_(pa.int64()))), ("hot_few", pa.list_(pa.list_(pa.int64()))), ("hot_covered", pa.list_(pa.float64()))])
-FOUND = "bucket long, chunk long, counts binary, sole binary, few binary, covered binary, stats array<long>, hot array<array<long>>, hot_few array<array<long>>, hot_covered array<double>"
+FOUND_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((n, pa.binary()) for n in ("counts", "sole", "rare", "few", "covered")), ("stats", pa.list_(pa.int64())), ("hot", pa.list_(pa.list_(pa.int64()))), ("hot_few", pa.list_(pa.list_(pa.int64()))), ("hot_covered", pa.list_(pa.float64()))])
+FOUND = "bucket long, chunk long, counts binary, sole binary, rare binary, few binary, covered binary, stats array<long>, hot array<array<long>>, hot_few array<array<long>>, hot_covered array<double>"
 
 
 def gram_requests(states: DataFrame, trained_docs: int, hot_least: int, buckets: int) -> DataFrame:
@@ -438,7 +466,7 @@ def gram_requests(states: DataFrame, trained_docs: int, hot_least: int, buckets:
             columns, word = chunk.context_names(last.context[at[first]]), chunk.names[last.word[at]]
             steps = np.diff(word, prepend=0)  # ascending within a context
             steps[first] = word[first]
-            arrays = {"hot": hot, "sizes": np.diff(np.append(first, len(at))).astype(np.int32), "words": steps, "counts": last.own[at].astype(np.int32), "shorter": chunk.counts[-1][last.shorter[at]]}
+            arrays = {"hot": hot, "sizes": np.diff(np.append(first, len(at))).astype(np.int32), "words": steps, "counts": last.own[at], "shorter": chunk.counts[last.shorter[at]]}
             yield {"bucket": bucket, "chunk": row["chunk"], "contexts": [squeeze(deltas(columns[0])), *map(squeeze, columns[1:])], **{k: squeeze(v) for k, v in arrays.items()}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,7 +482,9 @@ def number(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     ids, first = np.zeros(len(columns[0]), np.int64), np.zeros(0, np.int64)
     for c in columns:
         values, at = np.unique(c, return_inverse=True)
-        _, first, ids = np.unique(ids * len(values) + at, return_index=True, return_inverse=True)
+        values, ids = np.unique(ids * len(values) + at, return_inverse=True)
+        first = np.empty(len(values), np.int64)
+        first[ids] = np.arange(len(ids))
     return ids, first
 
 
@@ -486,8 +516,10 @@ def gram_answers(requests: DataFrame, words: Words, ds: list[np.ndarray]) -> Dat
             few, covered = tally(np.repeat(context, size)[at], count, discounted(shorter, ds[-1]) if ds else words.probability(shorter), len(one))
             stats += count_of_counts(count)
             ends, cuts = np.cumsum([int(s.sum()) for s in sizes])[:-1], np.cumsum([len(s) for s in sizes])[:-1]
-            for chunk, g, c in zip(chunks, np.split(gram, ends), np.split(context, cuts), strict=True):
-                out.append({"bucket": bucket, "chunk": chunk, "counts": squeeze(count[g]), "sole": squeeze(np.packbits(sole[g])), "few": squeeze(few[c].reshape(-1)), "covered": squeeze_floats(covered[c])})
+            rare, few = few.any(axis=1), few.astype(np.int32)
+            for chunk, g, c, n in zip(chunks, np.split(gram, ends), np.split(context, cuts), sizes, strict=True):
+                here = c[np.logical_or.reduceat(count[g] == 0, np.cumsum(n) - n)]  # only their weights count
+                out.append({"bucket": bucket, "chunk": chunk, "counts": squeeze(count[g]), "sole": squeeze(np.packbits(sole[g])), "rare": squeeze(np.packbits(rare[c])), "few": squeeze(few[here].reshape(-1)), "covered": squeeze_floats(covered[here])})
             hot = np.flatnonzero(np.concatenate(whole("hot", np.uint8))[one])
             out.append({"bucket": bucket, "hot": np.stack([c[one[hot]] for c in flat], 1).tolist(), "hot_few": few[hot].tolist(), "hot_covered": covered[hot].tolist()})
         out.append({"bucket": bucket, "stats": stats.tolist()})
@@ -524,7 +556,7 @@ def score_documents(documents: DataFrame, held: Column, order: int = 3) -> DataF
         spread = found.read().filter("hot is not null").select(F.explode(F.arrays_zip("hot", "hot_few", "hot_covered")).alias("x")).select("x.*").groupBy("hot")
         sums = spread.agg(F.array(*[F.sum(F.col("hot_few")[r]) for r in range(TOP)]).alias("few"), F.sum("hot_covered").alias("covered")).collect()
         shared = {tuple(r.hot): (r.few, r.covered) for r in sums}  # at most HOT + 1 rows
-        answered = found.read().filter("counts is not null").select("chunk", "bucket", "counts", "sole", "few", "covered")
+        answered = found.read().filter("counts is not null").select("chunk", "bucket", "counts", "sole", "rare", "few", "covered")
         both = states.read().groupBy("chunk").cogroup(answered.groupBy("chunk"))
         if n < order:
             states = step(both.applyInArrow(stored(trained_docs, shared, hot_least, buckets, words, below), STATES), f"states-{n}", states, found)
@@ -537,8 +569,8 @@ def stored(trained_docs: int, shared: dict, hot_least: int, buckets: int, words:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
         for row in rows:
-            counts, sole, few, covered = Chunk(row, trained_docs).take(right.to_pylist(), shared, hot_least, buckets, words, below)
-            row["levels"].append({"counts": squeeze(counts), "sole": squeeze(np.packbits(sole)), "few": squeeze(few.reshape(-1)), "covered": squeeze_floats(covered)})
+            a = Chunk(row, trained_docs).take(right.to_pylist(), shared, hot_least, buckets, words, below)
+            row["levels"].append({"counts": squeeze(a.counts), "sole": squeeze(np.packbits(a.sole)), "rare": squeeze(np.packbits(a.rare)), "few": squeeze(a.few.reshape(-1)), "covered": squeeze_floats(a.covered)})
         return pa.Table.from_pylist(rows, schema=STATE)
 
     return run
@@ -551,7 +583,7 @@ def scored(trained_docs: int, shared: dict, hot_least: int, buckets: int, words:
         out = []
         for row in left.to_pylist():
             b = Chunk(row, trained_docs)
-            b.answer(*b.take(right.to_pylist(), shared, hot_least, buckets, words, ds[:-1]))
+            b.take(right.to_pylist(), shared, hot_least, buckets, words, ds[:-1])
             score = np.add.reduceat(b.scores(words, ds), b.starts)
             base = np.add.reduceat(np.log10((b.totals + 1) / (total + distinct + 1))[b.tokens], b.starts)
             known = np.add.reduceat((b.totals > 0)[b.tokens].astype(np.int64), b.starts)
