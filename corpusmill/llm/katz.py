@@ -10,8 +10,8 @@ Nothing model-sized is broadcast. Documents are read once into chunks of about `
 a vocabulary of their own. Each chunk asks for the counts of its distinct words, then of its distinct
 bigrams, then of its distinct trigrams; requests carry the chunk's own training counts, so that the tables of
 a level, dealt by hash of the context into buckets of bounded size, are made by adding them up and answered
-in place; answers are stored with the chunk before the next level, and after the last one every token is
-scored. A context that one chunk alone holds is not asked for: that chunk has all its followers. It knows so
+in place and stored by bucket and chunk; each next level, and the scoring of every token at last, reads the
+answers to all levels below. A context that one chunk alone holds is not asked for: that chunk has all its followers. It knows so
 from the level below, whose buckets tell which n-grams one chunk alone listed. Contexts with more than
 1/`HOT` of all tokens are spread over buckets by the whole n-gram; their sums, at most `HOT` rows a level, are
 shared.
@@ -32,6 +32,8 @@ With no training tokens every token has probability 1.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -262,9 +264,8 @@ def backoff_weights(c: np.ndarray, few: np.ndarray, covered: np.ndarray, d: np.n
 
 # --- n-grams of a chunk ----------------------------------------------------------------------------
 
-LEVEL = pa.struct([(n, pa.binary()) for n in ("counts", "sole", "rare", "few", "covered")])
-STATE = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("trained", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("tokens", pa.binary()), ("names", pa.binary()), ("totals", pa.binary()), ("sole", pa.binary()), ("levels", pa.list_(LEVEL))])
-STATES = "chunk long, doc_ids array<long>, trained array<boolean>, lengths array<long>, tokens binary, names binary, totals binary, sole binary, levels array<struct<counts: binary, sole: binary, rare: binary, few: binary, covered: binary>>"
+STATE = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("trained", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("tokens", pa.binary()), ("names", pa.binary()), ("totals", pa.binary()), ("sole", pa.binary())])
+STATES = "chunk long, doc_ids array<long>, trained array<boolean>, lengths array<long>, tokens binary, names binary, totals binary, sole binary"
 
 
 def bits(b: bytes, n: int) -> np.ndarray:
@@ -313,7 +314,7 @@ class Level:
 
 
 class Chunk:
-    """A chunk with its n-grams up to the level after the last one answered."""
+    """A chunk with its n-grams up to some level."""
 
     def __init__(self, row: dict, trained_docs: int) -> None:
         lengths = np.array(row["lengths"], np.int64)
@@ -328,13 +329,12 @@ class Chunk:
         self.levels = [Level(before, self.tokens, self.tokens, self.trained, n)]
         self.context_counts = self.counts = np.append(self.totals, trained_docs)  # of the first and of the last level's contexts
         self.sole = np.append(bits(row["sole"], n), False)
-        for stored in row["levels"]:
-            last, contexts = self.levels[-1], len(self.counts)
-            last.counts = expand(stored["counts"], np.int64)
-            last.sole, last.rare = bits(stored["sole"], len(last.counts)), bits(stored["rare"], contexts)
-            last.few, last.covered = expand(stored["few"], np.int32).reshape(-1, TOP), expand_floats(stored["covered"])
-            self.counts, self.sole = last.counts, last.sole
-            self.levels.append(Level(self.behind(last.place), self.tokens, last.place, self.trained, n))
+
+    def deepen(self) -> None:
+        """The last level is answered; the next one begins."""
+        last = self.levels[-1]
+        self.counts, self.sole = last.counts, last.sole
+        self.levels.append(Level(self.behind(last.place), self.tokens, last.place, self.trained, len(self.totals)))
 
     def behind(self, x: np.ndarray) -> np.ndarray:
         """What the token before each one has; -1 for a document's first."""
@@ -434,7 +434,7 @@ def named(row: dict, answers: list[dict], buckets: int) -> dict:
         rank = expand(got[b]["ranks"], np.int64)
         names[at], sole[at] = rank * buckets + b, bits(got[b]["sole"], len(at))
         totals[at[np.argsort(-rank)]] = np.cumsum(expand(got[b]["totals"], np.uint64), dtype=np.uint64).astype(np.int64)
-    return {**row, "names": squeeze(names), "totals": squeeze(totals), "sole": squeeze(np.packbits(sole)), "levels": []}
+    return {**row, "names": squeeze(names), "totals": squeeze(totals), "sole": squeeze(np.packbits(sole))}
 
 
 def named_chunks(chunks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
@@ -454,27 +454,58 @@ FOUND_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((n, pa
 FOUND = "bucket long, chunk long, counts binary, sole binary, rare binary, few binary, covered binary, stats array<long>, hot array<array<long>>, hot_few array<array<long>>, hot_covered array<double>"
 
 
-def gram_requests(states: DataFrame, trained_docs: int, hot_least: int, buckets: int) -> DataFrame:
+@dataclass
+class Model:
+    """What is known of the levels answered: discounts and hot contexts' sums (at most HOT + 1 rows a level)."""
+
+    words: Words
+    trained_docs: int
+    hot_least: int
+    buckets: int
+    ds: list[np.ndarray] = field(default_factory=list)
+    shared: list[dict] = field(default_factory=list)
+
+    def chunk(self, row: dict, answers: list[dict]) -> Chunk:
+        chunk = Chunk(row, self.trained_docs)
+        for k, shared in enumerate(self.shared):
+            if k:
+                chunk.deepen()
+            chunk.take([a for a in answers if a["level"] == k], shared, self.hot_least, self.buckets, self.words, self.ds[:k])
+        return chunk
+
+
+def answered(states: DataFrame, found: list[Staged], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """`run` over each chunk and all answers to it."""
+    rows = [f.read().filter("counts is not null").select("chunk", "bucket", "counts", "sole", "rare", "few", "covered", F.lit(k).alias("level")) for k, f in enumerate(found)]
+    return states.groupBy("chunk").cogroup(reduce(DataFrame.union, rows).groupBy("chunk")).applyInArrow(run, schema)
+
+
+def gram_requests(states: DataFrame, found: list[Staged], model: Model) -> DataFrame:
     """For each chunk and bucket the n-grams asked for; one row a chunk has the count-of-counts of those it alone holds."""
 
-    def of(row: dict) -> Iterator[dict]:
-        chunk = Chunk(row, trained_docs)
+    def of(row: dict, answers: list[dict]) -> Iterator[dict]:
+        chunk = model.chunk(row, answers)
+        if model.shared:
+            chunk.deepen()
         last = chunk.levels[-1]
         alone = last.own[chunk.sole[last.context]]
-        yield {"bucket": row["chunk"] % buckets, "chunk": row["chunk"], "stats": count_of_counts(alone)}
-        for bucket, at, first, hot in chunk.parts(hot_least, buckets):
+        yield {"bucket": row["chunk"] % model.buckets, "chunk": row["chunk"], "stats": count_of_counts(alone)}
+        for bucket, at, first, hot in chunk.parts(model.hot_least, model.buckets):
             columns, word = chunk.context_names(last.context[at[first]]), chunk.names[last.word[at]]
             steps = np.diff(word, prepend=0)  # ascending within a context
             steps[first] = word[first]
             arrays = {"hot": hot, "sizes": np.diff(np.append(first, len(at))).astype(np.int32), "words": steps, "counts": last.own[at], "shorter": chunk.counts[last.shorter[at]]}
             yield {"bucket": bucket, "chunk": row["chunk"], "contexts": [squeeze(deltas(columns[0])), *map(squeeze, columns[1:])], **{k: squeeze(v) for k, v in arrays.items()}}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield pa.RecordBatch.from_pylist(list(of(batch.slice(i, 1).to_pylist()[0])), schema=GRAMS_ARROW)
+                yield pa.RecordBatch.from_pylist(list(of(batch.slice(i, 1).to_pylist()[0], [])), schema=GRAMS_ARROW)
 
-    return states.mapInArrow(run, GRAMS)
+    def next_level(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([r for row in left.to_pylist() for r in of(row, right.to_pylist())], schema=GRAMS_ARROW)
+
+    return answered(states, found, next_level, GRAMS) if found else states.mapInArrow(first_level, GRAMS)
 
 
 def number(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -547,51 +578,27 @@ def score_documents(documents: DataFrame, held: Column, order: int = 3) -> DataF
     stats = by_place(answers.read())
     words, distinct = Words([stats.get(r, 0) for r in range(TOP + 2)], total), stats.get(TOP + 2, 0)
     states = step(named_chunks(chunks.read(), answers.read(), word_buckets), "word-states", chunks, answers)
-    ds: list[np.ndarray] = []
+    model, found = Model(words, trained_docs, hot_least, buckets), []
     for n in range(2, order + 1):
-        below = list(ds)
-        found = step(gram_answers(gram_requests(states.read(), trained_docs, hot_least, buckets), words, below), f"answers-{n}")
-        stats = by_place(found.read())
-        ds.append(discounts([stats.get(r, 0) for r in range(TOP + 2)]))
-        spread = found.read().filter("hot is not null").select(F.explode(F.arrays_zip("hot", "hot_few", "hot_covered")).alias("x")).select("x.*").groupBy("hot")
+        found.append(step(gram_answers(gram_requests(states.read(), found, model), words, list(model.ds)), f"answers-{n}"))
+        stats, rows = by_place(found[-1].read()), found[-1].read().filter("hot is not null")
+        spread = rows.select(F.explode(F.arrays_zip("hot", "hot_few", "hot_covered")).alias("x")).select("x.*").groupBy("hot")
         sums = spread.agg(F.array(*[F.sum(F.col("hot_few")[r]) for r in range(TOP)]).alias("few"), F.sum("hot_covered").alias("covered")).collect()
-        shared = {tuple(r.hot): (r.few, r.covered) for r in sums}  # at most HOT + 1 rows
-        answered = found.read().filter("counts is not null").select("chunk", "bucket", "counts", "sole", "rare", "few", "covered")
-        both = states.read().groupBy("chunk").cogroup(answered.groupBy("chunk"))
-        if n < order:
-            states = step(both.applyInArrow(stored(trained_docs, shared, hot_least, buckets, words, below), STATES), f"states-{n}", states, found)
-    return both.applyInArrow(scored(trained_docs, shared, hot_least, buckets, words, ds, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def stored(trained_docs: int, shared: dict, hot_least: int, buckets: int, words: Words, below: list[np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Chunks with one more level answered."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.to_pylist()
-        for row in rows:
-            a = Chunk(row, trained_docs).take(right.to_pylist(), shared, hot_least, buckets, words, below)
-            row["levels"].append({"counts": squeeze(a.counts), "sole": squeeze(np.packbits(a.sole)), "rare": squeeze(np.packbits(a.rare)), "few": squeeze(a.few.reshape(-1)), "covered": squeeze_floats(a.covered)})
-        return pa.Table.from_pylist(rows, schema=STATE)
-
-    return run
-
-
-def scored(trained_docs: int, shared: dict, hot_least: int, buckets: int, words: Words, ds: list[np.ndarray], total: int, distinct: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The scores of a chunk's documents, the last level's answers taken."""
+        model.ds.append(discounts([stats.get(r, 0) for r in range(TOP + 2)]))
+        model.shared.append({tuple(r.hot): (r.few, r.covered) for r in sums})
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            b = Chunk(row, trained_docs)
-            b.take(right.to_pylist(), shared, hot_least, buckets, words, ds[:-1])
-            score = np.add.reduceat(b.scores(words, ds), b.starts)
+            b = model.chunk(row, right.to_pylist())
+            score = np.add.reduceat(b.scores(words, model.ds), b.starts)
             base = np.add.reduceat(np.log10((b.totals + 1) / (total + distinct + 1))[b.tokens], b.starts)
             known = np.add.reduceat((b.totals > 0)[b.tokens].astype(np.int64), b.starts)
             columns = [row["doc_ids"], [not t for t in row["trained"]], row["lengths"], known, [total] * len(known), base, score]
             out.append(pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, SCORED.types, strict=True)], schema=SCORED))
         return pa.concat_tables(out) if out else SCORED.empty_table()
 
-    return run
+    return answered(states.read(), found, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
