@@ -15,8 +15,9 @@ def segments(df: DataFrame, tokens: str, max_len: int, bos: int, eos: int) -> Da
     if max_len <= 0:
         raise ValueError("max_len must be positive")
     out = df.withColumn("framed_", framed(F.col(tokens), bos, eos)).drop(tokens)
-    out = out.withColumn("start_", F.explode(F.sequence(F.lit(0), F.size("framed_") - 2, F.lit(max_len))))
-    window = F.slice("framed_", F.col("start_") + 1, F.lit(max_len + 1))
-    out = out.withColumn("window_", window).withColumn("segment_no", (F.col("start_") / max_len).cast("int"))
+    # windows are cut before rows are made of them: a row with the whole text's ids for each segment would be quadratic in the text
+    starts = F.sequence(F.lit(0), F.size("framed_") - 2, F.lit(max_len))
+    windows = F.transform(starts, lambda s: F.slice("framed_", s + 1, F.lit(max_len + 1)))
+    out = out.select(*[c for c in out.columns if c != "framed_"], F.posexplode(windows).alias("segment_no", "window_"))
     out = out.withColumn("inputs", F.slice("window_", F.lit(1), F.size("window_") - 1)).withColumn("labels", F.slice("window_", F.lit(2), F.size("window_") - 1))
-    return out.drop("framed_", "start_", "window_")
+    return out.drop("window_")
