@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.bpe import SPECIAL_TOKENS, Bpe, pretoken_counts
+from corpusmill.functions.bpe import DRIVER_WORDS, SPECIAL_TOKENS, Bpe, TooManyWords, pretoken_counts, train
 from corpusmill.sources.files import exists, file_system, work_folder
 
 #: Words of a part, pairs looked at in a round, merges of a round, rounds whose changes lie side by side.
@@ -207,3 +207,11 @@ def train_partitioned(df: DataFrame, text: str, vocab_size: int = 65536, least:
         fs, p = file_system(spark, state.folder)
         fs.delete(p, True)
     return Bpe(tuple(merges))
+
+
+def train_any(df: DataFrame, text: str, vocab_size: int = 65536, most_words: int = DRIVER_WORDS) -> Bpe:
+    """The vocabulary of any number of distinct pre-tokens: merged on the driver where it may hold them, else over partitioned tables."""
+    try:
+        return train(df, text, vocab_size, most_words=most_words)
+    except TooManyWords:
+        return train_partitioned(df, text, vocab_size)
