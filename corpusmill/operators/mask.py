@@ -11,20 +11,25 @@ from pyspark.sql import functions as F
 from corpusmill.functions.decode import let
 
 
+def places(segments: Column) -> Column:
+    """How many places are not padding (-1), by a built-in function: no expression is evaluated for each place."""
+    return F.size(F.array_remove(segments, F.lit(-1)))
+
+
 def bounds(segments: Column) -> Column:
     """array<struct<first, last>>: a query sees the keys of its own segment up to itself; a padding query all earlier keys that are not padding.
 
-    Segments lie side by side, numbered from 0, with padding (-1) at the end. One pass, and one search a segment.
+    Segments lie side by side, numbered from 0, with padding (-1) at the end. Both ends are whole arrays of built-in
+    functions, and one search finds where a segment begins: no expression is evaluated for each place.
     """
-
-    def of(s: Column) -> Column:
-        numbers = F.filter(F.sequence(F.lit(0), F.greatest(F.array_max(s), F.lit(0))), lambda n: n <= F.array_max(s))
-        begins = F.transform(numbers, lambda n: (F.array_position(s, n) - 1).cast("int"))
-        used = F.size(F.filter(s, lambda x: x >= 0))
-        span = lambda first, last: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
-        return let(F.struct(begins.alias("b"), used.alias("u")), lambda t: F.transform(s, lambda x, q: F.when(x >= 0, span(F.get(t["b"], x), q)).otherwise(span(F.lit(0), t["u"] - 1))))
-
-    return let(segments, of)
+    s, used = segments, places(segments)
+    numbers = F.filter(F.sequence(F.lit(0), F.greatest(F.array_max(s), F.lit(0))), lambda n: n <= F.array_max(s))
+    begins = F.transform(numbers, lambda n: (F.array_position(s, n) - 1).cast("int"))
+    run = lambda t: F.transform(t["b"], lambda first, n: F.array_repeat(first, F.coalesce(F.get(t["b"], n + 1), t["u"]) - first))
+    firsts = F.flatten(let(F.struct(begins.alias("b"), used.alias("u")), run))
+    lasts = F.slice(F.sequence(F.lit(0), F.greatest(used - 1, F.lit(0))), F.lit(1), used)
+    padding = lambda value: F.array_repeat(value.cast("int"), F.size(s) - used)
+    return F.arrays_zip(F.concat(firsts, padding(F.lit(0))).alias("first"), F.concat(lasts, padding(used - 1)).alias("last"))
 
 
 def sees(bound: Column, key: Column) -> Column:
@@ -45,5 +50,5 @@ def packed_mask(segments: Column) -> Column:
 
 def visible_keys(segments: Column, positions: Column) -> Column:
     """How many keys each query sees, in one pass: its position plus one, or all real keys for padding."""
-    real = F.size(F.filter(segments, lambda s: s >= 0))
-    return F.transform(F.arrays_zip(segments.alias("s"), positions.alias("p")), lambda x: F.when(x["s"] >= 0, x["p"] + 1).otherwise(real))
+    real = places(segments)
+    return F.zip_with(segments, positions, lambda s, p: F.when(s >= 0, p + 1).otherwise(real))

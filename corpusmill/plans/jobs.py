@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusmill.functions.bpe import SPECIAL, Bpe, Tokenizer, TooManyWords, encode_udf, inspected, train
-from corpusmill.functions.bpe_training import train_partitioned
-from corpusmill.operators import chat, pack, split
+from corpusmill.functions.bpe import SPECIAL, Bpe, Tokenizer, encode_udf, inspected
+from corpusmill.functions.bpe_training import train_any
+from corpusmill.operators import chat, mask, pack, split
 from corpusmill.operators.segment import segments
 from corpusmill.plans.settings import MIDTRAINING, POSTTRAINING, PRETRAINING, validate
 from corpusmill.sources.corpus import CorpusCase, cache_path, chain, read_instructions, scan, take, write_cache
@@ -29,10 +29,7 @@ BYTES_A_TOKEN, SPARE = 4, 1.2
 def train_tokenizer(spark: SparkSession, cases: Iterable[tuple[CorpusCase, str | None]], folder: str, vocab_size: int = 65536) -> Bpe:
     """cases: a corpus and the column that orders its rows (None: the order of its files). The tokenizer is saved as a folder."""
     texts = chain([take(scan(spark, case), case, order and [order]) for case, order in cases])
-    try:
-        bpe = train(texts, "text", vocab_size)
-    except TooManyWords:
-        bpe = train_partitioned(texts, "text", vocab_size)
+    bpe = train_any(texts, "text", vocab_size)
     bpe.save_folder(spark, folder)
     return bpe
 
@@ -49,21 +46,20 @@ def slice_count(docs: DataFrame, text: str, size: int = SLICE_BYTES) -> int:
     return max(1, -(-total // size))
 
 
-def examples(docs: DataFrame, key: str, tokenizer: Tokenizer, case: CorpusCase, max_len: int, world: int = 1, passes: int = 1, seed: int = SEED, slices: int = 1) -> DataFrame:
+def examples(docs: DataFrame, key: str, tokenizer: Tokenizer, case: CorpusCase, max_len: int, world: int = 1, passes: int = 1, seed: int = SEED, slices: int = 1, arrays: Sequence[str] = pack.ARRAYS) -> DataFrame:
     """Packed examples of documents (key, text): seeded order, ranks in slices, segments, best fit.
 
     What an example holds depends on world, slices and seed alone. Texts move once, to their slice's task.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(case.text_column).alias("text"))
     ordered = split.slices(split.passes(rows, "key", seed, passes, required=True), "key", world, slices)
-    return packed(ordered, tokenizer, case, max_len)
+    return packed(ordered, tokenizer, case, max_len, arrays)
 
 
-def packed(ordered: DataFrame, tokenizer: Tokenizer, case: CorpusCase, max_len: int) -> DataFrame:
+def packed(ordered: DataFrame, tokenizer: Tokenizer, case: CorpusCase, max_len: int, arrays: Sequence[str] = pack.ARRAYS) -> DataFrame:
     """Examples of documents (text) as split.slices leaves them."""
     dealt = pack.in_slices(ordered, ["shuffle_key", "key"])
-    own = segments(dealt.select(*pack.SLICED, encode_udf(tokenizer)("text").alias("tokens")), "tokens", max_len, SPECIAL["bos"], SPECIAL["eos"])
-    return pack.pack(own, case.name, max_len, by=pack.SLICED)
+    return pack.pack_texts(dealt, tokenizer, case.name, max_len, SPECIAL["bos"], SPECIAL["eos"], by=pack.SLICED, arrays=arrays)
 
 
 def stream_examples(docs: DataFrame, key: str, tokenizer: Tokenizer, case: CorpusCase, max_len: int, folder: str, checkpoint: str, slices: int, world: int = 1, seed: int = SEED, step: int = 1, first: int = 0, last: int | None = None, trigger: dict | None = None) -> StreamingQuery:
@@ -155,7 +151,7 @@ def pack_corpus(spark: SparkSession, case: CorpusCase, key: str, tokenizer: str,
     part = lambda indexes: split.keep_buckets(docs, case.text_column, modulo, indexes)
     training = part(split.train_indexes(modulo, index))
     slices = slice_count(training, case.text_column)
-    seen, used = Observation(), F.size(F.filter("segments", lambda x: x >= 0))
+    seen, used = Observation(), mask.places(F.col("segments"))
     made = examples(training, key, bpe, case, max_len, world, passes, seed, slices)
     made.observe(seen, F.count(F.lit(1)).alias("examples"), F.sum(used).alias("tokens")).write.mode("overwrite").partitionBy("rank").parquet(f"{folder}/examples")
     samples = settings["batch_size"] * settings["val_batches"] * world
