@@ -4,7 +4,8 @@ Words lie in parts by hash. A part is one row: the symbols of its words in one a
 the words' counts. Pair counts are kept by (pair, part), so they are at once the inverted index from a pair to
 the parts that hold it. A round reads the most frequent pairs, chooses as many merges as are certain, and
 rewrites the parts that hold them; each such part gives the changes of its pair counts, which are added up
-with the counts before. Changes are compacted every `COMPACT` rounds.
+with the counts before. Changes are compacted every `COMPACT` rounds. A round's files are as many as its tasks,
+not as its parts, so that listing and opening them does not take longer than the work.
 
 Which merges are certain: candidates come by falling count, ties by the smaller ids. One is taken after others
 of the same round if it shares no place with them (none ends where it begins or the other way round: its count
@@ -28,7 +29,7 @@ from corpusmill.functions.bpe import DRIVER_WORDS, SPECIAL_TOKENS, Bpe, TooManyW
 from corpusmill.sources.files import exists, file_system, work_folder
 
 #: Words of a part, pairs looked at in a round, merges of a round, rounds whose changes lie side by side.
-PART_WORDS, LOOKED_AT, MOST, COMPACT = 100_000, 1024, 256, 12
+PART_WORDS, LOOKED_AT, MOST, COMPACT = 200_000, 1024, 256, 12
 FORM = "kind string, part int, symbols array<int>, counts array<long>, a int, b int, n long"
 ARROW = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("symbols", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 Pair = tuple[int, int]
@@ -122,7 +123,7 @@ class Training:
         """words (pretoken, n): one row a distinct word."""
         words.write.parquet(f"{self.folder}/distinct")
         words = self.spark.read.parquet(f"{self.folder}/distinct")
-        count = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // PART_WORDS))
+        count = max(self.spark.sparkContext.defaultParallelism, -(-words.count() // PART_WORDS))
         to_id = Bpe().tables()["to_id"]
         symbol = np.array([to_id[b] for b in range(256)], np.int32)
         symbol[255] = 0  # no byte of UTF-8: it ends a word
@@ -139,16 +140,14 @@ class Training:
             self.newest = {r.part: 0 for r in self.spark.read.parquet(f"{self.folder}/0/kind=words").select("part").collect()}
 
     def write(self, df: DataFrame, number: int) -> None:
-        df.write.partitionBy("kind", "part").parquet(f"{self.folder}/{number}")
+        df.write.partitionBy("kind").parquet(f"{self.folder}/{number}")
         self.changed.append(f"{self.folder}/{number}/kind=pairs")
 
     def pairs(self) -> DataFrame:
         """(a, b, part, n): counts and the changes that aren't added to them yet."""
-        out = self.spark.createDataFrame([], "a int, b int, part int, n long")
-        for path in self.changed:
-            if exists(self.spark, path):  # words of one letter have no pairs
-                out = out.union(self.spark.read.schema("a int, b int, n long, part int").parquet(path).select("a", "b", "part", "n"))
-        return out
+        held = [path for path in self.changed if exists(self.spark, path)]  # words of one letter have no pairs
+        form = "a int, b int, part int, n long"
+        return self.spark.read.schema(form).parquet(*held) if held else self.spark.createDataFrame([], form)
 
     def best(self) -> tuple[list[tuple[int, Pair, list[int]]], bool]:
         """The most frequent pairs (count, pair, parts), and whether there are no others."""

@@ -86,3 +86,17 @@ def test_documents_against_the_public_trainer(spark):
     for t in texts[:50]:
         assert own.encode(t) == other.encode(t, add_special_tokens=False).ids
     assert Counter(i for t in texts[:50] for i in own.encode(t))[own.vocab_size() - 1] > 0
+
+
+def test_a_round_has_no_files_for_each_part(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from corpusmill.functions import bpe_training
+
+    monkeypatch.setattr(bpe_training, "PART_WORDS", 10)
+    words = spark.createDataFrame([(f"w{k}x", k % 7 + 1) for k in range(400)], "pretoken string, n long")
+    state = bpe_training.Training(spark, f"file://{tmp_path}/training")
+    state.begin(words)
+    top, _ = state.best()
+    state.merge([(top[0][1], 269)], set(top[0][2]), 1)
+    assert len(state.newest) > 30 and len(list(Path(tmp_path, "training", "1").rglob("*.parquet"))) <= 20
