@@ -33,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Staged, WordHashes, components, look_up, mix, read, text_batches, text_bytes
+from corpusmill.llm.common import Staged, WordHashes, components, look_up, mix, read, small_batches, text_batches, text_bytes
 
 BANDS, ROWS, SKETCH_BITS, BLOCK, BATCH_BYTES = 32, 4, 1024, 1024, 1 << 20
+#: Word hashes that a worker keeps.
+WORDS_KEPT = 100_000
 PARITY_LEAST, GROUP_ELEMENTS = 2048, 2_000_000
 #: Elements of the sets in a block of a bucket: their bitmaps have a byte an element at most.
 BLOCK_ELEMENTS = 32 << 20
@@ -112,7 +114,7 @@ def signed(documents: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes = WordHashes()
+        hashes = WordHashes(WORDS_KEPT)
         for batch in text_batches(batches, BATCH_BYTES):
             sets = shingle_sets(text_bytes(batch), size, hashes)
             full = [k for k, s in enumerate(sets) if len(s)]
@@ -136,7 +138,7 @@ def full_sets(documents: DataFrame, size: int) -> DataFrame:
     """(node, elements array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(WORDS_KEPT)
         for batch in text_batches(batches, BATCH_BYTES):
             sets = shingle_sets(text_bytes(batch), size, hashes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "elements"])
@@ -155,7 +157,8 @@ def confirmed(pairs: DataFrame, documents: DataFrame, percent: int, size: int, s
     Groups hold about GROUP_ELEMENTS elements. A head with more than that in members is repeated in several.
     """
     needed = pairs.select(F.explode(F.array("head", "member")).alias("doc_id")).distinct()
-    sets_at.append(Staged(full_sets(documents.join(needed, "doc_id", "left_semi"), size), "shingle-sets"))
+    with small_batches(documents.sparkSession):
+        sets_at.append(Staged(full_sets(documents.join(needed, "doc_id", "left_semi"), size), "shingle-sets"))
     sets = sets_at[-1].read()
     weights = pairs.groupBy("head").agg(F.sum("n").alias("weight"), F.count("*").alias("n_")).withColumn("parts", F.ceil(F.col("weight") / GROUP_ELEMENTS).cast("int"))
     sets_at.append(Staged(weights, "heads"))
@@ -287,7 +290,8 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5) -> D
         return staged[-1].read()
 
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = keep(signed(documents, size), "signatures")
+    with small_batches(documents.sparkSession):
+        sig = keep(signed(documents, size), "signatures")
     same = sig.filter("set_key is not null").groupBy("set_key")
     classes = keep(same.agg(F.min("doc_id").alias("node"), F.count("*").alias("n_"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "parity")]), "classes")
     nodes = classes.filter("node is not null").drop("set_key", "n_")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusmill.llm.common import Staged, read, text_batches
+from corpusmill.llm.common import Staged, read, small_batches, text_batches
 
 FIT_ROWS = 6_000
 #: The vocabulary: the WORDS most frequent words of WORD_LEAST occurrences or more, the SHAPES most frequent shapes.
@@ -312,7 +312,8 @@ def held_out(ids: Column, parts: int, which: int) -> Column:
 
 def learned(spark: SparkSession, sf_dir: str) -> Model:
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held_out(F.col("doc_id"), 3, 1))
-    return fit(read(spark, sf_dir, "documents"), labels)
+    with small_batches(spark):
+        return fit(read(spark, sf_dir, "documents"), labels)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
