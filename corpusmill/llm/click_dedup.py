@@ -48,6 +48,8 @@ FED = "shard int, at timestamp, id long, hour long, hash binary, crc long, n lon
 CLOSED = "click_id long, start_hour long, closed_batch long, n_rows long, n_conflicts long, conflict_crc long, hash binary, spread boolean"
 RESULT = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash string"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: MB of the block cache and the write buffers that all state stores of an executor share.
+STORE_MB = 64
 
 NUMBERS = ("id", "start", "rows", "conflicts", "crc")
 BLOB = pa.schema([*((n, pa.int64()) for n in NUMBERS), ("hash", pa.binary(32)), ("spread", pa.bool_())])
@@ -71,7 +73,7 @@ def packed(windows: Windows) -> bytes:
     n = len(windows["id"])
     hashes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), n, [None, pa.py_buffer(windows["hash"].tobytes())])
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, BLOB) as writer:
+    with pa.ipc.new_stream(out, BLOB, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_batch(pa.RecordBatch.from_arrays([*(pa.array(windows[c], pa.int64()) for c in NUMBERS), hashes, pa.array(windows["spread"], pa.bool_())], schema=BLOB))
     return out.getvalue().to_pybytes()
 
@@ -277,8 +279,10 @@ def feed(spark: SparkSession, folder: str, origin: int, batches: int, width: int
     place = lambda p: jvm.org.apache.hadoop.fs.Path(f"{folder}/{p}")
     fs = place("").getFileSystem(conf)
     fs.mkdirs(place("fed"))
-    # a start has one micro-batch: a store that stayed open after it would hold its files until maintenance comes
-    settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+    # a start has one micro-batch: a store that stayed open after it would hold its files until maintenance comes, and
+    # with changelogs each start would write the blobs of all starts before it into the store's memory once more
+    state = "spark.sql.streaming.stateStore.rocksdb"
+    settings = {f"{state}.boundedMemoryUsage": "true", f"{state}.maxMemoryUsageMB": str(STORE_MB), "spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": "false", f"{state}.changelogCheckpointing.enabled": "false", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
